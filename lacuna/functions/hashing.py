@@ -1,17 +1,18 @@
 """Seeded draws from integer arithmetic.
 
 A 32-bit xor-shift-multiply hash written with BIGINT operators only, so that the same draw can be
-written in any SQL engine, does not depend on partitioning and survives task retries.
+written in any SQL engine, does not depend on partitioning and survives task retries. Streams
+(columns, replicates, patterns) differ by a hashed salt that is xor-ed into the key, so they do not
+overlap however many rows there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 M = 4294967296
 K = 73244475
-COLUMN_STRIDE = 1000003
 
 
 def mix32(key: Column) -> Column:
@@ -23,25 +24,40 @@ def mix32(key: Column) -> Column:
     return m.bitwiseXOR(F.shiftright(m, 16))
 
 
+def salt(stream: int) -> int:
+    """The same hash of a driver-side number."""
+    m = stream % M
+    for _ in range(2):
+        m = ((m ^ (m >> 16)) * K) % M
+    return m ^ (m >> 16)
+
+
+def stream_key(id_col: Column, stream: int) -> Column:
+    """Key of the draw for one row in one stream."""
+    return id_col.cast("bigint").bitwiseXOR(F.lit(salt(stream)))
+
+
 def uniform(key: Column) -> Column:
     """A double in [0, 1)."""
     return mix32(key) / F.lit(float(M))
 
 
-def uniform53(key: Column) -> Column:
-    """A double in [0, 1) with 53 random bits, for tables above 2**31 rows."""
-    hi = F.shiftright(mix32(key), 5)
-    lo = F.shiftright(mix32(key + F.lit(COLUMN_STRIDE * 7919)), 6)
-    return (hi * F.lit(67108864) + lo) / F.lit(9007199254740992.0)
-
+def stream_uniforms(df: DataFrame, id_col: str, streams: dict[str, int]) -> DataFrame:
+    """Add one uniform column per name, each evaluated once and then referred to by name."""
+    return df.withColumns(
+        {name: uniform(stream_key(F.col(id_col), s)) for name, s in streams.items()}
+    )
 
-def index_below(key: Column, n: int) -> Column:
-    """An integer in [0, n)."""
-    if n <= 2**31:
-        return F.shiftright(mix32(key) * F.lit(n), 32)
-    return F.least(F.floor(uniform53(key) * F.lit(float(n))), F.lit(n - 1)).cast("bigint")
 
+def with_uniform53(df: DataFrame, key: str, salt_col: Column, name: str) -> DataFrame:
+    """Add a uniform double with 53 random bits from a 64-bit key and a 32-bit salt column.
 
-def column_key(id_col: Column, column_no: int) -> Column:
-    """Key of the draw for one cell: row id and column number."""
-    return id_col + F.lit(column_no * COLUMN_STRIDE)
+    High and low halves of the key are hashed one after the other, for tables beyond 2**32 rows.
+    Stages are separate projections: inlining them would multiply the expression.
+    """
+    out = df.withColumn("__hi", mix32(salt_col.bitwiseXOR(F.shiftrightunsigned(F.col(key), 32))))
+    lane = F.col("__hi").bitwiseXOR(F.col(key) % F.lit(M))
+    out = out.withColumn("__a", mix32(lane))
+    out = out.withColumn("__b", mix32(F.col("__a").bitwiseXOR(F.lit(salt(53)))))
+    bits = F.shiftright("__a", 5) * F.lit(67108864) + F.shiftright("__b", 6)
+    return out.withColumn(name, bits / F.lit(9007199254740992.0)).drop("__hi", "__a", "__b")

@@ -7,6 +7,8 @@ ranges are connected by the small table of per-range totals.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,30 +30,42 @@ def _numeric(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def with_range(df: DataFrame, order: str, name: str = "__range", ranges: int | None = None) -> DataFrame:
-    """Add the number of the range ``order`` falls in, ranges increasing with the order.
+def range_cuts(df: DataFrame, order: str, ranges: int | None = None) -> list[float]:
+    """Increasing bounds that cut ``order`` into ranges of about equally many rows.
 
-    Bounds are approximate quantiles (at most ``MAX_RANGES`` literals). A value lies in exactly one
-    range, so equal values stay together.
+    One aggregate counts the rows and sketches the quantiles; at most ``MAX_RANGES`` literals come
+    back. A table of up to ``ROWS_PER_RANGE`` rows is one range.
     """
+    most = ranges or MAX_RANGES
+    probs = [i / most for i in range(1, most)] or [0.5]
     key = _numeric(df, order)
-    if ranges is None:
-        ranges = min(MAX_RANGES, max(1, df.count() // ROWS_PER_RANGE))
-    if ranges <= 1:
-        return df.withColumn(name, F.lit(0))
-    probs = [i / ranges for i in range(1, ranges)]
-    staged = df.withColumn("__key", key)
-    cuts = sorted(set(staged.approxQuantile("__key", probs, 0.25 / ranges)))
+    n, found = df.agg(
+        F.count(F.lit(1)), F.percentile_approx(key, probs, 10 * MAX_RANGES)
+    ).first()
+    wanted = ranges or min(MAX_RANGES, n // ROWS_PER_RANGE)
+    if wanted <= 1 or not found:
+        return []
+    picked = [found[round(i * most / wanted) - 1] for i in range(1, wanted)]
+    return sorted({v for v in picked if v is not None and math.isfinite(v)})
+
+
+def with_range(df: DataFrame, order: str, cuts: list[float], name: str = "__range") -> DataFrame:
+    """Add the number of the range ``order`` falls in, ranges increasing with the order.
+
+    A value lies in exactly one range, so equal values stay together.
+    """
     if not cuts:
         return df.withColumn(name, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
     bucketed = Bucketizer(
-        splits=splits, inputCol="__key", outputCol="__bucket", handleInvalid="keep"
-    ).transform(staged)
+        splits=[float("-inf"), *cuts, float("inf")],
+        inputCol="__key",
+        outputCol="__bucket",
+        handleInvalid="keep",
+    ).transform(df.withColumn("__key", _numeric(df, order)))
     return bucketed.withColumn(name, F.col("__bucket").cast("int")).drop("__key", "__bucket")
 
 
-def _join_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+def join_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     renamed = totals.select(*[F.col(k).alias(f"__j_{k}") for k in keys], *[
         c for c in totals.columns if c not in keys
     ])
@@ -63,14 +77,18 @@ def grouped_rank(
     df: DataFrame, group: list[str], order: str, name: str, tie: str | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Exact 1-based ``row_number`` within ``group`` by ``order`` (then ``tie``)."""
-    ranged = with_range(df, order, ranges=ranges)
+    cuts = range_cuts(df, order, ranges)
+    if not cuts:
+        local = W.partitionBy(*group).orderBy(order, *([tie] if tie else []))
+        return df.withColumn(name, F.row_number().over(local).cast("bigint"))
+    ranged = with_range(df, order, cuts)
     keys = [*group, "__range"]
     totals = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     local = W.partitionBy(*keys).orderBy(order, *([tie] if tie else []))
     ranked = ranged.withColumn("__local", F.row_number().over(local))
-    out = _join_totals(ranked, totals, keys)
+    out = join_totals(ranked, totals, keys)
     return out.withColumn(name, F.col("__local") + F.col("__before")).drop(
         "__range", "__local", "__before"
     )
@@ -84,7 +102,12 @@ def running_sums(
 
     ``order`` must be unique within a group: aggregate by it first.
     """
-    ranged = with_range(df, order, ranges=ranges)
+    by_order = F.col(order).desc() if descending else F.col(order)
+    cuts = range_cuts(df, order, ranges)
+    if not cuts:
+        whole = W.partitionBy(*group).orderBy(by_order).rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in sums.items()])
+    ranged = with_range(df, order, cuts)
     keys = [*group, "__range"]
     totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     by_range = F.col("__range").desc() if descending else F.col("__range")
@@ -92,10 +115,9 @@ def running_sums(
     totals = totals.select(
         *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums]
     )
-    by_order = F.col(order).desc() if descending else F.col(order)
     local = W.partitionBy(*keys).orderBy(by_order).rowsBetween(W.unboundedPreceding, 0)
     out = ranged.select("*", *[F.sum(c).over(local).alias(f"__l_{n}") for n, c in sums.items()])
-    out = _join_totals(out, totals, keys)
+    out = join_totals(out, totals, keys)
     for n in sums:
         out = out.withColumn(n, F.col(f"__l_{n}") + F.col(f"__b_{n}"))
     return out.drop("__range", *[f"__{x}_{n}" for n in sums for x in "lb"])

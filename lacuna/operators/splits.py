@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lacuna.functions.hashing import COLUMN_STRIDE, index_below, mix32, uniform53
+from lacuna.functions.hashing import mix32, salt, stream_key, with_uniform53
 from lacuna.operators.ranking import at_or_before, grouped_rank, hash_cuts
 from lacuna.session import materialize
 
 MAX_LABELS = 1000
+DRAWS_PER_TASK = 50_000_000
+# Replicates of different labels draw from salts this far apart.
+LABEL_STRIDE = 1_000_000
 # Spark keeps only the first n rows of a group before the shuffle up to this n.
 GROUP_LIMIT = 1000
 
@@ -51,7 +54,7 @@ def stratified_split(
     Rows are ordered by a seeded hash of the id. The split points are found from hash histograms,
     so the split is a projection of literals: no sort, window or shuffle of the table.
     """
-    key = mix32(F.col(id_col) + F.lit(seed))
+    key = mix32(stream_key(F.col(id_col), seed))
     counts = _label_counts(df, label)
     n_test = {g: math.ceil(test_size * n) for g, n in counts.items()}
     n_val = {g: math.ceil(val_size * (n - n_test[g])) for g, n in counts.items()}
@@ -88,21 +91,27 @@ def holdout_folds(df: DataFrame, split: str = "split") -> DataFrame:
     return kept.withColumn("fold", F.when(F.col(split) == "train", -1).otherwise(0))
 
 
-def bootstrap_draws(spark, n: int, replicates: int, seed: int = 0) -> DataFrame:
+def replicate_salts(replicates: int, seed: int) -> Column:
+    """One struct (replicate, salt) per replicate, to be exploded."""
+    pairs = [F.struct(F.lit(r), F.lit(salt(seed + r)).cast("bigint")) for r in range(replicates)]
+    return F.array(*pairs).cast("array<struct<replicate:int,salt:bigint>>")
+
+
+def bootstrap_draws(spark: SparkSession, n: int, replicates: int, seed: int = 0) -> DataFrame:
     """(replicate, row number 0..n-1, times drawn): n draws with replacement per replicate.
 
     Draws are generated where they are counted: each task makes its own stretch of draw numbers,
     and equal (replicate, row) pairs are counted before the shuffle.
     """
-    draws = spark.range(n).select(
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), "id"
-    )
-    key = F.col("replicate").cast("bigint") * F.lit(COLUMN_STRIDE) + F.col("id") + F.lit(seed)
-    return (
-        draws.select("replicate", index_below(key, n).alias("row_no"))
-        .groupBy("replicate", "row_no")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    tasks = max(spark.sparkContext.defaultParallelism, n * replicates // DRAWS_PER_TASK)
+    draws = spark.range(0, n, 1, int(tasks)).select("id", F.inline(replicate_salts(replicates, seed)))
+    if n <= 2**31:
+        row_no = F.shiftright(mix32(F.col("salt").bitwiseXOR(F.col("id"))) * F.lit(n), 32)
+    else:
+        draws = with_uniform53(draws, "id", F.col("salt"), "u")
+        row_no = F.least(F.floor(F.col("u") * F.lit(float(n))), F.lit(n - 1)).cast("bigint")
+    counted = draws.select("replicate", row_no.alias("row_no")).groupBy("replicate", "row_no")
+    return counted.agg(F.count(F.lit(1)).alias("times"))
 
 
 def bootstrap(df: DataFrame, id_col: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -126,7 +135,7 @@ def stratified_bootstrap(
     numbered = grouped_rank(rows, [label], id_col, "__rn").withColumn("row_no", F.col("__rn") - 1)
     draws = None
     for k, (g, n) in enumerate(sorted(counts.items(), key=lambda kv: repr(kv[0]))):
-        part = bootstrap_draws(df.sparkSession, n, replicates, seed + k * 7919 * COLUMN_STRIDE)
+        part = bootstrap_draws(df.sparkSession, n, replicates, seed + k * LABEL_STRIDE)
         part = part.withColumn("__g", F.lit(g).cast(df.schema[label].dataType))
         draws = part if draws is None else draws.unionByName(part)
     cond = [numbered["row_no"] == draws["row_no"], numbered[label].eqNullSafe(draws["__g"])]
@@ -139,22 +148,22 @@ def poisson_bootstrap(df: DataFrame, id_col: str, replicates: int, seed: int = 0
     One pass and no shuffle: the choice for large tables. Sums of metric states then aggregate
     on the map side by replicate.
     """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    out = df.select("*", rep)
-    u = uniform53(F.col("replicate").cast("bigint") * F.lit(COLUMN_STRIDE) + F.col(id_col) + F.lit(seed))
+    out = df.select("*", F.inline(replicate_salts(replicates, seed)))
+    out = with_uniform53(out.withColumn("__id", F.col(id_col).cast("bigint")), "__id", F.col("salt"), "__u")
     # Inverse distribution function of Poisson(1); beyond 12 the share is below 1e-10.
     cumulative, term, times = 0.0, math.exp(-1), F.lit(0)
     for k in range(13):
         cumulative += term
-        times = times + (u >= cumulative).cast("int")
+        times = times + (F.col("__u") >= cumulative).cast("int")
         term /= k + 1
-    return out.withColumn("times", times.cast("bigint")).filter("times > 0")
+    drawn = out.filter(F.col("__u") >= math.exp(-1))
+    return drawn.withColumn("times", times.cast("bigint")).drop("__u", "__id", "salt")
 
 
 def shuffle_rows(df: DataFrame, id_col: str, epoch: int, seed: int = 0, train_only: str | None = None) -> DataFrame:
     """Rows in a new order each epoch: partitions are rebuilt by a seeded hash and sorted by it."""
     if train_only:
         df = df.filter(F.col(train_only) == "train")
-    key = mix32(F.col(id_col) + F.lit(seed + epoch * COLUMN_STRIDE))
+    key = mix32(stream_key(F.col(id_col), seed + epoch))
     keyed = df.withColumn("__h", key)
     return keyed.repartition("__h").sortWithinPartitions("__h", id_col).drop("__h")

@@ -6,7 +6,7 @@ import importlib
 
 from lacuna.plans import registry
 
-GROUPS = ["q_clean", "q_reshape"]
+GROUPS = ["q_clean", "q_reshape", "q_transform", "q_score", "q_stats"]
 
 
 def _load() -> None:

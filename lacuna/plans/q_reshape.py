@@ -31,20 +31,19 @@ def onehot_plain(spark, d):
 
 def _some_nulls(spark, d):
     """Single one-hot members removed, so that groups are partly missing."""
-    from lacuna.functions.hashing import column_key, uniform
+    from lacuna.functions.hashing import stream_uniforms
 
     df = T.truth_onehot(spark, d)
     cols = [c for cs in GROUPS.values() for c in cs]
-    return df.withColumns(
-        {c: F.when(uniform(column_key(F.col("id"), 20 + i)) >= 0.1, F.col(c)) for i, c in enumerate(cols)}
-    )
+    drawn = stream_uniforms(df, "id", {f"__u_{c}": 20 + i for i, c in enumerate(cols)})
+    return drawn.withColumns({c: F.when(F.col(f"__u_{c}") >= 0.1, F.col(c)) for c in cols})
 
 
 _MEMBERS = [c for cs in GROUPS.values() for c in cs]
 _PARTLY = (
     "partly AS (SELECT id, "
     + ", ".join(
-        f"CASE WHEN {S.u(f'id + {(20 + i) * 1000003}')} >= 0.1 THEN {c} END AS {c}"
+        f"CASE WHEN {S.u(S.key('id', 20 + i))} >= 0.1 THEN {c} END AS {c}"
         for i, c in enumerate(_MEMBERS)
     )
     + " FROM truth_oh)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lacuna.functions.hashing import salt
 from lacuna.plans.tables import (
     CONTINUOUS,
     EVENT_TYPES,
@@ -29,8 +30,13 @@ def u(key: str) -> str:
     return f"({h(key)} / 4294967296.0)"
 
 
+def key(column: str, stream: int) -> str:
+    """Row key of one stream of draws."""
+    return f"xor({column}, {salt(stream)})"
+
+
 def _nulls(c: str, i: int) -> str:
-    return f"CASE WHEN {u(f'id + {i * 1000003}')} >= 0.2 THEN {c} END AS {c}"
+    return f"CASE WHEN {u(key('id', 100 + i))} >= 0.2 THEN {c} END AS {c}"
 
 
 def _onehots(keep_null: bool = True) -> str:
@@ -54,8 +60,8 @@ TRUTH = f"""mixed_truth AS (
     CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END AS recent,
     substr(o_orderpriority, 1, 1) AS priority, c_mktsegment AS segment,
     CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
-    CASE WHEN {u('o_orderkey + 7')} < 0.30 THEN 'train'
-         WHEN {u('o_orderkey + 7')} < 0.60 THEN 'val' ELSE 'test' END AS split
+    CASE WHEN {u(key('o_orderkey', 7))} < 0.30 THEN 'train'
+         WHEN {u(key('o_orderkey', 7))} < 0.60 THEN 'val' ELSE 'test' END AS split
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 MIXED = f"""{TRUTH}, mixed AS (

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.hashing import column_key, uniform
+from lacuna.functions.hashing import stream_key, stream_uniforms, uniform
 from lacuna.operators.encode import onehot
 from lacuna.schema import FeatureSchema
 
@@ -44,7 +44,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def mixed_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     customer = read(spark, sf_dir, "customer")
-    u = uniform(F.col("o_orderkey") + 7)
+    u = uniform(stream_key(F.col("o_orderkey"), 7))
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_totalprice").alias("totalprice"),
@@ -62,14 +62,16 @@ def mixed_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_draws(truth: DataFrame) -> DataFrame:
+    streams = {f"__u_{c}": 100 + i for i, c in enumerate(NULL_COLUMNS, start=1)}
+    return stream_uniforms(truth, "id", streams)
+
+
 def with_nulls(truth: DataFrame) -> DataFrame:
     """Remove a fifth of the cells of every feature, each by its own seeded draw."""
-    return truth.withColumns(
-        {
-            c: F.when(uniform(column_key(F.col("id"), i)) >= NULL_SHARE, F.col(c))
-            for i, c in enumerate(NULL_COLUMNS, start=1)
-        }
-    )
+    drawn = with_draws(truth)
+    kept = {c: F.when(F.col(f"__u_{c}") >= NULL_SHARE, F.col(c)) for c in NULL_COLUMNS}
+    return drawn.withColumns(kept).select(*truth.columns)
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +93,10 @@ def truth_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys plus structs ``data`` (with nulls) and ``truth`` from a single pass over the sources."""
-    truth = to_onehot(mixed_truth(spark, sf_dir))
+    truth = to_onehot(with_draws(mixed_truth(spark, sf_dir)))
     owner = {c: c for c in [*CONTINUOUS, "recent"]}
     owner.update({c: p for p, cols in ONEHOT_COLUMNS.items() for c in cols})
-    keep = {
-        c: uniform(column_key(F.col("id"), i)) >= NULL_SHARE
-        for i, c in enumerate(NULL_COLUMNS, start=1)
-    }
+    keep = {c: F.col(f"__u_{c}") >= NULL_SHARE for c in NULL_COLUMNS}
     feats = MIXED_SCHEMA.features
     return truth.select(
         *MIXED_SCHEMA.keys,
