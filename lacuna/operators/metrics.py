@@ -59,71 +59,104 @@ def _units(schema: FeatureSchema) -> tuple[list[str], list[str]]:
     return ctn, cat + [f"g{i}" for i in range(len(schema.onehot))]
 
 
-def state_sums(schema: FeatureSchema, weight: str | None = None) -> list[Column]:
-    """Sums over rows of ``row_terms``, optionally weighted by how often a row was drawn."""
-    w = F.col(weight) if weight else F.lit(1)
+def product_terms(schema: FeatureSchema) -> dict[str, Column]:
+    """Per-row summands of the states, by state name, over the columns of ``row_terms``."""
     ctn, cat = _units(schema)
-    out = [F.sum(w).alias("n")]
+    out = {}
     for x in ctn + cat:
-        out.append(F.sum(F.col(f"m_{x}") * w).alias(f"n_{x}"))
+        missing = F.col(f"m_{x}")
+        out[f"n_{x}"] = missing
         for e in ("se", "ae") if x in ctn else ("w",):
-            term = F.col(f"{e}_{x}")
-            out.append(F.sum(term * w).alias(f"{e}_all_{x}"))
-            out.append(F.sum(term * F.col(f"m_{x}") * w).alias(f"{e}_missingonly_{x}"))
+            out[f"{e}_all_{x}"] = F.col(f"{e}_{x}")
+            out[f"{e}_missingonly_{x}"] = F.col(f"{e}_{x}") * missing
     return out
 
 
-def _total(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols], F.lit(0.0))
+def state_sums(schema: FeatureSchema, weight: str | None = None) -> list[Column]:
+    """Sums over rows of ``row_terms``, optionally weighted by how often a row was drawn."""
+    w = F.col(weight) if weight else None
+    terms = {k: c if w is None else c * w for k, c in product_terms(schema).items()}
+    rows = F.count(F.lit(1)) if w is None else F.sum(w)
+    return [rows.alias("n"), *[F.sum(c).alias(k) for k, c in terms.items()]]
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    return F.when(den > 0, num / den)
+def state_rows(states: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
+    """States as long rows: feature_type, metric_name, filter_subgroup, err, cnt.
 
+    With nothing missing in the whole group, missing-only rows hold the states over all cells.
+    """
+    ctn, cat = _units(schema)
+    total = reduce(lambda a, b: a + b, [F.col(f"n_{x}") for x in ctn + cat])
+    states = states.withColumn("__missing", total)
+    cells = []
+    for x in ctn + cat:
+        kinds = {"se": "RMSE", "ae": "MAAPE"} if x in ctn else {"w": "wrong"}
+        for e, name in kinds.items():
+            for sub in SUBGROUPS:
+                err, n = F.col(f"{e}_all_{x}"), F.col("n")
+                if sub == "missingonly":
+                    some = F.col("__missing") > 0
+                    err = F.when(some, F.col(f"{e}_missingonly_{x}")).otherwise(err)
+                    n = F.when(some, F.col(f"n_{x}")).otherwise(n)
+                kind = "continuous" if x in ctn else "categorical"
+                cells.append(
+                    F.struct(
+                        F.lit(kind).alias("kind"),
+                        F.lit(name).alias("name"),
+                        F.lit(sub).alias("filter_subgroup"),
+                        err.cast("double").alias("err"),
+                        n.cast("double").alias("cnt"),
+                    )
+                )
+    return states.select(*by, F.inline(F.array(*cells)))
 
-def _finish(units: list[str], err: str, subgroup: str, reduction: str, root: bool) -> Column:
-    """One metric from the states. Features without counted cells do not enter; none: 0."""
-    if not units:
-        return F.lit(0.0)
-    state = {x: F.col(f"{err}_{subgroup}_{x}") for x in units}
-    count = {x: F.col("n") if subgroup == "all" else F.col(f"n_{x}") for x in units}
-    scale = (lambda c: F.sqrt(c)) if root else (lambda c: c)
-    if reduction == "EW":
-        value = scale(_ratio(_total(list(state.values())), _total(list(count.values()))))
-    else:
-        parts = [scale(_ratio(state[x], count[x])) for x in units]
-        value = _ratio(_total(parts), _total([p.isNotNull().cast("int") for p in parts]))
-    value = F.coalesce(value, F.lit(0.0))
-    if subgroup == "missingonly":
-        # With nothing missing at all, the missing-only metric is the one over all cells.
-        over_all = _finish(units, err, "all", reduction, root)
-        return F.when(F.col("__any_missing") == 0, over_all).otherwise(value)
-    return value
 
+def metrics_long(states: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
+    """One row per metric: filter_subgroup, reduction, feature_type, metric_name, val.
 
-def metric_columns(schema: FeatureSchema) -> dict[tuple, Column]:
-    """(subgroup, reduction, feature type, metric) -> expression over the states."""
-    ctn, cat = _units(schema)
-    out = {}
-    for sub in SUBGROUPS:
-        for red in REDUCTIONS:
-            wrong = _finish(cat, "w", sub, red, False)
-            for m in METRICS:
-                error = (
-                    _finish(ctn, "se", sub, red, True)
-                    if m == "RMSE"
-                    else _finish(ctn, "ae", sub, red, False) * F.lit(2 / math.pi)
+    A second, tiny aggregate over the long states: element-wise divides the sums, column-wise
+    averages over the features that have counted cells; without any the metric is 0.
+    """
+    rows = state_rows(states, schema, by)
+
+    def reduced(name: str, root: bool, scale: float = 1.0) -> list[Column]:
+        mine = F.col("name") == name
+        some = mine & (F.col("cnt") > 0)
+        cell = F.col("err") / F.col("cnt")
+        ratio = F.sum(F.when(mine, F.col("err"))) / F.nullif(F.sum(F.when(mine, F.col("cnt"))), F.lit(0.0))
+        cw = F.avg(F.when(some, F.sqrt(cell) if root else cell))
+        ew = F.sqrt(ratio) if root else ratio
+        return [
+            (F.coalesce(c, F.lit(0.0)) * scale).alias(f"{name}_{r}") for r, c in (("CW", cw), ("EW", ew))
+        ]
+
+    wide = rows.groupBy(*by, "filter_subgroup").agg(
+        *reduced("RMSE", True), *reduced("MAAPE", False, 2 / math.pi), *reduced("wrong", False)
+    )
+    cells = []
+    for r in REDUCTIONS:
+        for m in METRICS:
+            num, cat = F.col(f"{m}_{r}"), F.col(f"wrong_{r}")
+            for t, value in (("continuous", num), ("categorical", cat), ("mixed", num + cat)):
+                cells.append(
+                    F.struct(
+                        F.lit(r).alias("reduction"),
+                        F.lit(t).alias("feature_type"),
+                        F.lit(m).alias("metric_name"),
+                        value.alias("val"),
+                    )
                 )
-                out[sub, red, "continuous", m] = error
-                out[sub, red, "categorical", m] = wrong
-                out[sub, red, "mixed", m] = error + wrong
-    return out
+    return wide.select(*by, "filter_subgroup", F.inline(F.array(*cells)))
 
 
-def with_any_missing(states: DataFrame, schema: FeatureSchema) -> DataFrame:
-    ctn, cat = _units(schema)
-    counts = [F.col(f"n_{x}") for x in ctn + cat]
-    return states.withColumn("__any_missing", _total(counts))
+def pick_metric(
+    long: DataFrame, subgroup: str, reduction: str, feature_type: str, metric: str, name: str, by: list[str] = ()
+) -> DataFrame:
+    """One metric of the long table as a column."""
+    where = {"filter_subgroup": subgroup, "reduction": reduction, "feature_type": feature_type, "metric_name": metric}
+    for c, v in where.items():
+        long = long.filter(F.col(c) == v)
+    return long.select(*by, F.col("val").alias(name))
 
 
 def check_complete(frame: DataFrame, schema: FeatureSchema, action: str = "raise") -> DataFrame:
@@ -156,28 +189,6 @@ def merge_states(states: DataFrame, by: list[str] = ()) -> DataFrame:
     return states.groupBy(*by).agg(*[F.sum(c).alias(c) for c in states.columns if c not in by])
 
 
-def metrics_wide(states: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
-    named = [
-        c.alias("/".join(k)) for k, c in metric_columns(schema).items()
-    ]
-    return with_any_missing(states, schema).select(*by, *named)
-
-
-def metrics_long(states: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
-    """One row per metric: filter_subgroup, reduction, feature_type, metric_name, val."""
-    cells = [
-        F.struct(
-            F.lit(s).alias("filter_subgroup"),
-            F.lit(r).alias("reduction"),
-            F.lit(t).alias("feature_type"),
-            F.lit(m).alias("metric_name"),
-            c.alias("val"),
-        )
-        for (s, r, t, m), c in metric_columns(schema).items()
-    ]
-    return with_any_missing(states, schema).select(*by, F.inline(F.array(*cells)))
-
-
 def score_imputation(
     frame: DataFrame,
     schema: FeatureSchema,
@@ -193,8 +204,9 @@ def score_imputation(
 
 def tune_metric(frame: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
     """Score to maximise: minus the missing-only column-wise MAAPE plus categorical error."""
-    wide = metrics_wide(metric_states(frame, schema, by), schema, by)
-    return wide.select(*by, (-F.col("`missingonly/CW/mixed/MAAPE`")).alias("score"))
+    long = metrics_long(metric_states(frame, schema, by), schema, by)
+    picked = pick_metric(long, "missingonly", "CW", "mixed", "MAAPE", "err", by)
+    return picked.select(*by, (-F.col("err")).alias("score"))
 
 
 def normalised_rmse(frame: DataFrame, schema: FeatureSchema, by: str = "range") -> DataFrame:

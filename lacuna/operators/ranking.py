@@ -8,6 +8,7 @@ ranges are connected by the small table of per-range totals.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from lacuna.session import broadcast_if_small
 
 MAX_RANGES = 4096
+MAX_GROUPS = 1000
 ROWS_PER_RANGE = 500_000
 
 
@@ -37,11 +39,9 @@ def range_cuts(df: DataFrame, order: str, ranges: int | None = None) -> list[flo
     back. A table of up to ``ROWS_PER_RANGE`` rows is one range.
     """
     most = ranges or MAX_RANGES
-    probs = [i / most for i in range(1, most)] or [0.5]
-    key = _numeric(df, order)
-    n, found = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(key, probs, 10 * MAX_RANGES)
-    ).first()
+    probs = ", ".join(repr(i / most) for i in range(1, most)) or "0.5"
+    sketch = F.expr(f"percentile_approx(__key, array({probs}), {10 * MAX_RANGES})")
+    n, found = df.select(_numeric(df, order).alias("__key")).agg(F.count(F.lit(1)), sketch).first()
     wanted = ranges or min(MAX_RANGES, n // ROWS_PER_RANGE)
     if wanted <= 1 or not found:
         return []
@@ -123,52 +123,66 @@ def running_sums(
     return out.drop("__range", *[f"__{x}_{n}" for n in sums for x in "lb"])
 
 
+def _bucket_match(group: str, prefix: Column, targets: set) -> Column:
+    """Rows whose group and leading key bits are among ``targets``."""
+    cond = F.lit(False)
+    for g, p in sorted(targets, key=repr):
+        cond = cond | (F.col(group).eqNullSafe(F.lit(g)) & (prefix == p))
+    return cond
+
+
 def hash_cuts(
-    df: DataFrame, group: str, key: str, tie: str, ranks: dict, bits: int = 32, step: int = 12
-) -> dict:
+    df: DataFrame, group: str, key: str, tie: str, ranks_of: Callable[[dict], dict], bits: int = 32, step: int = 12
+) -> tuple[dict, dict]:
     """The (key, tie) found at given 1-based ranks of each group, without sorting the table.
 
-    ``key`` is an integer in [0, 2**bits). Counts of its leading bits locate the bucket that holds
-    each rank; the bucket is refined until few rows are left, which alone are sorted. Only
-    histograms (ranks x 2**step rows) and those last rows reach the driver.
+    ``key`` is an integer in [0, 2**bits). A histogram of its leading bits gives the group sizes and
+    the bucket that holds each rank; buckets still large are refined by their next bits, and only
+    the last few rows are sorted. The driver sees histograms and those rows, never the table.
 
-    ``ranks`` maps group -> list of ranks; the result maps (group, rank) -> (key, tie).
+    ``ranks_of`` turns {group: size} into {group: [rank, ...]}. Returns the sizes and
+    {(group, rank): (key, tie)}.
     """
-    wanted = {(g, r): (0, 0, 0) for g, rs in ranks.items() for r in rs}  # prefix, bits used, below
+    sizes: dict = {}
     cuts: dict = {}
-    while wanted:
-        used = next(iter(wanted.values()))[1]
-        take = min(step, bits - used)
-        rest = bits - used - take
-        targets = sorted({(g, p) for (g, _), (p, _, _) in wanted.items()}, key=repr)
-        match = F.lit(False)
-        for g, p in targets:
-            match = match | (F.col(group).eqNullSafe(F.lit(g)) & (F.shiftright(key, rest + take) == p))
-        hist = (
-            df.filter(match)
-            .groupBy(F.col(group).alias("g"), F.shiftright(key, rest).alias("b"))
-            .count()
-            .collect()
+    wanted: dict = {}  # (group, rank) -> (prefix, rows below the prefix)
+    rest = bits
+    while rest == bits or wanted:
+        take = min(step, rest)
+        prefix, rest = F.shiftright(key, rest), rest - take
+        rows = df if not wanted else df.filter(
+            _bucket_match(group, prefix, {(g, p) for (g, _), (p, _) in wanted.items()})
         )
-        small = {}
-        for (g, r), (p, _, below) in wanted.items():
-            for row in sorted((x for x in hist if x.g == g and x.b >> take == p), key=lambda x: x.b):
-                if below + row["count"] >= r:
-                    small[g, r] = (row.b, below, row["count"])
-                    break
-                below += row["count"]
-        done = {k: v for k, v in small.items() if v[2] <= 10_000 or rest == 0}
-        if done:
-            match = F.lit(False)
-            for g, b in sorted({(g, v[0]) for (g, _), v in done.items()}, key=repr):
-                match = match | (F.col(group).eqNullSafe(F.lit(g)) & (F.shiftright(key, rest) == b))
-            rows = df.filter(match).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(tie).alias("t"))
-            rows = rows.orderBy("k", "t").collect()
-            for (g, r), (b, below, _) in done.items():
-                mine = [x for x in rows if x.g == g and x.k >> rest == b]
+        buckets = rows.groupBy(F.col(group).alias("g"), F.shiftright(key, rest).alias("b")).count()
+        hist = buckets.limit(MAX_GROUPS << step).collect()
+        by_group: dict = {}
+        for row in sorted(hist, key=lambda x: x.b):
+            by_group.setdefault(row.g, []).append((row.b, row["count"]))
+        if not sizes:
+            if len(hist) == MAX_GROUPS << step or len(by_group) > MAX_GROUPS:
+                raise ValueError("group by a column with fewer values")
+            sizes = {g: sum(n for _, n in rows) for g, rows in by_group.items()}
+            wanted = {(g, r): (0, 0) for g, rs in ranks_of(sizes).items() for r in rs}
+        located = {}
+        for (g, r), (p, below) in wanted.items():
+            for bucket, n in by_group[g]:
+                if bucket >> take == p:
+                    if below + n >= r:
+                        located[g, r] = (bucket, below, n)
+                        break
+                    below += n
+        ready = {k: v for k, v in located.items() if v[2] <= 10_000 or rest == 0}
+        if ready:
+            match = _bucket_match(group, F.shiftright(key, rest), {(g, v[0]) for (g, _), v in ready.items()})
+            few = df.filter(match).select(
+                F.col(group).alias("g"), F.col(key).alias("k"), F.col(tie).alias("t")
+            )
+            few = few.orderBy("k", "t").collect()
+            for (g, r), (bucket, below, _) in ready.items():
+                mine = [x for x in few if x.g == g and x.k >> rest == bucket]
                 cuts[g, r] = (mine[r - below - 1].k, mine[r - below - 1].t)
-        wanted = {k: (v[0], used + take, v[1]) for k, v in small.items() if k not in done}
-    return cuts
+        wanted = {k: v[:2] for k, v in located.items() if k not in ready}
+    return sizes, cuts
 
 
 def at_or_before(key: Column, tie: Column, cut: tuple) -> Column:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lacuna.functions.hashing import mix32, salt, stream_key, with_uniform53
-from lacuna.operators.ranking import at_or_before, grouped_rank, hash_cuts
+from lacuna.functions.hashing import K, M, mix32, salt, stream_key, with_uniform53
+from lacuna.operators.ranking import MAX_GROUPS, at_or_before, grouped_rank, hash_cuts
 from lacuna.session import materialize
 
-MAX_LABELS = 1000
 DRAWS_PER_TASK = 50_000_000
 # Replicates of different labels draw from salts this far apart.
 LABEL_STRIDE = 1_000_000
@@ -30,8 +32,8 @@ def balanced_limit(df: DataFrame, label: str, order: str, n: int) -> DataFrame:
 
 
 def _label_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
+    rows = df.groupBy(label).count().limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
         raise ValueError("stratify by a column with fewer values")
     return {r[0]: r[1] for r in rows}
 
@@ -54,21 +56,23 @@ def stratified_split(
     Rows are ordered by a seeded hash of the id. The split points are found from hash histograms,
     so the split is a projection of literals: no sort, window or shuffle of the table.
     """
-    key = mix32(stream_key(F.col(id_col), seed))
-    counts = _label_counts(df, label)
-    n_test = {g: math.ceil(test_size * n) for g, n in counts.items()}
-    n_val = {g: math.ceil(val_size * (n - n_test[g])) for g, n in counts.items()}
-    stages = [("val" if external_test else "test", n_test)]
-    if not external_test:
-        stages.append(("val", {g: n_test[g] + n_val[g] for g in counts}))
-    ranks = {g: [s[1][g] for s in stages if s[1][g] > 0] for g in counts}
-    keyed = df.withColumn("__h", key)
-    cuts = hash_cuts(keyed, label, "__h", id_col, ranks)
+    keyed = df.withColumn("__h", mix32(stream_key(F.col(id_col), seed)))
+
+    def upto(n: int) -> list[tuple[str, int]]:
+        """Parts of a group of n rows in hash order with the rank each of them ends at."""
+        n_test = math.ceil(test_size * n)
+        if external_test:
+            return [("val", n_test)]
+        return [("test", n_test), ("val", n_test + math.ceil(val_size * (n - n_test)))]
+
+    sizes, cuts = hash_cuts(
+        keyed, label, "__h", id_col, lambda s: {g: [r for _, r in upto(n) if r > 0] for g, n in s.items()}
+    )
     split = F.lit("train")
-    for part, upto in reversed(stages):
-        for g in counts:
-            if upto[g] > 0:
-                inside = at_or_before(F.col("__h"), F.col(id_col), cuts[g, upto[g]])
+    for g, n in sizes.items():
+        for part, rank in reversed(upto(n)):
+            if rank > 0:
+                inside = at_or_before(F.col("__h"), F.col(id_col), cuts[g, rank])
                 split = F.when(F.col(label).eqNullSafe(F.lit(g)) & inside, part).otherwise(split)
     return keyed.withColumn(name, split).drop("__h")
 
@@ -142,22 +146,50 @@ def stratified_bootstrap(
     return numbered.join(draws, cond).drop("row_no", "__g", "__rn")
 
 
-def poisson_bootstrap(df: DataFrame, id_col: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Each row is repeated Poisson(1) times per replicate, from its own draw.
+def _mix32_np(m: np.ndarray) -> np.ndarray:
+    m = m & np.uint64(M - 1)
+    for _ in range(2):
+        m = ((m ^ (m >> np.uint64(16))) * np.uint64(K)) & np.uint64(M - 1)
+    return m ^ (m >> np.uint64(16))
+
+
+def poisson_times(ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts, rows x replicates, from a hash of row id and replicate."""
+    keys = ids.astype(np.int64).view(np.uint64)[:, None]
+    high = _mix32_np(salts[None, :] ^ (keys >> np.uint64(32)))
+    u = _mix32_np(high ^ (keys & np.uint64(M - 1))) / float(M)
+    # Distribution function of Poisson(1); the share beyond 12 is below 1e-10.
+    terms = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+    return np.searchsorted(terms, u, side="right")
+
+
+def poisson_sums(
+    df: DataFrame, id_col: str, terms: list[str], replicates: int, seed: int = 0
+) -> DataFrame:
+    """Sums of ``terms`` per bootstrap replicate, each row counting Poisson(1) times.
 
-    One pass and no shuffle: the choice for large tables. Sums of metric states then aggregate
-    on the map side by replicate.
+    The bootstrap for large tables: one pass, no row is copied. Each batch is a product of its
+    weights (rows x replicates) and its terms; a partition emits one row per replicate, and those
+    are summed. Adds ``n``, the number of rows drawn.
     """
-    out = df.select("*", F.inline(replicate_salts(replicates, seed)))
-    out = with_uniform53(out.withColumn("__id", F.col(id_col).cast("bigint")), "__id", F.col("salt"), "__u")
-    # Inverse distribution function of Poisson(1); beyond 12 the share is below 1e-10.
-    cumulative, term, times = 0.0, math.exp(-1), F.lit(0)
-    for k in range(13):
-        cumulative += term
-        times = times + (F.col("__u") >= cumulative).cast("int")
-        term /= k + 1
-    drawn = out.filter(F.col("__u") >= math.exp(-1))
-    return drawn.withColumn("times", times.cast("bigint")).drop("__u", "__id", "salt")
+    salts = np.array([salt(seed + r) for r in range(replicates)], dtype=np.uint64)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, len(terms) + 1))
+        for batch in batches:
+            ids = batch.column(id_col).to_numpy(zero_copy_only=False)
+            values = [np.nan_to_num(batch.column(t).cast(pa.float64()).to_numpy(zero_copy_only=False)) for t in terms]
+            x = np.column_stack([np.ones(len(ids)), *values])
+            for start in range(0, len(ids), 8192):
+                part = slice(start, start + 8192)
+                total += poisson_times(ids[part], salts).T.astype(float) @ x[part]
+        names = ["replicate", "n", *terms]
+        arrays = [pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(total[:, i]) for i in range(total.shape[1])]]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = "replicate int, n double, " + ", ".join(f"`{t}` double" for t in terms)
+    partials = df.select(id_col, *terms).mapInArrow(partial, schema)
+    return partials.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ["n", *terms]])
 
 
 def shuffle_rows(df: DataFrame, id_col: str, epoch: int, seed: int = 0, train_only: str | None = None) -> DataFrame:

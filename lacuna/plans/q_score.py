@@ -72,46 +72,46 @@ def _metric_sql(kind: str, reduction: str, sub: str, w: str = "1") -> str:
     return f"coalesce(({total}) / nullif({n}, 0), 0.0)"
 
 
-def _wide(spark, d, *names, by=()):
-    states = M.metric_states(scoring_frame(spark, d), SCHEMA, by)
-    wide = M.metrics_wide(states, SCHEMA, by)
-    return wide.select(*by, *[F.round(F.col(f"`{k}`"), 6).alias(a) for k, a in names])
+def _one(spark, d, tag, name, by=()):
+    """A single metric, ``subgroup/reduction/type/metric``."""
+    long = M.metrics_long(M.metric_states(scoring_frame(spark, d), SCHEMA, by), SCHEMA, by)
+    return M.pick_metric(long, *tag.split("/"), name, by).withColumn(name, F.round(name, 6))
 
 
 @query(f"""WITH {_TERMS} SELECT split, round({_metric_sql('se', 'CW', 'missingonly')}
   + {_metric_sql('w', 'CW', 'missingonly')}, 6) AS mixed_error FROM terms GROUP BY split""")
 def impute_score(spark, d):
-    return _wide(spark, d, ("missingonly/CW/mixed/RMSE", "mixed_error"), by=["split"])
+    return _one(spark, d, "missingonly/CW/mixed/RMSE", "mixed_error", ["split"])
 
 
 @query(f"WITH {_TERMS} SELECT round({_metric_sql('se', 'EW', 'all')}, 6) AS rmse_ew FROM terms")
 def rmse_ew(spark, d):
-    return _wide(spark, d, ("all/EW/continuous/RMSE", "rmse_ew"))
+    return _one(spark, d, "all/EW/continuous/RMSE", "rmse_ew")
 
 
 @query(f"WITH {_TERMS} SELECT round({_metric_sql('se', 'CW', 'all')}, 6) AS rmse_cw FROM terms")
 def rmse_cw(spark, d):
-    return _wide(spark, d, ("all/CW/continuous/RMSE", "rmse_cw"))
+    return _one(spark, d, "all/CW/continuous/RMSE", "rmse_cw")
 
 
 @query(f"WITH {_TERMS} SELECT round({_metric_sql('ae', 'EW', 'all')}, 6) AS maape_ew FROM terms")
 def maape_ew(spark, d):
-    return _wide(spark, d, ("all/EW/continuous/MAAPE", "maape_ew"))
+    return _one(spark, d, "all/EW/continuous/MAAPE", "maape_ew")
 
 
 @query(f"WITH {_TERMS} SELECT round({_metric_sql('ae', 'CW', 'all')}, 6) AS maape_cw FROM terms")
 def maape_cw(spark, d):
-    return _wide(spark, d, ("all/CW/continuous/MAAPE", "maape_cw"))
+    return _one(spark, d, "all/CW/continuous/MAAPE", "maape_cw")
 
 
 @query(f"WITH {_TERMS} SELECT round({_metric_sql('w', 'EW', 'all')}, 6) AS cat_error_ew FROM terms")
 def cat_error_ew(spark, d):
-    return _wide(spark, d, ("all/EW/categorical/RMSE", "cat_error_ew"))
+    return _one(spark, d, "all/EW/categorical/RMSE", "cat_error_ew")
 
 
 @query(f"WITH {_TERMS} SELECT round({_metric_sql('w', 'CW', 'all')}, 6) AS cat_error_cw FROM terms")
 def cat_error_cw(spark, d):
-    return _wide(spark, d, ("all/CW/categorical/RMSE", "cat_error_cw"))
+    return _one(spark, d, "all/CW/categorical/RMSE", "cat_error_cw")
 
 
 @query(
@@ -123,9 +123,16 @@ def cat_error_cw(spark, d):
     round({_metric_sql('w', 'CW', 'missingonly')}, 6) AS cat_cw FROM terms"""
 )
 def metrics_missing_only(spark, d):
+    long = M.metrics_long(M.metric_states(scoring_frame(spark, d), SCHEMA), SCHEMA)
+    long = long.filter("filter_subgroup = 'missingonly' AND feature_type <> 'mixed'")
+    slot = F.concat_ws("/", "feature_type", "metric_name", "reduction")
     kinds = {"rmse": "continuous/RMSE", "maape": "continuous/MAAPE", "cat": "categorical/RMSE"}
-    names = [(f"missingonly/{r}/{k}", f"{n}_{r.lower()}") for n, k in kinds.items() for r in ("EW", "CW")]
-    return _wide(spark, d, *names)
+    cells = [
+        F.round(F.max(F.when(slot == f"{k}/{r}", F.col("val"))), 6).alias(f"{n}_{r.lower()}")
+        for n, k in kinds.items()
+        for r in ("EW", "CW")
+    ]
+    return long.agg(*cells)
 
 
 def _matrix_sql() -> str:
@@ -178,8 +185,9 @@ def join_scoring(spark, d):
     scaled = scaler.transform(data)
     pred = I.SimpleImputer.fit(train(scaled), SCHEMA).transform(scaled)
     frame = J.scoring_frame(scaler.transform(truth), pred, scaled, ["id"], SCHEMA.features)
-    wide = M.metrics_wide(M.metric_states(frame, SCHEMA), SCHEMA)
-    return wide.select(F.round(F.col("`missingonly/CW/mixed/RMSE`"), 6).alias("mixed_error"))
+    long = M.metrics_long(M.metric_states(frame, SCHEMA), SCHEMA)
+    picked = M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error")
+    return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 
 
 _BCE = "greatest(p.recent, 0) - p.recent * t.recent + ln(1 + exp(-abs(p.recent)))"
@@ -283,18 +291,20 @@ def bootstrap_metric(spark, d):
     terms = scoring_frame(spark, d).select("id", *M.row_terms(SCHEMA))
     drawn = SP.bootstrap(terms, "id", B)
     states = drawn.groupBy("replicate").agg(*M.state_sums(SCHEMA, "times"))
-    wide = M.metrics_wide(states, SCHEMA, ["replicate"])
-    return wide.select("replicate", F.round(F.col("`missingonly/CW/mixed/RMSE`"), 6).alias("mixed_error"))
+    long = M.metrics_long(states, SCHEMA, ["replicate"])
+    picked = M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
+    return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 
 
 @query()
 def poisson_bootstrap(spark, d):
     """The single-pass form of the same, for 99 replicates."""
     terms = scoring_frame(spark, d).select("id", *M.row_terms(SCHEMA))
-    drawn = SP.poisson_bootstrap(terms, "id", 99)
-    states = drawn.groupBy("replicate").agg(*M.state_sums(SCHEMA, "times"))
-    wide = M.metrics_wide(states, SCHEMA, ["replicate"])
-    return wide.select("replicate", F.col("`missingonly/CW/mixed/RMSE`").alias("mixed_error"))
+    summands = M.product_terms(SCHEMA)
+    products = terms.select("id", *[c.alias(k) for k, c in summands.items()])
+    states = SP.poisson_sums(products, "id", list(summands), 99)
+    long = M.metrics_long(states, SCHEMA, ["replicate"])
+    return M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
 
 
 @query(
