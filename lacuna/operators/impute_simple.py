@@ -29,14 +29,14 @@ class SimpleImputer:
         groups = {p: argmax([F.col(c) for c in cols]) for p, cols in schema.onehot.items()}
         return [
             *[F.avg(c).alias(f"mean_{c}") for c in schema.continuous],
-            *[F.mode(c, True).alias(f"mode_{c}") for c in schema.binary],
+            *[F.mode(c, True).alias(f"mode_{c}") for c in (*schema.binary, *schema.categorical)],
             *[F.mode(code, True).alias(f"mode_{p}") for p, code in groups.items()],
         ]
 
     @staticmethod
     def from_row(row, schema: FeatureSchema) -> "SimpleImputer":
         fill = {c: row[f"mean_{c}"] for c in schema.continuous}
-        fill.update({c: row[f"mode_{c}"] for c in schema.binary})
+        fill.update({c: row[f"mode_{c}"] for c in (*schema.binary, *schema.categorical)})
         for p, cols in schema.onehot.items():
             best = row[f"mode_{p}"]
             fill.update({c: None if best is None else int(k == best) for k, c in enumerate(cols)})
@@ -131,3 +131,26 @@ def fill_entity_mean(df: DataFrame, entity: str, columns: list[str]) -> DataFram
     joined = df.join(means, entity)
     out = {c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(overall[c])) for c in columns}
     return joined.withColumns(out).select(*df.columns)
+
+
+def previous_observation(
+    df: DataFrame, entity: str, time: str, columns: list[str], ranges: int | None = None
+) -> DataFrame:
+    """Add ``prev_{c}``: the last observed value strictly before each observed one."""
+    long = df.select(
+        entity, time, F.inline(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns]))
+    ).filter("v IS NOT NULL")
+    cuts = range_cuts(long, time, ranges)
+    ranged = with_range(long, time, cuts)
+    keys = [entity, "f", "__range"]
+    local = F.lag("v").over(W.partitionBy(*keys).orderBy(time))
+    ranged = ranged.withColumn("__prev", local)
+    if cuts:
+        edges = ranged.groupBy(*keys).agg(F.max_by("v", time).alias("__last"))
+        before = W.partitionBy(entity, "f").orderBy("__range")
+        edges = edges.select(*keys, F.lag("__last").over(before).alias("__carry"))
+        ranged = join_totals(ranged, edges, keys).withColumn("__prev", F.coalesce("__prev", "__carry"))
+    prev = ranged.groupBy(entity, time).agg(
+        *[F.max(F.when(F.col("f") == c, F.col("__prev"))).alias(f"prev_{c}") for c in columns]
+    )
+    return df.join(prev, [entity, time], "left")

@@ -1,8 +1,8 @@
 """Masked imputation errors as sums that merge over batches, partitions and replicates.
 
-Per row and feature there is an error term and a flag telling whether the cell counts; the states
-are their sums. One aggregate yields the states of all features, for all cells and for the originally
-missing ones; the metrics are arithmetic on that one row per group.
+Per row and feature there are error terms and a flag telling whether the cell was missing; the
+states are their sums per feature. One aggregate yields them for all cells and for the originally
+missing ones; a second one over that small table turns them into metrics.
 """
 
 from __future__ import annotations
@@ -35,118 +35,167 @@ def aape(t: Column, p: Column) -> Column:
     return F.atan(F.abs((t - p) / (t + F.lit(EPSILON))))
 
 
-def row_terms(schema: FeatureSchema) -> list[Column]:
-    """Error terms and missing flags of one row of a scoring frame (truth, pred, missing)."""
-    out = []
-    for i, c in enumerate(schema.continuous):
+def unit_terms(schema: FeatureSchema) -> dict[str, tuple[bool, Column, Column, Column]]:
+    """Per feature: is it continuous, its two error terms and its missing flag (all double).
+
+    Continuous: squared error and absolute arctangent error. Categorical: 1 where wrong, twice. A
+    term is missing exactly where the truth or the prediction is. A one-hot group counts as missing
+    when all of its members are.
+    """
+    out = {}
+    for c in schema.continuous:
         t, p = _get("truth", c).cast("double"), _get("pred", c).cast("double")
-        out += [squared_error(t, p).alias(f"se_c{i}"), aape(t, p).alias(f"ae_c{i}")]
-        out.append(_get("missing", c).cast("int").alias(f"m_c{i}"))
-    for i, c in enumerate(schema.binary):
-        wrong = (_get("truth", c) != _get("pred", c)).cast("int")
-        out += [wrong.alias(f"w_b{i}"), _get("missing", c).cast("int").alias(f"m_b{i}")]
-    for i, cols in enumerate(schema.onehot.values()):
+        out[c] = (True, squared_error(t, p), aape(t, p), _get("missing", c).cast("double"))
+    for c in (*schema.binary, *schema.categorical):
+        wrong = (_get("truth", c) != _get("pred", c)).cast("double")
+        out[c] = (False, wrong, wrong, _get("missing", c).cast("double"))
+    for g, cols in schema.onehot.items():
         wrong = argmax([_get("truth", c) for c in cols]) != argmax([_get("pred", c) for c in cols])
-        # A group counts as missing when all of its members are.
         gone = reduce(lambda a, b: a & b, [_get("missing", c) for c in cols])
-        out += [wrong.cast("int").alias(f"w_g{i}"), gone.cast("int").alias(f"m_g{i}")]
+        out[g] = (False, wrong.cast("double"), wrong.cast("double"), gone.cast("double"))
     return out
 
 
-def _units(schema: FeatureSchema) -> tuple[list[str], list[str]]:
-    ctn = [f"c{i}" for i in range(len(schema.continuous))]
-    cat = [f"b{i}" for i in range(len(schema.binary))]
-    return ctn, cat + [f"g{i}" for i in range(len(schema.onehot))]
+def row_cells(schema: FeatureSchema) -> Column:
+    """The terms of a row as an array, one element per feature."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("feature"),
+                F.lit(ctn).alias("ctn"),
+                e1.alias("e1"),
+                e2.alias("e2"),
+                m.alias("m"),
+            )
+            for name, (ctn, e1, e2, m) in unit_terms(schema).items()
+        ]
+    )
+
+
+def _sums(weight: str | None = None) -> list[Column]:
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e1, e2, m = F.col("e1") * w, F.col("e2") * w, F.col("m")
+    return [
+        F.sum(w).alias("n"),
+        F.sum(m * w).alias("n_missing"),
+        F.count(F.when(F.col("e1").isNull(), 1)).alias("gaps"),
+        F.sum(e1).alias("e1_all"),
+        F.sum(e1 * m).alias("e1_missing"),
+        F.sum(e2).alias("e2_all"),
+        F.sum(e2 * m).alias("e2_missing"),
+    ]
+
+
+STATES = ["n", "n_missing", "gaps", "e1_all", "e1_missing", "e2_all", "e2_missing"]
+
+
+def cell_states(cells: DataFrame, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """States of frames that hold the array ``cells``.
+
+    Cells are unfolded and summed within the task that reads the row. The aggregate stays a handful
+    of sums for any number of features: one sum per feature and metric would make a generated
+    method too long for the JIT.
+    """
+    extra = [weight] if weight else []
+    long = cells.select(*by, *extra, F.inline("cells"))
+    return long.groupBy(*by, "feature", "ctn").agg(*_sums(weight))
+
+
+def metric_states(
+    frame: DataFrame, schema: FeatureSchema, by: list[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Mergeable states of a scoring frame: one row per group and feature, from one pass.
+
+    The array is unfolded where it is built: as a named column its expression would be copied into
+    inferred filters.
+    """
+    extra = [weight] if weight else []
+    long = frame.select(*by, *extra, F.inline(row_cells(schema)))
+    return long.groupBy(*by, "feature", "ctn").agg(*_sums(weight))
+
+
+def merge_states(states: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Sum the states of batches."""
+    return states.groupBy(*by, "feature", "ctn").agg(*[F.sum(c).alias(c) for c in STATES])
 
 
-def product_terms(schema: FeatureSchema) -> dict[str, Column]:
-    """Per-row summands of the states, by state name, over the columns of ``row_terms``."""
-    ctn, cat = _units(schema)
+def wide_terms(schema: FeatureSchema) -> dict[str, Column]:
+    """The summands of the states as one column each, for sums by matrix product."""
     out = {}
-    for x in ctn + cat:
-        missing = F.col(f"m_{x}")
-        out[f"n_{x}"] = missing
-        for e in ("se", "ae") if x in ctn else ("w",):
-            out[f"{e}_all_{x}"] = F.col(f"{e}_{x}")
-            out[f"{e}_missingonly_{x}"] = F.col(f"{e}_{x}") * missing
+    for i, (_, e1, e2, m) in enumerate(unit_terms(schema).values()):
+        out |= {f"m{i}": m, f"a{i}": e1, f"b{i}": e1 * m, f"c{i}": e2, f"d{i}": e2 * m}
     return out
 
 
-def state_sums(schema: FeatureSchema, weight: str | None = None) -> list[Column]:
-    """Sums over rows of ``row_terms``, optionally weighted by how often a row was drawn."""
-    w = F.col(weight) if weight else None
-    terms = {k: c if w is None else c * w for k, c in product_terms(schema).items()}
-    rows = F.count(F.lit(1)) if w is None else F.sum(w)
-    return [rows.alias("n"), *[F.sum(c).alias(k) for k, c in terms.items()]]
+def states_from_wide(sums: DataFrame, schema: FeatureSchema, by: list[str]) -> DataFrame:
+    """Sums of ``wide_terms`` and ``n`` per group as states."""
+    cells = [
+        F.struct(
+            F.lit(name).alias("feature"),
+            F.lit(unit[0]).alias("ctn"),
+            F.col("n"),
+            F.col(f"m{i}").alias("n_missing"),
+            F.lit(0).cast("bigint").alias("gaps"),
+            F.col(f"a{i}").alias("e1_all"),
+            F.col(f"b{i}").alias("e1_missing"),
+            F.col(f"c{i}").alias("e2_all"),
+            F.col(f"d{i}").alias("e2_missing"),
+        )
+        for i, (name, unit) in enumerate(unit_terms(schema).items())
+    ]
+    return sums.select(*by, F.inline(F.array(*cells)))
 
 
-def state_rows(states: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
-    """States as long rows: feature_type, metric_name, filter_subgroup, err, cnt.
+def _reduce(ctn: bool, err: str, cnt: str, root: bool, scale: float) -> dict[str, Column]:
+    """Column-wise: mean over features that have counted cells. Element-wise: ratio of the sums.
+    Nothing counted: 0."""
+    mine = F.col("ctn") == ctn
+    some = mine & (F.col(cnt) > 0)
+    cell = F.col(err) / F.col(cnt)
+    cw = F.avg(F.when(some, F.sqrt(cell) if root else cell))
+    ew = F.sum(F.when(some, F.col(err))) / F.sum(F.when(some, F.col(cnt)))
+    ew = F.sqrt(ew) if root else ew
+    return {r: F.coalesce(v, F.lit(0.0)) * scale for r, v in (("CW", cw), ("EW", ew))}
 
-    With nothing missing in the whole group, missing-only rows hold the states over all cells.
-    """
-    ctn, cat = _units(schema)
-    total = reduce(lambda a, b: a + b, [F.col(f"n_{x}") for x in ctn + cat])
-    states = states.withColumn("__missing", total)
-    cells = []
-    for x in ctn + cat:
-        kinds = {"se": "RMSE", "ae": "MAAPE"} if x in ctn else {"w": "wrong"}
-        for e, name in kinds.items():
-            for sub in SUBGROUPS:
-                err, n = F.col(f"{e}_all_{x}"), F.col("n")
-                if sub == "missingonly":
-                    some = F.col("__missing") > 0
-                    err = F.when(some, F.col(f"{e}_missingonly_{x}")).otherwise(err)
-                    n = F.when(some, F.col(f"n_{x}")).otherwise(n)
-                kind = "continuous" if x in ctn else "categorical"
-                cells.append(
-                    F.struct(
-                        F.lit(kind).alias("kind"),
-                        F.lit(name).alias("name"),
-                        F.lit(sub).alias("filter_subgroup"),
-                        err.cast("double").alias("err"),
-                        n.cast("double").alias("cnt"),
-                    )
-                )
-    return states.select(*by, F.inline(F.array(*cells)))
-
-
-def metrics_long(states: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
+
+def metrics_long(states: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per metric: filter_subgroup, reduction, feature_type, metric_name, val.
 
-    A second, tiny aggregate over the long states: element-wise divides the sums, column-wise
-    averages over the features that have counted cells; without any the metric is 0.
+    With nothing missing in the whole group, the missing-only metric is the one over all cells.
     """
-    rows = state_rows(states, schema, by)
-
-    def reduced(name: str, root: bool, scale: float = 1.0) -> list[Column]:
-        mine = F.col("name") == name
-        some = mine & (F.col("cnt") > 0)
-        cell = F.col("err") / F.col("cnt")
-        ratio = F.sum(F.when(mine, F.col("err"))) / F.nullif(F.sum(F.when(mine, F.col("cnt"))), F.lit(0.0))
-        cw = F.avg(F.when(some, F.sqrt(cell) if root else cell))
-        ew = F.sqrt(ratio) if root else ratio
-        return [
-            (F.coalesce(c, F.lit(0.0)) * scale).alias(f"{name}_{r}") for r, c in (("CW", cw), ("EW", ew))
-        ]
+    aggs = [F.sum("n_missing").alias("any_missing"), F.sum("gaps").alias("gaps")]
+    for sub, cnt in (("all", "n"), ("missing", "n_missing")):
+        parts = {
+            "RMSE": _reduce(True, f"e1_{sub}", cnt, True, 1.0),
+            "MAAPE": _reduce(True, f"e2_{sub}", cnt, False, 2 / math.pi),
+            "wrong": _reduce(False, f"e1_{sub}", cnt, False, 1.0),
+        }
+        aggs += [c.alias(f"{sub}_{name}_{r}") for name, p in parts.items() for r, c in p.items()]
+    wide = states.groupBy(*by).agg(*aggs)
+
+    def value(subgroup: str, name: str, reduction: str) -> Column:
+        over_all = F.col(f"all_{name}_{reduction}")
+        if subgroup == "all":
+            return over_all
+        return F.when(F.col("any_missing") > 0, F.col(f"missing_{name}_{reduction}")).otherwise(over_all)
 
-    wide = rows.groupBy(*by, "filter_subgroup").agg(
-        *reduced("RMSE", True), *reduced("MAAPE", False, 2 / math.pi), *reduced("wrong", False)
-    )
     cells = []
-    for r in REDUCTIONS:
-        for m in METRICS:
-            num, cat = F.col(f"{m}_{r}"), F.col(f"wrong_{r}")
-            for t, value in (("continuous", num), ("categorical", cat), ("mixed", num + cat)):
-                cells.append(
-                    F.struct(
-                        F.lit(r).alias("reduction"),
-                        F.lit(t).alias("feature_type"),
-                        F.lit(m).alias("metric_name"),
-                        value.alias("val"),
-                    )
-                )
-    return wide.select(*by, "filter_subgroup", F.inline(F.array(*cells)))
+    for s in SUBGROUPS:
+        for r in REDUCTIONS:
+            for m in METRICS:
+                num, cat = value(s, m, r), value(s, "wrong", r)
+                for t, v in (("continuous", num), ("categorical", cat), ("mixed", num + cat)):
+                    names = {"filter_subgroup": s, "reduction": r, "feature_type": t, "metric_name": m}
+                    cells.append(F.struct(*[F.lit(x).alias(k) for k, x in names.items()], v.alias("val")))
+    return wide.select(*by, F.inline(F.array(*cells)))
+
+
+def check_complete(states: DataFrame, action: str = "raise") -> DataFrame:
+    """Scores need complete predictions and truth: fail at run time, or ``skip`` to no rows."""
+    if action == "skip":
+        return states.filter(F.lit(states.agg(F.sum("gaps")).first()[0] in (0, None)))
+    guard = F.assert_true(F.col("gaps") == 0, F.lit("prediction or truth has missing values"))
+    return states.filter(guard.isNull())
 
 
 def pick_metric(
@@ -159,36 +208,6 @@ def pick_metric(
     return long.select(*by, F.col("val").alias(name))
 
 
-def check_complete(frame: DataFrame, schema: FeatureSchema, action: str = "raise") -> DataFrame:
-    """Predictions and truth must be complete: fail at run time, or drop to no rows with ``skip``."""
-    gaps = reduce(
-        lambda a, b: a | b,
-        [_get(s, c).isNull() for s in ("truth", "pred") for c in schema.features],
-    )
-    if action == "skip":
-        return frame.filter(F.lit(not _has_gap(frame, gaps)))
-    guard = F.assert_true(~gaps, F.lit("prediction or truth has missing values"))
-    return frame.filter(guard.isNull())
-
-
-def _has_gap(frame: DataFrame, gaps: Column) -> bool:
-    return bool(frame.agg(F.coalesce(F.bool_or(gaps), F.lit(False))).first()[0])
-
-
-def metric_states(
-    frame: DataFrame, schema: FeatureSchema, by: list[str] = (), weight: str | None = None
-) -> DataFrame:
-    """Mergeable states of a scoring frame per group: one pass, one partial aggregate."""
-    extra = [weight] if weight else []
-    terms = frame.select(*by, *extra, *row_terms(schema))
-    return terms.groupBy(*by).agg(*state_sums(schema, weight))
-
-
-def merge_states(states: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Sum the states of batches."""
-    return states.groupBy(*by).agg(*[F.sum(c).alias(c) for c in states.columns if c not in by])
-
-
 def score_imputation(
     frame: DataFrame,
     schema: FeatureSchema,
@@ -197,14 +216,15 @@ def score_imputation(
     check: str | None = "raise",
 ) -> DataFrame:
     """Long metric rows of a scoring frame (structs truth, pred, missing) per group."""
+    states = metric_states(frame, schema, by, weight)
     if check:
-        frame = check_complete(frame, schema, check)
-    return metrics_long(metric_states(frame, schema, by, weight), schema, by)
+        states = check_complete(states, check)
+    return metrics_long(states, by)
 
 
 def tune_metric(frame: DataFrame, schema: FeatureSchema, by: list[str] = ()) -> DataFrame:
     """Score to maximise: minus the missing-only column-wise MAAPE plus categorical error."""
-    long = metrics_long(metric_states(frame, schema, by), schema, by)
+    long = metrics_long(metric_states(frame, schema, by), by)
     picked = pick_metric(long, "missingonly", "CW", "mixed", "MAAPE", "err", by)
     return picked.select(*by, (-F.col("err")).alias("score"))
 

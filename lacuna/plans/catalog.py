@@ -6,7 +6,7 @@ import importlib
 
 from lacuna.plans import registry
 
-GROUPS = ["q_clean", "q_reshape", "q_transform", "q_score", "q_stats"]
+GROUPS = ["q_clean", "q_reshape", "q_transform", "q_score", "q_stats", "q_ampute", "q_predict"]
 
 
 def _load() -> None:

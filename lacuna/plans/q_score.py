@@ -15,6 +15,7 @@ from lacuna.plans.q_transform import BOUNDS, CTN, GROUPS, SCALED, imputed_sql, t
 from lacuna.plans.registry import query
 
 SCHEMA = T.MIXED_SCHEMA
+CODED = T.CODED_SCHEMA
 _IMP = f"""{S.BOTH_OH}, {SCALED}, {imputed_sql('soh', "AND split = 'train'")}"""
 
 
@@ -24,16 +25,16 @@ def scoring_frame(spark, d):
     Truth and data come from the same scan, so no join is needed to score.
     """
     pair = T.mixed_pair(spark, d)
-    data = pair.select(*SCHEMA.keys, "truth", "data.*")
-    scaler, imputer = I.fit_scaler_and_imputer(train(data), SCHEMA)
-    mask = F.struct(*[F.col(c).isNull().alias(c) for c in SCHEMA.features])
+    data = pair.select(*CODED.keys, "truth", "data.*")
+    scaler, imputer = I.fit_scaler_and_imputer(train(data), CODED)
+    mask = F.struct(*[F.col(c).isNull().alias(c) for c in CODED.features])
     truth = [
         scaler.scale(c, F.col(f"truth.{c}")).alias(c) if c in CTN else F.col(f"truth.{c}").alias(c)
-        for c in SCHEMA.features
+        for c in CODED.features
     ]
     masked = data.withColumns({"missing": mask, "truth": F.struct(*truth)})
     filled = scaler.transform(imputer.transform(masked))
-    return filled.select(*SCHEMA.keys, "truth", "missing", F.struct(*SCHEMA.features).alias("pred"))
+    return filled.select(*CODED.keys, "truth", "missing", F.struct(*CODED.features).alias("pred"))
 
 
 def _terms_sql() -> str:
@@ -74,7 +75,7 @@ def _metric_sql(kind: str, reduction: str, sub: str, w: str = "1") -> str:
 
 def _one(spark, d, tag, name, by=()):
     """A single metric, ``subgroup/reduction/type/metric``."""
-    long = M.metrics_long(M.metric_states(scoring_frame(spark, d), SCHEMA, by), SCHEMA, by)
+    long = M.metrics_long(M.metric_states(scoring_frame(spark, d), CODED, by), by)
     return M.pick_metric(long, *tag.split("/"), name, by).withColumn(name, F.round(name, 6))
 
 
@@ -123,7 +124,7 @@ def cat_error_cw(spark, d):
     round({_metric_sql('w', 'CW', 'missingonly')}, 6) AS cat_cw FROM terms"""
 )
 def metrics_missing_only(spark, d):
-    long = M.metrics_long(M.metric_states(scoring_frame(spark, d), SCHEMA), SCHEMA)
+    long = M.metrics_long(M.metric_states(scoring_frame(spark, d), CODED))
     long = long.filter("filter_subgroup = 'missingonly' AND feature_type <> 'mixed'")
     slot = F.concat_ws("/", "feature_type", "metric_name", "reduction")
     kinds = {"rmse": "continuous/RMSE", "maape": "continuous/MAAPE", "cat": "categorical/RMSE"}
@@ -151,14 +152,14 @@ def _matrix_sql() -> str:
 
 @query(f"WITH {_TERMS.replace('terms AS (', 'terms AS MATERIALIZED (')} {_matrix_sql()}")
 def metric_matrix(spark, d):
-    long = M.score_imputation(scoring_frame(spark, d), SCHEMA, ["split"])
+    long = M.score_imputation(scoring_frame(spark, d), CODED, ["split"])
     return long.withColumn("val", F.round("val", 6))
 
 
 @query(f"""WITH {_TERMS} SELECT split, round(-({_metric_sql('ae', 'CW', 'missingonly')}
   + {_metric_sql('w', 'CW', 'missingonly')}), 6) AS score FROM terms GROUP BY split""")
 def tune_metric(spark, d):
-    scores = M.tune_metric(scoring_frame(spark, d), SCHEMA, ["split"])
+    scores = M.tune_metric(scoring_frame(spark, d), CODED, ["split"])
     return scores.withColumn("score", F.round("score", 6))
 
 
@@ -172,7 +173,7 @@ def tune_metric(spark, d):
     + " FROM terms JOIN struth s USING (id)"
 )
 def nrmse(spark, d):
-    out = M.normalised_rmse(scoring_frame(spark, d), SCHEMA, "range")
+    out = M.normalised_rmse(scoring_frame(spark, d), CODED, "range")
     return out.select(*[F.round(c, 6).alias(c) for c in CTN])
 
 
@@ -185,7 +186,7 @@ def join_scoring(spark, d):
     scaled = scaler.transform(data)
     pred = I.SimpleImputer.fit(train(scaled), SCHEMA).transform(scaled)
     frame = J.scoring_frame(scaler.transform(truth), pred, scaled, ["id"], SCHEMA.features)
-    long = M.metrics_long(M.metric_states(frame, SCHEMA), SCHEMA)
+    long = M.metrics_long(M.metric_states(frame, SCHEMA))
     picked = M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error")
     return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 
@@ -208,7 +209,11 @@ def _ce(cols: list[str]) -> str:
     FROM struth t JOIN imp p USING (id)"""
 )
 def mixed_loss(spark, d):
-    out = M.mixed_loss(scoring_frame(spark, d), SCHEMA)
+    data = T.mixed_onehot(spark, d)
+    scaler, imputer = I.fit_scaler_and_imputer(train(data), SCHEMA)
+    pred = scaler.transform(imputer.transform(data))
+    frame = J.scoring_frame(scaler.transform(T.truth_onehot(spark, d)), pred, data, ["id"], SCHEMA.features)
+    out = M.mixed_loss(frame, SCHEMA)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -221,7 +226,7 @@ _ERR = f"sqrt(({' + '.join(f'se{i}' for i in range(3))}) / 3)"
     UNION ALL SELECT id, round(err, 9) AS err, 'worst' AS kind FROM (SELECT * FROM e ORDER BY err DESC, id LIMIT 10)"""
 )
 def best_worst_rows(spark, d):
-    out = M.best_worst_rows(scoring_frame(spark, d), SCHEMA, "id")
+    out = M.best_worst_rows(scoring_frame(spark, d), CODED, "id")
     return out.withColumn("err", F.round("err", 9))
 
 
@@ -288,10 +293,9 @@ def _draws_sql(n: str, b: int, seed: int = 0) -> str:
 )
 def bootstrap_metric(spark, d):
     """Error per bootstrap replicate. Rows are reduced to their error terms before they are drawn."""
-    terms = scoring_frame(spark, d).select("id", *M.row_terms(SCHEMA))
-    drawn = SP.bootstrap(terms, "id", B)
-    states = drawn.groupBy("replicate").agg(*M.state_sums(SCHEMA, "times"))
-    long = M.metrics_long(states, SCHEMA, ["replicate"])
+    cells = scoring_frame(spark, d).select("id", M.row_cells(CODED).alias("cells"))
+    drawn = SP.bootstrap(cells, "id", B)
+    long = M.metrics_long(M.cell_states(drawn, ["replicate"], "times"), ["replicate"])
     picked = M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
     return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 
@@ -299,11 +303,10 @@ def bootstrap_metric(spark, d):
 @query()
 def poisson_bootstrap(spark, d):
     """The single-pass form of the same, for 99 replicates."""
-    terms = scoring_frame(spark, d).select("id", *M.row_terms(SCHEMA))
-    summands = M.product_terms(SCHEMA)
-    products = terms.select("id", *[c.alias(k) for k, c in summands.items()])
-    states = SP.poisson_sums(products, "id", list(summands), 99)
-    long = M.metrics_long(states, SCHEMA, ["replicate"])
+    terms = M.wide_terms(CODED)
+    wide = scoring_frame(spark, d).select("id", *[c.alias(k) for k, c in terms.items()])
+    sums = SP.poisson_sums(wide, "id", list(terms), 99)
+    long = M.metrics_long(M.states_from_wide(sums, CODED, ["replicate"]), ["replicate"])
     return M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
 
 

@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ MIXED_SCHEMA = FeatureSchema(
 )
 
 
+@lru_cache(maxsize=None)
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Kept per session: finding the schema of a parquet file costs a job."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -91,18 +95,25 @@ def truth_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_onehot(mixed_truth(spark, sf_dir)).select(*MIXED_SCHEMA.keys, *MIXED_SCHEMA.features)
 
 
+CODED_SCHEMA = MIXED_SCHEMA.after_combine()
+
+
 def mixed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys plus structs ``data`` (with nulls) and ``truth`` from a single pass over the sources."""
-    truth = to_onehot(with_draws(mixed_truth(spark, sf_dir)))
-    owner = {c: c for c in [*CONTINUOUS, "recent"]}
-    owner.update({c: p for p, cols in ONEHOT_COLUMNS.items() for c in cols})
-    keep = {c: F.col(f"__u_{c}") >= NULL_SHARE for c in NULL_COLUMNS}
-    feats = MIXED_SCHEMA.features
-    return truth.select(
-        *MIXED_SCHEMA.keys,
-        F.struct(*[F.when(keep[owner[c]], F.col(c)).alias(c) for c in feats]).alias("data"),
-        F.struct(*feats).alias("truth"),
+    """Keys plus structs ``data`` (with nulls) and ``truth`` from a single pass over the sources.
+
+    Multi-category features are ordinal codes: as one-hot columns they would take an arg-max over
+    the group in every error term.
+    """
+    segments = F.array(*[F.lit(s) for s in SEGMENTS])
+    truth = with_draws(mixed_truth(spark, sf_dir)).withColumns(
+        {
+            "priority": F.col("priority").cast("int") - 1,
+            "segment": F.array_position(segments, F.col("segment")).cast("int") - 1,
+        }
     )
+    feats = CODED_SCHEMA.features
+    kept = [F.when(F.col(f"__u_{c}") >= NULL_SHARE, F.col(c)).alias(c) for c in feats]
+    return truth.select(*CODED_SCHEMA.keys, F.struct(*kept).alias("data"), F.struct(*feats).alias("truth"))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
