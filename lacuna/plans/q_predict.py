@@ -48,20 +48,21 @@ def predict_mlp(spark, d):
 
 
 def _feat(c: str) -> str:
-    return f"""count({c}) AS {c}_count, round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std,
-    round(var_pop({c}), 4) AS {c}_var, min({c}) AS {c}_min, max({c}) AS {c}_max, round(sum({c}), 4) AS {c}_sum,
-    round(sum({c} * {c}), 3) AS {c}_abs_energy, round(quantile_cont({c}, 0.5), 5) AS {c}_median,
+    return f"""count({c}) AS {c}_count, round(avg({c}) + 1e-11, 8) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std,
+    round(var_pop({c}) + 1e-9, 6) AS {c}_var, min({c}) AS {c}_min, max({c}) AS {c}_max, round(sum({c}) + 1e-9, 6) AS {c}_sum,
+    round(sum({c} * {c}) + 1e-7, 5) AS {c}_abs_energy, round(quantile_cont({c}, 0.5) + 1e-11, 8) AS {c}_median,
     arg_min({c}, t) AS {c}_first, arg_max({c}, t) AS {c}_last,
     round(regr_slope({c}, t), 6) AS {c}_slope"""
 
 
-_ROUND = {"mean": 6, "std": 6, "var": 4, "sum": 4, "abs_energy": 3, "median": 5, "slope": 6}
+# Decimals kept, and a nudge off exact halves, which the two engines round apart.
+_ROUND = {"mean": (8, 1e-11), "std": (6, 0), "var": (6, 1e-9), "sum": (6, 1e-9), "abs_energy": (5, 1e-7), "median": (8, 1e-11), "slope": (6, 0)}
 
 
 @query(f"WITH {S.PANEL} SELECT user_id, {', '.join(_feat(c) for c in _EV)} FROM panel GROUP BY user_id")
 def panel_features(spark, d):
     out = P.panel_features(T.panel(spark, d), "user_id", "t", _EV)
-    out = out.withColumns({f"{c}_{k}": F.round(f"{c}_{k}", n) for c in _EV for k, n in _ROUND.items()})
+    out = out.withColumns({f"{c}_{k}": F.round(F.col(f"{c}_{k}") + e, n) for c in _EV for k, (n, e) in _ROUND.items()})
     return out.drop(*[f"{c}_{k}" for c in _EV for k in ("skew", "kurtosis")])
 
 
@@ -69,8 +70,8 @@ def _lagged(c: str) -> str:
     return (
         f"l_{c} AS (SELECT user_id, t, {c} AS x, lag({c}) OVER (PARTITION BY user_id ORDER BY t) AS p, "
         f"avg({c}) OVER (PARTITION BY user_id) AS m FROM panel WHERE {c} IS NOT NULL), "
-        f"f_{c} AS (SELECT user_id, round(avg(abs(x - p)), 6) AS {c}_mean_abs_change, "
-        f"round(avg((x - m) * (p - m)), 4) AS {c}_autocov, "
+        f"f_{c} AS (SELECT user_id, round(avg(abs(x - p)) + 1e-11, 8) AS {c}_mean_abs_change, "
+        f"round(avg((x - m) * (p - m)) + 1e-9, 6) AS {c}_autocov, "
         f"sum(CASE WHEN (x > m) <> (p > m) THEN 1 ELSE 0 END)::BIGINT AS {c}_crossings FROM l_{c} GROUP BY 1)"
     )
 
@@ -83,5 +84,7 @@ def _lagged(c: str) -> str:
 )
 def panel_changes(spark, d):
     out = P.change_features(T.panel(spark, d), "user_id", "t", _EV)
-    rounds = {"mean_abs_change": 6, "autocov": 4}
-    return out.withColumns({f"{c}_{k}": F.round(f"{c}_{k}", n) for c in _EV for k, n in rounds.items()})
+    rounds = {"mean_abs_change": (8, 1e-11), "autocov": (6, 1e-9)}
+    return out.withColumns(
+        {f"{c}_{k}": F.round(F.col(f"{c}_{k}") + e, n) for c in _EV for k, (n, e) in rounds.items()}
+    )
