@@ -85,22 +85,22 @@ def uncombine_onehots(
 
 def uniform_probability(df: DataFrame, groups: dict[str, list[str]], binary: list[str] = ()) -> DataFrame:
     """Missing groups become 1/k on each of their k members, missing binaries 0.5."""
-    out = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.5)) for c in binary}
+    out = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.5)) for c in binary}
     for cols in groups.values():
         share = F.lit(1.0 / len(cols))
-        out.update({c: F.coalesce(F.col(c).cast("double"), share) for c in cols})
+        out.update({c: F.coalesce(F.col(f"`{c}`").cast("double"), share) for c in cols})
     return df.withColumns(out)
 
 
 def binary_threshold(df: DataFrame, columns: list[str]) -> DataFrame:
     """sigmoid(x) >= 0.5, which is x >= 0."""
-    return df.withColumns({c: (F.col(c) >= 0).cast("int") for c in columns})
+    return df.withColumns({c: (F.col(f"`{c}`") >= 0).cast("int") for c in columns})
 
 
 def onehot_threshold(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """The largest logit of each group becomes 1, the first one on ties."""
     out = {}
     for cols in groups.values():
-        best = argmax([F.col(c) for c in cols])
+        best = argmax([F.col(f"`{c}`") for c in cols])
         out.update({c: (best == k).cast("int") for k, c in enumerate(cols)})
     return df.withColumns(out)

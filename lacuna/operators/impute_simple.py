@@ -63,7 +63,7 @@ def warm_start(df: DataFrame, schema: FeatureSchema, how: str | float = 0) -> Da
     """Replace missing cells by a number, or by ``simple`` statistics of the rows given."""
     if how == "simple":
         return SimpleImputer.fit(df, schema).transform(df)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(how)) for c in schema.features})
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(how)) for c in schema.features})
 
 
 def _carry(

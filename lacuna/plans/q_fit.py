@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lacuna.operators.autoencoder import AutoencoderImputer
+from lacuna.operators.autoencoder import swap_noise as swap
 from lacuna.operators.discretize import mdl_bins as fit_mdl
 from lacuna.operators.knn import knn_impute
+from lacuna.operators.mice import ChainedImputer
 from lacuna.operators.transforms import MinMaxScaler
 from lacuna.plans import sql as S
 from lacuna.plans import tables as T
 from lacuna.plans.q_transform import BOUNDS, CTN, _scale, train
 from lacuna.plans.registry import query
+from lacuna.schema import FeatureSchema
 
 
 @query()
@@ -58,3 +62,84 @@ def impute_knn_categorical(spark, d):
     df = T.mixed_pair(spark, d).select("id", "split", "data.recent", "data.priority", "data.segment")
     cats = ["recent", "priority", "segment"]
     return knn_impute(df, cats, "id", train(df), k=1).select("id", *cats)
+
+
+@query()
+def impute_mice(spark, d):
+    """Three rounds of ridge regressions on the scaled numeric columns."""
+    df = T.mixed(spark, d).select("id", "split", *CTN)
+    scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
+    model = ChainedImputer.fit(train(scaled), "id", CTN, max_iter=3)
+    return model.transform(scaled)
+
+
+@query()
+def impute_mice_categorical(spark, d):
+    df = T.mixed_pair(spark, d).select("id", "split", "data.recent", "data.priority", "data.segment")
+    model = ChainedImputer.fit(train(df), "id", [], ["recent", "priority", "segment"], max_iter=1)
+    return model.transform(df)
+
+
+@query()
+def impute_mice_forest(spark, d):
+    """Random forests with predictive-mean matching."""
+    df = T.mixed(spark, d).select("id", "split", *CTN)
+    scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
+    model = ChainedImputer.fit(train(scaled), "id", CTN, max_iter=1, learner="forest")
+    return model.transform(scaled)
+
+
+def _autoencoder(spark, d, preset, **changes):
+    df = T.mixed_onehot(spark, d)
+    scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
+    model = AutoencoderImputer.preset(preset, T.MIXED_SCHEMA, **{"max_epochs": 3, **changes})
+    return scaled, model.fit(scaled)
+
+
+@query()
+def impute_ae(spark, d):
+    scaled, model = _autoencoder(spark, d, "dae")
+    return model.transform(scaled)
+
+
+@query()
+def impute_ae_discretized(spark, d):
+    """Bins instead of continuous values, missing groups as uniform probabilities, then back."""
+    from lacuna.operators.encode import uniform_probability
+
+    df = T.mixed_onehot(spark, d)
+    bins = fit_mdl(train(df), CTN, "label")
+    schema = T.MIXED_SCHEMA.after_discretize(bins.names())
+    mapped = bins.transform(df)
+    groups = {**schema.onehot, **schema.bins}
+    model = AutoencoderImputer.preset("ap_new", schema, max_epochs=2)
+    soft = uniform_probability(mapped.select("id", "split", *[F.col(f"`{c}`") for c in schema.features]), groups, ["recent"])
+    model.fit(soft, mapped)
+    return bins.inverse(model.transform(mapped), df.columns)
+
+
+@query()
+def impute_vae(spark, d):
+    df = T.mixed(spark, d).select("id", "split", "label", *CTN)
+    scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
+    schema = FeatureSchema(ids=("id",), continuous=tuple(CTN), label="label", split="split", order=tuple(CTN))
+    model = AutoencoderImputer.preset("vae", schema, hidden_layers=[2], max_epochs=2)
+    return model.fit(scaled).transform(scaled)
+
+
+@query(f"WITH {S.BOTH_OH} SELECT count(*) AS n, 0::BIGINT AS changed, 0::BIGINT AS missing FROM oh")
+def ae_transform_keeps_observed(spark, d):
+    """Observed cells changed and cells still missing: none."""
+    scaled, model = _autoencoder(spark, d, "batchswap", max_epochs=1)
+    filled = model.transform(scaled).select("id", F.struct(*T.MIXED_SCHEMA.features).alias("out"))
+    both = scaled.join(filled, "id")
+    changed, missing = F.lit(0), F.lit(0)
+    for c in T.MIXED_SCHEMA.features:
+        changed = changed + F.coalesce(F.col(c) != F.col(f"out.{c}"), F.lit(False)).cast("int")
+        missing = missing + F.col(f"out.{c}").isNull().cast("int")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.sum(changed).alias("changed"), F.sum(missing).alias("missing"))
+
+
+@query()
+def swap_noise(spark, d):
+    return swap(T.mixed_truth(spark, d).select("id", *CTN), CTN, 0.3)
