@@ -311,15 +311,18 @@ class AutoencoderImputer:
         feats, net = self.schema.features, self._net
         shared = df.sparkSession.sparkContext.broadcast(np.array(self.weights))
         passed = [c for c in df.columns if c not in set(feats)]
-        filled = self._inputs(df).select(*passed, *[F.col(f"`{c}`") for c in feats])
+        # Bin columns have dots in their names, which the Arrow functions do not take.
+        plain = [f"x{i}" for i in range(len(feats))]
+        inputs = [F.col(f"`{c}`").alias(x) for c, x in zip(feats, plain)]
+        filled = self._inputs(df).select(*passed, *inputs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out, _, _ = net.run(shared.value, _matrix(b, feats))
+                out, _, _ = net.run(shared.value, _matrix(b, plain))
                 arrays = [b.column(c) for c in passed] + [pa.array(out[:, i]) for i in range(len(feats))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*passed, *feats])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*passed, *plain])
 
-        return filled.mapInArrow(run, filled.schema)
+        return filled.mapInArrow(run, filled.schema).toDF(*passed, *feats)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Fill missing cells; observed ones never change.

@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.session import materialize
@@ -136,8 +136,7 @@ def nearest_fills(
     q = df.select(id_col, *cells).filter(some & lacking).groupBy(*columns)
     q = materialize(q.agg(F.min(id_col).alias("qid"), F.count(F.lit(1)).alias("mult")), "knn-queries")
 
-    gaps = [F.when(F.col(c).isNull(), "x").otherwise("o") for c in columns]
-    pattern = F.concat(*gaps)
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "x").otherwise("o") for c in columns])
     n, patterns = x.agg(F.count(F.lit(1)), F.count_distinct(pattern)).first()
     q_patterns = q.agg(F.count_distinct(pattern)).first()[0]
     mask_values = 64 if max(patterns, q_patterns) > MAX_CELLS // 4 else 0
@@ -184,10 +183,16 @@ def nearest_fills(
         f"'w', a.w + least(a.left, x.mult) * {weight}), a -> a.s / a.w)"
     )
     merged = merged.select("qid", "f", F.expr(fold).alias("fill"))
+    gaps = [i for i in range(len(columns)) if q_dir[f"gone{i}"].sum() > 0]
     fills = merged.groupBy("qid").agg(
-        *[F.max(F.when(F.col("f") == i, F.col("fill"))).alias(f"fill_{i}") for i in range(len(columns))]
+        *[F.max(F.when(F.col("f") == i, F.col("fill"))).alias(f"fill_{i}") for i in gaps]
     )
-    return q.select("qid", *columns).join(fills, "qid").drop("qid")
+    return q.select("qid", _vector_key(columns).alias("__key")).join(fills, "qid").drop("qid")
+
+
+def _vector_key(columns: list[str]) -> Column:
+    """The whole vector as one exact join key."""
+    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("x")) for c in columns])
 
 
 def knn_impute(
@@ -206,11 +211,13 @@ def knn_impute(
     """
     fills = nearest_fills(df, columns, id_col, donors, k, weights, chunk)
     row = donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    fills = fills.select(*[F.col(c).alias(f"__q_{c}") for c in columns], *[f"fill_{i}" for i in range(len(columns))])
-    cond = [F.col(c).cast("double").eqNullSafe(F.col(f"__q_{c}")) for c in columns]
-    joined = df.join(fills, cond, "left")
+    joined = df.withColumn("__key", _vector_key(columns)).join(fills, "__key", "left")
     out = {
         c: F.coalesce(F.col(c).cast("double"), F.col(f"fill_{i}"), F.lit(row[c]).cast("double"))
         for i, c in enumerate(columns)
+        if f"fill_{i}" in fills.columns
     }
+    # Where no vector has a neighbour to offer, the mean is left.
+    rest = {c: F.coalesce(F.col(c).cast("double"), F.lit(row[c]).cast("double")) for c in columns if c not in out}
+    out.update(rest)
     return joined.withColumns(out).select(*df.columns)
