@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: on a cluster a machine-local
     path would be lost with its machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
