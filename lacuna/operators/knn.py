@@ -16,10 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.session import materialize
+from lacuna.session import broadcast_if_small, materialize
 
-MAX_CELLS = 4096
+MAX_CELLS = 16384
 GRID_DIMS = 4
+CELL_ROWS = 256
 CHUNK = 2048
 
 
@@ -108,16 +109,17 @@ def _nearest_in_unit(columns: list[str], k: int):
                 if not len(need) or not len(have):
                     continue
                 sub, value = dist[np.ix_(need, have)], x[have, f]
-                for row, i in enumerate(need):
-                    # The k-th smallest distance with all its ties, then the smaller values first.
-                    reach = np.partition(sub[row], min(k, len(have)) - 1)[min(k, len(have)) - 1]
-                    near = np.flatnonzero((sub[row] <= reach) & np.isfinite(sub[row]))
-                    near = near[np.lexsort((value[near], sub[row][near]))][:k]
-                    out.append((qid[i], f, sub[row][near], value[near], mult[have][near]))
-        frame = pd.DataFrame(out, columns=["qid", "f", "d2", "v", "mult"])
-        return frame.explode(["d2", "v", "mult"]).astype(
-            {"qid": "int64", "f": "int32", "d2": "float64", "v": "float64", "mult": "int64"}
-        )
+                # The k-th smallest distance with all its ties, then the smaller values first.
+                reach = np.partition(sub, min(k, len(have)) - 1, axis=1)[:, min(k, len(have)) - 1]
+                row, col = np.nonzero((sub <= reach[:, None]) & np.isfinite(sub))
+                order = np.lexsort((value[col], sub[row, col], row))
+                row, col = row[order], col[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[kept], col[kept]
+                out.append((qid[need[row]], np.full(len(row), f), sub[row, col], value[col], mult[have[col]]))
+        parts = [np.concatenate(p) for p in zip(*out)] if out else [np.empty(0)] * 5
+        types = {"qid": "int64", "f": "int32", "d2": "float64", "v": "float64", "mult": "int64"}
+        return pd.DataFrame(dict(zip(types, parts))).astype(types)
 
     return compare
 
@@ -142,9 +144,8 @@ def nearest_fills(
     mask_values = 64 if max(patterns, q_patterns) > MAX_CELLS // 4 else 0
     patterns = mask_values or max(patterns, q_patterns, 1)
     dims = columns[:GRID_DIMS]
-    cells_wanted = max(1, min(MAX_CELLS // patterns, n // (chunk * patterns)))
-    bins = max(1, int(cells_wanted ** (1 / len(dims)) + 1e-9) - 1) if cells_wanted > 1 else 1
-    bins = max(bins, 2) if cells_wanted >= 2 ** len(dims) else bins
+    cells_wanted = max(1, min(MAX_CELLS // patterns, n // (min(CELL_ROWS, chunk) * patterns)))
+    bins = max(1, round(cells_wanted ** (1 / len(dims))))
     grid: dict[str, list[float]] = {}
     if bins > 1:
         probs = [i / bins for i in range(1, bins)]
@@ -158,14 +159,20 @@ def nearest_fills(
     q_chunks = {c: -(-int(m) // chunk) for c, m in zip(q_dir["cell"], q_dir["n"])}
     routes["dn"] = routes["dcell"].map(d_chunks).astype("int64")
     routes["qn"] = routes["qcell"].map(q_chunks).astype("int64")
-    routes = spark.createDataFrame(routes, "qcell string, dcell string, dn bigint, qn bigint")
+    # Small donor cells of the same query cell share a unit of work.
+    rows = np.minimum(routes["dcell"].map(dict(zip(d_dir["cell"], d_dir["n"]))).to_numpy(float), chunk)
+    seen = pd.Series(rows).groupby(routes["qcell"].to_numpy()).cumsum().to_numpy() if len(routes) else rows
+    routes["batch"] = (seen // chunk).astype("int64")
+    per_unit = routes.groupby(["qcell", "batch"], as_index=False)[["dn", "qn"]].max()
+    units = spark.createDataFrame(per_unit, "qcell string, batch bigint, dn bigint, qn bigint")
+    routes = spark.createDataFrame(routes, "qcell string, dcell string, dn bigint, qn bigint, batch bigint")
 
     hashed = F.xxhash64(*columns)
     to_chunk = lambda count: F.pmod(hashed, F.col(count))
-    unit = ["qcell", "qc", "dcell", "dc"]
-    left = q.withColumnRenamed("cell", "qcell").join(routes, "qcell")
+    unit = ["qcell", "qc", "batch", "dc"]
+    left = q.withColumnRenamed("cell", "qcell").join(broadcast_if_small(units), "qcell")
     left = left.withColumn("qc", to_chunk("qn")).withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
-    right = x.withColumnRenamed("cell", "dcell").join(routes, "dcell")
+    right = x.withColumnRenamed("cell", "dcell").join(broadcast_if_small(routes), "dcell")
     right = right.withColumn("dc", to_chunk("dn")).withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
     found = (
         left.select(*unit, "qid", *columns)
