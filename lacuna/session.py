@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +30,14 @@ def local_session(cores: str = "8", app: str = "lacuna") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local
-    path would be lost with its machine.
+    Where that is unset, as in tests, it is a folder of the warehouse, which a cluster shares as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.path.join(tempfile.gettempdir(), f"lacuna-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
-    return folder
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lacuna"
+    return configured.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
