@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from lacuna.llm.chat import OP7_SQL, op7_chat_formatting
+from lacuna.llm.decontaminate import op3_decontamination
+from lacuna.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lacuna.llm.near_dedup import op5_near_dedup
+from lacuna.llm.packing import op8_best_fit_packing
+from lacuna.llm.warc import OP10_SQL, op10_warc
+from lacuna.llm.wavelet import op1_wavelet_shards
 
-QUERIES = {f.__name__: f for f in (op5_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_exact_dedup, op3_decontamination, op5_near_dedup, op7_chat_formatting, op8_best_fit_packing, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL, "op10_warc": OP10_SQL}
