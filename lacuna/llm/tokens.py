@@ -1,8 +1,9 @@
 """Token ids of a column of texts, by a tokenizer file and the tokenizers library, inside Arrow tasks.
 
 The tokenizer drops white space and never joins characters across it, so a text's ids are those of
-its blank-separated chunks in a row. Each distinct chunk of a run of rows is encoded once, by the
-library, and recent chunks are remembered; ids are put together by array indexing.
+its blank-separated chunks in a row, and a point or comma after letters is a token of its own. Each
+distinct chunk of a run of rows is encoded once, by the library, and recent chunks are remembered;
+ids are put together by array indexing.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.points = {c: self.one_by_one([c])[0] for c in ".,"}
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -60,28 +65,57 @@ class Encoder:
         if len(self.recent) > REMEMBERED:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        new = []
+        words, ended, others = set(), [], []
         for c in chunks:
-            if c not in recent:
-                ids = older.get(c)
-                if ids is None:
-                    new.append(c)
-                else:
-                    recent[c] = ids
-        for i in range(0, len(new), JOINED):
-            some = new[i : i + JOINED]
-            recent.update(zip(some, self.encode(some)))
+            if c in recent:
+                continue
+            if c in older:
+                recent[c] = older[c]
+            elif c.isalpha():
+                words.add(c)
+            elif c[-1:] in self.points and c[:-1].isalpha():
+                ended.append(c)
+                if c[:-1] not in recent:
+                    words.add(c[:-1])
+            else:
+                others.append(c)
+        for some in _cut(list(words)):
+            recent.update(zip(some, self.encode_words(some)))
+        for c in ended:
+            recent[c] = recent[c[:-1]] + self.points[c[-1]]
+        for some in _cut(others):
+            recent.update(zip(some, self.encode_chunks(some)))
         return [recent[c] for c in chunks]
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(chunks), add_special_tokens=False).ids, "<u4")
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Runs of letters are one token with a word end each: encode them in a row, cut after word ends."""
+        ids = self.row(" ".join(words))
+        stops = np.flatnonzero(self.last[ids]) + 1
+        return _pieces(ids, np.concatenate([[0], stops[:-1]]), stops) if len(stops) == len(words) else self.one_by_one(words)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Any chunks: encode them in a row with a separator between, cut there."""
+        ids = self.row(f" {SEPARATOR} ".join(chunks))
         n = len(self.cut)
-        at = np.nonzero(np.logical_and.reduce([ids[j : len(ids) - n + 1 + j] == self.cut[j] for j in range(n)]))[0] if len(ids) >= n else []
+        at = np.flatnonzero(np.logical_and.reduce([ids[j : len(ids) - n + 1 + j] == self.cut[j] for j in range(n)])) if len(ids) >= n else np.zeros(0, np.int64)
         if len(at) != len(chunks) - 1:  # a chunk holds the separator itself
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        starts = np.concatenate([[0], np.asarray(at, np.int64) + n])
-        stops = np.concatenate([np.asarray(at, np.int64), [len(ids)]])
-        return [ids[a:z].tobytes() for a, z in zip(starts, stops)]
+            return self.one_by_one(chunks)
+        return _pieces(ids, np.concatenate([[0], at + n]), np.concatenate([at, [len(ids)]]))
+
+    def row(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def one_by_one(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+
+def _cut(chunks: list[str]) -> Iterator[list[str]]:
+    return (chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED))
+
+
+def _pieces(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[a:z] for a, z in zip((4 * starts).tolist(), (4 * stops).tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
