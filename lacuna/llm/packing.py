@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lacuna.llm.base import documents, keep, small_batches, table
 from lacuna.llm.tokens import encoder, vocabulary_path, with_end
@@ -145,6 +146,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     length in each range, a table of at most ranges + lengths rows, turns positions into numbers.
     """
     order = ["length", "doc_id", "piece", "ids_crc32"]
+    rows = keep(rows, "cut")  # read twice by the range partitioning, encoded once
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     spread = keep(spread.withColumn("position", F.monotonically_increasing_id()).withColumn("part", F.shiftright("position", 33)), "pieces")
     heads = spread.groupBy("length", "part").agg(F.min("position").alias("head"), F.count("*").alias("n"))
@@ -173,8 +175,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 names=[batch.schema.names[i] for i in kept] + ["sequence_id", "offset"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "number")
-    return rows.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    schema = StructType([f for f in rows.schema if f.name != "number"]).add("sequence_id", "long").add("offset", "long")
+    return rows.mapInArrow(place, schema)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
