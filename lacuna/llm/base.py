@@ -38,6 +38,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, scratch_name(name))
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are, whatever signs they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) whose id and text ``kept`` (doc_id, node) names, each
+    once: a row that repeats another in id and text goes."""
+    names = docs.columns
+    wanted = kept.groupBy("doc_id", "node").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "n")
+    wanted = keep(wanted, "kept")
+    full = docs.withColumn("llm_text", F.coalesce("text", F.lit(""))).withColumn("llm_node", text_key("llm_text"))
+    same = F.col("llm_node").eqNullSafe(F.col("kept_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    some = full.join(wanted, same, "left_semi")
+    if not wanted.filter("n > 1").isEmpty():
+        some = some.dropDuplicates(["doc_id", "llm_node"])
+    return some.select(*quoted(names))
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, comp) of every node of the links (a, b); comp is the least node that can be reached.
 

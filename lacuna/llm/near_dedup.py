@@ -270,7 +270,7 @@ def rare_ends(vecs: DataFrame, idf, least: float) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``df``: doc_id, node (names the text), class_id (least doc_id of its class),
-    class_size (rows of the class)."""
+    class_size (rows of the class), kept (the row that has that id; of several, those of one text)."""
     spark = df.sparkSession
     small_batches(spark)
     docs = documents(df, id_col, text_col)
@@ -279,8 +279,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(docs, signed, idf, settings)
     labels = components(links)
     rows = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    classes = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(classes, "comp").select("doc_id", "node", "class_id", "class_size")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    classes = rows.groupBy("comp").agg(first.alias("first"), F.count("*").alias("class_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    return rows.join(classes, "comp").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def _links(docs: DataFrame, signed: DataFrame, idf, s: Settings) -> DataFrame:
@@ -329,4 +331,4 @@ def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document; class_id is its least doc_id."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", "class_size", "kept")

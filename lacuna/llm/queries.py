@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lacuna.llm.chat import OP7_SQL, op7_chat_formatting
 from lacuna.llm.decontaminate import op3_decontamination
 from lacuna.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lacuna.llm.licenses import OP6_SQL, op6_license_scan
 from lacuna.llm.near_dedup import op5_near_dedup
 from lacuna.llm.packing import op8_best_fit_packing
+from lacuna.llm.pii import op4_pii
+from lacuna.llm.toxicity import op9_toxicity
 from lacuna.llm.warc import OP10_SQL, op10_warc
 from lacuna.llm.wavelet import op1_wavelet_shards
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_exact_dedup, op3_decontamination, op5_near_dedup, op7_chat_formatting, op8_best_fit_packing, op10_warc)}
+QUERIES = {
+    "op1_wavelet_shards": op1_wavelet_shards,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
+}
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+    "op6_license_scan": OP6_SQL,
+    "op7_chat_formatting": OP7_SQL,
+    "op10_warc": OP10_SQL,
+}
