@@ -9,7 +9,7 @@ Letters and digits of a blank-separated chunk are its word ("i-d.iot" is "idiot"
 Training. Sentences are labelled as a whole, so what is learnt is which of their words give them away.
 At most ``docs_per_class`` labelled documents of each class (the first by a hash of the id) train:
 Spark counts in how many toxic and clean ones every word occurs, where documents with the same least
-word hash, copies of each other as a rule, count once; words that toxic ones hold significantly more
+shingle hash, copies of each other as a rule, count once; words that toxic ones hold significantly more
 often (likelihood ratio, limit raised with the number of words) are positives;
 frequent, random and - after each fit - wrongly accepted words of clean documents are negatives.
 Landmarks are taken from both. The machine is fitted on landmark kernels (squared hinge, Newton
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from lacuna.llm.base import documents, keep, small_batches, table
-from lacuna.llm.words import runs
+from lacuna.llm.words import runs, shingles
 
 ORDER = 3
 DECAY = 0.6
@@ -212,7 +212,7 @@ def _labelled(labels: DataFrame, s: Settings) -> DataFrame:
 
 
 def _word_rows(texts: DataFrame) -> DataFrame:
-    """word, toxic, copies: the distinct words of every row, its class, and the least of their hashes."""
+    """word, toxic, copies: the distinct words of every row, its class, its least shingle hash."""
 
     def split(batches):
         for batch in batches:
@@ -226,9 +226,9 @@ def _word_rows(texts: DataFrame) -> DataFrame:
                 row, code = pairs // size, pairs % size
                 if not len(row):
                     continue
-                hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)[code]
-                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                copies = np.repeat(np.minimum.reduceat(hashed, starts), np.diff(np.append(starts, len(row))))
+                hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+                values, ends = shingles(hashed[codes], offsets)  # every row has a chunk, hence a shingle
+                copies = np.minimum.reduceat(values, ends[:-1]).view(np.int64)[row]
                 yield pa.RecordBatch.from_arrays([words.take(pa.array(code)), pa.array(toxic[lo + row].astype(np.int32)), pa.array(copies)], names=["word", "toxic", "copies"])
 
     return texts.select("text", "toxic").mapInArrow(split, "word string, toxic int, copies long")
