@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column-name characters and what replaces them.
-NAME_REPLACEMENTS = {"&": "and", "+": "plus", ",": "_", "'": "", "(": "", ")": "", "%": "percent"}
+NAME_REPLACEMENTS = {"&": "and", "+": "plus", ",": "", "'": "", "(": "__", ")": "__", "%": "_PRCNT"}
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -126,9 +126,9 @@ def interpolate(df: DataFrame, entity: str, time: str, columns: list[str], range
 
 def fill_entity_mean(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
     """Mean of the entity, else the overall mean."""
-    means = df.groupBy(entity).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
+    means = df.groupBy(F.col(entity).alias("__entity")).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
     overall = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    joined = df.join(means, entity)
+    joined = df.join(means, F.col(entity).eqNullSafe(F.col("__entity")), "left")
     out = {c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(overall[c])) for c in columns}
     return joined.withColumns(out).select(*df.columns)
 

@@ -10,6 +10,8 @@ bounded size whatever the skew.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
@@ -199,7 +201,8 @@ def nearest_fills(
 
 def _vector_key(columns: list[str]) -> Column:
     """The whole vector as one exact join key."""
-    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("x")) for c in columns])
+    # grouping takes -0.0 for 0.0, so the key has to
+    return F.concat_ws(",", *[F.coalesce((F.col(c).cast("double") + 0.0).cast("string"), F.lit("x")) for c in columns])
 
 
 def knn_impute(
@@ -218,7 +221,9 @@ def knn_impute(
     """
     fills = nearest_fills(df, columns, id_col, donors, k, weights, chunk)
     row = donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    joined = df.withColumn("__key", _vector_key(columns)).join(fills, "__key", "left")
+    gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
+    # rows without gaps have no key: they are not shuffled to a partner
+    joined = df.withColumn("__key", F.when(gaps, _vector_key(columns))).join(fills, "__key", "left")
     out = {
         c: F.coalesce(F.col(c).cast("double"), F.col(f"fill_{i}"), F.lit(row[c]).cast("double"))
         for i, c in enumerate(columns)

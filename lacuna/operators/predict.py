@@ -18,14 +18,11 @@ from lacuna.operators.stats import average_precision
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Weight n / (classes * n_class), so that both classes weigh the same."""
-    counts = df.groupBy(label).count().limit(100).collect()
-    total = sum(r["count"] for r in counts)
-    w = F.lit(1.0)
-    for r in counts:
-        share = total / (len(counts) * r["count"])
-        w = F.when(F.col(label).eqNullSafe(F.lit(r[0])), share).otherwise(w)
-    return df.withColumn(name, w)
+    """Weight n / (classes * n_class), so that all classes weigh the same, however many there are."""
+    counts = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__total"), F.count("*").alias("__classes"))
+    shares = counts.crossJoin(total).select("__label", (F.col("__total") / (F.col("__classes") * F.col("__n"))).alias(name))
+    return df.join(shares, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
 
 
 def make_classifier(kind: str, label: str = "label", seed: int = 0, n_features: int = 0, **params):

@@ -154,12 +154,13 @@ def hash_cuts(
             _bucket_match(group, prefix, {(g, p) for (g, _), (p, _) in wanted.items()})
         )
         buckets = rows.groupBy(F.col(group).alias("g"), F.shiftright(key, rest).alias("b")).count()
-        hist = buckets.limit(MAX_GROUPS << step).collect()
+        # the first histogram may show too many groups; later ones have 2**step rows per wanted bucket at most
+        hist = (buckets if wanted else buckets.limit((MAX_GROUPS << step) + 1)).collect()
         by_group: dict = {}
         for row in sorted(hist, key=lambda x: x.b):
             by_group.setdefault(row.g, []).append((row.b, row["count"]))
         if not sizes:
-            if len(hist) == MAX_GROUPS << step or len(by_group) > MAX_GROUPS:
+            if len(hist) > MAX_GROUPS << step or len(by_group) > MAX_GROUPS:
                 raise ValueError("group by a column with fewer values")
             sizes = {g: sum(n for _, n in rows) for g, rows in by_group.items()}
             wanted = {(g, r): (0, 0) for g, rs in ranks_of(sizes).items() for r in rs}

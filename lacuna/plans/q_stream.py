@@ -18,7 +18,7 @@ from lacuna.streaming.incremental import apply_fitted, read_stream
 def predict_knn_ts(spark, d):
     """Nearest-neighbour classification of padded sequences: the label is the value to fill."""
     panel = T.panel(spark, d)
-    days = list(range(30))
+    days = list(range(panel.agg(F.max("t")).first()[0] + 1))  # as many columns as the longest sequence has days
     wide = flatten_panel(panel, "user_id", "t", ["click"], days)
     steps = [f"click_t{x}" for x in days]
     wide = wide.withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in steps})

@@ -30,12 +30,14 @@ def local_session(cores: str = "8", app: str = "lacuna") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, it is a folder of the warehouse, which a cluster shares as well.
+    Where that is unset, as in tests, a local master takes a folder of its warehouse; a cluster has to set it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lacuna"
     return configured.rstrip("/")
 

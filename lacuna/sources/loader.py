@@ -42,7 +42,7 @@ class FeatureSource:
         """Ids, features, label and split: numeric markers unified, subgroup filtered."""
         df = bools_to_int(nan_to_null(self.load()))
         if isinstance(self.label, DataFrame):
-            df = df.join(self.label, self.id_cols)
+            df = df.join(self.label, self.id_cols, "left")  # rows without a label stay
         return filter_subgroup(df, self.subgroup)
 
     def features(self) -> DataFrame:

@@ -14,6 +14,7 @@ from lacuna.operators import joins as J
 from lacuna.operators import knn as KN
 from lacuna.operators import metrics as M
 from lacuna.operators import mice as MI
+from lacuna.operators import predict as PR
 from lacuna.operators import ranking as R
 from lacuna.operators import reshape as RS
 from lacuna.operators import results as RE
@@ -357,7 +358,9 @@ def test_flat_to_long_and_padding(spark):
 def test_cleaning(spark):
     assert C.time_window_columns(["a_entry_period_x", "a_year1_x", "a_year10_x", "b"], 1, 2) == ["a_year1_x", "b"]
     df = spark.createDataFrame([(1.0, True), (float("nan"), False)], "`a,b` double, flag boolean")
-    assert C.clean_names(df).columns == ["a_b", "flag"]
+    assert C.clean_names(df).columns == ["ab", "flag"]
+    odd = spark.createDataFrame([(1, 2)], "`a&b+c` int, `x (mg), % 'raw'` int")
+    assert C.clean_names(odd).columns == ["aandbplusc", "x __mg__ _PRCNT raw"]
     out = C.bools_to_int(C.nan_to_null(C.clean_names(df))).collect()
     assert [tuple(r) for r in out] == [(1.0, 1), (None, 0)]
     with pytest.raises(KeyError):
@@ -385,3 +388,22 @@ def test_schema_json_and_mapping():
     assert mapped.features[-1] == "age_0 - 1" and mapped.continuous == ("weight",)
     typed = FeatureSchema.infer(["id", "bp", "bp2", "r_a", "r_b", "y"], ["id"], ["bp"], ["r", "q"], "y")
     assert typed.binary == ("bp2",) and typed.onehot == {"r": ("r_a", "r_b")}
+
+
+def test_weights_of_many_classes(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 174 = 0 THEN NULL ELSE id % 174 END AS label")
+    got = PR.balanced_weights(df, "label").groupBy("label").agg(F.sum("weight").alias("w")).collect()
+    assert len(got) == 174 and all(abs(r.w - 3000 / 174) < 1e-6 for r in got)
+
+
+def test_rows_without_entity_stay(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, None), (1, 4.0), (1, None), (2, None)], "id int, x double")
+    got = sorted((r.id or 0, r.x) for r in I.fill_entity_mean(df, "id", ["x"]).collect())
+    assert got == [(0, 1.0), (0, 1.0), (1, 4.0), (1, 4.0), (2, 2.5)]
+
+
+def test_neighbours_of_negative_zero(spark):
+    donors = spark.createDataFrame([(1, 0.0, 7.0), (2, 9.0, 70.0)], "id int, a double, b double")
+    df = spark.createDataFrame([(3, 0.0, None), (4, -0.0, None), (5, 1.0, 2.0)], "id int, a double, b double")
+    got = {r.id: r.b for r in KN.knn_impute(df, ["a", "b"], "id", donors, k=1).collect()}
+    assert got == {3: 7.0, 4: 7.0, 5: 2.0}
