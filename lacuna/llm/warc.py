@@ -31,6 +31,7 @@ from lacuna.llm.files import read_file, write_file
 from lacuna.session import new_table_path
 
 FILE_BYTES = 32 << 20
+READ_BYTES = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -72,10 +73,14 @@ def capture(page_id: int | None, url: str | None, payload: bytes, first: int | N
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of a file."""
-    while data:
-        gz = zlib.decompressobj(31)
-        raw = gz.decompress(data) + gz.flush()
-        data = gz.unused_data
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        gz, parts = zlib.decompressobj(31), []
+        while not gz.eof and at < len(data):  # a window at a time: what follows the record is not copied whole
+            window = view[at : at + READ_BYTES]
+            parts.append(gz.decompress(window))
+            at += len(window) - len(gz.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
