@@ -297,14 +297,37 @@ def test_ampute(spark):
     assert top > low + 0.1
 
 
-def test_latent_names(spark):
-    df = spark.range(10).selectExpr("id", "1.0 as a")
-    patterns = [{"incomplete_vars": ["a"], "mechanism": "MNAR(G, Y)"}, {"incomplete_vars": ["a"], "mechanism": "MNAR(yule)", "weights": [0]}]
-    out, new, added = A.add_latent(df, patterns, "id", 0)
-    assert added == ["latent_p0_g0", "latent_p0_y1", "latent_p1_yule0"]
-    assert new[0]["weights"] == {"latent_p0_g0": 1, "latent_p0_y1": 1} and new[1]["weights"] == [0, 1]
-    assert new[0]["mechanism"] == "MNAR" and "weights" not in patterns[0]
-    assert len(A.scenario_grid(["a"], ["b"])) == 10
+def test_patterns():
+    given = [{"incomplete_vars": ["a"], "mechanism": "MNAR(G, Y)"}, {"incomplete_vars": ["a"], "mechanism": "MNAR(yule)", "weights": [0]}]
+    first, second = (A.Pattern.parse(p, i, ["a"]) for i, p in enumerate(given))
+    assert [x.column for p in (first, second) for x in p.latents] == ["latent_p0_g0", "latent_p0_y1", "latent_p1_yule0"]
+    assert [x.distribution for x in first.latents] == ["normal", "yulesimon"]
+    assert first.weights == {"latent_p0_g0": 1, "latent_p0_y1": 1} and second.weights == {"latent_p1_yule0": 1}
+    assert given == [{"incomplete_vars": ["a"], "mechanism": "MNAR(G, Y)"}, {"incomplete_vars": ["a"], "mechanism": "MNAR(yule)", "weights": [0]}]
+    assert A.Pattern.parse({"incomplete_vars": ["a"], "mechanism": "MAR"}, 0, ["a", "b"]).weights == {"b": 1.0}
+    assert A.Pattern.parse({"incomplete_vars": ["a"], "mechanism": "MNAR"}, 0, ["a", "b"]).weights == {"a": 1.0}
+    with pytest.raises(ValueError):
+        A.Pattern.parse({"incomplete_vars": ["a"], "mechanism": "MNAR(zeta)"}, 0, ["a"])
+    assert [p["mechanism"] for p in A.scenario_grid(["a"], ["b"])] == 2 * ["MCAR", "MAR", "MNAR(G)", "MNAR(Y)", "MNAR"]
+
+
+def test_ampute_groups_and_scenarios(spark):
+    """A one-hot member takes its whole group along; scenarios are those of single calls; odd rows stay."""
+    df = spark.range(3000).selectExpr("id", "cast(id as double) as a", "id % 2 as g_x", "1 - id % 2 as g_y")
+    grid = A.scenario_grid(["a", "g_x"], ["a"])
+    out = A.ampute_scenarios(df, 0.3, grid, "id", ["a", "g_x", "g_y"], groups={"g": ["g_x", "g_y"]})
+    shares = out.groupBy("scenario").agg(
+        F.avg(F.expr("cast(a IS NULL AND g_x IS NULL AND g_y IS NULL as double)")).alias("all"),
+        F.avg(F.expr("cast(a IS NULL OR g_x IS NULL OR g_y IS NULL as double)")).alias("any"),
+    ).collect()
+    assert len(shares) == 10 and all(r["all"] == r["any"] and abs(r["all"] - 0.3) < 0.04 for r in shares)
+    one = A.ampute(df, 0.3, [grid[3]], "id", ["a", "g_x", "g_y"], 30_000, {"g": ["g_x", "g_y"]})
+    assert out.filter("scenario = 3").drop("scenario").exceptAll(one).count() == 0
+    odd = spark.createDataFrame([(None, 1.0, 2.0), (1, None, 2.0)], "id long, a double, b double")
+    pattern = {"incomplete_vars": ["a"], "mechanism": "MNAR"}
+    kept = A.ampute(odd, 0.5, [pattern], "id", ["a", "b"])
+    assert kept.filter("id IS NULL AND a = 1.0").count() == 1 and kept.count() == 2
+    assert A.ampute(odd.limit(0), 0.5, [pattern], "id", ["a", "b"]).count() == 0
 
 
 def test_autoencoder_gradient():
