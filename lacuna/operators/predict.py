@@ -56,13 +56,18 @@ def fit_predict(
 
 
 def tune(df: DataFrame, features: list[str], kind: str, grid: list[dict], label="label", split="split", seed=0):
-    """Fit each candidate on train, keep the best average precision on val, refit on both."""
-    best, best_score = None, None
+    """Fit each candidate on train, keep the best average precision on val, refit on both.
+
+    Without positives in val no candidate has a score, and the first one is kept, as on ties.
+    """
+    if not grid:
+        raise ValueError("tuning needs a candidate")
+    best, best_score = grid[0], None
     for params in grid:
         scored = fit_predict(df, features, kind, label, split, ("train",), seed, **params)
         val = scored.filter(F.col(split) == "val")
         score = average_precision(val, label).first()[0]
-        if best_score is None or score > best_score:
+        if score is not None and (best_score is None or score > best_score):
             best, best_score = params, score
     return best, fit_predict(df, features, kind, label, split, ("train", "val"), seed, **best)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators.ranking import running_sums
-from lacuna.session import broadcast_if_small
+from lacuna.session import materialize
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,8 +91,6 @@ def _student_cdf(t: float, df: int) -> float:
 
 def student_quantile(p: float, df: int) -> float:
     """Quantile of Student's t by bisection of its distribution function."""
-    if df > 100_000:
-        df = 100_000  # equal to the normal quantile to five decimals
     lo, hi = 0.0, 1.0
     while _student_cdf(hi, df) < p:
         hi *= 2
@@ -101,26 +100,40 @@ def student_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
-MAX_SAMPLE_SIZES = 10_000
+#: Up to this many rows a quantile is found by bisection, beyond it by expansion (error below 1e-12).
+EXACT_QUANTILES = 1_000
+
+
+def _quantile_expansion(p: float, df: Column) -> Column:
+    """Quantile of Student's t as the normal one plus four powers of 1 / df (Abramowitz and Stegun, 26.7.5)."""
+    z = NormalDist().inv_cdf(p)
+    powers = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    total = F.lit(z)
+    for k, a in enumerate(powers, start=1):
+        total = total + a / F.pow(df.cast("double"), F.lit(float(k)))
+    return total
 
 
 def t_ci(df: DataFrame, keys: list[str], value: str = "val", level: float = 0.95) -> DataFrame:
     """mean and half width ``sem * t((1 + level) / 2, n - 1)`` per group.
 
-    Quantiles are needed per distinct group size only; those sizes are few, and their number is
-    checked before they are collected.
+    Quantiles of groups of at most ``EXACT_QUANTILES`` rows come from a table of those sizes, larger
+    groups take the expansion. A group of one row has no half width.
     """
     stats = df.groupBy(*keys).agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")
     )
-    capped = F.least(F.col("n"), F.lit(100_001))
-    sizes = [r[0] for r in stats.select(capped).distinct().limit(MAX_SAMPLE_SIZES + 1).collect()]
-    if len(sizes) > MAX_SAMPLE_SIZES:
-        raise ValueError("too many different group sizes")
-    rows = [(n, student_quantile((1 + level) / 2, n - 1)) for n in sizes if n > 1] or [(2, 12.7)]
+    sizes = stats.filter(F.col("n").between(2, EXACT_QUANTILES)).select("n").distinct().collect()
+    rows = [(n, student_quantile((1 + level) / 2, n - 1)) for (n,) in sizes]
     table = df.sparkSession.createDataFrame(rows, "__n bigint, q double")
-    joined = stats.join(F.broadcast(table), capped == F.col("__n"), "left")
-    half = F.col("sd") / F.sqrt("n") * F.col("q")
+    joined = stats.join(F.broadcast(table), F.col("n") == F.col("__n"), "left")
+    beyond = F.when(F.col("n") > EXACT_QUANTILES, _quantile_expansion((1 + level) / 2, F.col("n") - 1))
+    half = F.col("sd") / F.sqrt("n") * F.coalesce("q", beyond)
     return joined.select(*keys, "mean", half.alias("half_width"))
 
 
@@ -212,18 +225,25 @@ def average_precision(
 def classification_report(
     scored: DataFrame, label="label", pred="pred", prob="prob", by: list[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """All ten scores per group as long rows: metric_name, val."""
-    w = F.col(weight) if weight else F.lit(1)
+    """All ten scores per group as long rows: metric_name, val.
+
+    The input is read once: every score follows from counts per distinct (group, score, class, label).
+    """
+    w = F.col(weight) if weight else F.lit(1).cast("bigint")
+    counts = scored.groupBy(*by, label, pred, prob).agg(F.sum(w).alias("__w"))
+    scored, weight = materialize(counts, "score-counts"), "__w"
     parts = confusion_metrics(scored, label, pred, by, weight)
     err = F.pow(F.col(prob) - F.col(label), F.lit(2.0))
-    extra = scored.groupBy(*by).agg((F.sum(err * w) / F.sum(w)).alias("brier_score"))
+    extra = scored.groupBy(*by).agg((F.sum(err * F.col(weight)) / F.sum(weight)).alias("brier_score"))
     tables = [
         extra,
         roc_auc(scored, label, prob, by, weight),
         average_precision(scored, label, prob, by, weight),
     ]
-    for t in tables:
-        parts = parts.join(broadcast_if_small(t), list(by)) if by else parts.crossJoin(F.broadcast(t))
+    for t in tables:  # one row a group; a crossed table is a single row
+        t = t.withColumnsRenamed({c: f"__{c}" for c in by})
+        keys = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+        parts = parts.join(t, keys).drop(*[f"__{c}" for c in by]) if by else parts.crossJoin(t)
     names = [c for c in parts.columns if c not in by]
     rows = F.array(*[F.struct(F.lit(c).alias("metric_name"), F.col(c).cast("double").alias("val")) for c in names])
     return parts.select(*by, F.inline(rows))

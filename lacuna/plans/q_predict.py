@@ -34,17 +34,17 @@ def predict_lr(spark, d):
 
 @query()
 def predict_rf(spark, d):
-    return _scored(spark, d, "rf", numTrees=5, maxDepth=3)
+    return _scored(spark, d, "rf")
 
 
 @query()
 def predict_gbt(spark, d):
-    return _scored(spark, d, "gbt", maxIter=5)
+    return _scored(spark, d, "gbt")
 
 
 @query()
 def predict_mlp(spark, d):
-    return _scored(spark, d, "mlp", maxIter=5)
+    return _scored(spark, d, "mlp")
 
 
 def _feat(c: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lacuna.operators import impute_simple as I
@@ -272,16 +274,14 @@ def holdout_folds(spark, d):
     return SP.holdout_folds(T.mixed(spark, d)).select("id", "fold")
 
 
-B = 20
+B = 99
 _MIX_CW = "round({a} + {b}, 6) AS mixed_error"
 
 
 def _draws_sql(n: str, b: int, seed: int = 0) -> str:
-    return (
-        f"draws AS (SELECT replicate, ({S.h('xor(salt, i)')} * {n}) // 4294967296 AS j "
-        f"FROM (SELECT r AS replicate, {S.h(f'r + {seed}')} AS salt FROM range(0, {b}) t(r)) b, "
-        f"(SELECT unnest(range(0, {n})) AS i) i)"
-    )
+    salts = f"SELECT r AS replicate, {S.h(f'r + {seed}')} AS salt FROM range(0, {b}) t(r)"
+    numbers = f"SELECT replicate, salt, i, {n} AS n FROM ({salts}), (SELECT unnest(range(0, {n})) AS i)"
+    return f"draws AS (SELECT replicate, j FROM {S.drawn_rows(f'({numbers})')})"
 
 
 @query(
@@ -300,14 +300,31 @@ def bootstrap_metric(spark, d):
     return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 
 
-@query()
+def _poisson_sql(replicates: int) -> str:
+    """Rows of ``terms`` repeated as often as each replicate draws them."""
+    upto, total = [], 0.0
+    for k in range(13):  # the distribution function of Poisson(1)
+        total += math.exp(-1) / math.factorial(k)
+        upto.append(total)
+    times = " + ".join(f"CASE WHEN u >= {x!r}::DOUBLE THEN 1 ELSE 0 END" for x in upto)
+    salts = f"SELECT r AS replicate, {S.h('salt')} AS high FROM (SELECT r, {S.h('r')} AS salt FROM range(0, {replicates}) t(r))"
+    draws = f"SELECT terms.*, replicate, {S.u('xor(high, id)')} AS u FROM terms, ({salts})"
+    return f"drawn AS (SELECT *, unnest(range(0, {times})) FROM ({draws}))"
+
+
+@query(
+    f"""WITH {_TERMS}, {_poisson_sql(99)}
+    SELECT CAST(replicate AS INTEGER) AS replicate, round({_metric_sql('se', 'CW', 'missingonly')}
+      + {_metric_sql('w', 'CW', 'missingonly')}, 6) AS mixed_error FROM drawn GROUP BY replicate"""
+)
 def poisson_bootstrap(spark, d):
     """The single-pass form of the same, for 99 replicates."""
     terms = M.wide_terms(CODED)
     wide = scoring_frame(spark, d).select("id", *[c.alias(k) for k, c in terms.items()])
     sums = SP.poisson_sums(wide, "id", list(terms), 99)
     long = M.metrics_long(M.states_from_wide(sums, CODED, ["replicate"]), ["replicate"])
-    return M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
+    picked = M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
+    return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 
 
 @query(

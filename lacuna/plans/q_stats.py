@@ -143,9 +143,26 @@ def percentile_ci(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("lower", "upper")})
 
 
-@query()
+# Student's t for whole degrees of freedom as finite sums of powers of a cosine; inverted by bisection.
+_T_AREA = """CASE WHEN nu % 2 = 1 THEN 2 / pi() * (theta + sin(theta) * list_sum(list_transform(range(0, (nu - 1) // 2),
+    lambda k: exp(lgamma(k + 1) + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * pow(cos(theta), 2 * k + 1))))
+  ELSE sin(theta) * list_sum(list_transform(range(0, nu // 2),
+    lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1)) * pow(cos(theta), 2 * k))) END"""
+
+
+@query(
+    f"""WITH RECURSIVE {S.LOG}, g AS (SELECT method, mechanism, split, avg(val) AS mean, stddev_samp(val) AS sd, count(*) AS n
+      FROM ({_CELLS}) GROUP BY 1, 2, 3),
+    q AS (SELECT DISTINCT (n - 1)::BIGINT AS nu, 0 AS step, 0::DOUBLE AS lo, 50::DOUBLE AS hi FROM g WHERE n > 3 UNION ALL
+      SELECT nu, step + 1, CASE WHEN area < 0.95 THEN mid ELSE lo END, CASE WHEN area < 0.95 THEN hi ELSE mid END
+      FROM (SELECT *, {_T_AREA} AS area FROM (SELECT *, (lo + hi) / 2 AS mid, atan((lo + hi) / 2 / sqrt(nu)) AS theta FROM q))
+      WHERE step < 60)
+    SELECT method, mechanism, split, round(mean, 6) AS mean, round(sd / sqrt(n) * (lo + hi) / 2, 6) AS half_width
+    FROM g LEFT JOIN q ON nu = n - 1 AND step = 60"""
+)
 def t_ci(spark, d):
-    return ST.t_ci(_rmse_by_method(spark, d), ["method", "mechanism", "split"])
+    out = ST.t_ci(_rmse_by_method(spark, d), ["method", "mechanism", "split"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "half_width")})
 
 
 def _moments(keys: str) -> str:
@@ -192,6 +209,7 @@ _COUNTS = """sum(CASE WHEN label = 1 AND pred = 1 THEN {w} ELSE 0 END)::BIGINT A
   sum(CASE WHEN label = 1 AND pred = 0 THEN {w} ELSE 0 END)::BIGINT AS fn"""
 _PRF = """round(tp / (tp + fp), 6) AS precision_score, round(tp / (tp + fn), 6) AS recall_score,
   round(2 * tp / (2 * tp + fp + fn), 6) AS f1_score"""
+_TEN = ["TP", "TN", "FP", "FN", "precision_score", "recall_score", "f1_score", "brier_score", "roc_auc", "average_precision"]
 
 
 @query(
@@ -234,28 +252,44 @@ def average_precision(spark, d):
 
 @query(
     f"""WITH {SCORED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS row_no FROM scored),
-    d AS (SELECT replicate, l, ({S.h('xor(salt, i)')} * n) // 4294967296 AS j
-      FROM (SELECT r AS replicate, l, n, {S.h('r + l * 1000000')} AS salt FROM range(0, 20) t(r),
-        (SELECT label AS l, count(*) AS n FROM scored GROUP BY 1)) b,
+    b AS (SELECT replicate, l, n, salt, i FROM (SELECT r AS replicate, l, n, {S.h('r + l * 1000000')} AS salt
+        FROM range(0, 99) t(r), (SELECT label AS l, count(*) AS n FROM scored GROUP BY 1)),
         (SELECT unnest(range(0, (SELECT count(*) FROM scored))) AS i) WHERE i < n),
+    d AS (SELECT replicate, l, j FROM {S.drawn_rows('b')}),
     s AS (SELECT replicate, label, prob, pred FROM numbered JOIN d ON label = l AND row_no = j),
-    c AS (SELECT replicate, {_COUNTS.format(w=1)}, avg(pow(prob - label, 2)) AS br FROM s GROUP BY 1)
-    SELECT CAST(replicate AS INTEGER) AS replicate, tp AS "TP", tn AS "TN", fp AS "FP", fn AS "FN", {_PRF}, round(br, 6) AS brier_score FROM c"""
+    c AS (SELECT replicate, {_COUNTS.format(w=1)}, avg(pow(prob - label, 2)) AS br FROM s GROUP BY 1),
+    g AS (SELECT replicate, prob, sum(label) AS pos, count(*) - sum(label) AS neg FROM s GROUP BY 1, 2),
+    u AS (SELECT *, sum(pos) OVER w AS up, sum(neg) OVER w AS un FROM g WINDOW w AS (PARTITION BY replicate ORDER BY prob DESC)),
+    a AS (SELECT replicate, sum(pos * up / (up + un)) / sum(pos) AS ap,
+      1 - sum(pos * (un - neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM u GROUP BY 1),
+    w AS (SELECT CAST(replicate AS INTEGER) AS replicate, tp AS "TP", tn AS "TN", fp AS "FP", fn AS "FN", {_PRF}, br AS brier_score,
+      auc AS roc_auc, ap AS average_precision FROM c JOIN a USING (replicate))
+    """ + " UNION ALL ".join(f"""SELECT replicate, '{m}' AS metric_name, round("{m}"::DOUBLE, 6) AS val FROM w""" for m in _TEN)
 )
 def bootstrap_predict(spark, d):
-    drawn = SP.stratified_bootstrap(scored(spark, d), "id", "label", 20)
-    parts = ST.confusion_metrics(drawn, by=["replicate"], weight="times")
-    w = F.col("times")
-    err = F.pow(F.col("prob") - F.col("label"), F.lit(2.0))
-    br = drawn.groupBy("replicate").agg((F.sum(err * w) / F.sum(w)).alias("brier_score"))
-    out = parts.join(br, "replicate")
-    names = ("precision_score", "recall_score", "f1_score", "brier_score")
-    return out.withColumns({c: F.round(c, 6) for c in names})
+    """All ten scores of 99 replicates, drawn within each label."""
+    drawn = SP.stratified_bootstrap(scored(spark, d), "id", "label", 99)
+    out = ST.classification_report(drawn, by=["replicate"], weight="times")
+    return out.withColumn("val", F.round("val", 6))
 
 
-@query()
+
+@query(
+    f"""WITH {SCORED}, c AS (SELECT split, {_COUNTS.format(w=1)}, avg(pow(prob - label, 2)) AS br FROM scored GROUP BY split),
+    {_RANKS.format(k='split')}, s AS (SELECT split, sum(mid) FILTER (WHERE label = 1) AS rs,
+      count(*) FILTER (WHERE label = 1) AS np, count(*) FILTER (WHERE label = 0) AS nn FROM r GROUP BY split),
+    g AS (SELECT split, prob, sum(label) AS pos, count(*) AS n FROM scored GROUP BY 1, 2),
+    u AS (SELECT *, sum(pos) OVER (PARTITION BY split ORDER BY prob DESC) AS up,
+      sum(n) OVER (PARTITION BY split ORDER BY prob DESC) AS seen FROM g),
+    ap AS (SELECT split, sum(pos * up / seen) / sum(pos) AS ap FROM u GROUP BY split),
+    w AS (SELECT split, tp AS "TP", tn AS "TN", fp AS "FP", fn AS "FN", {_PRF}, br AS brier_score,
+      (rs - np * (np + 1) / 2.0) / (np::DOUBLE * nn) AS roc_auc, ap AS average_precision
+      FROM c JOIN s USING (split) JOIN ap USING (split))
+    """ + " UNION ALL ".join(f"""SELECT split, '{m}' AS metric_name, round("{m}"::DOUBLE, 6) AS val FROM w""" for m in _TEN)
+)
 def classification_report(spark, d):
-    return ST.classification_report(scored(spark, d), by=["split"])
+    out = ST.classification_report(scored(spark, d), by=["split"])
+    return out.withColumn("val", F.round("val", 6))
 
 
 _RUN = "run_id, split, step"

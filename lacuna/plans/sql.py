@@ -35,6 +35,14 @@ def key(column: str, stream: int) -> str:
     return f"xor({column}, {salt(stream)})"
 
 
+def drawn_rows(source: str) -> str:
+    """``source`` (salt, i, n) with the row number ``j`` in [0, n) that draw ``i`` takes: 53 bits of it."""
+    hi = f"SELECT *, {h('xor(salt, i >> 32)')} AS hi FROM {source}"
+    a = f"SELECT *, {h('xor(hi, i % 4294967296)')} AS a FROM ({hi})"
+    b = f"SELECT *, {h(f'xor(a, {salt(53)})')} AS b FROM ({a})"
+    return f"(SELECT *, least(floor(((a >> 5) * 67108864 + (b >> 6)) / 9007199254740992::DOUBLE * n), n - 1)::BIGINT AS j FROM ({b}))"
+
+
 def _nulls(c: str, i: int) -> str:
     return f"CASE WHEN {u(key('id', 100 + i))} >= 0.2 THEN {c} END AS {c}"
 
