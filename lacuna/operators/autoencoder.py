@@ -14,11 +14,14 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.hashing import salt, stream_key, uniform, with_uniform53
 from lacuna.operators.encode import binary_threshold, onehot_threshold
 from lacuna.operators.impute_simple import warm_start
+from lacuna.operators.ranking import grouped_rank
 from lacuna.schema import FeatureSchema
 from lacuna.session import materialize
 
@@ -34,6 +37,7 @@ PRESETS: dict[str, dict] = {
     "dae_mvec": {"dropout_corruption": 0.2, "replace_nan_with": 0, "loss": "BCE", "optimizer": "sgd", "activation": "sigmoid"},
     "vae_ifac": {"variational": True, "loss": "CEMSE", "activation": "relu", "replace_nan_with": 0},
 }
+SWAP_STREAM = 4_000
 KL_WEIGHT = 0.1
 EPSILON = 1e-10
 
@@ -267,7 +271,7 @@ class AutoencoderImputer:
             start = shared.value
             w, rows, val_sum, val_rows = start.copy(), 0, 0.0, 0
             m1, m2, step = np.zeros_like(w), np.zeros_like(w), 0
-            rng = np.random.default_rng(seed + 7919 * epoch)
+            rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
             for batch in batches:
                 part = np.asarray(batch.column(split).to_pylist())
                 x, t, s = (_matrix(batch, [f"{k}{i}" for i in range(n)]) for k in "xts")
@@ -351,23 +355,26 @@ class AutoencoderImputer:
         return AutoencoderImputer(FeatureSchema.from_json(r["schema"]), weights=r["weights"], **json.loads(r["config"]))
 
 
-def swap_noise(df: DataFrame, columns: list[str], p: float, seed: int = 0) -> DataFrame:
+def swap_noise(df: DataFrame, columns: list[str], p: float, id_col: str = "id", seed: int = 0) -> DataFrame:
     """Table form of the swap: a cell takes, with probability p, its column's value in another row.
 
-    Batches are shuffled by the scan; the swap happens within an Arrow batch.
+    Whether and with which row number is drawn from a hash of the id, so any engine, partitioning
+    and retry gives the same table. Only swapped cells are shuffled. Ids have to be distinct; rows
+    without an id stay as they are.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
-        for b in batches:
-            cols = []
-            for name in b.schema.names:
-                col = b.column(name)
-                if name in columns:
-                    at = np.arange(b.num_rows)
-                    at = np.where(rng.random(len(at)) < p, rng.integers(0, max(1, len(at)), len(at)), at)
-                    col = col.take(pa.array(at))
-                cols.append(col)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-    return df.mapInArrow(run, df.schema)
+    rows = materialize(df, "swap-input")
+    n = rows.count()
+    numbered = grouped_rank(rows.withColumn("__all", F.lit(0)), ["__all"], id_col, "__rn")
+    cells, swapped = [], []
+    for j in range(len(columns)):
+        numbered = with_uniform53(numbered, id_col, F.lit(salt(seed + SWAP_STREAM + 2 * j + 1)), f"__u{j}")
+        swapped.append(uniform(stream_key(F.col(id_col), seed + SWAP_STREAM + 2 * j)) < p)
+        partner = F.least(F.floor(F.col(f"__u{j}") * float(n)), F.lit(n - 1)).cast("bigint") + 1
+        cells.append(F.struct(F.lit(j).alias("pos"), F.when(swapped[j], partner).alias("partner")))
+    wanted = numbered.select("__rn", F.inline(F.array(*cells))).filter("partner IS NOT NULL")
+    values = numbered.select(F.col("__rn").alias("partner"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("v"))
+    taken = wanted.join(values, "partner").groupBy("__rn").agg(
+        *[F.max(F.when(F.col("pos") == j, F.col("v")[c])).alias(f"__s{j}") for j, c in enumerate(columns)]
+    )
+    out = {c: F.when(swapped[j], F.col(f"__s{j}")).otherwise(F.col(f"`{c}`")) for j, c in enumerate(columns)}
+    return numbered.join(taken, "__rn", "left").withColumns(out).select(*[f"`{c}`" for c in df.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lacuna.functions.hashing import salt
 from lacuna.operators.autoencoder import AutoencoderImputer
 from lacuna.operators.autoencoder import swap_noise as swap
 from lacuna.operators.discretize import mdl_bins as fit_mdl
@@ -56,20 +57,46 @@ def impute_knn(spark, d):
     return out.select("id", *[F.round(c, 6).alias(c) for c in CTN])
 
 
-@query()
+_CATS = ["recent", "priority", "segment"]
+
+
+def _nearest_code_sql(f: str) -> str:
+    """One neighbour per distinct vector, ties to the smaller code."""
+    both = {c: f"(q.{c} IS NOT NULL AND x.{c} IS NOT NULL)" for c in _CATS if c != f}
+    dist = " + ".join(f"CASE WHEN {b} THEN (q.{c} - x.{c}) * (q.{c} - x.{c}) ELSE 0 END" for c, b in both.items())
+    n = " + ".join(f"CASE WHEN {b} THEN 1 ELSE 0 END" for b in both.values())
+    keys = ", ".join(f"q.{c}" for c in _CATS)
+    return (
+        f"n_{f} AS (SELECT {keys}, arg_min(x.{f}, (({dist}) * 3::DOUBLE / ({n}), x.{f})) AS fill "
+        f"FROM (SELECT DISTINCT {', '.join(_CATS)} FROM cd) q JOIN (SELECT DISTINCT {', '.join(_CATS)} FROM cd WHERE split = 'train') x "
+        f"ON q.{f} IS NULL AND x.{f} IS NOT NULL AND ({' OR '.join(both.values())}) GROUP BY {keys})"
+    )
+
+
+def _same(f: str) -> str:
+    return " AND ".join(f"cd.{c} IS NOT DISTINCT FROM n_{f}.{c}" for c in _CATS)
+
+
+@query(
+    f"WITH {S.MIXED}, seg AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)), "
+    f"cd AS (SELECT id, split, recent, CAST(priority AS INTEGER) - 1 AS priority, code AS segment FROM mixed LEFT JOIN seg ON segment = s), "
+    f"{', '.join(map(_nearest_code_sql, _CATS))}, m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in _CATS)} FROM cd WHERE split = 'train') "
+    f"SELECT cd.id, " + ", ".join(f"coalesce(cd.{c}::DOUBLE, n_{c}.fill::DOUBLE, round(m_{c}, 6)) AS {c}" for c in _CATS)
+    + " FROM cd CROSS JOIN m " + " ".join(f"LEFT JOIN n_{c} ON {_same(c)}" for c in _CATS)
+)
 def impute_knn_categorical(spark, d):
     """One nearest neighbour on category codes; distinct code vectors are few."""
     df = T.mixed_pair(spark, d).select("id", "split", "data.recent", "data.priority", "data.segment")
-    cats = ["recent", "priority", "segment"]
-    return knn_impute(df, cats, "id", train(df), k=1).select("id", *cats)
+    cats = _CATS
+    return knn_impute(df, cats, "id", train(df), k=1).select("id", *[F.round(c, 6).alias(c) for c in cats])
 
 
 @query()
 def impute_mice(spark, d):
-    """Three rounds of ridge regressions on the scaled numeric columns."""
+    """Rounds of ridge regressions on the scaled numeric columns, until they settle or ten are done."""
     df = T.mixed(spark, d).select("id", "split", *CTN)
     scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
-    model = ChainedImputer.fit(train(scaled), "id", CTN, max_iter=3)
+    model = ChainedImputer.fit(train(scaled), "id", CTN, max_iter=10)
     return model.transform(scaled)
 
 
@@ -140,6 +167,19 @@ def ae_transform_keeps_observed(spark, d):
     return both.agg(F.count(F.lit(1)).alias("n"), F.sum(changed).alias("changed"), F.sum(missing).alias("missing"))
 
 
-@query()
+def _swap_sql(j: int, c: str) -> str:
+    numbers = f"(SELECT id, {salt(4001 + 2 * j)}::BIGINT AS salt, id AS i, (SELECT count(*) FROM numbered) AS n FROM mixed_truth)"
+    return (
+        f"s{j} AS (SELECT d.id, x.{c} AS v FROM {S.drawn_rows(numbers)} d JOIN numbered x ON x.row_no = d.j "
+        f"WHERE {S.u(S.key('d.id', 4000 + 2 * j))} < 0.3)"
+    )
+
+
+@query(
+    f"WITH {S.TRUTH}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_no FROM mixed_truth), "
+    + ", ".join(_swap_sql(j, c) for j, c in enumerate(CTN))
+    + " SELECT t.id, " + ", ".join(f"CASE WHEN s{j}.id IS NULL THEN t.{c} ELSE s{j}.v END AS {c}" for j, c in enumerate(CTN))
+    + " FROM mixed_truth t " + " ".join(f"LEFT JOIN s{j} ON t.id = s{j}.id" for j in range(len(CTN)))
+)
 def swap_noise(spark, d):
     return swap(T.mixed_truth(spark, d).select("id", *CTN), CTN, 0.3)

@@ -8,13 +8,25 @@ from lacuna.functions.hashing import stream_key, uniform
 from lacuna.operators.knn import knn_impute
 from lacuna.operators.reshape import flatten_panel
 from lacuna.operators.transforms import MinMaxScaler
+from lacuna.plans import sql as S
 from lacuna.plans import tables as T
 from lacuna.plans.registry import query
 from lacuna.session import materialize
 from lacuna.streaming.incremental import apply_fitted, read_stream
 
 
-@query()
+@query(
+    f"""WITH {S.PANEL}, days AS (SELECT unnest(range(0, (SELECT max(t) FROM panel) + 1)) AS t),
+    users AS (SELECT user_id, (avg(view) > avg(click))::INTEGER::DOUBLE AS label FROM panel GROUP BY 1),
+    seqs AS (SELECT u.user_id, list(coalesce(p.click, -1) ORDER BY d.t) AS s FROM users u CROSS JOIN days d
+      LEFT JOIN panel p ON p.user_id = u.user_id AND p.t = d.t GROUP BY 1),
+    known AS (SELECT user_id, s, CASE WHEN {S.u(S.key('user_id', 60))} < 0.6 THEN label END AS label FROM users JOIN seqs USING (user_id)),
+    near AS (SELECT q.user_id, min({{'d': list_sum(list_transform(list_zip(q.s, x.s), lambda e: (e[1] - e[2]) * (e[1] - e[2])))
+      * (len(q.s) + 1) / len(q.s), 'v': x.label}}, 5) AS five
+      FROM known q JOIN known x ON q.label IS NULL AND x.label IS NOT NULL GROUP BY 1)
+    SELECT user_id, p AS prob, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS pred FROM (SELECT k.user_id,
+      round(coalesce(k.label, list_avg(list_transform(five, lambda e: e.v))), 6) AS p FROM known k LEFT JOIN near USING (user_id))"""
+)
 def predict_knn_ts(spark, d):
     """Nearest-neighbour classification of padded sequences: the label is the value to fill."""
     panel = T.panel(spark, d)
@@ -28,7 +40,7 @@ def predict_knn_ts(spark, d):
     known = F.when(uniform(stream_key(F.col("user_id"), 60)) < 0.6, F.col("label"))
     train = table.withColumn("label", known).filter("label IS NOT NULL")
     scored = knn_impute(table.withColumn("label", known), [*steps, "label"], "user_id", train, k=5)
-    return scored.select("user_id", F.col("label").alias("prob"), (F.col("label") >= 0.5).cast("int").alias("pred"))
+    return scored.select("user_id", F.round("label", 6).alias("prob"), (F.col("label") >= 0.5).cast("int").alias("pred"))
 
 
 @query("""WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)

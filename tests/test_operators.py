@@ -330,6 +330,28 @@ def test_ampute_groups_and_scenarios(spark):
     assert A.ampute(odd.limit(0), 0.5, [pattern], "id", ["a", "b"]).count() == 0
 
 
+def test_swap_noise(spark):
+    df = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else i * 10) for i in range(400)] + [(None, -1.0, -1)], "id long, a double, b long")
+    out = {r.id: r for r in AE.swap_noise(df, ["a", "b"], 0.3).collect()}
+    assert len(out) == 401 and out[None].a == -1.0 and out[None].b == -1
+    changed = sum(out[i].a != i for i in range(400))
+    assert 80 < changed < 160 and all(out[i].a in range(-1, 400) for i in range(400))
+    assert out == {r.id: r for r in AE.swap_noise(df.repartition(7), ["a", "b"], 0.3).collect()}
+    assert AE.swap_noise(df.limit(0), ["a", "b"], 0.3).count() == 0
+
+
+def test_tune_without_positives(spark):
+    rows = [(i, float(i % 7), i % 2 if i % 3 else 0, "val" if i % 3 == 0 else "train") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, label int, split string")
+    best, scored = PR.tune(df, ["x"], "lr", [{"regParam": 0.1}, {"regParam": 1.0}])
+    assert best == {"regParam": 0.1} and scored.count() == 60
+
+
+def test_student_expansion(spark):
+    got = spark.range(1000, 1003).select(ST._quantile_expansion(0.975, F.col("id"))).collect()
+    assert [r[0] for r in got] == pytest.approx([ST.student_quantile(0.975, n) for n in range(1000, 1003)], abs=1e-9)
+
+
 def test_autoencoder_gradient():
     rng = np.random.default_rng(0)
     for variational in (False, True):
