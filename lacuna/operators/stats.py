@@ -210,7 +210,7 @@ def roc_auc(
 def average_precision(
     scored: DataFrame, label: str = "label", prob: str = "prob", by: list[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Sum over distinct scores, from high to low, of recall gain times precision."""
+    """Sum over distinct scores, from high to low, of recall gain times precision; NULL without positives."""
     cum = running_sums(
         _by_score(scored, label, prob, by, weight),
         list(by),
@@ -218,8 +218,8 @@ def average_precision(
         {"tp": "pos", "fp": "neg"},
         descending=True,
     )
-    gain = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return cum.groupBy(*by).agg((F.sum(gain) / F.sum("pos")).alias("average_precision"))
+    gain = F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))
+    return cum.groupBy(*by).agg(F.try_divide(F.sum(gain), F.sum("pos")).alias("average_precision"))
 
 
 def classification_report(

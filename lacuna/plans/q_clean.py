@@ -84,10 +84,10 @@ FLAT = (
     + ", ".join(
         f"round(max(CASE WHEN event_type = '{e}' AND w = {w} THEN value END), 6) AS {e}_{p}_max, "
         f"CAST(count(CASE WHEN event_type = '{e}' AND w = {w} THEN value END) AS DOUBLE) AS {e}_{p}_count"
-        for e in ("click", "view")
+        for e in T.EVENT_TYPES
         for w, p in enumerate(["entry_period", "year1", "year2", "year10"])
     )
-    + " FROM (SELECT user_id, event_type, value, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 AS w"
+    + " FROM (SELECT user_id, event_type, value, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8, 3) AS w"
     " FROM events) GROUP BY user_id)"
 )
 PERIODS = ["entry_period", "year1", "year2", "year10"]
@@ -95,11 +95,11 @@ FLAT_PATTERN = r"^(?P<lab>[a-z]+)_(?P<time>entry_period|year\d+)_(?P<stat>max|co
 
 
 def flat_registry(spark, d):
-    """One wide row per user, columns ``{lab}_{time}_{stat}``."""
+    """One wide row per user, columns ``{lab}_{time}_{stat}``; the last period has no end."""
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    events = T.read(spark, d, "events").withColumn("w", F.floor(day / 8))
+    events = T.read(spark, d, "events").withColumn("w", F.least(F.floor(day / 8), F.lit(len(PERIODS) - 1)))
     cells = []
-    for e in ("click", "view"):
+    for e in T.EVENT_TYPES:
         for w, p in enumerate(PERIODS):
             v = F.when((F.col("event_type") == e) & (F.col("w") == w), F.col("value"))
             cells.append(F.round(F.max(v), 6).alias(f"{e}_{p}_max"))
@@ -109,7 +109,7 @@ def flat_registry(spark, d):
 
 @query(
     f"WITH {FLAT} SELECT user_id, "
-    + ", ".join(f"{e}_{p}_{s}" for e in ("click", "view") for p in ("year1", "year2") for s in ("max", "count"))
+    + ", ".join(f"{e}_{p}_{s}" for e in T.EVENT_TYPES for p in ("year1", "year2") for s in ("max", "count"))
     + " FROM flat"
 )
 def time_window_cols(spark, d):
@@ -120,7 +120,7 @@ def time_window_cols(spark, d):
     f"WITH {FLAT} SELECT user_id, "
     + ", ".join(
         f"{e}_{p}_{s} AS {e}_{p}_{'click_max' if (e, s) == ('click', 'max') else s}"
-        for e in ("click", "view")
+        for e in T.EVENT_TYPES
         for p in PERIODS
         for s in ("max", "count")
     )
@@ -236,7 +236,7 @@ def value_map(spark, d):
 
 
 @query(
-    f"""WITH {FLAT} SELECT user_id, click_year1_max, click_year1_count, view_year1_max, view_year1_count
+    f"""WITH {FLAT} SELECT user_id, {', '.join(f'{e}_year1_{s}' for e in T.EVENT_TYPES for s in ('max', 'count'))}
     FROM flat WHERE click_entry_period_count = 1"""
 )
 def prepare_adhoc(spark, d):

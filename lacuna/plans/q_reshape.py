@@ -84,7 +84,7 @@ def uncombine_onehots(spark, d):
 
 _LONG = " UNION ALL ".join(
     f"SELECT user_id, '{p}' AS time, "
-    + ", ".join(f"{e}_{p}_{s} AS {e}_{s}" for e in ("click", "view") for s in ("count", "max"))
+    + ", ".join(f"{e}_{p}_{s} AS {e}_{s}" for e in T.EVENT_TYPES for s in ("count", "max"))
     + " FROM flat"
     for p in PERIODS
 )
