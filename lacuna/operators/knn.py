@@ -1,96 +1,182 @@
 """Exact nearest-neighbour imputation over partially missing vectors, without all-pairs joins.
 
 Distance is Euclidean over the coordinates both vectors have, scaled up by the share of missing
-ones. Donors and queries are bucketed into grid cells by missing pattern and value. Bounding boxes
-of the cells give, for every query cell, an upper bound on the distance of its k-th neighbour; only
-donor cells whose lower bound does not exceed it are compared. Nothing else is pruned, so the result
-is exact. Equal vectors are compared once. Large cells are cut into chunks, so a unit of work has a
-bounded size whatever the skew.
+ones. Equal vectors are compared once. Donors and queries fall into dyadic cells by missing pattern
+and by value, and bounding boxes of the cells bound all distances between two cells:
+
+1. Pairs of cells are refined level by level, from a few hundred cells a side to the leaves. At each
+   level an aggregate finds how far the k-th neighbour of a query cell can be, and pairs that lie
+   farther go. Every level is one join of the surviving pairs with the children of their cells.
+2. The pairs that are left bound the k-th neighbour of each single query in the same way. The query
+   is compared with the donors of its most promising cell, which tightens its bound, and then with
+   those cells only that reach into it.
+
+Only what cannot matter is left out, so the result is exact. Boxes prune well while the columns that
+vary most decide the distance; over many equally important columns, most cells reach into the
+distance and the work grows with queries times donors, as for any exact method. All plans are joins;
+the driver sees the counts of at most 4**PATTERN_COLUMNS pairs of patterns and CUTS quantiles of
+GRID_DIMS columns. Donors are copied for each pattern of the queries, at most 2**PATTERN_COLUMNS. Cells too large for a task are cut into chunks by hash.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lacuna.session import broadcast_if_small, materialize
+from lacuna.session import materialize
 
-MAX_CELLS = 16384
+#: Columns whose bins make the cells (those of the greatest variance), and those whose gaps do.
 GRID_DIMS = 4
-CELL_ROWS = 256
+PATTERN_COLUMNS = 5
+#: Wanted rows of a leaf, and of a task's chunk.
+CELL_ROWS = 64
 CHUNK = 2048
+#: Quantiles per grid column; bins are finer than that by interpolation.
+CUTS = 256
+#: Cells a side with which the refinement starts.
+FIRST_CELLS = 512
+MAX_DEPTH = 20
+SLACK = 1 + 1e-9
+
+
+def _level(cell_bins: str, level: int) -> Column:
+    """Key of the cell at ``level`` that holds a leaf; leaves above that level stay themselves."""
+    up = f"transform({cell_bins}, x -> if(x < 0, x, shiftright(x, greatest(depth - {level}, 0))))"
+    return F.expr(f"concat(pattern, ':', array_join({up}, ','))")
+
+
+def _pattern(gaps: list[str]) -> Column:
+    return F.concat(F.lit(""), *[F.when(F.col(c).isNull(), "x").otherwise("o") for c in gaps])
+
 
+def _leaves(df: DataFrame, grid: dict[str, list[float]], gaps: list[str]):
+    """``df`` with its cells, and per level the number of cells at most.
 
-def _with_cell(df: DataFrame, columns: list[str], grid: dict[str, list[float]], mask_values: int) -> DataFrame:
-    """Add ``cell``: which columns are missing, and the grid bin of the gridded ones."""
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "x").otherwise("o") for c in columns])
-    if mask_values:  # too many patterns to tell apart: cells mix them and bounds become looser
-        pattern = F.pmod(F.xxhash64(pattern), F.lit(mask_values)).cast("string")
-    parts = [pattern]
+    ``asked`` is the pattern of the queries that a row is for: bins are of columns those have.
+    """
+    df = df.withColumn("pattern", F.concat_ws("/", "asked", _pattern(gaps)))
+    counts = df.groupBy("pattern").count().collect()  # at most 4 ** PATTERN_COLUMNS rows
+    dims, depth = {}, {}
+    for r in counts:
+        asked, own = r.pattern.split("/")
+        dims[r.pattern] = sum(c not in gaps or asked[gaps.index(c)] == own[gaps.index(c)] == "o" for c in grid)
+        wanted = math.log2(max(1.0, r["count"] / CELL_ROWS)) / max(1, dims[r.pattern])
+        depth[r.pattern] = min(MAX_DEPTH, math.ceil(wanted)) if dims[r.pattern] else 0
+    depths = F.create_map(*[F.lit(v) for p in depth.items() for v in p]) if depth else F.lit(None)
+    df = df.withColumn("depth", F.element_at(depths, F.col("pattern")) if depth else F.lit(0))
+    bins = []
     for c, cuts in grid.items():
-        if not cuts:
-            continue
-        splits = [float("-inf"), *cuts, float("inf")]
-        df = Bucketizer(splits=splits, inputCol=c, outputCol=f"__b_{c}", handleInvalid="keep").transform(df)
-        in_range = F.when(F.col(c).isNotNull(), F.col(f"__b_{c}").cast("int").cast("string"))
-        parts.append(F.coalesce(in_range, F.lit("x")))
-    return df.withColumn("cell", F.concat_ws(",", *parts)).drop(*[f"__b_{c}" for c in grid])
-
-
-def _directory(df: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """One row per cell: rows, copies, and per column the range and the number of missing values."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("mult").alias("mult")]
+        edges = F.array(*[F.lit(e) for e in cuts])
+        # linear between two quantiles: about uniform, so that bins hold about as many rows
+        k = F.lit(1)
+        if len(cuts) > 2:
+            splits = [float("-inf"), *cuts[1:-1], float("inf")]
+            df = Bucketizer(splits=splits, inputCol=c, outputCol=f"__k_{c}", handleInvalid="keep").transform(df)
+            k = F.col(f"__k_{c}").cast("int") + 1
+        lo, hi = F.element_at(edges, k), F.element_at(edges, k + 1)
+        within = F.least(F.greatest((F.col(c) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
+        u = (k - 1 + within) / (len(cuts) - 1)
+        size = F.expr("shiftleft(1, depth)")
+        unasked = F.substring("asked", gaps.index(c) + 1, 1) == "x" if c in gaps else F.lit(False)
+        bins.append(F.when(F.col(c).isNull() | unasked, -1).otherwise(F.least(F.floor(u * size).cast("int"), size - 1)))
+    df = df.withColumn("bins", F.array(*bins).cast("array<int>")).drop(*[f"__k_{c}" for c in grid])
+    deepest = max(depth.values(), default=0)
+    sizes = [sum(2 ** (dims[p] * min(lv, depth[p])) for p in depth) for lv in range(deepest + 1)]
+    return df.withColumn("cell", _level("bins", deepest)), sizes
+
+
+def _directory(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per leaf: rows, and per column its range, rows and copies with a value."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
-        aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-        aggs.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"gone{i}"))
-    return df.groupBy("cell").agg(*aggs).toPandas()
-
-
-def _box(d: pd.DataFrame, n: int):
-    lo = d[[f"lo{i}" for i in range(n)]].to_numpy(float)
-    hi = d[[f"hi{i}" for i in range(n)]].to_numpy(float)
-    gone = d[[f"gone{i}" for i in range(n)]].to_numpy(float)
-    rows = d["n"].to_numpy(float)[:, None]
-    return lo, hi, gone == 0, gone == rows  # ranges, all present, all missing
-
-
-def _routes(q: pd.DataFrame, d: pd.DataFrame, n: int, k: int) -> pd.DataFrame:
-    """Donor cells each query cell must be compared with. Works on cell bounds only."""
-    qlo, qhi, qfull, qnone = _box(q, n)
-    dlo, dhi, dfull, dnone = _box(d, n)
-    mult = d["mult"].to_numpy(float)
-    out_q, out_d = [], []
-    for i in range(len(q)):
-        both = qfull[i] & dfull  # coordinates surely common
-        maybe = ~qnone[i] & ~dnone  # coordinates possibly common
-        gap = np.maximum(0, np.maximum(dlo - qhi[i], qlo[i] - dhi))
-        gap = np.where(both, np.nan_to_num(gap), 0.0)
-        far = np.maximum(np.abs(dhi - qlo[i]), np.abs(qhi[i] - dlo))
-        far = np.where(both, np.nan_to_num(far), 0.0)
-        known = (both == maybe).all(axis=1) & both.any(axis=1)
-        low = (gap**2).sum(axis=1) * n / np.maximum(1, maybe.sum(axis=1))
-        high = np.where(known, (far**2).sum(axis=1) * n / np.maximum(1, both.sum(axis=1)), np.inf)
-        usable = maybe.any(axis=1)
-        wanted = np.zeros(len(d), bool)
-        for f in np.flatnonzero(~qfull[i]):
-            donors = usable & ~dnone[:, f]
-            sure = np.flatnonzero(donors & dfull[:, f] & np.isfinite(high))
-            order = sure[np.argsort(high[sure], kind="stable")]
-            reach = np.searchsorted(np.cumsum(mult[order]), k)
-            bound = high[order[reach]] if reach < len(order) else np.inf
-            wanted |= donors & (low <= bound * (1 + 1e-9) + 1e-300)
-        hits = np.flatnonzero(wanted)
-        out_q += [q["cell"].iloc[i]] * len(hits)
-        out_d += list(d["cell"].to_numpy()[hits])
-    return pd.DataFrame({"qcell": out_q, "dcell": out_d})
-
-
-def _nearest_in_unit(columns: list[str], k: int):
+        aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.count(c).alias(f"n{i}")]
+        aggs.append(F.sum(F.when(F.col(c).isNotNull(), F.col("mult")).otherwise(0)).alias(f"m{i}"))
+    return df.groupBy("cell", "asked", "pattern", "depth", "bins").agg(*aggs)
+
+
+def _nodes(leaves: DataFrame, n: int, level: int, side: str) -> DataFrame:
+    """The cells of one level: key, key of the parent, rows and an array of boxes."""
+    named = leaves.select("*", _level("bins", level).alias("key"), _level("bins", level - 1).alias("up"))
+    aggs = [F.sum("rows").alias("rows")]
+    for i in range(n):
+        aggs += [F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}")]
+        aggs += [F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"m{i}").alias(f"m{i}")]
+    boxes = _boxes(n)
+    out = named.groupBy("asked", "key", "up").agg(*aggs).select("asked", "key", "up", "rows", boxes.alias("box"))
+    return out.toDF("asked", *[f"{side}_{c}" for c in out.columns[1:]])
+
+
+def _boxes(n: int) -> Column:
+    return F.array(*[
+        F.struct(F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"))
+        for i in range(n)
+    ])
+
+
+# Per column: whether all pairs have it, whether some can, and the least and greatest gap.
+_GAPS = """zip_with(q_box, d_box, (x, y) -> named_struct(
+  'sure', int(x.n = q_rows AND y.n = d_rows), 'maybe', int(x.n > 0 AND y.n > 0),
+  'near', coalesce(pow(greatest(0D, y.lo - x.hi, x.lo - y.hi), 2), 0D),
+  'far', coalesce(pow(greatest(abs(y.hi - x.lo), abs(x.hi - y.lo)), 2), 0D)))"""
+
+
+def _sum(of: str) -> str:
+    return f"aggregate(gaps, 0D, (a, g) -> a + {of})"
+
+
+def _with_bounds(pairs: DataFrame, n: int) -> DataFrame:
+    """Add ``low`` and ``high`` bounds of all squared distances between two cells; drop pairs without any."""
+    pairs = pairs.withColumn("gaps", F.expr(_GAPS)).withColumn("some", F.expr(_sum("g.maybe"))).filter("some > 0")
+    low = f"{_sum('g.sure * g.near')} * {n} / some"
+    high = f"CASE WHEN {_sum('g.sure')} > 0 THEN {_sum('g.maybe * g.far')} * {n} / {_sum('g.sure')} ELSE double('infinity') END"
+    return pairs.withColumn("low", F.expr(low)).withColumn("high", F.expr(high)).drop("gaps", "some")
+
+
+def _reaching(limits: str) -> str:
+    """A column that some query lacks and some donor has, not farther than the limit of that column."""
+    return (
+        f"exists(zip_with(arrays_zip(q_box, d_box), {limits}, (b, r) -> "
+        f"b.q_box.n < q_rows AND b.d_box.m > 0 AND low <= r * {SLACK} + 1e-300), hit -> hit)"
+    )
+
+
+def _cell_pairs(q_leaves: DataFrame, d_leaves: DataFrame, n: int, k: int, q_sizes: list[int], d_sizes: list[int]) -> DataFrame:
+    """Pairs of leaves that may hold a neighbour, with the limit of each column."""
+    last = max(len(q_sizes), len(d_sizes)) - 1
+    first = max(lv for lv in range(last + 1) if lv == 0 or max(_at(q_sizes, lv), _at(d_sizes, lv)) <= FIRST_CELLS)
+    pairs = None
+    for level in range(first, last + 1):
+        q, d = _nodes(q_leaves, n, level, "q"), _nodes(d_leaves, n, level, "d")
+        if pairs is None:  # at most FIRST_CELLS a side, or the patterns alone
+            cand = q.join(d, "asked").withColumn("limits", F.array_repeat(F.lit(float("inf")), n))
+        else:
+            cand = pairs.join(q.drop("asked"), "q_up").join(d.drop("asked"), "d_up")
+        cand = _with_bounds(cand, n)
+        enough = [F.when(F.col("d_box")[i]["m"] >= k, F.col("high")) for i in range(n)]
+        best = cand.groupBy("q_key").agg(F.array(*[F.min(e) for e in enough]).alias("best"), F.first("limits").alias("upper"))
+        best = best.select(
+            F.col("q_key").alias("b_key"),
+            F.expr("zip_with(best, upper, (b, r) -> least(coalesce(b, r), r))").alias("tight"),
+        )
+        kept = cand.join(best, F.col("q_key") == F.col("b_key")).filter(_reaching("tight"))
+        kept = kept.select(F.col("q_key").alias("q_up"), F.col("d_key").alias("d_up"), F.col("tight").alias("limits"))
+        pairs = materialize(kept, "knn-pairs")
+    return pairs.withColumnsRenamed({"q_up": "cell", "d_up": "d_cell"})
+
+
+def _at(sizes: list[int], level: int) -> int:
+    return sizes[min(level, len(sizes) - 1)]
+
+
+def _nearest_in_unit(columns: list[str], k: int) -> Callable:
     """Distances of one chunk of queries to one chunk of donors, and the k best per missing value."""
     n = len(columns)
 
@@ -98,6 +184,7 @@ def _nearest_in_unit(columns: list[str], k: int):
         out = []
         if len(queries) and len(donors):
             q, x = queries[columns].to_numpy(float), donors[columns].to_numpy(float)
+            limits = np.array(queries["limits"].tolist(), float).reshape(len(q), n)
             mult, qid = donors["mult"].to_numpy(), queries["qid"].to_numpy()
             total, common = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
             for j in range(n):
@@ -113,6 +200,7 @@ def _nearest_in_unit(columns: list[str], k: int):
                 sub, value = dist[np.ix_(need, have)], x[have, f]
                 # The k-th smallest distance with all its ties, then the smaller values first.
                 reach = np.partition(sub, min(k, len(have)) - 1, axis=1)[:, min(k, len(have)) - 1]
+                reach = np.minimum(reach, limits[need, f] * SLACK + 1e-300)
                 row, col = np.nonzero((sub <= reach[:, None]) & np.isfinite(sub))
                 order = np.lexsort((value[col], sub[row, col], row))
                 row, col = row[order], col[order]
@@ -126,62 +214,127 @@ def _nearest_in_unit(columns: list[str], k: int):
     return compare
 
 
-def nearest_fills(
-    df: DataFrame, columns: list[str], id_col: str, donors: DataFrame, k: int, weights: str, chunk: int
-) -> DataFrame:
-    """Distinct incomplete vectors with one ``fill_{i}`` per column."""
+def _compared(pairs: DataFrame, x: DataFrame, d_leaves: DataFrame, columns: list[str], k: int, chunk: int) -> DataFrame:
+    """The k best of every (query, donor cell) of ``pairs`` (qid, d_cell, limits, columns)."""
+    sizes = pairs.groupBy("d_cell").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("qn"))
+    sizes = sizes.join(d_leaves.select(F.col("cell").alias("d_cell"), F.ceil(F.col("rows") / chunk).alias("dn")), "d_cell")
+    unit = ["d_cell", "qc", "dc"]
+    left = pairs.join(sizes, "d_cell").withColumn("qc", F.pmod(F.xxhash64("qid"), "qn"))
+    left = left.withColumn("dc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dn") - 1)))
+    right = x.withColumnRenamed("cell", "d_cell").join(sizes, "d_cell").withColumn("dc", F.pmod(F.xxhash64(*columns), "dn"))
+    right = right.withColumn("qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qn") - 1)))
+    return (
+        left.select(*unit, "qid", "limits", *columns)
+        .groupBy(*unit)
+        .cogroup(right.select(*unit, "mult", *columns).groupBy(*unit))
+        .applyInPandas(_nearest_in_unit(columns, k), "qid bigint, f int, d2 double, v double, mult bigint")
+    )
+
+
+def _prepared(df: DataFrame, columns: list[str], donors: DataFrame, k: int, chunk: int):
+    """Distinct incomplete vectors, distinct donors with their cells, and the pairs to compare."""
+    n = len(columns)
     cells = [F.col(c).cast("double").alias(c) for c in columns]
     some = F.coalesce(*columns).isNotNull()
+    lacking = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     x = donors.select(*cells).filter(some).groupBy(*columns).agg(F.count(F.lit(1)).alias("mult"))
     x = materialize(x, "knn-donors")
-    lacking = F.lit(False)
-    for c in columns:
-        lacking = lacking | F.col(c).isNull()
-    q = df.select(id_col, *cells).filter(some & lacking).groupBy(*columns)
-    q = materialize(q.agg(F.min(id_col).alias("qid"), F.count(F.lit(1)).alias("mult")), "knn-queries")
-
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "x").otherwise("o") for c in columns])
-    n, patterns = x.agg(F.count(F.lit(1)), F.count_distinct(pattern)).first()
-    q_patterns = q.agg(F.count_distinct(pattern)).first()[0]
-    mask_values = 64 if max(patterns, q_patterns) > MAX_CELLS // 4 else 0
-    patterns = mask_values or max(patterns, q_patterns, 1)
-    dims = columns[:GRID_DIMS]
-    cells_wanted = max(1, min(MAX_CELLS // patterns, n // (min(CELL_ROWS, chunk) * patterns)))
-    bins = max(1, round(cells_wanted ** (1 / len(dims))))
-    grid: dict[str, list[float]] = {}
-    if bins > 1:
-        probs = [i / bins for i in range(1, bins)]
-        found = x.approxQuantile(dims, probs, 0.01)
-        grid = {c: sorted(set(cuts)) for c, cuts in zip(dims, found)}
-    x, q = _with_cell(x, columns, grid, mask_values), _with_cell(q, columns, grid, mask_values)
-    d_dir, q_dir = _directory(x, columns), _directory(q, columns)
-    routes = _routes(q_dir, d_dir, len(columns), k)
-    spark = df.sparkSession
-    d_chunks = {c: -(-int(m) // chunk) for c, m in zip(d_dir["cell"], d_dir["n"])}
-    q_chunks = {c: -(-int(m) // chunk) for c, m in zip(q_dir["cell"], q_dir["n"])}
-    routes["dn"] = routes["dcell"].map(d_chunks).astype("int64")
-    routes["qn"] = routes["qcell"].map(q_chunks).astype("int64")
-    # Small donor cells of the same query cell share a unit of work.
-    rows = np.minimum(routes["dcell"].map(dict(zip(d_dir["cell"], d_dir["n"]))).to_numpy(float), chunk)
-    seen = pd.Series(rows).groupby(routes["qcell"].to_numpy()).cumsum().to_numpy() if len(routes) else rows
-    routes["batch"] = (seen // chunk).astype("int64")
-    per_unit = routes.groupby(["qcell", "batch"], as_index=False)[["dn", "qn"]].max()
-    units = spark.createDataFrame(per_unit, "qcell string, batch bigint, dn bigint, qn bigint")
-    routes = spark.createDataFrame(routes, "qcell string, dcell string, dn bigint, qn bigint, batch bigint")
-
-    hashed = F.xxhash64(*columns)
-    to_chunk = lambda count: F.pmod(hashed, F.col(count))
-    unit = ["qcell", "qc", "batch", "dc"]
-    left = q.withColumnRenamed("cell", "qcell").join(broadcast_if_small(units), "qcell")
-    left = left.withColumn("qc", to_chunk("qn")).withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
-    right = x.withColumnRenamed("cell", "dcell").join(broadcast_if_small(routes), "dcell")
-    right = right.withColumn("dc", to_chunk("dn")).withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
-    found = (
-        left.select(*unit, "qid", *columns)
-        .groupBy(*unit)
-        .cogroup(right.select(*unit, "mult", *columns).groupBy(*unit))
-        .applyInPandas(_nearest_in_unit(columns, k), "qid bigint, f int, d2 double, v double, mult bigint")
+    # numbers are drawn once, when the table is written
+    q = df.select(*cells).filter(some & lacking).distinct().select(
+        F.monotonically_increasing_id().alias("qid"), F.lit(1).cast("bigint").alias("mult"), *columns
     )
+    q = materialize(q, "knn-queries")
+
+    stats = x.agg(
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+        *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(columns)],
+    ).first()
+    q_gaps = q.agg(*[F.count(F.when(F.col(c).isNull(), 1)) for c in columns]).first()
+    spread = sorted(range(n), key=lambda i: (-(stats[f"v{i}"] or 0.0), i))
+    dims = [columns[i] for i in spread[:GRID_DIMS] if stats[f"v{i}"]]
+    gap = sorted(range(n), key=lambda i: (-(stats[f"g{i}"] + q_gaps[i]), i))
+    gaps = [columns[i] for i in gap[:PATTERN_COLUMNS] if stats[f"g{i}"] + q_gaps[i]]
+    found = x.approxQuantile(dims, [i / CUTS for i in range(CUTS + 1)], 0.5 / CUTS) if dims else []
+    grid = {c: sorted(set(cuts)) for c, cuts in zip(dims, found) if len(set(cuts)) > 1}
+    q = q.withColumn("asked", _pattern(gaps))
+    asked = [r.asked for r in q.select("asked").distinct().collect()]  # at most 2 ** PATTERN_COLUMNS
+    # a copy of the donors for each pattern of the queries, cut by the columns that those have
+    x = x.withColumn("asked", F.explode(F.array(*[F.lit(a) for a in asked]).cast("array<string>")))
+    q, q_sizes = _leaves(q, grid, gaps)
+    x, d_sizes = _leaves(x, grid, gaps)
+    deepest = max(len(q_sizes), len(d_sizes)) - 1
+    # both sides name their leaves at the deepest level
+    x, q = x.withColumn("cell", _level("bins", deepest)), q.withColumn("cell", _level("bins", deepest))
+    x, q = materialize(x, "knn-donors"), materialize(q, "knn-queries")
+    d_leaves = materialize(_directory(x, columns), "knn-cells")
+    q_leaves = materialize(_directory(q, columns), "knn-cells")
+    pairs = _cell_pairs(q_leaves, d_leaves, n, k, q_sizes, d_sizes)
+    x = x.select("cell", "mult", *columns)
+    reached = materialize(_routes(q, d_leaves, pairs, columns, k), "knn-routes")
+    tried = _compared(reached.filter("seed"), x, d_leaves, columns, k, chunk).groupBy("qid", "f")
+    kth = (  # the distance by which k donors are found
+        f"aggregate(sort_array(near), named_struct('left', {k}L, 'd', CAST(NULL AS DOUBLE)), (a, x) -> named_struct("
+        "'left', a.left - x.mult, 'd', if(a.left > 0, x.d2, a.d)), a -> if(a.left <= 0, a.d, NULL))"
+    )
+    tried = tried.agg(F.collect_list(F.struct("d2", "mult")).alias("near")).select("qid", "f", F.expr(kth).alias("d2"))
+    own = tried.groupBy("qid").agg(F.array(*[F.min(F.when(F.col("f") == i, F.col("d2"))) for i in range(n)]).alias("own"))
+    tight = F.expr("if(own IS NULL, limits, zip_with(limits, own, (r, o) -> if(r IS NULL, r, least(r, o))))")
+    routed = reached.join(own, "qid", "left").withColumn("limits", tight)
+    routed = routed.filter(F.expr(f"exists(limits, r -> r IS NOT NULL AND low <= r * {SLACK} + 1e-300)"))
+    return q, x, d_leaves, materialize(routed.select("qid", "d_cell", "limits", *columns), "knn-routes")
+
+
+def _routes(q: DataFrame, d_leaves: DataFrame, pairs: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """The donor cells that reach into the bound of a query's k-th neighbour.
+
+    With ``low``, the least distance to the cell, ``limits`` by column (NULL where there is nothing to
+    look for) and ``seed`` on the cells whose donors are surely the nearest as a whole.
+    """
+    n = len(columns)
+    boxes = [f"{kind}{i}" for kind in ("lo", "hi", "n", "m") for i in range(n)]
+    boxes = d_leaves.select(F.col("cell").alias("d_cell"), F.col("rows").alias("d_rows"), *boxes)
+    cand = q.select("cell", "qid", *columns).join(pairs.join(boxes, "d_cell"), "cell")
+    sure, maybe, near, far = [], [], F.lit(0.0), F.lit(0.0)
+    for i, c in enumerate(columns):
+        v, lo, hi = F.col(c), F.col(f"lo{i}"), F.col(f"hi{i}")
+        all_have, some_have = v.isNotNull() & (F.col(f"n{i}") == F.col("d_rows")), v.isNotNull() & (F.col(f"n{i}") > 0)
+        sure.append(all_have.cast("int"))
+        maybe.append(some_have.cast("int"))
+        gap, reach = F.greatest(F.lit(0.0), lo - v, v - hi), F.greatest(F.abs(hi - v), F.abs(v - lo))
+        near = near + F.when(all_have, gap * gap).otherwise(0.0)
+        far = far + F.when(some_have, reach * reach).otherwise(0.0)
+    cand = cand.withColumns({"sure": sum(sure, F.lit(0)), "maybe": sum(maybe, F.lit(0)), "near": near, "far": far})
+    cand = cand.filter("maybe > 0").withColumns({
+        "low": F.col("near") * n / F.col("maybe"),
+        "high": F.when(F.col("sure") > 0, F.col("far") * n / F.col("sure")).otherwise(float("inf")),
+    })
+    # rows of a query are together: the join was on its cell
+    mine = W.partitionBy("cell", "qid")
+    enough = [F.when(F.col(c).isNull() & (F.col(f"m{i}") >= k), F.col("high")) for i, c in enumerate(columns)]
+    cand = cand.withColumns({f"own{i}": F.min(e).over(mine) for i, e in enumerate(enough)})
+    wanted = [F.col(c).isNull() & (F.col(f"m{i}") > 0) for i, c in enumerate(columns)]
+    # least skips nulls
+    limits = [F.when(w, F.least(F.col("limits")[i], F.col(f"own{i}"))) for i, w in enumerate(wanted)]
+    reaches = [F.coalesce(F.col("low") <= r * SLACK + 1e-300, F.lit(False)) for r in limits]
+    seeds = [F.coalesce(e == F.col(f"own{i}"), F.lit(False)) for i, e in enumerate(enough)]
+    cand = cand.filter(reduce(Column.__or__, reaches))
+    seed = reduce(Column.__or__, seeds) & (F.col("high") < float("inf"))
+    return cand.select("qid", "d_cell", "low", seed.alias("seed"), F.array(*limits).alias("limits"), *columns)
+
+
+def compared_pairs(df: DataFrame, columns: list[str], donors: DataFrame, k: int = 5) -> DataFrame:
+    """How many (query, donor) pairs the final comparison makes, next to all of them."""
+    q, x, d_leaves, routed = _prepared(df, columns, donors, k, CHUNK)
+    sizes = d_leaves.select(F.col("cell").alias("d_cell"), "rows")
+    done = routed.join(sizes, "d_cell").agg(F.sum("rows").alias("compared"))
+    every = donors.select(*columns).filter(F.coalesce(*columns).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("donors")).crossJoin(q.agg(F.count(F.lit(1)).alias("queries")))
+    return done.crossJoin(every).withColumn("share", F.col("compared") / F.col("donors") / F.col("queries"))
+
+
+def nearest_fills(df: DataFrame, columns: list[str], donors: DataFrame, k: int, weights: str, chunk: int) -> DataFrame:
+    """Distinct incomplete vectors with one ``fill_{i}`` per column."""
+    q, x, d_leaves, routed = _prepared(df, columns, donors, k, chunk)
+    found = _compared(routed, x, d_leaves, columns, k, chunk)
     merged = found.groupBy("qid", "f").agg(F.sort_array(F.collect_list(F.struct("d2", "v", "mult"))).alias("near"))
     weight = "1D" if weights == "uniform" else "CASE WHEN x.d2 = 0 THEN 1D ELSE 1 / sqrt(x.d2) END"
     if weights == "distance":  # an exact match outweighs all others
@@ -192,9 +345,8 @@ def nearest_fills(
         f"'w', a.w + least(a.left, x.mult) * {weight}), a -> a.s / a.w)"
     )
     merged = merged.select("qid", "f", F.expr(fold).alias("fill"))
-    gaps = [i for i in range(len(columns)) if q_dir[f"gone{i}"].sum() > 0]
     fills = merged.groupBy("qid").agg(
-        *[F.max(F.when(F.col("f") == i, F.col("fill"))).alias(f"fill_{i}") for i in gaps]
+        *[F.max(F.when(F.col("f") == i, F.col("fill"))).alias(f"fill_{i}") for i in range(len(columns))]
     )
     return q.select("qid", _vector_key(columns).alias("__key")).join(fills, "qid").drop("qid")
 
@@ -219,7 +371,7 @@ def knn_impute(
     Ties in distance go to the smaller value. Without any comparable donor the donor mean is used.
     Use k = 1 on category codes.
     """
-    fills = nearest_fills(df, columns, id_col, donors, k, weights, chunk)
+    fills = nearest_fills(df, columns, donors, k, weights, chunk)
     row = donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     # rows without gaps have no key: they are not shuffled to a partner

@@ -32,31 +32,54 @@ def mdl_bins(spark, d):
 _SC = f"{BOUNDS.replace('FROM oh', 'FROM mixed')}, sc AS (SELECT id, split, {', '.join(_scale(c) for c in CTN)} FROM mixed, bounds)"
 
 
-def _knn_sql(f: str, k: int) -> str:
+_MEAN_OF = "list_avg(list_transform({near}, lambda p: p.v))"
+_WEIGHTED = (
+    "CASE WHEN min(d) = 0 THEN avg(v) FILTER (WHERE d = 0) ELSE sum(v / sqrt(d)) FILTER (WHERE d > 0) / sum(1 / sqrt(d)) FILTER (WHERE d > 0) END"
+)
+
+
+def _knn_sql(f: str, k: int, weighted: bool = False) -> str:
     both = {c: f"(q.{c} IS NOT NULL AND x.{c} IS NOT NULL)" for c in CTN if c != f}
     dist = " + ".join(f"CASE WHEN {b} THEN (q.{c} - x.{c}) * (q.{c} - x.{c}) ELSE 0 END" for c, b in both.items())
     n = " + ".join(f"CASE WHEN {b} THEN 1 ELSE 0 END" for b in both.values())
     near = f"min({{'d': ({dist}) * 3 / ({n}), 'v': x.{f}}}, {k})"
-    return (
-        f"n_{f} AS (SELECT q.id, list_avg(list_transform({near}, lambda p: p.v)) AS fill FROM sc q JOIN sc x ON "
-        f"q.{f} IS NULL AND x.{f} IS NOT NULL AND x.split = 'train' AND ({' OR '.join(both.values())}) GROUP BY q.id)"
+    of = near if weighted else _MEAN_OF.format(near=near)
+    found = (
+        f"SELECT q.id, {of} AS fill FROM sc q JOIN sc x ON "
+        f"q.{f} IS NULL AND x.{f} IS NOT NULL AND x.split = 'train' AND ({' OR '.join(both.values())}) GROUP BY q.id"
     )
+    if weighted:
+        one = f"SELECT id, p.d AS d, p.v AS v FROM (SELECT id, unnest(fill) AS p FROM ({found}))"
+        found = f"SELECT id, {_WEIGHTED} AS fill FROM ({one}) GROUP BY id"
+    return f"n_{f} AS ({found})"
 
 
-@query(
-    f"WITH {S.MIXED}, {_SC}, {', '.join(_knn_sql(c, 5) for c in CTN)}, "
-    f"m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in CTN)} FROM sc WHERE split = 'train') SELECT sc.id, "
-    + ", ".join(f"round(coalesce({c}, n_{c}.fill, m_{c}), 6) AS {c}" for c in CTN)
-    + " FROM sc CROSS JOIN m "
-    + " ".join(f"LEFT JOIN n_{c} ON sc.id = n_{c}.id" for c in CTN)
-)
-def impute_knn(spark, d):
+def _filled_sql(weighted: bool = False) -> str:
+    near = ", ".join(_knn_sql(c, 5, weighted) for c in CTN)
+    means = f"m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in CTN)} FROM sc WHERE split = 'train')"
+    out = ", ".join(f"round(coalesce({c}, n_{c}.fill, m_{c}), 6) AS {c}" for c in CTN)
+    joins = " ".join(f"LEFT JOIN n_{c} ON sc.id = n_{c}.id" for c in CTN)
+    return f"WITH {S.MIXED}, {_SC}, {near}, {means} SELECT sc.id, {out} FROM sc CROSS JOIN m {joins}"
+
+
+def _knn(spark, d, weights):
     df = T.mixed(spark, d).select("id", "split", *CTN)
     scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
-    out = knn_impute(scaled, CTN, "id", train(scaled), k=5)
+    out = knn_impute(scaled, CTN, "id", train(scaled), k=5, weights=weights)
     return out.select("id", *[F.round(c, 6).alias(c) for c in CTN])
 
 
+@query(_filled_sql())
+def impute_knn(spark, d):
+    return _knn(spark, d, "uniform")
+
+
+@query(_filled_sql(weighted=True))
+def impute_knn_distance(spark, d):
+    """Neighbours weigh by the inverse of their distance; exact matches outweigh all others."""
+    return _knn(spark, d, "distance")
+
+
 _CATS = ["recent", "priority", "segment"]
 
 

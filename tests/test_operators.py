@@ -452,3 +452,15 @@ def test_neighbours_of_negative_zero(spark):
     df = spark.createDataFrame([(3, 0.0, None), (4, -0.0, None), (5, 1.0, 2.0)], "id int, a double, b double")
     got = {r.id: r.b for r in KN.knn_impute(df, ["a", "b"], "id", donors, k=1).collect()}
     assert got == {3: 7.0, 4: 7.0, 5: 2.0}
+
+
+def test_knn_compares_few_pairs_and_takes_empty_tables(spark):
+    rng = np.random.default_rng(5)
+    v = rng.random((3000, 2))
+    v[::3, 0] = np.nan
+    rows = [(i, None if np.isnan(a) else float(a), float(b)) for i, (a, b) in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    assert KN.compared_pairs(df, ["a", "b"], df, 3).first().share < 0.2
+    none = df.limit(0)
+    assert KN.knn_impute(none, ["a", "b"], "id", df, 3).count() == 0
+    assert KN.knn_impute(df, ["a", "b"], "id", none, 3).filter("a IS NULL").count() == 1000
