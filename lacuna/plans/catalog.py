@@ -6,7 +6,7 @@ import importlib
 
 from lacuna.plans import registry
 
-GROUPS = ["q_clean", "q_reshape", "q_transform", "q_score", "q_stats", "q_ampute", "q_predict", "q_fit", "q_stream"]
+GROUPS = ["q_clean", "q_reshape", "q_transform", "q_score", "q_stats", "q_ampute", "q_predict", "q_fit", "q_stream", "q_prepare"]
 
 
 def _load() -> None:

@@ -464,3 +464,21 @@ def test_knn_compares_few_pairs_and_takes_empty_tables(spark):
     none = df.limit(0)
     assert KN.knn_impute(none, ["a", "b"], "id", df, 3).count() == 0
     assert KN.knn_impute(df, ["a", "b"], "id", none, 3).filter("a IS NULL").count() == 1000
+
+
+def test_prepare_keeps_the_truth_and_fits_on_train_only(spark):
+    from lacuna.operators.prepare import Step, prepare
+
+    schema = FeatureSchema(ids=("id",), continuous=("a",), onehot={"g": ("g_x", "g_y")}, label="y", split="split", order=("a", "g_x", "g_y"))
+    rows = [(i, float(i), i % 2, 1 - i % 2, i % 2) for i in range(200)] + [(200, None, 1, 0, 1), (201, 5.0, None, 1, 0)]
+    df = spark.createDataFrame(rows, "id long, a double, g_x int, g_y int, y int")
+    split = lambda d: d.withColumn("split", F.when(F.col("id") < 100, "train").otherwise("val"))
+    pattern = {"incomplete_vars": ["g_x"], "mechanism": "MCAR"}
+    made = prepare(df, schema, "id", split, [Step(lambda d: X.MinMaxScaler.fit(d, ["a"]))], [pattern], 0.5, True, True)
+    data, truth = (made.view("original", r).orderBy("id").collect() for r in ("data", "ground_truth"))
+    assert [r.split for r in data[-2:]] == ["test", "test"] and data[-1].g_y is None
+    assert abs(data[150].a - 150 / 99) < 1e-12
+    assert all((r.g_x is None) == (r.g_y is None) for r in data)
+    assert 50 < sum(r.g_x is None for r in data[:200]) < 150
+    assert all(r.g_x is not None for r in truth[:200])
+    assert prepare(df.limit(0), schema, "id", split).view("mapped", "data").count() == 0
