@@ -1,12 +1,13 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A text is the multiset of its five-word shingles. A shingle weighs its count times an inverse
-document frequency of ``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``, between 1 and 2, so that a passage
+document frequency of ``1 + ln((1 + N) / (1 + df)) / ln(2 + N)``, between 1 and 2, so that a passage
 that everyone quotes counts less, and a large group of copies does not vanish by its own size. ``df``
-is counted over all documents in a table of 2**20 hashed cells: bounded, hence broadcast.
+is counted over all documents, for each 44-bit shingle hash on its own.
 
-1. Count the cells (one scan). 2. Draw ``bands * rows`` samples per text (one scan); a sample is the
-shingle and level that consistent weighted sampling picks, equal for two texts with the probability
+1. Write the shingles of every document, in blocks of documents (one scan); count each shingle in the
+bucket of its hash range, which gets it once a block; send the counts above one back to the blocks.
+2. Draw ``bands * rows`` samples per text; a sample is the shingle and level that consistent weighted sampling picks, equal for two texts with the probability
 of their weighted Jaccard similarity. 3. Texts that share a band are candidates. A bucket is never
 expanded into all its pairs: its most common-place member is compared with the others (``stars``
 times, the later times only among those not yet linked to it). Members that then still are in other
@@ -37,7 +38,8 @@ from lacuna.llm.words import mix, runs, shingles, word_hashes
 
 CELL_BITS = 20
 HASH_BITS = 44
-BLOCKS = 256
+BUCKET_SHINGLES = 1 << 20
+LEAST_BUCKETS = 64
 DRAW_BITS = 16
 BLOCK_ELEMENTS = 1 << 16
 
@@ -68,46 +70,98 @@ def counted(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def cells(values: np.ndarray) -> np.ndarray:
+    """Hash range of every shingle, of 2**20; buckets are made of them."""
     return (values >> np.uint64(HASH_BITS - CELL_BITS)).astype(np.int64)
 
 
-def cell_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(document frequency of every cell, number of documents with words).
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending integers as the byte planes of their steps; the upper planes are zeros, which compress."""
+    steps = np.diff(values.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    Each task sums its own documents; blocks of cells are then added up in two steps, so that no
-    group holds a block of every task. What reaches the driver are 2**20 numbers, whatever the input.
+
+def _unpack(packed: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _numbers(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), "<i4").astype(np.int64)
+
+
+def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, node, block, n, its n distinct shingles and their counts."""
+
+    def cut(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo, hi, row, values, count in counted(_texts(batch)):
+                ends = np.searchsorted(row, np.arange(hi - lo + 1))
+                spans = list(zip(ends[:-1], ends[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, hi - lo),
+                        batch.column("node").slice(lo, hi - lo),
+                        pa.array(np.full(hi - lo, block)),
+                        pa.array(np.diff(ends).astype(np.int64)),
+                        pa.array([_pack(values[x:y]) for x, y in spans], pa.binary()),
+                        pa.array([count[x:y].astype("<i4").tobytes() for x, y in spans], pa.binary()),
+                    ],
+                    names=["doc_id", "node", "block", "n", "shingles", "counts"],
+                )
+                block += 1
+
+    return docs.select("doc_id", text_key().alias("node"), "text").mapInArrow(cut, "doc_id long, node binary, block long, n long, shingles binary, counts binary")
+
+
+def frequencies(cut: DataFrame, total: int) -> DataFrame:
+    """Per block the shingles that more than one document has, with their document frequencies.
+
+    ``total`` is the number of shingles of all documents. It sets the number of buckets, so that none
+    holds many; a shingle that is everywhere comes once a block and batch.
     """
+    buckets = min(1 << CELL_BITS, max(LEAST_BUCKETS, -(-total // BUCKET_SHINGLES)))
 
-    def count(batches):
-        df = np.zeros(1 << CELL_BITS, np.int64)
-        n = 0
+    def deal(batches):
         for batch in batches:
-            for _, _, row, values, _ in counted(_texts(batch)):
-                df += np.bincount(cells(values), minlength=len(df))
-                n += len(np.unique(row))
-        if n:
-            parts = [x.astype("<i8").tobytes() for x in np.split(df, BLOCKS)] + [np.array([n], "<i8").tobytes()]
-            task = TaskContext.get().partitionId() % 64
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS + 1), pa.int32()), pa.array([task] * (BLOCKS + 1), pa.int32()), pa.array(parts, pa.binary())],
-                names=["block", "part", "counts"],
-            )
-
-    def add(key, rows):
-        total = np.sum([np.frombuffer(x, "<i8") for x in rows.column("counts").to_pylist()], axis=0)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    sums = docs.select("text").mapInArrow(count, "block int, part int, counts binary")
-    sums = sums.groupBy("block", "part").applyInArrow(add, "block int, counts binary")
-    sums = sums.groupBy("block").applyInArrow(add, "block int, counts binary")
-    found = {r.block: np.frombuffer(r.counts, "<i8") for r in sums.collect()}  # BLOCKS + 1 rows
-    if not found:
-        return np.zeros(1 << CELL_BITS, np.int64), 0
-    return np.concatenate([found[b] for b in range(BLOCKS)]), int(found[BLOCKS][0])
+            blocks = batch.column("block").to_numpy()
+            for block in np.unique(blocks):
+                values = np.concatenate([_unpack(batch.column("shingles")[int(i)]) for i in np.nonzero(blocks == block)[0]])
+                values, n = np.unique(values, return_counts=True)
+                bucket = cells(values) * buckets >> CELL_BITS
+                found, starts = np.unique(bucket, return_index=True)
+                spans = list(zip(starts, np.append(starts[1:], len(values))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found.astype(np.int64)),
+                        pa.array(np.full(len(found), block)),
+                        pa.array([_pack(values[x:y]) for x, y in spans], pa.binary()),
+                        pa.array([n[x:y].astype("<i4").tobytes() for x, y in spans], pa.binary()),
+                    ],
+                    names=["bucket", "block", "shingles", "df"],
+                )
+
+    def count(rows):
+        parts = [_unpack(x) for x in rows.column("shingles")]
+        n = np.concatenate([_numbers(x) for x in rows.column("df")])
+        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(which, weights=n).astype("<i4")[which]
+        shared = []
+        for part, own in zip(parts, np.split(df, np.cumsum([len(x) for x in parts])[:-1])):
+            shared.append((_pack(part[own > 1]), own[own > 1].tobytes()))
+        return pa.table({"block": rows.column("block"), "shingles": pa.array([x for x, _ in shared], pa.binary()), "df": pa.array([x for _, x in shared], pa.binary())})
+
+    dealt = cut.filter("n > 0").select("block", "shingles").mapInArrow(deal, "bucket long, block long, shingles binary, df binary")
+    found = dealt.groupBy("bucket").applyInArrow(count, "block long, shingles binary, df binary")
+    return found.filter("length(shingles) > 0")
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    """Weight of one occurrence of a shingle of each cell; a cell may count more than n documents."""
+    """Weight of one occurrence of a shingle, by the number of documents that have it."""
     return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(2 + n)).astype(np.float32)
 
 
@@ -155,102 +209,100 @@ def _blocks(starts: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def signatures(docs: DataFrame, idf, s: Settings) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, node, rank (mean weight) and the keys of its bands.
+def signatures(cut: DataFrame, found: DataFrame, n: int, s: Settings) -> DataFrame:
+    """Per row of ``shingled``: doc_id, node, rank (mean weight), the keys of its bands and the document
+    frequencies of its shingles. A text without words has no bands.
 
-    A text without words has no bands.
+    ``found`` are the frequencies above one of every block; what is not there has one.
     """
 
-    def sign(batches):
-        sampler, weight = Sampler(s.bands * s.rows), idf.value
+    def sign(rows, shared):
+        sampler = Sampler(s.bands * s.rows)
         salts = np.arange(1, s.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            keys: list = [None] * batch.num_rows
-            rank = np.zeros(batch.num_rows)
-            for lo, _, row, values, count in counted(_texts(batch)):
-                if not len(values):
-                    continue
-                starts = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0]
-                one = weight[cells(values)]
-                w = one * count
-                rank[lo + row[starts]] = np.add.reduceat(w, starts) / np.add.reduceat(count, starts)
-                for x, y in _blocks(starts, len(values)):
-                    a, z = starts[x], starts[y] if y < len(starts) else len(values)
-                    got = sampler(values[a:z], w[a:z], starts[x:y] - a).view(np.uint64).reshape(y - x, s.bands, s.rows)
-                    band = np.broadcast_to(salts, (y - x, s.bands)).copy()
-                    for j in range(s.rows):
-                        band = mix(band ^ got[:, :, j])
-                    for i, keyed in zip(row[starts[x:y]] + lo, band.view(np.int64)):
-                        keys[i] = keyed
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(rank), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "rank", "bands"],
-            )
-
-    return docs.select("doc_id", text_key().alias("node"), "text").mapInArrow(sign, "doc_id long, node binary, rank double, bands array<long>")
-
-
-def vectors(texts: DataFrame) -> DataFrame:
-    """Per row (node, text): the sorted hashes of its shingles, the n-th occurrence hashed with n.
-
-    The top bits stay those of the shingle, so that its weight can be looked up.
-    """
-    low = np.uint64((1 << (HASH_BITS - CELL_BITS)) - 1)
+        known, at = np.unique(_joined([_unpack(x) for x in shared.column("shingles")], np.uint64), return_index=True)
+        often = _joined([_numbers(x) for x in shared.column("df")], np.int64)[at]
+        keys: list = [None] * rows.num_rows
+        rank = np.zeros(rows.num_rows)
+        sizes = rows.column("n").to_numpy()
+        values = np.concatenate([_unpack(x) for x in rows.column("shingles")])
+        count = np.concatenate([_numbers(x) for x in rows.column("counts")])
+        df = np.ones(len(values), "<i4")
+        if len(known):
+            place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            df = np.where(known[place] == values, often[place], 1).astype("<i4")
+        if len(values):
+            has = np.nonzero(sizes)[0]
+            starts = (np.cumsum(sizes) - sizes)[has]
+            w = inverse_frequencies(df, n) * count
+            rank[has] = np.add.reduceat(w, starts) / np.add.reduceat(count, starts)
+            for x, y in _blocks(starts, len(values)):
+                a, z = starts[x], starts[y] if y < len(starts) else len(values)
+                got = sampler(values[a:z], w[a:z], starts[x:y] - a).view(np.uint64).reshape(y - x, s.bands, s.rows)
+                band = np.broadcast_to(salts, (y - x, s.bands)).copy()
+                for j in range(s.rows):
+                    band = mix(band ^ got[:, :, j])
+                for i, keyed in zip(has[x:y], band.view(np.int64)):
+                    keys[i] = keyed
+        own = [x.tobytes() for x in np.split(df, np.cumsum(sizes)[:-1])]
+        return pa.table({"doc_id": rows.column("doc_id"), "node": rows.column("node"), "rank": pa.array(rank), "bands": pa.array(keys, pa.list_(pa.int64())), "df": pa.array(own, pa.binary())})
+
+    schema = "doc_id long, node binary, rank double, bands array<long>, df binary"
+    return cut.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(sign, schema)
+
+
+def vectors(texts: DataFrame, n: int) -> DataFrame:
+    """Per row (node, shingles, counts, df): the sorted hashes of its shingles, the n-th occurrence hashed
+    with n, and their weights."""
 
     def build(batches):
         for batch in batches:
-            out: list = [b""] * batch.num_rows
-            for lo, _, row, values, count in counted(_texts(batch)):
-                if not len(values):
-                    continue
+            vector, weight = [], []
+            for i in range(batch.num_rows):
+                value, count = _unpack(batch.column("shingles")[i]), _numbers(batch.column("counts")[i])
+                w = np.repeat(inverse_frequencies(_numbers(batch.column("df")[i]), n), count)
                 nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                value, of = np.repeat(values, count), np.repeat(row, count)
+                value = np.repeat(value, count)
                 more = nth > 0
-                value[more] = (value[more] & ~low) | (mix(value[more] + (nth[more].astype(np.uint64) << np.uint64(HASH_BITS))) & low)
-                order = np.argsort((of.astype(np.uint64) << np.uint64(HASH_BITS)) | value, kind="stable")
-                value, of = value[order], of[order]
-                starts = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
-                for i, a, z in zip(of[starts], starts, np.append(starts[1:], len(of))):
-                    out[lo + i] = np.unique(value[a:z]).astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "vector"])
-
-    return texts.select("node", "text").mapInArrow(build, "node binary, vector binary")
-
-
-def weighted_jaccard(x: np.ndarray, y: np.ndarray, idf: np.ndarray) -> float:
-    """Of two sorted vectors; two empty ones are not similar."""
-    both = np.intersect1d(x, y, assume_unique=True)
-    shared = float(idf[cells(both)].sum(dtype=np.float64))
-    union = float(idf[cells(x)].sum(dtype=np.float64)) + float(idf[cells(y)].sum(dtype=np.float64)) - shared
+                value[more] = mix(value[more] + (nth[more].astype(np.uint64) << np.uint64(HASH_BITS))) >> np.uint64(64 - HASH_BITS)
+                value, at = np.unique(value, return_index=True)
+                vector.append(value.astype("<u8").tobytes())
+                weight.append(w[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(vector, pa.binary()), pa.array(weight, pa.binary())], names=["node", "vector", "weight"])
+
+    return texts.select("node", "shingles", "counts", "df").mapInArrow(build, "node binary, vector binary, weight binary")
+
+
+def weighted_jaccard(x: np.ndarray, x_weight: np.ndarray, y: np.ndarray, y_weight: np.ndarray) -> float:
+    """Of two sorted vectors with their weights; two empty ones are not similar."""
+    _, at, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = float(x_weight[at].sum(dtype=np.float64))
+    union = float(x_weight.sum(dtype=np.float64)) + float(y_weight.sum(dtype=np.float64)) - shared
     return shared / union if union else 0.0
 
 
-def verified(pairs: DataFrame, vecs: DataFrame, idf, least: float) -> DataFrame:
+def verified(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``least``, with it."""
 
     def check(batches):
-        weight = idf.value
         for batch in batches:
-            left, right = batch.column("x"), batch.column("y")
-            sims = np.array([weighted_jaccard(np.frombuffer(left[i].as_buffer(), "<u8"), np.frombuffer(right[i].as_buffer(), "<u8"), weight) for i in range(batch.num_rows)], float)
+            sides = [(batch.column(c), d) for c, d in (("x", "<u8"), ("xw", "<f4"), ("y", "<u8"), ("yw", "<f4"))]
+            sims = np.array([weighted_jaccard(*[np.frombuffer(c[i].as_buffer(), d) for c, d in sides]) for i in range(batch.num_rows)], float)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], names=["a", "b", "similarity"])
 
-    joined = pairs.join(vecs.select(F.col("node").alias("a"), F.col("vector").alias("x")), "a")
-    joined = joined.join(vecs.select(F.col("node").alias("b"), F.col("vector").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, similarity double").filter(F.col("similarity") >= least)
+    joined = pairs.join(vecs.select(F.col("node").alias("a"), F.col("vector").alias("x"), F.col("weight").alias("xw")), "a")
+    joined = joined.join(vecs.select(F.col("node").alias("b"), F.col("vector").alias("y"), F.col("weight").alias("yw")), "b")
+    return joined.select("a", "b", "x", "xw", "y", "yw").mapInArrow(check, "a binary, b binary, similarity double").filter(F.col("similarity") >= least)
 
 
-def rare_ends(vecs: DataFrame, idf, least: float) -> DataFrame:
+def rare_ends(vecs: DataFrame, least: float) -> DataFrame:
     """Per node the shingles within its rarest ``1 - least`` of weight, with the weight before each."""
 
     def cut(batches):
-        weight = idf.value
         for batch in batches:
             nodes, hashes, before, total = [], [], [], []
-            vec = batch.column("vector")
             for i in range(batch.num_rows):
-                v = np.frombuffer(vec[i].as_buffer(), "<u8")
-                w = weight[cells(v)].astype(np.float64)
+                v = np.frombuffer(batch.column("vector")[i].as_buffer(), "<u8")
+                w = np.frombuffer(batch.column("weight")[i].as_buffer(), "<f4").astype(np.float64)
                 order = np.lexsort((v, -w))
                 w = w[order]
                 ahead = np.cumsum(w) - w
@@ -265,7 +317,7 @@ def rare_ends(vecs: DataFrame, idf, least: float) -> DataFrame:
                     names=["node", "shingle", "before", "total"],
                 )
 
-    return vecs.select("node", "vector").mapInArrow(cut, "node binary, shingle long, before double, total double")
+    return vecs.select("node", "vector", "weight").mapInArrow(cut, "node binary, shingle long, before double, total double")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -274,9 +326,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark)
     docs = documents(df, id_col, text_col)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(*cell_counts(docs)))
-    signed = keep(signatures(docs, idf, settings), "signatures")
-    links = _links(docs, signed, idf, settings)
+    cut = keep(shingled(docs), "shingles")
+    size = cut.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("n")).first()
+    found = keep(frequencies(cut, size.total or 0), "frequencies")
+    signed = keep(signatures(cut, found, size.n, settings), "signatures")
+    links = _links(cut, signed, size.n, settings)
     labels = components(links)
     rows = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
@@ -285,7 +339,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes, "comp").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
-def _links(docs: DataFrame, signed: DataFrame, idf, s: Settings) -> DataFrame:
+def _links(cut: DataFrame, signed: DataFrame, n: int, s: Settings) -> DataFrame:
     """Verified links (a, b) that connect all texts which the bands and the similarity connect."""
     nodes = signed.filter("bands IS NOT NULL").groupBy("node").agg(F.first("rank").alias("rank"), F.first("bands").alias("bands"))
     spread = nodes.select("node", "rank", F.explode("bands").alias("band"))
@@ -293,16 +347,17 @@ def _links(docs: DataFrame, signed: DataFrame, idf, s: Settings) -> DataFrame:
     shared = shared.select("band", F.col("least.node").alias("pivot"))
     members = keep(spread.join(shared, "band"), "members")
     candidates = members.select("node").distinct()
-    texts = docs.withColumn("node", text_key()).join(candidates, "node", "left_semi")
-    vecs = keep(vectors(texts).groupBy("node").agg(F.first("vector").alias("vector")), "vectors")
+    texts = cut.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    texts = texts.join(signed.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("df").alias("df")), "node")
+    vecs = keep(vectors(texts, n), "vectors")
     pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = keep(verified(pairs, vecs, idf, s.similarity), "verified")
+    links = keep(verified(pairs, vecs, s.similarity), "verified")
     comps = components(links)
     for _ in range(1, s.stars):
         left = _apart(members, comps)
         pivots = left.groupBy("band").agg(F.min(F.struct("rank", "node")).alias("least"), F.count("*").alias("n")).filter("n > 1")
         pairs = left.join(pivots.select("band", F.col("least.node").alias("a")), "band").filter("node <> a")
-        more = keep(verified(pairs.select("a", F.col("node").alias("b")).distinct(), vecs, idf, s.similarity), "verified")
+        more = keep(verified(pairs.select("a", F.col("node").alias("b")).distinct(), vecs, s.similarity), "verified")
         links = links.unionAll(more)
         comps = components(links)
     apart = _apart(members, comps)
@@ -310,14 +365,14 @@ def _links(docs: DataFrame, signed: DataFrame, idf, s: Settings) -> DataFrame:
     involved = members.join(open_bands, "band", "left_semi").select("node").distinct()
     involved = involved.join(apart.select("node", F.lit(True).alias("outside")).distinct(), "node", "left").join(comps, "node", "left")
     involved = involved.select("node", F.coalesce("outside", F.lit(False)).alias("outside"), F.coalesce("comp", "node").alias("comp"))
-    ends = keep(rare_ends(vecs.join(involved, "node", "left_semi"), idf, s.similarity).join(involved, "node"), "rare-ends")
+    ends = keep(rare_ends(vecs.join(involved, "node", "left_semi"), s.similarity).join(involved, "node"), "rare-ends")
     x, y = ends.filter("outside").alias("x"), ends.alias("y")
     most = F.least(F.col("x.total") - F.col("x.before"), F.col("y.total") - F.col("y.before"))
     can = most >= (s.similarity - 1e-9) * (F.col("x.total") + F.col("y.total") - most)
     again = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))  # a pair of two outsiders comes up twice
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & again & can)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return links.unionAll(verified(pairs, vecs, idf, s.similarity)).select("a", "b")
+    return links.unionAll(verified(pairs, vecs, s.similarity)).select("a", "b")
 
 
 def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:

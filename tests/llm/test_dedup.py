@@ -143,3 +143,25 @@ def test_words_and_shingles():
     assert offsets.tolist() == [0, 3, 3, 3, 3, 6]
     values, ends = words.shingles(*words.word_hashes(pa.array(["a b c d e f", "a b", "", "b c d e f"])))
     assert np.diff(ends).tolist() == [2, 1, 0, 1] and values[1] == values[3] and len(set(values.tolist())) == 3
+
+
+def test_document_frequencies_are_those_of_shingles(spark):
+    rng = random.Random(8)
+    passage = sentence(rng, 60)
+    rows = [(i, f"{sentence(rng, 20)} {passage if i % 2 else sentence(rng, 60)}") for i in range(60)]
+    docs = base.documents(frame(spark, rows + rows[:2]).repartition(3))
+    want = collections.Counter()
+    for _, _, _, values, _ in near_dedup.counted(pa.array([t for _, t in rows + rows[:2]])):
+        want.update(values.tolist())
+    cut = base.keep(near_dedup.shingled(docs), "shingles")
+    found = near_dedup.frequencies(cut, sum(want.values()))
+    got = {}
+    for r in found.collect():
+        for v, df in zip(near_dedup._unpack(pa.scalar(bytes(r.shingles))).tolist(), near_dedup._numbers(pa.scalar(bytes(r.df))).tolist()):
+            assert got.setdefault(v, df) == df
+    assert got == {v: df for v, df in want.items() if df > 1} and max(got.values()) == 31
+    signed = near_dedup.signatures(cut, base.keep(found, "frequencies"), len(rows) + 2, near_dedup.Settings()).join(cut.select("doc_id", "shingles"), "doc_id")
+    for r in signed.collect():
+        values = near_dedup._unpack(pa.scalar(bytes(r.shingles))).tolist()
+        assert near_dedup._numbers(pa.scalar(bytes(r.df))).tolist() == [want[v] for v in values]
+    assert near_dedup.weighted_jaccard(*[np.array(x) for x in ([1, 2], [1.0, 2.0], [2, 3], [2.0, 1.0])]) == 0.5
