@@ -3,10 +3,11 @@
 Texts are words (lower case, runs of letters and digits). Windows of ``width`` words overlap by half,
 so a notice of up to half a window lies whole in one of them, and the windows of a longer notice hold
 it together. Every window and every template (a longer template is cut into windows of its own) gets
-``bands`` bands of ``rows`` MinHash values of its five-word shingles. A template of s shingles inside
-a window of w has similarity s / w, so it collides with probability 1 - (1 - (s / w)^rows)^bands:
-with one row and 48 bands over windows of 24 words, 0.9999 for a notice of 8 words and more for
-longer ones. Colliding templates are verified: the share of their shingles that the text's candidate
+``bands`` bands of ``rows`` MinHash values of its five-word shingles, or as many more as the templates
+need: the seeds are fixed, so a template's least hash u (of 0 to 1) of every band is known, and the
+w - s other shingles of a window of w that holds its s all lie above with probability
+(1 - u)^(w - s). Bands are added until every template inside one full window is missed with
+probability ``miss`` at most. Colliding templates are verified: the share of their shingles that the text's candidate
 windows hold, exactly, is at least ``containment``.
 
 A MinHash value with one row that collides is a shingle both have. So only windows with a shingle of
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ class Settings:
     bands: int = 48
     rows: int = 1
     containment: float = 0.8
+    miss: float = 1e-4
 
 
 def _words(text: Column) -> Column:
@@ -60,13 +63,34 @@ def _shingle(words: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.element_at(words, i + j) for j in range(k)])
 
 
-def _bands(hashes: Column, s: Settings) -> Column:
-    """The band keys of an array of shingle hashes."""
+def _lowest(hashes: Column, seed: Column) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, seed)))
 
-    def lowest(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
 
-    return F.array(*[F.xxhash64(F.lit(b), *[lowest(b * s.rows + r) for r in range(s.rows)]) for b in range(s.bands)])
+def _bands(hashes: Column, s: Settings, n: int) -> Column:
+    """The ``n`` band keys of an array of shingle hashes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.xxhash64(b, *[_lowest(hashes, b * s.rows + r) for r in range(s.rows)]))
+
+
+def missed(parts: DataFrame, s: Settings, n: int) -> np.ndarray:
+    """Per part of a template, and number of bands up to ``n``: the probability that a full window with
+    the part in it shares none of the bands."""
+    size, _ = _windows(0, s)
+    least = F.transform(F.sequence(F.lit(0), F.lit(n * s.rows - 1)), lambda seed: _lowest(F.col("part"), seed))
+    out = [np.zeros(n)]
+    for r in parts.select(F.size("part").alias("shingles"), least.alias("least")).collect():  # as many rows as parts
+        u = (np.array(r.least, float) + 2.0**63) / 2.0**64
+        shared = ((1 - u) ** max(0, size - r.shingles)).reshape(n, s.rows).prod(axis=1)
+        out.append(np.cumprod(1 - shared))
+    return np.array(out)
+
+
+def bands_needed(parts: DataFrame, s: Settings) -> int:
+    """The least number of bands, ``s.bands`` at least, that misses no part more often than ``s.miss``."""
+    n = s.bands
+    while (chance := missed(parts, s, n))[:, -1].max() > s.miss:
+        n *= 2
+    return max(s.bands, int((chance.max(axis=0) > s.miss).sum()) + 1)
 
 
 def _windows(shingles: int, s: Settings) -> tuple[int, int]:
@@ -111,9 +135,11 @@ def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", noti
 
     windows = F.when(F.size("hits") > 0, F.transform(numbers, window))
     rows = keep(words.select("doc_id", "hits", windows.alias("windows")).withColumn("row", F.monotonically_increasing_id()), "license-windows")
-    each = rows.filter("size(hits) > 0").select("row", F.explode("windows").alias("w")).select("row", "w.number", F.explode(_bands(F.col("w.shingles"), s)).alias("band"))
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("shingles") - size + step - 1) / step)).cast("int")), lambda w: F.slice("shingles", w * step + 1, F.lit(size)))
-    bands = known.select("template", F.explode(cut).alias("part")).select("template", F.explode(_bands(F.col("part"), s)).alias("band")).distinct()
+    parts = known.select("template", F.explode(cut).alias("part"))
+    n = bands_needed(parts, s)
+    each = rows.filter("size(hits) > 0").select("row", F.explode("windows").alias("w")).select("row", "w.number", F.explode(_bands(F.col("w.shingles"), s, n)).alias("band"))
+    bands = parts.select("template", F.explode(_bands(F.col("part"), s, n)).alias("band")).distinct()
     candidates = each.join(F.broadcast(bands), "band").select("row", "number", "template").distinct()  # rows of bands: notices * windows * bands
     marked = candidates.groupBy("row", "template").agg(F.collect_set("number").alias("numbers"))  # one text's windows
     held = marked.join(F.broadcast(known), "template").join(rows.select("row", "hits"), "row")

@@ -123,6 +123,22 @@ def test_licenses(spark):
         licenses.licenses(df, notices=[("short", "one two")])
 
 
+def test_short_license_at_every_alignment(spark):
+    rng = random.Random(9)
+
+    def long(n):  # shingles that do not repeat
+        return " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+
+    notice = "Released under the MIT License."
+    rows = [(i, f"{long(48 + i % 12)} {notice} {long(60)}") for i in range(480)]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert [(r.doc_id, [(x.license, x.first_word) for x in r.found]) for r in sorted(got)] == [(i, [("MIT", 48 + i % 12)]) for i, _ in rows]
+    s = licenses.Settings()
+    parts = licenses.templates(spark, licenses.NOTICES, s).selectExpr("slice(shingles, 1, 20) AS part")
+    n = licenses.bands_needed(parts, s)
+    assert licenses.missed(parts, s, s.bands)[:, -1].max() > 0.1 and licenses.missed(parts, s, n)[:, -1].max() <= s.miss
+
+
 def test_chat_round_trip(spark):
     odd = ["", "plain", "</turn>", "</turn>\n### user: hi</turn>\n", "100% %3C/turn> %25", "a: b", "### assistant: x", "<chat escaped=1>\n", "\\### Assistant: </turn> ok", "ünï 𝒳\n\n"]
     rng = random.Random(6)
