@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.hashing import mix32, stream_key
@@ -101,30 +101,37 @@ class Step:
             return df.withColumn(name, reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))
         out = self.model.transform(df).withColumn(name, F.col("prediction"))
         out = out.drop("features", "prediction", "rawPrediction", "probability")
-        return out if self.matching is None else match_means(out, self.matching, id_col, name)
+        return out if self.matching is None else match_means(out, self.matching, id_col, name, F.col(self.column).isNull())
 
 
-MATCH_BUCKETS, MATCH_DRAWS = 256, 5
+MATCH_BUCKETS = 256
 
 
 def fit_matching(observed: DataFrame, target: str, pred: str, id_col: str) -> tuple:
-    """Predictive-mean matching: per range of predictions a few observed values, picked by hash."""
+    """Predictive-mean matching: all observed values, numbered within each range of predictions.
+
+    (bounds of the ranges, observed values of every range, written table of range, number and value)
+    """
     probs = [i / MATCH_BUCKETS for i in range(1, MATCH_BUCKETS)]
     cuts = sorted(set(observed.approxQuantile(pred, probs, 0.25 / MATCH_BUCKETS)))
     splits = [float("-inf"), *cuts, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=pred, outputCol="__b").transform(observed)
-    picks = [F.min_by(target, mix32(stream_key(F.col(id_col), 9000 + i))).alias(f"p{i}") for i in range(MATCH_DRAWS)]
-    rows = bucketed.groupBy("__b").agg(*picks).collect()
-    return splits, {int(r["__b"]): [float(r[f"p{i}"]) for i in range(MATCH_DRAWS)] for r in rows}
+    number = F.row_number().over(Window.partitionBy("__b").orderBy(id_col, target)).cast("long")
+    donors = materialize(bucketed.select("__b", number.alias("__j"), F.col(target).cast("double").alias("__donor")), "mice-donors")
+    sizes = {int(r["__b"]): r["n"] for r in donors.groupBy("__b").agg(F.max("__j").alias("n")).collect()}  # one row a range
+    return splits, sizes, donors
 
 
-def match_means(df: DataFrame, matching: tuple, id_col: str, name: str) -> DataFrame:
-    splits, table = matching
+def match_means(df: DataFrame, matching: tuple, id_col: str, name: str, wanted=None) -> DataFrame:
+    """Replace predictions (where ``wanted``) by an observed value of their range, drawn by a hash of the id."""
+    splits, sizes, donors = matching
+    wanted = F.lit(True) if wanted is None else wanted
     bucketed = Bucketizer(splits=splits, inputCol=name, outputCol="__b").transform(df)
-    rows = F.array(*[F.array(*[F.lit(v) for v in table.get(b, [None] * MATCH_DRAWS)]).cast("array<double>") for b in range(len(splits) - 1)])
-    draw = (mix32(stream_key(F.col(id_col), 9100)) % MATCH_DRAWS).cast("int")
-    drawn = F.get(F.get(rows, F.col("__b").cast("int")), draw)
-    return bucketed.withColumn(name, F.coalesce(drawn, F.col(name))).drop("__b")
+    n = F.get(F.array(*[F.lit(sizes.get(b, 0)).cast("long") for b in range(len(splits) - 1)]), F.col("__b").cast("int"))
+    draw = mix32(stream_key(F.col(id_col), 9100))
+    j = F.when(wanted & (n > 0), draw % F.greatest(n, F.lit(1)) + 1).otherwise(-draw)  # no donor has it; rows stay spread
+    drawn = bucketed.withColumn("__j", j).join(donors, ["__b", "__j"], "left")
+    return drawn.withColumn(name, F.coalesce("__donor", name)).select(*df.columns)
 
 
 @dataclass

@@ -255,6 +255,16 @@ def test_mdl_cuts(spark):
     assert D.mdl_bins(df, ["a"], "y").bins == {"a": [(0.0, 24.5), (24.5, 39.0)]}
 
 
+def test_matching_draws_from_all_observed_values(spark):
+    observed = spark.range(300).select("id", F.col("id").cast("double").alias("y"), (F.col("id") >= 200).cast("double").alias("pred"))
+    matching = MI.fit_matching(observed, "y", "pred", "id")
+    rows = spark.range(1000, 7000).select("id", (F.col("id") % 2).cast("double").alias("pred"), (F.col("id") % 3 > 0).alias("gap"))
+    out = MI.match_means(rows, matching, "id", "pred", F.col("gap")).collect()
+    assert len(out) == 6000 and all(r.pred == r.id % 2 for r in out if not r.gap)
+    low, high = [{r.pred for r in out if r.gap and r.id % 2 == k} for k in (0, 1)]
+    assert low <= set(range(200)) and high == set(range(200, 300)) and len(low) > 190
+
+
 def test_mice_recovers_linear_structure(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 3))
