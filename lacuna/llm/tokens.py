@@ -1,9 +1,18 @@
 """Token ids of a column of texts, by a tokenizer file and the tokenizers library, inside Arrow tasks.
 
-The tokenizer drops white space and never joins characters across it, so a text's ids are those of
-its blank-separated chunks in a row, and a point or comma after letters is a token of its own. Each
+The ids are those of a plain call of the library on each whole text: special tokens that a text
+spells out become their ids. Texts are cut into chunks at places no token reaches across, each
 distinct chunk of a run of rows is encoded once, by the library, and recent chunks are remembered;
-ids are put together by array indexing.
+ids are put together by array indexing. The rules below belong to the two kinds of file they name,
+and an encoder asks the library about them when it opens a file; another file has its texts encoded
+whole.
+
+* A vocabulary with word ends drops white space and never joins characters across it, so chunks lie
+  between blanks. A run of letters is one word there, and a point or comma after it a token of its
+  own, as long as every letter is still one letter after the tokenizer's normaliser; the letters for
+  which this holds are found by asking the library.
+* A byte-level vocabulary attaches one blank to the letters that follow it, so texts are cut before
+  every blank that an ASCII letter follows.
 """
 
 from __future__ import annotations
@@ -18,38 +27,34 @@ from tokenizers import Tokenizer
 from lacuna.llm.words import ragged, runs
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 250_000
 JOINED = 4096
 SEPARATOR = "\ue000"  # a private character, of its own between blanks
-MARKS = "[\u0300-\u036f]"
+KEEP_CASE = "[\u0300-\u036f]|<[|]"  # marks that compose, and what special tokens begin with
+LETTERS = 0x250  # code points asked for as letters: Basic Latin to Latin Extended-B
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 class Encoder:
-    """``encoder(texts)`` gives, per run of rows, (lo, hi, all ids, offsets of the rows in them)."""
+    """``encoder(texts)`` gives, per run of rows, (lo, hi, all ids, offsets of the rows in them).
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids)
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.points = {c: self.one_by_one([c])[0] for c in ".,"}
+    This class encodes whole texts; the others cut them first.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         for lo, hi in runs(texts):
-            part = pc.fill_null(texts.slice(lo, hi - lo), "")
-            # the tokenizer lowers letters itself, after composing marks; do it early where that can't matter
-            lower = pc.if_else(pc.match_substring_regex(part, MARKS), part, pc.ascii_lower(part))
-            lists = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+            lists = self.chunks(pc.fill_null(texts.slice(lo, hi - lo), ""))
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
             coded = lists.flatten().dictionary_encode()
             known = self.known(coded.dictionary.to_pylist())
@@ -60,20 +65,66 @@ class Encoder:
             each = sizes[chunk]
             yield lo, hi, flat[ragged(first[chunk], each)], np.concatenate([[0], np.cumsum(each)])[ends]
 
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1), pa.int32()), texts)
+
     def known(self, chunks: list[str]) -> list[bytes]:
         """The ids of every chunk, as little-endian 32-bit integers."""
+        return self.one_by_one(chunks)
+
+    def remembered(self, chunks: list[str]) -> list[str]:
+        """The chunks whose ids are not in ``recent``."""
         if len(self.recent) > REMEMBERED:
             self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        words, ended, others = set(), [], []
+        new = []
         for c in chunks:
-            if c in recent:
-                continue
-            if c in older:
-                recent[c] = older[c]
-            elif c.isalpha():
+            if c not in self.recent:
+                if c in self.older:
+                    self.recent[c] = self.older[c]
+                else:
+                    new.append(c)
+        return new
+
+    def row(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def one_by_one(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+
+class WordEncoder(Encoder):
+    """For vocabularies with word ends (``</w>``) that drop white space."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__(tokenizer)
+        self.cut = self.row(SEPARATOR)
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.points = dict(zip(".,", self.one_by_one([".", ","])))
+        letters = [chr(c) for c in range(LETTERS) if chr(c).isalpha()]
+        alone, pointed = self.one_by_one(letters), self.one_by_one([c + "." for c in letters])
+        self.letters = {c for c, a, b in zip(letters, alone, pointed) if b == a + self.points["."] and self.last[np.frombuffer(a, "<u4")].sum() == 1}
+
+    @staticmethod
+    def suits(tokenizer: Tokenizer) -> bool:
+        def ids(text: str) -> list[int]:
+            return tokenizer.encode(text, add_special_tokens=False).ids
+
+        return any(t.endswith("</w>") for t in tokenizer.get_vocab()) and ids(" ab,  3 \n\tcd ") == ids("ab,") + ids("3") + ids("cd")
+
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        # the tokenizer lowers letters itself, after composing marks; do it early where that can't matter
+        lower = pc.if_else(pc.match_substring_regex(texts, KEEP_CASE), texts, pc.ascii_lower(texts))
+        return pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        recent, is_word = self.recent, self.letters.issuperset
+        words, ended, others = set(), [], []
+        for c in self.remembered(chunks):
+            if c and is_word(c):
                 words.add(c)
-            elif c[-1:] in self.points and c[:-1].isalpha():
+            elif c[-1:] in self.points and c[:-1] and is_word(c[:-1]):
                 ended.append(c)
                 if c[:-1] not in recent:
                     words.add(c[:-1])
@@ -102,11 +153,47 @@ class Encoder:
             return self.one_by_one(chunks)
         return _pieces(ids, np.concatenate([[0], at + n]), np.concatenate([at, [len(ids)]]))
 
-    def row(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def one_by_one(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+class ByteEncoder(Encoder):
+    """For byte-level vocabularies that attach one blank to the letters after it."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__(tokenizer)
+        vocabulary = tokenizer.get_vocab()
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)  # a blank and an ASCII letter
+        self.first[[i for token, i in vocabulary.items() if token[:1] == "\u0120" and token[1:2].isascii() and token[1:2].isalpha()]] = True
+
+    @staticmethod
+    def suits(tokenizer: Tokenizer) -> bool:
+        def ids(text: str) -> list[int]:
+            return tokenizer.encode(text, add_special_tokens=False).ids
+
+        parts = [" ab, 3", " cd \n ", " ef", " gh"]
+        return "\u0120" in tokenizer.get_vocab() and ids("".join(parts)) == [i for p in parts for i in ids(p)]
+
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        if pc.any(pc.match_substring(texts, SEPARATOR)).as_py():
+            return super().chunks(texts)
+        return pc.split_pattern(pc.replace_substring_regex(texts, " ([A-Za-z])", SEPARATOR + r" \1"), SEPARATOR)
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        recent = self.recent
+        marked, others = [], []
+        for c in self.remembered(chunks):
+            (marked if c[:1] == " " and c[1:2].isascii() and c[1:2].isalpha() and " " not in c[1:] else others).append(c)
+        for some in _cut(marked):
+            recent.update(zip(some, self.encode_marked(some)))
+        for some in _cut(others):
+            recent.update(zip(some, self.one_by_one(some)))
+        return [recent[c] for c in chunks]
+
+    def encode_marked(self, chunks: list[str]) -> list[bytes]:
+        """Chunks of one blank, at their start: encode them in a row, cut before tokens that begin so."""
+        ids = self.row("".join(chunks))
+        starts = np.flatnonzero(self.first[ids])
+        if len(starts) != len(chunks):  # a blank stands alone, or a tokenizer joins across chunks
+            return self.one_by_one(chunks)
+        return _pieces(ids, starts, np.append(starts[1:], len(ids)))
 
 
 def _cut(chunks: list[str]) -> Iterator[list[str]]:
@@ -124,7 +211,9 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        tokenizer = Tokenizer.from_file(path)
+        kind = next((k for k in (WordEncoder, ByteEncoder) if k.suits(tokenizer)), Encoder)
+        _ENCODERS[path] = kind(tokenizer)
     return _ENCODERS[path]
 
 

@@ -1,6 +1,7 @@
 """Tokens, shard files and packing against the tokenizers library and brute force."""
 
 import collections
+import functools
 import random
 import zlib
 
@@ -11,33 +12,60 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lacuna.llm import packing, wavelet
-from lacuna.llm.tokens import Encoder, encoder, vocabulary_path
+from lacuna.llm.tokens import Encoder, WordEncoder, encoder, vocabulary_path
 
 ROWS = [(5, "The cat, sat."), (None, "no id"), (2, None), (3, ""), (2, "two"), (2, "two"), (9, "long words " * 4000), (7, " odd ́ \t it's 12 <|endoftext|>")]
 
 
+@functools.cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def reference():
-    t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return tokenizer(vocabulary_path())
 
 
-def plain(texts):
-    return [e.ids for e in reference().encode_batch([x or "" for x in texts], add_special_tokens=False)]
+def plain(texts, tokenizer=None):
+    return [e.ids for e in (tokenizer or reference()).encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30) | st.text("aBÉ,. '\n\t1İΣ́", max_size=20), max_size=6))
-def test_encoder_equals_the_library(texts):
-    own = encoder(vocabulary_path())
+#: Letters that decompose or take marks before points, special strings, blanks of all kinds.
+ODD = [
+    "TÜRKİ.", "ŞEHRİ, VE", "İ.", "i̇.", "I\u0307, x", "e\u0301. E\u0301.", "ǰ. ŉ, ß. ẞ.", "a<|endoftext|>b", "<|ENDOFTEXT|> <|startoftext|>.", "<| endoftext|>",
+    " lead", "two  blanks ", "a \n b", "\n\n c", "x\u00a0y \u2003z", "don't WE'LL 'S", "n12 3.4,5 #a _b", "\ue000 own", "a \ue000 b", "한국. 中文, ﬁ. \ufb1d.", " <|endoftext|> a", "\x00 a b", "ab\r\n cd",
+]
+
+
+def encoded(own, texts):
     got = []
     for _, _, ids, offsets in own(pa.array(texts, pa.string())):
         got += [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:])]
-    assert got == plain(texts)
+    return got
+
+
+def test_odd_texts():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary_path(name)
+        whole = Tokenizer.from_file(path)
+        texts = [*ODD, " ".join(ODD), *[a + b for a in ODD for b in (".", " The", ODD[0], " x<|endoftext|>")]]
+        assert encoded(encoder(path), texts) == plain(texts, whole)
+        assert encoded(Encoder(whole), texts) == plain(texts, whole)
+
+
+TEXTS = st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30) | st.text("aBÉ,. '\n\t1İΣ́ \u00a0\ue000", max_size=20) | st.lists(st.sampled_from(ODD), max_size=4).map(" ".join), max_size=6)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_encoder_equals_the_library(texts):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary_path(name)
+        assert encoded(encoder(path), texts) == plain(texts, tokenizer(path))
 
 
 def test_encoder_forgets():
-    own = Encoder(vocabulary_path())
+    own = WordEncoder(reference())
     rng = random.Random(0)
     for _ in range(3):
         own.recent = {str(i): b"" for i in range(300_000)}
