@@ -11,8 +11,9 @@ whole.
   between blanks. A run of letters is one word there, and a point or comma after it a token of its
   own, as long as every letter is still one letter after the tokenizer's normaliser; the letters for
   which this holds are found by asking the library.
-* A byte-level vocabulary attaches one blank to the letters that follow it, so texts are cut before
-  every blank that an ASCII letter follows.
+* A byte-level vocabulary attaches one blank to what follows it and keeps letters, signs and white
+  space apart, so texts are cut before every blank that is followed by no other white space, between
+  a Latin letter and a point or comma, and between either and a line end.
 """
 
 from __future__ import annotations
@@ -29,9 +30,16 @@ from lacuna.llm.words import ragged, runs
 VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 250_000
-JOINED = 4096
+JOINED = 512  # words in a row; longer rows cost the library more a character
 SEPARATOR = "\ue000"  # a private character, of its own between blanks
 KEEP_CASE = "[\u0300-\u036f]|<[|]"  # marks that compose, and what special tokens begin with
+BLANK = "\u0120"  # how byte-level vocabularies write a blank
+LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+BYTE_CUTS = [
+    (r" ([\pL\pN\pP\pS\pM])", SEPARATOR + r" \1"),
+    (f"({LATIN})([.,])", r"\1" + SEPARATOR + r"\2"),
+    (f"({LATIN}|[.,])\n", r"\1" + SEPARATOR + "\n"),
+]
 LETTERS = 0x250  # code points asked for as letters: Basic Latin to Latin Extended-B
 
 
@@ -160,27 +168,30 @@ class ByteEncoder(Encoder):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__(tokenizer)
         vocabulary = tokenizer.get_vocab()
-        self.first = np.zeros(max(vocabulary.values()) + 1, bool)  # a blank and an ASCII letter
-        self.first[[i for token, i in vocabulary.items() if token[:1] == "\u0120" and token[1:2].isascii() and token[1:2].isalpha()]] = True
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.first[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
 
     @staticmethod
     def suits(tokenizer: Tokenizer) -> bool:
         def ids(text: str) -> list[int]:
             return tokenizer.encode(text, add_special_tokens=False).ids
 
-        parts = [" ab, 3", " cd \n ", " ef", " gh"]
-        return "\u0120" in tokenizer.get_vocab() and ids("".join(parts)) == [i for p in parts for i in ids(p)]
+        parts = [" ab", ", 3", " cd \n ", " ef", ".", "\nGh", "\n\nij", ",", " gh"]
+        return BLANK in tokenizer.get_vocab() and ids("".join(parts)) == [i for p in parts for i in ids(p)]
 
     def chunks(self, texts: pa.Array) -> pa.ListArray:
         if pc.any(pc.match_substring(texts, SEPARATOR)).as_py():
             return super().chunks(texts)
-        return pc.split_pattern(pc.replace_substring_regex(texts, " ([A-Za-z])", SEPARATOR + r" \1"), SEPARATOR)
+        for pattern, cut in BYTE_CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, cut)
+        return pc.split_pattern(texts, SEPARATOR)
 
     def known(self, chunks: list[str]) -> list[bytes]:
         recent = self.recent
         marked, others = [], []
         for c in self.remembered(chunks):
-            (marked if c[:1] == " " and c[1:2].isascii() and c[1:2].isalpha() and " " not in c[1:] else others).append(c)
+            blank = c[:1] == " " and len(c) > 1 and not c[1].isspace() and " " not in c[1:]
+            (marked if blank else others).append(c)
         for some in _cut(marked):
             recent.update(zip(some, self.encode_marked(some)))
         for some in _cut(others):
@@ -188,10 +199,10 @@ class ByteEncoder(Encoder):
         return [recent[c] for c in chunks]
 
     def encode_marked(self, chunks: list[str]) -> list[bytes]:
-        """Chunks of one blank, at their start: encode them in a row, cut before tokens that begin so."""
+        """Chunks that hold one blank, at their start: encode them in a row, cut where tokens begin with it."""
         ids = self.row("".join(chunks))
         starts = np.flatnonzero(self.first[ids])
-        if len(starts) != len(chunks):  # a blank stands alone, or a tokenizer joins across chunks
+        if len(starts) != len(chunks):
             return self.one_by_one(chunks)
         return _pieces(ids, starts, np.append(starts[1:], len(ids)))
 
