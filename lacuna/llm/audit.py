@@ -88,12 +88,13 @@ def masked(docs: DataFrame) -> DataFrame:
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` with ``good`` and ``toxic`` (0 or 1); rows without an id don't take part in the join."""
+    """``rows`` with ``good`` and ``toxic`` (0 or 1); rows without an id match nothing and spread by text."""
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")
     )
-    named = rows.filter("doc_id IS NOT NULL").join(known.filter("good + toxic > 0"), "doc_id", "left").fillna(0, ["good", "toxic"])
-    return named.unionByName(rows.filter("doc_id IS NULL").withColumns({"good": F.lit(0), "toxic": F.lit(0)}))
+    known = known.filter("good + toxic > 0").withColumn("salt", F.lit(0))
+    salted = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.hash("node")).otherwise(0))
+    return salted.join(known, ["doc_id", "salt"], "left").drop("salt").fillna(0, ["good", "toxic"])
 
 
 def counted(rows: DataFrame) -> DataFrame:
