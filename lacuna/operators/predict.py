@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.quantiles import exact_percentiles
 from lacuna.operators.stats import average_precision
 
 
@@ -72,16 +73,21 @@ def tune(df: DataFrame, features: list[str], kind: str, grid: list[dict], label=
     return best, fit_predict(df, features, kind, label, split, ("train", "val"), seed, **best)
 
 
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def panel_features(df: DataFrame, entity: str, time: str, columns: list[str]) -> DataFrame:
-    """One row of statistics per entity and column, in one grouping; missing values are skipped.
+    """One row of statistics per entity and column; missing values are skipped.
 
-    Successive differences are taken over observed neighbours in time. Sums merge before the
-    shuffle; quantiles and the ordered array are per entity and column.
+    All but the quartiles come from one grouping whose sums merge before the shuffle; the quartiles
+    are taken by rank (see ``quantiles``), so no buffer holds an entity. Skew and kurtosis (excess)
+    are those of the population, NULL for an entity whose values are all equal.
     """
     aggs = []
     for c in columns:
         x, t = F.col(c).cast("double"), F.col(time).cast("double")
         seen = F.when(x.isNotNull(), F.struct(F.col(time), x.alias("v")))
+        varies = F.min(x) < F.max(x)
         aggs += [
             F.count(x).alias(f"{c}_count"),
             F.avg(x).alias(f"{c}_mean"),
@@ -91,31 +97,44 @@ def panel_features(df: DataFrame, entity: str, time: str, columns: list[str]) ->
             F.max(x).alias(f"{c}_max"),
             F.sum(x).alias(f"{c}_sum"),
             F.sum(x * x).alias(f"{c}_abs_energy"),
-            F.percentile(x, F.lit(0.5)).alias(f"{c}_median"),
             F.min(seen)["v"].alias(f"{c}_first"),
             F.max(seen)["v"].alias(f"{c}_last"),
             F.regr_slope(x, F.when(x.isNotNull(), t)).alias(f"{c}_slope"),
-            F.skewness(x).alias(f"{c}_skew"),
-            F.kurtosis(x).alias(f"{c}_kurtosis"),
+            F.when(varies, F.skewness(x)).alias(f"{c}_skew"),
+            F.when(varies, F.kurtosis(x)).alias(f"{c}_kurtosis"),
         ]
-    return df.groupBy(entity).agg(*aggs)
+    ranks = exact_percentiles(df, [entity], columns, list(QUARTILES.values()))
+    wide = [
+        F.max(F.when(F.col("feature") == c, F.col("p")[i])).alias(f"{c}_{name}") for c in columns for i, name in enumerate(QUARTILES)
+    ]
+    wide = ranks.groupBy(F.col(entity).alias("__entity")).agg(*wide)
+    return df.groupBy(entity).agg(*aggs).join(wide, F.col(entity).eqNullSafe(F.col("__entity"))).drop("__entity")
 
 
 def change_features(df: DataFrame, entity: str, time: str, columns: list[str]) -> DataFrame:
-    """Mean absolute change, lag-1 autocovariance and mean crossings between successive rows.
+    """Mean absolute change, lag-1 autocovariance and autocorrelation, and mean crossings between
+    successive rows.
 
-    The previous row comes from the carried observation, which is computed per range of time.
+    The previous row comes from the carried observation, which is computed per range of time. The
+    autocorrelation divides by the variance of all rows; it is NULL for an entity whose values are
+    all equal.
     """
     from lacuna.operators.impute_simple import previous_observation
 
-    means = df.groupBy(entity).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
-    with_prev = previous_observation(df, entity, time, columns).join(means, entity)
+    moments = []
+    for c in columns:
+        spread = F.when(F.min(c) < F.max(c), F.var_pop(c))
+        moments += [F.avg(c).alias(f"__m_{c}"), spread.alias(f"__v_{c}")]
+    means = df.groupBy(F.col(entity).alias("__entity")).agg(*moments)
+    with_prev = previous_observation(df, entity, time, columns).join(means, F.col(entity).eqNullSafe(F.col("__entity")))
     aggs = []
     for c in columns:
         x, p, m = F.col(c), F.col(f"prev_{c}"), F.col(f"__m_{c}")
+        together = F.avg((x - m) * (p - m))
         aggs += [
             F.avg(F.abs(x - p)).alias(f"{c}_mean_abs_change"),
-            F.avg((x - m) * (p - m)).alias(f"{c}_autocov"),
+            together.alias(f"{c}_autocov"),
+            (together / F.max(f"__v_{c}")).alias(f"{c}_autocorr"),
             F.sum(F.when((x > m) != (p > m), 1).otherwise(0)).alias(f"{c}_crossings"),
         ]
     return with_prev.groupBy(entity).agg(*aggs)

@@ -8,7 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators.ranking import running_sums
+from lacuna.operators.quantiles import exact_percentiles
+from lacuna.operators.ranking import join_totals, running_sums
 from lacuna.session import materialize
 
 
@@ -46,11 +47,8 @@ def column_mode(df: DataFrame, columns: list[str]) -> DataFrame:
 def percentile_ci(df: DataFrame, keys: list[str], value: str = "val", level: float = 0.95) -> DataFrame:
     """Percentile interval with linear interpolation."""
     alpha = 1 - level
-    lo, hi = alpha / 2, alpha / 2 + level
-    p = F.percentile(value, F.array(F.lit(lo), F.lit(hi)))
-    return df.groupBy(*keys).agg(p.alias("p")).select(
-        *keys, F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper")
-    )
+    found = exact_percentiles(df, keys, [value], [alpha / 2, alpha / 2 + level])
+    return found.select(*keys, F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -147,15 +145,15 @@ def jarque_bera(df: DataFrame, keys: list[str], value: str = "val", level: float
 
 
 def rollup_rows(df: DataFrame, keys: list[str], value: str = "val", level: float = 0.95) -> DataFrame:
-    """mean, isnormal, lowerci, upperci as long rows, from one grouping."""
+    """mean, isnormal, lowerci, upperci as long rows: one grouping, and the percentiles by rank."""
     alpha = 1 - level
     n = F.count(value).cast("double")
     jb = n / 6 * (F.pow(F.skewness(value), F.lit(2.0)) + F.pow(F.kurtosis(value), F.lit(2.0)) / 4)
     stats = df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"),
-        F.coalesce(F.exp(-jb / 2) > alpha, F.lit(False)).cast("double").alias("isnormal"),
-        F.percentile(value, F.array(F.lit(alpha / 2), F.lit(alpha / 2 + level))).alias("p"),
+        F.avg(value).alias("mean"), F.coalesce(F.exp(-jb / 2) > alpha, F.lit(False)).cast("double").alias("isnormal")
     )
+    ends = exact_percentiles(df, keys, [value], [alpha / 2, alpha / 2 + level]).drop("feature")
+    stats = join_totals(stats, ends, keys)
     cells = {"mean": F.col("mean"), "isnormal": F.col("isnormal"), "lowerci": F.col("p")[0], "upperci": F.col("p")[1]}
     rows = F.array(*[F.struct(F.lit(k).alias("aggregate_type"), c.alias("val")) for k, c in cells.items()])
     return stats.select(*keys, F.inline(rows))

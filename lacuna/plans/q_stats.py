@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lacuna.operators import invariants as V
 from lacuna.operators import results as R
 from lacuna.operators import splits as SP
+from lacuna.operators import quantiles as Q
 from lacuna.operators import stats as ST
 from lacuna.plans import sql as S
 from lacuna.plans import tables as T
@@ -182,6 +183,28 @@ def jarque_bera(spark, d):
     return out.withColumns({"statistic": F.round("statistic", 4), "p": F.round("p", 6)})
 
 
+# The normal distribution function as a power series; the terms of one value by their logarithms.
+_NORMAL = """0.5::DOUBLE + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 140),
+    lambda k: exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2::DOUBLE) - lgamma(k + 1.5::DOUBLE) + ln(pi()) / 2)))"""
+
+
+@query(
+    f"""WITH {S.LOG}, cells AS ({_CELLS}),
+    s AS (SELECT method, split, count(val) AS n, avg(val) AS mean, stddev_samp(val) AS sd, min(val) < max(val) AS varies FROM cells GROUP BY 1, 2),
+    z AS (SELECT *, (val - mean) / sd AS z, rank() OVER (PARTITION BY method, split ORDER BY val) AS below,
+      count(*) OVER (PARTITION BY method, split ORDER BY val) AS upto FROM cells JOIN s USING (method, split) WHERE varies),
+    f AS (SELECT *, CASE WHEN z > 8 THEN 1 WHEN z < -8 THEN 0 WHEN z = 0 THEN 0.5 ELSE {_NORMAL} END AS cdf FROM z),
+    d AS (SELECT method, split, max(greatest(upto / n - cdf, cdf - (below - 1) / n)) AS d FROM f GROUP BY 1, 2),
+    p AS (SELECT method, split, n, d, CASE WHEN sqrt(n) * d < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101),
+      lambda k: pow(-1, k - 1) * exp(-2.0::DOUBLE * k * k * n * d * d))))) END AS p FROM s LEFT JOIN d USING (method, split))
+    SELECT method, split, n, round(d, 6) AS statistic, round(p, 5) AS p, coalesce(p > 0.05, false) AS isnormal FROM p"""
+)
+def ks_normal(spark, d):
+    """Distance of each method's errors to the normal distribution, next to ``jarque_bera``."""
+    out = Q.ks_normal(_rmse_by_method(spark, d), ["method", "split"])
+    return out.withColumns({"statistic": F.round("statistic", 6), "p": F.round("p", 5)})
+
+
 @query(
     f"""WITH {S.LOG}, {_moments('method, split')}
     SELECT method, split, 'mean' AS aggregate_type, round(mean, 6) AS val FROM jb

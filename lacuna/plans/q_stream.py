@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.hashing import stream_key, uniform
 from lacuna.operators.knn import knn_impute
+from lacuna.operators.metrics import metrics_long
 from lacuna.operators.reshape import flatten_panel
 from lacuna.operators.transforms import MinMaxScaler
 from lacuna.plans import sql as S
 from lacuna.plans import tables as T
-from lacuna.plans.registry import query
-from lacuna.session import materialize
-from lacuna.streaming.incremental import apply_fitted, read_stream
+from lacuna.plans.q_score import CODED, scoring_frame
+from lacuna.plans.registry import ORACLES, query
+from lacuna.session import materialize, new_table_path
+from lacuna.streaming.incremental import apply_fitted, read_stream, run_to_table
+from lacuna.streaming.stateful import as_stream, closing_row, locf_stream, metrics_stream, missing_share_stream
 
 
 @query(
@@ -51,3 +54,56 @@ def stream_fitted_transform(spark, d):
     stream = read_stream(spark, f"{d}/orders.parquet").select("o_orderkey", "o_totalprice")
     out = apply_fitted(stream, scaler.transform, "stream-scaled")
     return out.withColumn("o_totalprice", F.round("o_totalprice", 9))
+
+
+_EV = T.EVENT_TYPES
+SLICES = 4
+
+
+def _slices(spark, d):
+    """The panel in slices of days, each row of every fifth user one slice late, and a closing row."""
+    panel = T.panel(spark, d).withColumn("at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("t")).cast("timestamp")).drop("t")
+    days = F.datediff("at", F.lit("2024-01-01").cast("date"))
+    span = panel.agg(F.max(days) + 1).first()[0]
+    late = (F.col("user_id") % 5 == 0).cast("int")
+    cut = materialize(panel.withColumn("slice", F.floor(days * SLICES / span) + late), "panel-slices", ["slice"])
+    parts = [cut.filter(F.col("slice") == s).drop("slice") for s in range(SLICES + 1)]
+    delay = f"{2 * (span // SLICES + 1)} days"
+    return [*parts, closing_row(cut.drop("slice"), "at", f"{2 * span} days")], delay
+
+
+def _day(c: str = "at"):
+    return F.datediff(c, F.lit("2024-01-01").cast("date"))
+
+
+_LAST = "last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"WITH {S.PANEL} SELECT user_id, t, " + ", ".join(f"{_LAST.format(c=c)} AS {c}" for c in _EV) + " FROM panel")
+def stream_locf(spark, d):
+    """The panel as a stream, partly out of order, filled forward with state per user: equals ``impute_locf``."""
+    slices, delay = _slices(spark, d)
+    filled = locf_stream(as_stream(slices, "stream-panel"), "user_id", "at", _EV, delay)
+    return run_to_table(filled, "stream-locf").select("user_id", _day().alias("t"), *_EV)
+
+
+@query(
+    f"WITH {S.PANEL} SELECT (t - (t + 4) % 7)::INTEGER AS first_day, feature, count(*) AS n, sum(gone)::BIGINT AS missing, "
+    f"round(avg(gone), 9) AS missing_share FROM ("
+    + " UNION ALL ".join(f"SELECT t, '{c}' AS feature, CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS gone FROM panel" for c in _EV)
+    + ") GROUP BY 1, 2"
+)
+def stream_missing_share(spark, d):
+    """Missing cells of each series per week (weeks start on Thursdays, as the epoch), from a stream."""
+    slices, delay = _slices(spark, d)
+    shares = run_to_table(missing_share_stream(as_stream(slices, "stream-panel"), "at", _EV, "7 days", delay), "stream-missing")
+    return shares.select(_day("window_start").alias("first_day"), "feature", "n", "missing", F.round("missing_share", 9).alias("missing_share"))
+
+
+@query(ORACLES["metric_matrix"])
+def stream_metrics(spark, d):
+    """The metrics of ``metric_matrix`` from one streaming aggregate over several batches."""
+    scored = materialize(scoring_frame(spark, d).withColumn("part", F.col("id") % 3), "scored", ["part"])
+    stream = as_stream([scored.filter(F.col("part") == i).drop("part") for i in range(3)], "stream-scored", batches=3)
+    states = metrics_stream(stream, CODED, ["split"], new_table_path(spark, "stream-metrics"))
+    return metrics_long(states, ["split"]).withColumn("val", F.round("val", 6))

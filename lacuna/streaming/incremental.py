@@ -15,10 +15,13 @@ from lacuna.schema import FeatureSchema
 from lacuna.session import new_table_path
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available into a parquet table of the shared folder and read it back."""
+def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Process what is available into a parquet table of the shared folder and read it back.
+
+    With the ``path`` of an earlier run, the query goes on with the state and the table it left.
+    """
     spark = stream.sparkSession
-    path = new_table_path(spark, name)
+    path = path or new_table_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{path}-checkpoint")
