@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lacuna.operators import clean as C
 from lacuna.operators import results as R
@@ -12,6 +13,8 @@ from lacuna.operators.reshape import melt
 from lacuna.plans import sql as S
 from lacuna.plans import tables as T
 from lacuna.plans.registry import query
+from lacuna.session import new_table_path
+from lacuna.sources.files import read_feather, write_feather
 from lacuna.sources.loader import FeatureSource
 
 _F = ", ".join(S.FEATS)
@@ -22,6 +25,15 @@ def scan_features(spark, d):
     return T.read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, l_returnflag FROM lineitem")
+def arrow_scan(spark, d):
+    """Line items written as Arrow files and read again by record batch, five of their columns."""
+    folder = new_table_path(spark, "arrow")
+    write_feather(T.read(spark, d, "lineitem"), folder)
+    kinds = {f.name: f for f in T.read(spark, d, "lineitem").schema}
+    return read_feather(spark, folder, StructType([kinds[c] for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag")]))
+
+
 @query(f"WITH {S.MIXED} SELECT id, label FROM mixed")
 def split_label(spark, d):
     source = FeatureSource(

@@ -113,21 +113,20 @@ def pad_sequences(spark, d):
     return R.pad_sequences(T.panel(spark, d), "user_id", "t", T.EVENT_TYPES)
 
 
+def _listed(c: str) -> str:
+    return f"string_agg(CAST(CAST(round(coalesce({c}, 0) * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY t) AS {c}"
+
+
 @query(
-    f"""WITH {S.PANEL} SELECT user_id,
-    string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS steps,
-    string_agg(CAST(CAST(round(coalesce(click, 0) * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY t) AS click
-    FROM panel GROUP BY user_id"""
+    f"WITH {S.PANEL} SELECT user_id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS steps, "
+    f"{', '.join(map(_listed, T.EVENT_TYPES))} FROM panel GROUP BY user_id"
 )
 def nest_sequences(spark, d):
-    panel = T.panel(spark, d).select(
-        "user_id",
-        "t",
-        F.round(F.coalesce("click", F.lit(0.0)) * 100).cast("bigint").cast("string").alias("click"),
-        F.col("t").cast("string").alias("steps"),
-    )
-    nested = R.nest_sequences(panel, "user_id", "t", ["steps", "click"])
-    return nested.select("user_id", F.concat_ws(",", "steps").alias("steps"), F.concat_ws(",", "click").alias("click"))
+    """All series of a user as ordered arrays, written as lists of whole hundredths."""
+    cents = {c: F.round(F.coalesce(c, F.lit(0.0)) * 100).cast("bigint").cast("string") for c in T.EVENT_TYPES}
+    panel = T.panel(spark, d).withColumns({**cents, "steps": F.col("t").cast("string")})
+    nested = R.nest_sequences(panel, "user_id", "t", ["steps", *T.EVENT_TYPES])
+    return nested.select("user_id", *[F.concat_ws(",", c).alias(c) for c in ("steps", *T.EVENT_TYPES)])
 
 
 @query(f"WITH {S.PANEL} SELECT user_id, t, {_EV} FROM panel")
@@ -179,26 +178,26 @@ def _by_type(spark, d, event):
     return T.panel(spark, d).filter(F.col(event).isNotNull()).select("user_id", "t", event)
 
 
-@query(
-    f"""WITH {S.PANEL} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.t, b.t) AS t, click, view
-    FROM (SELECT user_id, t, click FROM panel WHERE click IS NOT NULL) a
-    FULL JOIN (SELECT user_id, t, view FROM panel WHERE view IS NOT NULL) b
-    ON a.user_id = b.user_id AND a.t = b.t"""
-)
+def _outer_sql() -> str:
+    frames = [f"(SELECT user_id, t, {c} FROM panel WHERE {c} IS NOT NULL)" for c in T.EVENT_TYPES]
+    return frames[0] + "".join(f" FULL JOIN {f} USING (user_id, t)" for f in frames[1:])
+
+
+@query(f"WITH {S.PANEL} SELECT user_id, t, {_EV} FROM {_outer_sql()}")
 def outer_join_panel(spark, d):
-    frames = [_by_type(spark, d, "click"), _by_type(spark, d, "view")]
-    return J.outer_join_panels(frames, ["user_id", "t"])
+    """One table per event type, put together again: every (user, day) that any of the five has."""
+    return J.outer_join_panels([_by_type(spark, d, c) for c in T.EVENT_TYPES], ["user_id", "t"])
 
 
 @query(
-    f"""WITH {S.PANEL} SELECT user_id, t, click, c_acctbal, c_mktsegment FROM panel
+    f"""WITH {S.PANEL} SELECT user_id, t, {_EV}, c_acctbal, c_mktsegment FROM panel
     JOIN (SELECT c_custkey AS user_id, c_acctbal, c_mktsegment FROM customer) USING (user_id)"""
 )
 def static_broadcast_join(spark, d):
     static = T.read(spark, d, "customer").select(
         F.col("c_custkey").alias("user_id"), "c_acctbal", "c_mktsegment"
     )
-    return J.static_join(static, T.panel(spark, d).select("user_id", "t", "click"), "user_id")
+    return J.static_join(static, T.panel(spark, d), "user_id")
 
 
 @query(f"WITH {S.RUNS}, {S.SCALARS} SELECT run_id, method, step, tag, val FROM runs LEFT JOIN scalars USING (run_id)")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.schema import FeatureSchema
+from lacuna.sources.arrow_files import register
 
 METRIC_SCHEMA = (
     "run_id string, split string, feature_space string, filter_subgroup string, reduction string, "
@@ -25,40 +25,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_feather(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Arrow files, one task per file; record batches are handed on without conversion."""
-    wanted = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+def read_feather(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """Arrow files: ranges of record batches per task, only the columns of ``schema`` (see ``arrow_files``)."""
+    register(spark)
+    reader = spark.read.format("arrowfiles")
+    return (reader.schema(schema) if schema is not None else reader).load(path)
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                reader = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
-                for i in range(reader.num_record_batches):
-                    yield reader.get_batch(i).select(wanted.names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(load, wanted)
-
-
-def write_feather(df: DataFrame, folder: str) -> None:
-    """One Arrow file per partition, written by the task that holds it (to storage all tasks reach)."""
-
-    def dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
-
-        writer = None
-        path = os.path.join(folder, f"part-{uuid.uuid4().hex}.feather")
-        for b in batches:
-            if writer is None:
-                os.makedirs(folder, exist_ok=True)
-                writer = pa.ipc.new_file(path + ".tmp", b.schema)
-            writer.write_batch(b)
-        if writer is not None:
-            writer.close()
-            os.replace(path + ".tmp", path)
-            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
-
-    df.mapInArrow(dump, "path string").write.format("noop").mode("overwrite").save()
+def write_feather(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Arrow files written by the tasks that hold the rows, to storage all tasks reach."""
+    register(df.sparkSession)
+    df.write.format("arrowfiles").mode(mode).save(folder)
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], tuple[DataFrame, FeatureSchema]]) -> tuple[DataFrame, FeatureSchema]:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,45 @@ def test_feather_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_arrow_files_split_by_record_batch(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "IF(id % 7 = 0, NULL, id * 0.5) AS x", "cast(id AS string) AS s", "array(id, NULL) AS a", "timestamp_micros(id) AS at", "cast(id AS int) AS i")
+    folder = str(tmp_path / "f")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        FI.write_feather(df.coalesce(1), folder)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (manifest,) = (tmp_path / "f" / "_manifest").glob("*.json")
+    (listed,) = json.loads(manifest.read_text())["files"]
+    assert listed["batches"] == 50 and listed["rows"] == 5000
+    read = spark.read.format("arrowfiles").option("task_bytes", listed["bytes"] // 10).load(folder)
+    assert read.rdd.getNumPartitions() >= 10 and read.schema.names == df.schema.names
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, df.collect()))
+    some = spark.read.format("arrowfiles").schema("i long, id long").load(folder)  # fewer, in another order, one cast
+    assert sorted(map(tuple, some.collect())) == [(k, k) for k in range(5000)]
+    one = FI.read_feather(spark, f"{folder}/{listed['name']}", "x double")
+    assert one.filter("x IS NULL").count() == 715
+    with pytest.raises(Exception, match="no column"):
+        FI.read_feather(spark, folder, "other long").collect()
+
+
+def test_arrow_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    folder = tmp_path / "f"
+    df = spark.range(10)
+    FI.write_feather(df, str(folder))
+    stray = next(folder.glob("part-*.arrow"))
+    (folder / "part-stray.arrow").write_bytes(stray.read_bytes())
+    FI.write_feather(spark.range(10, 15), str(folder), "append")
+    assert sorted(r.id for r in FI.read_feather(spark, str(folder)).collect()) == list(range(15))
+    FI.write_feather(spark.range(3), str(folder))
+    assert sorted(r.id for r in FI.read_feather(spark, str(folder), "id long").collect()) == [0, 1, 2]
+    FI.write_feather(df.limit(0), str(tmp_path / "empty"))
+    back = FI.read_feather(spark, str(tmp_path / "empty"))
+    assert back.columns == ["id"] and back.count() == 0
+    with pytest.raises(Exception, match="FileNotFound|not found|absent"):
+        FI.read_feather(spark, str(tmp_path / "absent"))
+
+
 def test_read_or_build_builds_once(spark, tmp_path):
     calls = []
 
