@@ -11,6 +11,10 @@ and by value, and bounding boxes of the cells bound all distances between two ce
    is compared with the donors of its most promising cell, which tightens its bound, and then with
    those cells only that reach into it.
 
+Where the donors take ``DIRECT_BYTES`` at most and all comparisons are ``DIRECT_CELLS`` at most, these
+steps cost more than they save: each task gets the distinct donors as one array and compares its
+queries with all of them in blocks. Both ways give the same neighbours; ``direct`` chooses one.
+
 Only what cannot matter is left out, so the result is exact. Boxes prune well while the columns that
 vary most decide the distance; over many equally important columns, most cells reach into the
 distance and the work grows with queries times donors, as for any exact method. All plans are joins;
@@ -21,11 +25,13 @@ GRID_DIMS columns. Donors are copied for each pattern of the queries, at most 2*
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,6 +51,12 @@ CUTS = 256
 FIRST_CELLS = 512
 MAX_DEPTH = 20
 SLACK = 1 + 1e-9
+#: Bounds of the direct way: bytes of the distinct donors, and donors x queries x columns.
+DIRECT_BYTES = 64 << 20
+DIRECT_CELLS = 100_000_000_000
+#: Queries of a block (its donors are a chunk), and comparisons of a task, of the direct way.
+BLOCK_QUERIES = 128
+TASK_CELLS = 1_000_000_000
 
 
 def _level(cell_bins: str, level: int) -> Column:
@@ -231,9 +243,8 @@ def _compared(pairs: DataFrame, x: DataFrame, d_leaves: DataFrame, columns: list
     )
 
 
-def _prepared(df: DataFrame, columns: list[str], donors: DataFrame, k: int, chunk: int):
-    """Distinct incomplete vectors, distinct donors with their cells, and the pairs to compare."""
-    n = len(columns)
+def _vectors(df: DataFrame, columns: list[str], donors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct incomplete vectors, numbered, and distinct donors, counted."""
     cells = [F.col(c).cast("double").alias(c) for c in columns]
     some = F.coalesce(*columns).isNotNull()
     lacking = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
@@ -243,8 +254,12 @@ def _prepared(df: DataFrame, columns: list[str], donors: DataFrame, k: int, chun
     q = df.select(*cells).filter(some & lacking).distinct().select(
         F.monotonically_increasing_id().alias("qid"), F.lit(1).cast("bigint").alias("mult"), *columns
     )
-    q = materialize(q, "knn-queries")
+    return materialize(q, "knn-queries"), x
 
+
+def _prepared(q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int):
+    """The vectors with their cells, the cells of the donors, and the pairs to compare."""
+    n = len(columns)
     stats = x.agg(
         *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
         *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(columns)],
@@ -324,17 +339,110 @@ def _routes(q: DataFrame, d_leaves: DataFrame, pairs: DataFrame, columns: list[s
 
 def compared_pairs(df: DataFrame, columns: list[str], donors: DataFrame, k: int = 5) -> DataFrame:
     """How many (query, donor) pairs the final comparison makes, next to all of them."""
-    q, x, d_leaves, routed = _prepared(df, columns, donors, k, CHUNK)
+    q, x, d_leaves, routed = _prepared(*_vectors(df, columns, donors), columns, k, CHUNK)
     sizes = d_leaves.select(F.col("cell").alias("d_cell"), "rows")
     done = routed.join(sizes, "d_cell").agg(F.sum("rows").alias("compared"))
     every = donors.select(*columns).filter(F.coalesce(*columns).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("donors")).crossJoin(q.agg(F.count(F.lit(1)).alias("queries")))
     return done.crossJoin(every).withColumn("share", F.col("compared") / F.col("donors") / F.col("queries"))
 
 
-def nearest_fills(df: DataFrame, columns: list[str], donors: DataFrame, k: int, weights: str, chunk: int) -> DataFrame:
+def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -> Callable:
+    """The k best donors of each missing value of a batch of queries, by comparison with all donors."""
+    n = len(columns)
+
+    def merged(best: tuple, new: tuple) -> tuple:
+        """The k best of each row, the smaller value first on ties; rows in order."""
+        row, dist, value, mult = (np.concatenate(p) for p in zip(best, new))
+        order = np.lexsort((value, dist, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        return tuple(np.concatenate(p)[order] for p in zip(best, new))
+
+    def block(q: np.ndarray, known: np.ndarray) -> dict[int, tuple]:
+        """Per missing column: (row, squared distance, value, copies) of the best donors of queries with one pattern."""
+        none = (np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64))
+        best = {f: none for f in np.flatnonzero(~known).tolist()}
+        bound = {f: np.full(len(q), np.inf) for f in best}
+        for have, x, mult in donors.value:
+            shared = np.flatnonzero(known & have).tolist()
+            wanted = [f for f in best if have[f]]
+            if not shared or not wanted:
+                continue
+            for lo in range(0, len(x), chunk):
+                part = x[lo : lo + chunk]
+                total = np.zeros((len(q), len(part)))
+                for j in shared:
+                    gap = q[:, j : j + 1] - part[None, :, j]
+                    gap *= gap
+                    total += gap
+                total *= n
+                total /= len(shared)
+                reach = np.max([bound[f] for f in wanted], axis=0)
+                if len(part) > k and np.isinf(reach).any():  # the k-th of this block bounds the k-th of all
+                    reach = np.minimum(reach, np.partition(total, k - 1, axis=1)[:, k - 1])
+                row, col = np.nonzero(total <= reach[:, None])
+                dist = total[row, col]
+                for f in wanted:
+                    near = dist <= bound[f][row]
+                    r, c = row[near], col[near]
+                    if not len(r):
+                        continue
+                    best[f] = merged(best[f], (r, dist[near], part[c, f], mult[lo + c]))
+                    rows, counts = np.unique(best[f][0], return_counts=True)
+                    last = np.cumsum(counts) - 1
+                    bound[f][rows[counts == k]] = best[f][1][last[counts == k]]
+        return best
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            qid = batch.column("qid").to_numpy()
+            q = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(n)]).astype(float)
+            known = ~np.isnan(q)
+            patterns, group = np.unique(known, axis=0, return_inverse=True)
+            for g, pattern in enumerate(patterns):
+                rows = np.flatnonzero(group.ravel() == g)
+                for lo in range(0, len(rows), BLOCK_QUERIES):
+                    some = rows[lo : lo + BLOCK_QUERIES]
+                    for f, (row, dist, value, mult) in block(q[some], pattern).items():
+                        columns_out = [pa.array(qid[some[row]]), pa.array(np.full(len(row), f, np.int32)), pa.array(dist), pa.array(value), pa.array(mult)]
+                        yield pa.RecordBatch.from_arrays(columns_out, names=["qid", "f", "d2", "v", "mult"])
+
+    return compare
+
+
+def _by_pattern(x: DataFrame, columns: list[str]) -> list[tuple]:
+    """The donors as (which columns they have, values, copies), one entry per pattern."""
+    table = x.select(*columns, "mult").toArrow()
+    values = np.column_stack([table.column(c).to_numpy() for c in columns]).astype(float)
+    mult = table.column("mult").to_numpy()
+    patterns, group = np.unique(~np.isnan(values), axis=0, return_inverse=True)
+    rows = [np.flatnonzero(group.ravel() == g) for g in range(len(patterns))]
+    return [(p, np.asfortranarray(values[r]), mult[r]) for p, r in zip(patterns, rows)]
+
+
+def _found(q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int, direct: bool | None) -> DataFrame:
+    """(qid, f, d2, v, mult): candidates that hold the k nearest donors of every missing value."""
+    n = len(columns)
+    queries, rows = q.count(), x.count()
+    fits = rows * (n + 1) * 8 <= DIRECT_BYTES
+    if direct and not fits:
+        raise ValueError(f"the direct way takes donors of at most {DIRECT_BYTES} bytes")
+    if direct is None:
+        direct = fits and queries * rows * n <= DIRECT_CELLS
+    if not direct or not rows:
+        q, x, d_leaves, routed = _prepared(q, x, columns, k, chunk)
+        return _compared(routed, x, d_leaves, columns, k, chunk)
+    spark = q.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, queries * rows * n // TASK_CELLS)
+    donors = spark.sparkContext.broadcast(_by_pattern(x, columns))
+    spread = q.repartition(int(min(tasks, max(queries, 1))), "qid").select("qid", *columns)
+    return spread.mapInArrow(_nearest_of_all(columns, k, donors, chunk), "qid bigint, f int, d2 double, v double, mult bigint")
+
+
+def nearest_fills(df: DataFrame, columns: list[str], donors: DataFrame, k: int, weights: str, chunk: int, direct: bool | None = None) -> DataFrame:
     """Distinct incomplete vectors with one ``fill_{i}`` per column."""
-    q, x, d_leaves, routed = _prepared(df, columns, donors, k, chunk)
-    found = _compared(routed, x, d_leaves, columns, k, chunk)
+    q, x = _vectors(df, columns, donors)
+    found = _found(q, x, columns, k, chunk, direct)
     merged = found.groupBy("qid", "f").agg(F.sort_array(F.collect_list(F.struct("d2", "v", "mult"))).alias("near"))
     weight = "1D" if weights == "uniform" else "CASE WHEN x.d2 = 0 THEN 1D ELSE 1 / sqrt(x.d2) END"
     if weights == "distance":  # an exact match outweighs all others
@@ -365,13 +473,15 @@ def knn_impute(
     k: int = 5,
     weights: str = "uniform",
     chunk: int = CHUNK,
+    direct: bool | None = None,
 ) -> DataFrame:
     """Fill each missing value by the mean of its k nearest donors that have it.
 
     Ties in distance go to the smaller value. Without any comparable donor the donor mean is used.
-    Use k = 1 on category codes.
+    Use k = 1 on category codes. ``direct`` compares all vectors (True), searches cells (False), or
+    does what the bounds of the module say (None).
     """
-    fills = nearest_fills(df, columns, donors, k, weights, chunk)
+    fills = nearest_fills(df, columns, donors, k, weights, chunk, direct)
     row = donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     # rows without gaps have no key: they are not shuffled to a partner

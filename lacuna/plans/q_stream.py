@@ -21,7 +21,7 @@ from lacuna.streaming.stateful import as_stream, closing_row, locf_stream, metri
 @query(
     f"""WITH {S.PANEL}, days AS (SELECT unnest(range(0, (SELECT max(t) FROM panel) + 1)) AS t),
     users AS (SELECT user_id, (avg(view) > avg(click))::INTEGER::DOUBLE AS label FROM panel GROUP BY 1),
-    seqs AS (SELECT u.user_id, list(coalesce(p.click, -1) ORDER BY d.t) AS s FROM users u CROSS JOIN days d
+    seqs AS (SELECT u.user_id, {' || '.join(f"list(coalesce(p.{c}, -1) ORDER BY d.t)" for c in T.EVENT_TYPES)} AS s FROM users u CROSS JOIN days d
       LEFT JOIN panel p ON p.user_id = u.user_id AND p.t = d.t GROUP BY 1),
     known AS (SELECT user_id, s, CASE WHEN {S.u(S.key('user_id', 60))} < 0.6 THEN label END AS label FROM users JOIN seqs USING (user_id)),
     near AS (SELECT q.user_id, min({{'d': list_sum(list_transform(list_zip(q.s, x.s), lambda e: (e[1] - e[2]) * (e[1] - e[2])))
@@ -31,11 +31,11 @@ from lacuna.streaming.stateful import as_stream, closing_row, locf_stream, metri
       round(coalesce(k.label, list_avg(list_transform(five, lambda e: e.v))), 6) AS p FROM known k LEFT JOIN near USING (user_id))"""
 )
 def predict_knn_ts(spark, d):
-    """Nearest-neighbour classification of padded sequences: the label is the value to fill."""
+    """Nearest-neighbour classification of padded sequences of all series: the label is the value to fill."""
     panel = T.panel(spark, d)
     days = list(range(panel.agg(F.max("t")).first()[0] + 1))  # as many columns as the longest sequence has days
-    wide = flatten_panel(panel, "user_id", "t", ["click"], days)
-    steps = [f"click_t{x}" for x in days]
+    wide = flatten_panel(panel, "user_id", "t", T.EVENT_TYPES, days)
+    steps = [f"{c}_t{x}" for c in T.EVENT_TYPES for x in days]
     wide = wide.withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in steps})
     labels = panel.groupBy("user_id").agg((F.avg("view") > F.avg("click")).cast("double").alias("label"))
     table = materialize(wide.join(labels, "user_id"), "sequences")

@@ -216,8 +216,8 @@ def test_auc_and_average_precision(spark):
     assert ST.average_precision(df).first().average_precision == pytest.approx((1 * 1 + 1 * 2 / 3 + 1 * 3 / 5) / 3)
 
 
-@pytest.mark.parametrize("weights,chunk", [("uniform", 7), ("distance", 50)])
-def test_knn_equals_brute_force(spark, weights, chunk):
+@pytest.mark.parametrize("weights,chunk,direct", [("uniform", 7, False), ("distance", 50, False), ("uniform", 7, True), ("distance", 50, True)])
+def test_knn_equals_brute_force(spark, weights, chunk, direct):
     rng = np.random.default_rng(1)
     x = np.round(rng.random((150, 3)), 3)
     x[rng.random(x.shape) < 0.25] = np.nan
@@ -225,7 +225,7 @@ def test_knn_equals_brute_force(spark, weights, chunk):
     table = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(table, "id bigint, a double, b double, c double")
     donors = df.filter("id < 100")
-    got = np.array([tuple(r)[1:] for r in KN.knn_impute(df, ["a", "b", "c"], "id", donors, 3, weights, chunk).orderBy("id").collect()])
+    got = np.array([tuple(r)[1:] for r in KN.knn_impute(df, ["a", "b", "c"], "id", donors, 3, weights, chunk, direct).orderBy("id").collect()])
     want, base = x.copy(), x[:100]
     for i, j in zip(*np.where(np.isnan(x))):
         cand = []
@@ -471,11 +471,21 @@ def test_knn_compares_few_pairs_and_takes_empty_tables(spark):
     rows = [(i, None if np.isnan(a) else float(a), float(b)) for i, (a, b) in enumerate(v)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
     assert KN.compared_pairs(df, ["a", "b"], df, 3).first().share < 0.2
+    filled = [KN.knn_impute(df, ["a", "b"], "id", df, 3, direct=way) for way in (True, False)]
+    assert filled[0].exceptAll(filled[1]).isEmpty()
     none = df.limit(0)
     assert KN.knn_impute(none, ["a", "b"], "id", df, 3).count() == 0
     assert KN.knn_impute(df, ["a", "b"], "id", none, 3).filter("a IS NULL").count() == 1000
 
 
+def test_knn_refuses_donors_that_no_task_should_hold(spark, monkeypatch):
+    monkeypatch.setattr(KN, "DIRECT_BYTES", 100)
+    df = spark.range(50).selectExpr("id", "IF(id % 2 = 0, NULL, id * 1.0D) AS a", "id * 2.0D AS b")
+    with pytest.raises(ValueError):
+        KN.knn_impute(df, ["a", "b"], "id", df, direct=True)
+    assert KN.knn_impute(df, ["a", "b"], "id", df).filter("a IS NULL").isEmpty()
+
+
 def test_prepare_keeps_the_truth_and_fits_on_train_only(spark):
     from lacuna.operators.prepare import Step, prepare
 
