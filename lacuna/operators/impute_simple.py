@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.operators.encode import argmax
-from lacuna.operators.ranking import join_totals, range_cuts, with_range
+from lacuna.operators.ranking import carry, join_totals, range_cuts, with_range
 from lacuna.operators.transforms import MinMaxScaler
 from lacuna.schema import FeatureSchema
 
@@ -66,55 +66,24 @@ def warm_start(df: DataFrame, schema: FeatureSchema, how: str | float = 0) -> Da
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(how)) for c in schema.features})
 
 
-def _carry(
-    df: DataFrame, entity: str, time: str, columns: list[str], forward: bool, cuts: list[float]
-) -> DataFrame:
-    """Struct ``__from_{c}`` (time, value): the nearest observation at or before (after) each row.
-
-    Time is cut into ranges: windows run per (entity, range) and what crosses a range border is
-    carried by the table of per-range edge values, so one long sequence is spread over many tasks.
-    """
-    ranged = with_range(df, time, cuts)
-    keys = [entity, "__range"]
-    seen = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(time).alias("at"), F.col(c).alias("v"))) for c in columns}
-    edge = F.max if forward else F.min
-    edges = ranged.groupBy(*keys).agg(*[edge(seen[c]).alias(f"__e_{c}") for c in columns])
-    order = F.col("__range") if forward else F.col("__range").desc()
-    before = W.partitionBy(entity).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select(
-        *keys, *[F.last(f"__e_{c}", ignorenulls=True).over(before).alias(f"__p_{c}") for c in columns]
-    )
-    by_time = F.col(time) if forward else F.col(time).desc()
-    local = W.partitionBy(*keys).orderBy(by_time).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.select(
-        "*", *[F.last(seen[c], ignorenulls=True).over(local).alias(f"__l_{c}") for c in columns]
-    )
-    if cuts:
-        out = join_totals(out, edges, keys)
-        kept = [F.coalesce(f"__l_{c}", f"__p_{c}").alias(f"__from_{c}") for c in columns]
-    else:  # a single range: nothing crosses a border
-        kept = [F.col(f"__l_{c}").alias(f"__from_{c}") for c in columns]
-    return out.select(*df.columns, *kept)
-
-
 def fill_forward(df: DataFrame, entity: str, time: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """Last observation carried forward; missing before the first one."""
-    out = _carry(df, entity, time, columns, True, range_cuts(df, time, ranges))
+    out = carry(df, entity, time, columns, True, range_cuts(df, time, ranges))
     return out.withColumns({c: F.col(f"__from_{c}.v") for c in columns}).select(*df.columns)
 
 
 def fill_backward(df: DataFrame, entity: str, time: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """Next observation carried backward; missing after the last one."""
-    out = _carry(df, entity, time, columns, False, range_cuts(df, time, ranges))
+    out = carry(df, entity, time, columns, False, range_cuts(df, time, ranges))
     return out.withColumns({c: F.col(f"__from_{c}.v") for c in columns}).select(*df.columns)
 
 
 def interpolate(df: DataFrame, entity: str, time: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """Linear in time between the neighbours; the nearest observation outside of them."""
     cuts = range_cuts(df, time, ranges)
-    both = _carry(df, entity, time, columns, True, cuts)
+    both = carry(df, entity, time, columns, True, cuts)
     both = both.withColumnsRenamed({f"__from_{c}": f"__prev_{c}" for c in columns})
-    both = _carry(both, entity, time, columns, False, cuts)
+    both = carry(both, entity, time, columns, False, cuts)
     out = {}
     for c in columns:
         prev, nxt = F.col(f"__prev_{c}"), F.col(f"__from_{c}")

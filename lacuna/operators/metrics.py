@@ -8,9 +8,13 @@ missing ones; a second one over that small table turns them into metrics.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.encode import argmax
@@ -282,3 +286,73 @@ def best_worst_rows(frame: DataFrame, schema: FeatureSchema, id_col: str, n: int
     best = scored.orderBy("err", id_col).limit(n).withColumn("kind", F.lit("best"))
     worst = scored.orderBy(F.desc("err"), id_col).limit(n).withColumn("kind", F.lit("worst"))
     return best.unionByName(worst)
+
+
+def row_errors(schema: FeatureSchema, subgroup: str = "all") -> dict[str, Column]:
+    """Per metric the error of one row: RMSE and MAAPE over its continuous features, the share of wrong
+    ones over its categorical features. ``missingonly`` counts cells that were missing; a row without
+    such cells, or with a gap left, has no error of that metric."""
+    units = list(unit_terms(schema).values())
+    out = {}
+    for name, ctn, at, root in (("RMSE", True, 1, True), ("MAAPE", True, 2, False), ("wrong", False, 1, False)):
+        mine = [u for u in units if u[0] == ctn]
+        if not mine:
+            continue
+        weights = [u[3] if subgroup == "missingonly" else F.lit(1.0) for u in mine]
+        terms = [F.when(w > 0, u[at] * w).otherwise(0.0) for u, w in zip(mine, weights)]
+        mean = F.try_divide(reduce(lambda a, b: a + b, terms), reduce(lambda a, b: a + b, weights))
+        out[name] = F.sqrt(mean) if root else mean * (2 / math.pi if name == "MAAPE" else 1.0)
+    return out
+
+
+def extreme_rows(errors: DataFrame, by: list[str], id_col: str, n: int, groups: int = 64) -> DataFrame:
+    """by, kind, rank, id, err: the n rows of each group of ``errors`` with the least and the greatest err.
+
+    Ties go to the smaller id. Every task keeps n rows a group and kind in heaps, whatever it reads; the
+    heaps of the tasks are merged in ``groups`` parts a group first, so nothing is sorted as a whole.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    table = errors.select(*by, F.col(id_col).alias("id"), F.col("err").cast("double").alias("err")).filter("err IS NOT NULL")
+    kinds = dict(table.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", kind string, id {kinds['id']}, err double"
+
+    def kept(rows: pa.Table) -> pa.Table:
+        """The n first of each group and kind, worst errors being negative inside."""
+        signed = pc.if_else(pc.equal(rows["kind"], "best"), rows["err"], pc.negate(rows["err"]))
+        rows = rows.append_column("__key", signed)
+        order = pc.sort_indices(rows, [*((c, "ascending") for c in by), ("kind", "ascending"), ("__key", "ascending"), ("id", "ascending")])
+        rows = rows.take(order).drop_columns("__key")
+        group = [rows[c].combine_chunks() for c in [*by, "kind"]]
+        starts = np.zeros(len(rows), bool)
+        starts[:1] = True
+        for g in group:
+            code = g.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts[1:] |= code[1:] != code[:-1]
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0))
+        return rows.filter(pa.array(np.arange(len(rows)) - first < n))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            both = [part.add_column(len(by), "kind", pa.array([k] * len(part), pa.string())) for k in ("best", "worst")]
+            held = kept(pa.concat_tables([*([held] if held is not None else []), *both]))
+        if held is not None:
+            yield from held.to_batches()
+
+    heaps = table.mapInArrow(per_task, schema).withColumn("__part", F.spark_partition_id() % groups)
+    merged = heaps.groupBy(*by, "kind", "__part").applyInArrow(lambda t: kept(t.drop_columns("__part")), schema)
+    merged = merged.groupBy(*by, "kind").applyInArrow(kept, schema)
+    place = F.when(F.col("kind") == "best", F.col("err")).otherwise(-F.col("err"))
+    rank = F.row_number().over(Window.partitionBy(*by, "kind").orderBy(place, "id"))  # n rows a group and kind
+    return merged.select(*by, "kind", rank.alias("rank"), F.col("id").alias(id_col), "err")
+
+
+def best_worst_by_metric(frame: DataFrame, schema: FeatureSchema, id_col: str, n: int = 10) -> DataFrame:
+    """filter_subgroup, metric_name, kind, rank, id, err: the best and worst rows of every metric."""
+    cells = [
+        F.struct(F.lit(s).alias("filter_subgroup"), F.lit(m).alias("metric_name"), e.alias("err"))
+        for s in SUBGROUPS for m, e in row_errors(schema, s).items()
+    ]
+    return extreme_rows(frame.select(id_col, F.inline(F.array(*cells))), ["filter_subgroup", "metric_name"], id_col, n)

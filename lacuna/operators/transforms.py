@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators.encode import argmax
+from lacuna.operators.encode import argmax, onehot
+from lacuna.operators.ranking import carry, range_cuts
+from lacuna.session import materialize
 
 MAX_LITERALS = 1000
 
@@ -157,15 +159,48 @@ class TargetEncoder:
             df = joined.withColumn(c, F.when(F.col(c).isNotNull(), value)).drop("__cat", "__enc")
         return df
 
-    def inverse(self, df: DataFrame) -> DataFrame:
-        """The category whose code is nearest, the first by category name on ties."""
+    def inverse(self, df: DataFrame, onehots: dict[str, list[str]] | None = None, ranges: int | None = None) -> DataFrame:
+        """The category whose code is nearest, the first by category name on ties.
+
+        Few categories are compared as literals, many are found by ``_nearest``. ``onehots`` maps a
+        column to its categories and gives it back as the indicators ``{column}_{category}``.
+        """
         if self.codes is None:
-            raise ValueError(f"inverse needs at most {MAX_LITERALS} categories")
-        out = {}
-        for c in self.columns:
-            entries = [
-                F.struct(F.abs(F.col(c) - F.lit(e)).alias("d"), F.lit(k).alias("cat"))
-                for k, e in self.codes[c].items()
-            ]
-            out[c] = F.when(F.col(c).isNotNull(), F.array_min(F.array(*entries))["cat"])
-        return df.withColumns(out)
+            for c in self.columns:
+                found = self._nearest(df, c, ranges)
+                joined = df.join(found, F.col(c).cast("double") == F.col("__x"), "left")
+                df = joined.withColumn(c, F.col("__cat")).select(*[F.col(f"`{n}`") for n in df.columns])
+        else:
+            out = {}
+            for c in self.columns:
+                entries = [
+                    F.struct(F.abs(F.col(c) - F.lit(e)).alias("d"), F.lit(k).alias("cat"))
+                    for k, e in self.codes[c].items()
+                ]
+                nearest = F.array_min(F.array(*entries))["cat"] if entries else F.lit(None).cast("string")
+                out[c] = F.when(F.col(c).isNotNull(), nearest)
+            df = df.withColumns(out)
+        return onehot(df, list(onehots), onehots) if onehots else df
+
+    def _nearest(self, df: DataFrame, c: str, ranges: int | None) -> DataFrame:
+        """(__x, __cat): the category of every distinct value of column ``c``.
+
+        Values and codes are put into one order; the last code before and the first one after each
+        value are carried to it across ranges of the order, so no task holds all codes.
+        """
+        codes = self.model.filter(F.col("col") == c).groupBy("encoded").agg(F.min("category").alias("cat"))
+        values = df.select(F.col(c).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
+        both = codes.select(F.col("encoded").alias("x"), F.lit(False).alias("asked"), "cat").unionAll(
+            values.select("x", F.lit(True), F.lit(None).cast("string"))
+        )
+        # a code and an equal value are two rows of one place: bring them together first
+        placed = both.groupBy("x").agg(F.max("asked").alias("asked"), F.min("cat").alias("cat")).withColumn("one", F.lit(1))
+        placed = materialize(placed, "target-codes")
+        cuts = range_cuts(placed, "x", ranges)
+        near = carry(placed, "one", "x", ["cat"], True, cuts).withColumnRenamed("__from_cat", "lo")
+        near = carry(near, "one", "x", ["cat"], False, cuts).withColumnRenamed("__from_cat", "hi")
+        either = F.array_min(F.filter(
+            F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("x") - F.col(s)["at"]).alias("d"), F.col(s)["v"].alias("cat"))) for s in ("lo", "hi")]),
+            lambda e: e.isNotNull(),
+        ))
+        return near.filter("asked").select(F.col("x").alias("__x"), either["cat"].alias("__cat"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lacuna.operators import impute_simple as I
@@ -11,6 +12,7 @@ from lacuna.operators import joins as J
 from lacuna.operators import metrics as M
 from lacuna.operators import splits as SP
 from lacuna.operators import transforms as X
+from lacuna.operators.user_metrics import UserMetric, score_user_metrics
 from lacuna.plans import sql as S
 from lacuna.plans import tables as T
 from lacuna.plans.q_transform import BOUNDS, CTN, GROUPS, SCALED, imputed_sql, train
@@ -232,6 +234,54 @@ def best_worst_rows(spark, d):
     return out.withColumn("err", F.round("err", 9))
 
 
+def _row_error_sql() -> str:
+    rows = []
+    for sub in ("all", "missingonly"):
+        for name, kind, mask in (("RMSE", "se", "mc"), ("MAAPE", "ae", "mc"), ("wrong", "w", "mw")):
+            flag = [f"{mask}{i}" if sub == "missingonly" else "1" for i in range(3)]
+            total = " + ".join(f"{kind}{i} * {f}" for i, f in enumerate(flag))
+            mean = f"({total})::DOUBLE / nullif({' + '.join(flag)}, 0)"
+            rows.append(f"SELECT id, '{sub}' AS filter_subgroup, '{name}' AS metric_name, {f'sqrt({mean})' if name == 'RMSE' else mean} AS err FROM terms")
+    return " UNION ALL ".join(rows)
+
+
+@query(
+    f"""WITH {_TERMS.replace('terms AS (', 'terms AS MATERIALIZED (')}, e AS ({_row_error_sql()}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY filter_subgroup, metric_name ORDER BY err, id) AS b,
+      row_number() OVER (PARTITION BY filter_subgroup, metric_name ORDER BY err DESC, id) AS w FROM e WHERE err IS NOT NULL)
+    SELECT filter_subgroup, metric_name, 'best' AS kind, b::INTEGER AS rank, id, round(err, 9) AS err FROM r WHERE b <= 10
+    UNION ALL SELECT filter_subgroup, metric_name, 'worst', w::INTEGER, id, round(err, 9) FROM r WHERE w <= 10"""
+)
+def best_worst_by_metric(spark, d):
+    """The ten best and worst rows of each metric, over all cells and over those that were missing."""
+    out = M.best_worst_by_metric(scoring_frame(spark, d), CODED, "id")
+    return out.withColumn("err", F.round("err", 9))
+
+
+_USER = [
+    UserMetric("MAE", lambda: (0.0, 0.0), lambda s, t, p, w: (s[0] + float((np.abs(t - p) * w).sum()), s[1] + float(w.sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[0] / s[1] if s[1] else None),
+    UserMetric("largest", lambda: None, lambda s, t, p, w: max([x for x in (s, float(np.abs(t - p)[w > 0].max(initial=-1.0))) if x is not None]), lambda a, b: b if a is None else a if b is None else max(a, b), lambda s: s if s is not None and s >= 0 else None),
+]
+
+
+def _user_sql() -> str:
+    rows = []
+    for i, c in enumerate(CTN):
+        for sub, where in (("all", "true"), ("missingonly", f"mc{i} = 1")):
+            rows += [
+                f"SELECT split, '{c}' AS feature, '{sub}' AS filter_subgroup, '{m}' AS metric_name, round({f}(sqrt(se{i})) FILTER (WHERE {where}), 9) AS val FROM terms GROUP BY 1"
+                for m, f in (("MAE", "avg"), ("largest", "max"))
+            ]
+    return " UNION ALL ".join(rows)
+
+
+@query(f"WITH {_TERMS.replace('terms AS (', 'terms AS MATERIALIZED (')} {_user_sql()}")
+def user_metrics(spark, d):
+    """Two metrics that a user gives as mergeable states: mean and largest absolute error."""
+    out = score_user_metrics(scoring_frame(spark, d), CTN, _USER, ["split"])
+    return out.withColumn("val", F.round("val", 9))
+
+
 def _ceil_split(test: str) -> str:
     return f"""WITH {S.MIXED}, r AS (SELECT id, label,
       row_number() OVER (PARTITION BY label ORDER BY {S.h(S.key('id', 11))}, id) AS rn,

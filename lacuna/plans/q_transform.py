@@ -143,6 +143,23 @@ def invert_target_encode(spark, d):
     return enc.inverse(enc.transform(df)).select("id", *_CATS)
 
 
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS cust, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, {S.u(S.key('o_orderkey', 71))} AS u FROM orders),
+    prior AS (SELECT avg(label) AS prior FROM o), c AS (SELECT cust, count(*) AS n, avg(label) AS mean FROM o GROUP BY 1),
+    codes AS (SELECT e, min(cust) AS cust FROM (SELECT cust, prior * (1 - w) + mean * w AS e FROM (SELECT *, 1 / (1 + exp(-(n - 2) / 3.0::DOUBLE)) AS w FROM c), prior) GROUP BY e),
+    x AS (SELECT id, e + (u - 0.5) / 20 AS x FROM o JOIN c USING (cust), prior, LATERAL (SELECT prior * (1 - 1 / (1 + exp(-(n - 2) / 3.0::DOUBLE))) + mean / (1 + exp(-(n - 2) / 3.0::DOUBLE)) AS e))
+    SELECT id, arg_min(cust, (abs(x - e), cust)) AS cust FROM x, codes GROUP BY id"""
+)
+def invert_many_codes(spark, d):
+    """The customer whose code is nearest to an order's code, moved a little: no limit on the categories."""
+    orders = T.read(spark, d, "orders")
+    df = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("cust"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    enc = X.TargetEncoder.fit(df, ["cust"], "label", 2.0, 3.0)
+    enc.codes = None  # by joins at any number of categories
+    moved = enc.transform(df).withColumn("cust", F.col("cust") + (uniform(stream_key(F.col("id"), 71)) - 0.5) / 20)
+    return enc.inverse(moved).select("id", "cust")
+
+
 _LOGITS = ["totalprice", "acctbal", "day"]
 
 
