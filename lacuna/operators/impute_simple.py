@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lacuna.functions.hashing import salt, with_uniform53
 from lacuna.operators.encode import argmax
-from lacuna.operators.ranking import carry, join_totals, range_cuts, with_range
+from lacuna.operators.ranking import carry, grouped_rank, join_totals, range_cuts, with_range
 from lacuna.operators.transforms import MinMaxScaler
 from lacuna.schema import FeatureSchema
+from lacuna.session import materialize
 
 
 @dataclass
@@ -123,3 +125,33 @@ def previous_observation(
         *[F.max(F.when(F.col("f") == c, F.col("__prev"))).alias(f"prev_{c}") for c in columns]
     )
     return df.join(prev, [entity, time], "left")
+
+
+def hot_deck(df: DataFrame, id_col: str, columns: list[str], copies: int = 1, seed: int = 0) -> DataFrame:
+    """``copies`` completed tables, told apart by ``copy``: a missing cell takes the value of an observed
+    row of its column, drawn by a hash of id, column and copy. A column never observed stays missing.
+
+    Observed cells are numbered across ranges of the id and met by number, so donors are neither
+    collected nor sampled, and no number is hotter than chance makes it.
+    """
+    rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = df.select(F.col(id_col).cast("bigint").alias("id"), F.inline(cells))
+    donors = materialize(grouped_rank(long.filter("v IS NOT NULL"), ["f"], "id", "j"), "hot-deck-donors")
+    sizes = donors.groupBy("f").agg(F.count("*").alias("n"))  # one row a column
+    gaps = long.filter("v IS NULL").select("id", "f").join(F.broadcast(sizes), "f")
+    gaps = gaps.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    salts = F.array(*[F.lit(salt(deck_stream(seed, k, i))).cast("bigint") for k in range(copies) for i in range(len(columns))])
+    gaps = with_uniform53(gaps.withColumn("s", F.get(salts, F.col("copy") * len(columns) + F.col("f"))), "id", F.col("s"), "u")
+    gaps = gaps.withColumn("j", F.least(F.floor(F.col("u") * F.col("n")), F.col("n") - 1) + 1)
+    found = gaps.join(donors.select("f", "j", "v"), ["f", "j"])
+    wide = found.groupBy(F.col("id").alias("__id"), "copy").agg(*[F.max(F.when(F.col("f") == i, F.col("v"))).alias(f"__fill{i}") for i in range(len(columns))])
+    wide = wide.withColumnRenamed("copy", "__copy")
+    out = rows.join(wide, (F.col(id_col).cast("bigint") == F.col("__id")) & (F.col("copy") == F.col("__copy")), "left")
+    fills = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__fill{i}")).cast(df.schema[c].dataType) for i, c in enumerate(columns)}
+    return out.withColumns(fills).select(*df.columns, "copy")
+
+
+def deck_stream(seed: int, copy: int, column: int) -> int:
+    """The stream of draws of one column in one copy."""
+    return 7000 + 100_000 * seed + 1000 * copy + column

@@ -2,7 +2,14 @@
 
 Numeric columns use Bayesian ridge regression, which needs nothing but sums of products: one pass
 per column and round, a small solve on the driver, and a linear expression as the model.
-Categorical columns use decision trees on their codes. The table is written once per round.
+Categorical columns use decision trees on their codes. ``learner`` puts random forests or boosted
+trees in the place of both; their numeric predictions are matched to observed values (predictive mean
+matching), so a missing cell takes the value of a drawn donor with a similar prediction. The table is
+written once per round, with trees once per step.
+
+With ``copies`` the table is completed several times. The copies are rows of one frame, told apart by
+a column: a model is fitted on all of them, and every copy draws its own donors, by row, column, round
+and copy, so that the copies differ by what is uncertain. ``pool_copies`` puts them together.
 """
 
 from __future__ import annotations
@@ -14,13 +21,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.hashing import mix32, stream_key
+from lacuna.functions.hashing import mix32, salt, with_uniform53
 from lacuna.session import materialize
 
 
@@ -84,6 +91,10 @@ def nearest_features(g: np.ndarray, target: int, n_nearest: int | None) -> list[
     return sorted(sorted(others, key=lambda i: (-strength[i], i))[:n_nearest])
 
 
+COPY = "__copy"
+TREES = {"forest", "boosted"}
+
+
 @dataclass
 class Step:
     """One column of one round: a linear rule, or a fitted model and its predictors."""
@@ -94,6 +105,7 @@ class Step:
     intercept: float = 0.0
     model: object = None
     matching: tuple | None = None
+    stream: int = 0
 
     def predict(self, df: DataFrame, id_col: str, name: str) -> DataFrame:
         if self.coef is not None:
@@ -101,37 +113,59 @@ class Step:
             return df.withColumn(name, reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))
         out = self.model.transform(df).withColumn(name, F.col("prediction"))
         out = out.drop("features", "prediction", "rawPrediction", "probability")
-        return out if self.matching is None else match_means(out, self.matching, id_col, name, F.col(self.column).isNull())
+        return out if self.matching is None else match_means(out, self.matching, id_col, name, F.col(self.column).isNull(), self.stream)
 
 
-MATCH_BUCKETS = 256
+#: Ranges of predictions: at least, at most, and rows of one in between; parts of a range that are numbered apart.
+MATCH_RANGES = 256
+MAX_RANGES = 4096
+RANGE_ROWS = 100_000
+RANGE_PARTS = 16
 
 
 def fit_matching(observed: DataFrame, target: str, pred: str, id_col: str) -> tuple:
     """Predictive-mean matching: all observed values, numbered within each range of predictions.
 
-    (bounds of the ranges, observed values of every range, written table of range, number and value)
+    (bounds of the ranges, written table of range, rows up to the end of each part of it, written table
+    of range, part, number and value). Equal predictions share a range, so a range may hold any share
+    of the rows; it is numbered in parts by a hash of the id.
     """
-    probs = [i / MATCH_BUCKETS for i in range(1, MATCH_BUCKETS)]
-    cuts = sorted(set(observed.approxQuantile(pred, probs, 0.25 / MATCH_BUCKETS)))
+    n = observed.count()
+    ranges = min(MAX_RANGES, max(MATCH_RANGES, n // RANGE_ROWS))
+    cuts = sorted(set(observed.approxQuantile(pred, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     splits = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=pred, outputCol="__b").transform(observed)
-    number = F.row_number().over(Window.partitionBy("__b").orderBy(id_col, target)).cast("long")
-    donors = materialize(bucketed.select("__b", number.alias("__j"), F.col(target).cast("double").alias("__donor")), "mice-donors")
-    sizes = {int(r["__b"]): r["n"] for r in donors.groupBy("__b").agg(F.max("__j").alias("n")).collect()}  # one row a range
-    return splits, sizes, donors
+    bucketed = Bucketizer(splits=splits, inputCol=pred, outputCol="__range").transform(observed)
+    bucketed = bucketed.withColumn("__part", (F.pmod(F.xxhash64(id_col), F.lit(RANGE_PARTS))).cast("int"))
+    number = F.row_number().over(Window.partitionBy("__range", "__part").orderBy(id_col, target)).cast("long")
+    donors = materialize(bucketed.select("__range", "__part", number.alias("__j"), F.col(target).cast("double").alias("__donor")), "mice-donors")
+    parts = [F.count(F.when(F.col("__part") <= i, 1)).alias(str(i)) for i in range(RANGE_PARTS)]
+    sizes = donors.groupBy("__range").agg(F.array(*parts).alias("__upto"))  # one row a range
+    return splits, materialize(sizes, "mice-ranges"), donors
+
 
+def match_means(df: DataFrame, matching: tuple, id_col: str, name: str, wanted=None, stream: int = 0) -> DataFrame:
+    """Replace predictions (where ``wanted``) by an observed value of their range.
 
-def match_means(df: DataFrame, matching: tuple, id_col: str, name: str, wanted=None) -> DataFrame:
-    """Replace predictions (where ``wanted``) by an observed value of their range, drawn by a hash of the id."""
+    The donor is drawn by 53 bits of a hash of the id, the stream (one for each column, round and seed)
+    and the copy, so every donor of a range is as likely as any other, however many there are.
+    """
     splits, sizes, donors = matching
     wanted = F.lit(True) if wanted is None else wanted
-    bucketed = Bucketizer(splits=splits, inputCol=name, outputCol="__b").transform(df)
-    n = F.get(F.array(*[F.lit(sizes.get(b, 0)).cast("long") for b in range(len(splits) - 1)]), F.col("__b").cast("int"))
-    draw = mix32(stream_key(F.col(id_col), 9100))
-    j = F.when(wanted & (n > 0), draw % F.greatest(n, F.lit(1)) + 1).otherwise(-draw)  # no donor has it; rows stay spread
-    drawn = bucketed.withColumn("__j", j).join(donors, ["__b", "__j"], "left")
-    return drawn.withColumn(name, F.coalesce("__donor", name)).select(*df.columns)
+    bucketed = Bucketizer(splits=splits, inputCol=name, outputCol="__range").transform(df)
+    bucketed = bucketed.join(F.broadcast(sizes), "__range", "left")  # at most MAX_RANGES rows
+    copy = F.col(COPY).cast("bigint") if COPY in df.columns else F.lit(0).cast("bigint")
+    lane = mix32(copy.bitwiseXOR(F.lit(salt(stream)).cast("bigint")))
+    drawn = with_uniform53(bucketed.withColumn("__id", F.col(id_col).cast("bigint")), "__id", lane, "__u")
+    n = F.element_at("__upto", -1)
+    k = F.least(F.floor(F.col("__u") * n), n - 1)
+    drawn = drawn.withColumn("__k", F.when(wanted & (n > 0), k))
+    drawn = drawn.withColumn("__part", F.expr("size(filter(__upto, c -> c <= __k))"))
+    before = F.when(F.col("__part") > 0, F.element_at("__upto", F.greatest("__part", F.lit(1)))).otherwise(0)
+    # rows without a draw take a number that no donor has and stay spread
+    drawn = drawn.withColumn("__j", F.coalesce(F.col("__k") - before + 1, -1 - F.pmod(F.col("__id"), F.lit(1 << 30))))
+    drawn = drawn.withColumn("__part", F.when(F.col("__k").isNull(), -1).otherwise(F.col("__part")))
+    found = drawn.join(donors, ["__range", "__part", "__j"], "left")
+    return found.withColumn(name, F.coalesce("__donor", name)).select(*df.columns)
 
 
 @dataclass
@@ -143,6 +177,7 @@ class ChainedImputer:
     categorical: list[str]
     initial: dict[str, float]
     rounds: list[list[Step]]
+    copies: int = 1
 
     @staticmethod
     def fit(
@@ -150,17 +185,26 @@ class ChainedImputer:
         id_col: str,
         numeric: list[str],
         categorical: list[str] = (),
-        max_iter: int = 10,
+        max_iter: int | None = None,
         n_nearest_features: int | None = None,
         learner: str = "linear",
         tol: float = 1e-3,
         seed: int = 0,
+        copies: int = 1,
     ) -> "ChainedImputer":
-        """``learner``: linear (ridge and decision trees) or forest (random forests and matching).
+        """``learner``: linear (ridge and decision trees), forest or boosted (with matching).
 
         Numeric and categorical columns are chained separately, fewest gaps first. Rounds stop when
-        no numeric fill model changes by more than ``tol`` of its column's spread.
+        no ridge model changes by more than ``tol`` of its column's spread and no more than a share of
+        ``tol`` of the cells filled by decision trees change. Matched fills are drawn anew in each round,
+        so forest and boosted chains of numeric columns run all ``max_iter`` rounds. The default is 5
+        rounds for those, else 10.
         """
+        max_iter = max_iter or (5 if learner in TREES else 10)
+        if learner not in {"linear", *TREES}:
+            raise ValueError(learner)
+        if copies < 1:
+            raise ValueError("copies must be 1 or more")
         numeric, categorical = list(numeric), list(categorical)
         cols = numeric + categorical
         row = df.agg(
@@ -169,13 +213,13 @@ class ChainedImputer:
             *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"gaps_{c}") for c in cols],
             *[F.stddev_pop(c).alias(f"sd_{c}") for c in numeric],
         ).first()
-        imputer = ChainedImputer(id_col, numeric, categorical, {c: float(row[c] or 0) for c in cols}, [])
-        state = materialize(imputer._start(df), "mice-start")
+        imputer = ChainedImputer(id_col, numeric, categorical, {c: float(row[c] or 0) for c in cols}, [], copies)
+        state = before_round = materialize(imputer._start(df), "mice-start")
         todo = [c for c in sorted(numeric, key=lambda c: row[f"gaps_{c}"]) if row[f"gaps_{c}"]]
         todo += [c for c in sorted(categorical, key=lambda c: row[f"gaps_{c}"]) if row[f"gaps_{c}"]]
         last: dict[str, np.ndarray] = {}
-        for _ in range(max_iter):
-            steps, moved = [], 0.0
+        for number in range(max_iter):
+            steps, moved, trees = [], 0.0, []
             for c in todo:
                 block = numeric if c in numeric else categorical
                 if len(block) < 2:
@@ -195,16 +239,36 @@ class ChainedImputer:
                     moved, last[c] = max(moved, change / (row[f"sd_{c}"] or 1.0)), rule
                 else:
                     step = imputer._fit_model(state, c, [x for x in block if x != c], learner, seed)
-                    moved = np.inf
+                    step.stream = salt(salt(salt(seed) ^ number) ^ cols.index(c)) ^ 9100
+                    if step.matching is not None:
+                        moved = np.inf
+                    trees.append(c)
                 steps.append(step)
                 state = imputer._apply(state, step)
+                if step.model is not None:
+                    state = materialize(state, "mice-step")
             imputer.rounds.append(steps)
-            state = materialize(state, "mice-round")
-            if not steps or moved < tol:
+            if not steps:
+                break
+            if trees:
+                moved = max(moved, imputer._changed(before_round, state, trees))
+            elif moved >= tol:
+                state = materialize(state, "mice-round")
+            before_round = state
+            if moved < tol:
                 break
         return imputer
 
+    def _changed(self, before: DataFrame, after: DataFrame, columns: list[str]) -> float:
+        """The greatest share of missing cells of a column whose fill is another one now."""
+        keys = [self.id_col, *([COPY] if self.copies > 1 else [])]
+        old = before.select(*keys, *[F.col(f"v_{c}").alias(f"__{c}") for c in columns])
+        share = [F.avg(F.when(F.col(c).isNull(), (F.col(f"v_{c}") != F.col(f"__{c}")).cast("double"))) for c in columns]
+        return max((x for x in after.join(old, keys).agg(*share).first() if x is not None), default=0.0)
+
     def _start(self, df: DataFrame) -> DataFrame:
+        if self.copies > 1:
+            df = df.withColumn(COPY, F.explode(F.sequence(F.lit(0), F.lit(self.copies - 1))))
         return df.withColumns(
             {f"v_{c}": F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in self.initial.items()}
         )
@@ -216,13 +280,17 @@ class ChainedImputer:
 
     def _fit_model(self, state: DataFrame, c: str, others: list[str], learner: str, seed: int) -> Step:
         rows = state.filter(F.col(c).isNotNull()).withColumn("__y", F.col(c).cast("double"))
-        common = {"featuresCol": "features", "labelCol": "__y", "seed": seed}
+        common = {"featuresCol": "features", "labelCol": "__y"}
         if c in self.numeric:
-            est = RandomForestRegressor(numTrees=10, maxDepth=5, **common)
+            est = GBTRegressor(maxIter=10, maxDepth=3, seed=seed, **common) if learner == "boosted" else RandomForestRegressor(numTrees=10, maxDepth=5, seed=seed, **common)
         elif learner == "forest":
-            est = RandomForestClassifier(numTrees=10, maxDepth=5, **common)
+            est = RandomForestClassifier(numTrees=10, maxDepth=5, seed=seed, **common)
+        elif learner == "boosted":
+            est = GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common)
+            if rows.agg(F.max("__y")).first()[0] > 1:  # boosting tells two classes apart
+                est = OneVsRest(classifier=est, **common)
         else:
-            est = DecisionTreeClassifier(maxDepth=5, **common)
+            est = DecisionTreeClassifier(maxDepth=5, seed=seed, **common)
         stages = [VectorAssembler(inputCols=[f"v_{x}" for x in others], outputCol="features"), est]
         step = Step(c, others, model=Pipeline(stages=stages).fit(rows))
         if c in self.numeric:
@@ -230,11 +298,31 @@ class ChainedImputer:
         return step
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Apply the chain; observed values stay as they are."""
+        """Apply the chain; observed values stay as they are. Several copies add the column ``copy``."""
         state = self._start(df)
         for steps in self.rounds:
             for step in steps:
                 state = self._apply(state, step)
-            state = materialize(state, "mice-transform")
+                if step.model is not None:
+                    state = materialize(state, "mice-step")
+            if all(step.model is None for step in steps):
+                state = materialize(state, "mice-transform")
         out = {c: F.col(f"v_{c}").cast(df.schema[c].dataType) for c in self.initial}
-        return state.withColumns(out).select(*df.columns)
+        extra = [F.col(COPY).alias("copy")] if self.copies > 1 else []
+        return state.withColumns(out).select(*df.columns, *extra)
+
+
+def pool_copies(completed: DataFrame, columns: list[str], copy: str = "copy") -> DataFrame:
+    """feature, copies, mean, within, between, total, share: the mean of each column over the copies of
+    a completed table and its variance.
+
+    ``within`` is the mean over copies of the variance of a copy's mean, ``between`` the variance of
+    the copies' means, ``total`` their sum with ``between`` weighed by 1 + 1 / copies, and ``share`` the
+    part of it that is due to the missing values (Rubin, 1987). One copy has no variance between.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    each = completed.select(copy, F.inline(cells)).groupBy("feature", copy).agg(F.avg("v").alias("m"), (F.var_samp("v") / F.count("v")).alias("w"))
+    out = each.groupBy("feature").agg(F.count("*").alias("copies"), F.avg("m").alias("mean"), F.avg("w").alias("within"), F.var_samp("m").alias("between"))
+    extra = (1 + 1 / F.col("copies")) * F.col("between")
+    out = out.withColumn("total", F.col("within") + F.coalesce(extra, F.lit(0.0)))
+    return out.withColumn("share", F.try_divide(F.coalesce(extra, F.lit(0.0)), F.col("total")))

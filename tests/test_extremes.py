@@ -106,3 +106,21 @@ def test_row_errors_without_missing_cells(spark):
     frame = truth.select(truth.columns[0], F.struct(*SCHEMA.features).alias("truth"), F.struct(*SCHEMA.features).alias("pred"), F.struct(*[F.lit(False).alias(c) for c in SCHEMA.features]).alias("missing"))
     out = M.best_worst_by_metric(frame, SCHEMA, truth.columns[0], 2).collect()
     assert {r.filter_subgroup for r in out} == {"all"} and all(r.err == 0 for r in out)
+
+
+def test_hot_deck(spark):
+    from lacuna.operators.impute_simple import hot_deck
+
+    rows = [(i, float(i) if i % 3 else None, i if i % 2 else None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, x double, n int, never double").repartition(4)
+    out = hot_deck(df, "id", ["x", "n", "never"], 4).collect()
+    assert len(out) == 1200 and {r["copy"] for r in out} == {0, 1, 2, 3}
+    seen = {i for i in range(300) if i % 3}
+    for r in out:
+        assert r.x in seen and (r.id % 3 == 0 or r.x == r.id) and r.n % 2 == 1 and r.never is None
+    assert len({r.x for r in out if r.id % 3 == 0}) > 100
+    by_id = {}
+    for r in out:
+        by_id.setdefault(r.id, set()).add(r.x)
+    assert np.mean([len(v) > 1 for i, v in by_id.items() if i % 3 == 0]) > 0.9
+    assert hot_deck(df.limit(0), "id", ["x"], 2).count() == 0

@@ -265,6 +265,52 @@ def test_matching_draws_from_all_observed_values(spark):
     assert low <= set(range(200)) and high == set(range(200, 300)) and len(low) > 190
 
 
+def test_matching_draws_differ_by_stream_and_copy(spark):
+    observed = spark.range(500).select("id", F.col("id").cast("double").alias("y"), F.lit(0.0).alias("pred"))
+    matching = MI.fit_matching(observed, "y", "pred", "id")
+    rows = spark.range(2000).select("id", F.lit(0.0).alias("pred"), F.explode(F.array(F.lit(0), F.lit(1))).alias(MI.COPY))
+    drawn = {s: {(r.id, r[MI.COPY]): r.pred for r in MI.match_means(rows, matching, "id", "pred", stream=s).collect()} for s in (1, 2)}
+    assert all(len(d) == 4000 and set(d.values()) <= set(range(500)) and len(set(d.values())) > 480 for d in drawn.values())
+    same = lambda pairs: sum(a == b for a, b in pairs)
+    assert same((drawn[1][i, 0], drawn[1][i, 1]) for i in range(2000)) < 40
+    assert same((drawn[1][k], drawn[2][k]) for k in drawn[1]) < 60
+    assert drawn[1] == {(r.id, r[MI.COPY]): r.pred for r in MI.match_means(rows.repartition(3), matching, "id", "pred", stream=1).collect()}
+
+
+def test_boosted_chain_completes_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 2))
+    y = np.where(x[:, 0] > 0.5, 10.0, 0.0) + x[:, 1]
+    kind = (x[:, 0] * 3).astype(int)
+    gone = rng.random((300, 2)) < 0.3
+    table = [(i, float(a), None if g else float(v), int(a * 3), None if h else int(k)) for i, ((a, _), v, k, (g, h)) in enumerate(zip(x, y, kind, gone))]
+    df = spark.createDataFrame(table, "id bigint, a double, y double, third int, kind int")
+    model = MI.ChainedImputer.fit(df, "id", ["a", "y"], ["third", "kind"], max_iter=2, learner="boosted", copies=3)
+    out = model.transform(df).collect()
+    assert len(out) == 900 and {r["copy"] for r in out} == {0, 1, 2}
+    observed = {v for _, _, v, _, _ in table if v is not None}
+    for r in out:
+        _, a, v, third, k = table[r.id]
+        assert (r.a, r.third) == (a, third) and r.y in observed and r.kind in (0, 1, 2)
+        assert v is None or r.y == v
+        assert k is None or r.kind == k
+    filled = [(r.y, y[r.id]) for r in out if table[r.id][2] is None]
+    assert np.mean([abs(a - b) < 3 for a, b in filled]) > 0.9
+    assert np.mean([r.kind == kind[r.id] for r in out if table[r.id][4] is None]) > 0.9
+    by_row = {}
+    for r in out:
+        by_row.setdefault(r.id, set()).add(r.y)
+    assert np.mean([len(v) > 1 for i, v in by_row.items() if table[i][2] is None]) > 0.8
+    pooled = {r.feature: r for r in MI.pool_copies(model.transform(df), ["y", "a"]).collect()}
+    means = [np.mean([r.y for r in out if r["copy"] == k]) for k in range(3)]
+    within = np.mean([np.var([r.y for r in out if r["copy"] == k], ddof=1) / 300 for k in range(3)])
+    assert pooled["y"].mean == pytest.approx(np.mean(means)) and pooled["y"].between == pytest.approx(np.var(means, ddof=1))
+    assert pooled["y"].within == pytest.approx(within) and pooled["y"].total == pytest.approx(within + 4 / 3 * np.var(means, ddof=1))
+    assert pooled["a"].between == 0 and pooled["a"].share == 0
+    with pytest.raises(ValueError):
+        MI.ChainedImputer.fit(df, "id", ["a"], learner="other")
+
+
 def test_mice_recovers_linear_structure(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 3))
