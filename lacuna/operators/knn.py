@@ -474,15 +474,17 @@ def knn_impute(
     weights: str = "uniform",
     chunk: int = CHUNK,
     direct: bool | None = None,
+    rest: dict[str, float | None] | None = None,
 ) -> DataFrame:
     """Fill each missing value by the mean of its k nearest donors that have it.
 
-    Ties in distance go to the smaller value. Without any comparable donor the donor mean is used.
+    Ties in distance go to the smaller value. Without any comparable donor the value in ``rest`` is used, the
+    mean of the donors if it is not given.
     Use k = 1 on category codes. ``direct`` compares all vectors (True), searches cells (False), or
     does what the bounds of the module say (None).
     """
     fills = nearest_fills(df, columns, donors, k, weights, chunk, direct)
-    row = donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    row = rest if rest is not None else donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     # rows without gaps have no key: they are not shuffled to a partner
     joined = df.withColumn("__key", F.when(gaps, _vector_key(columns))).join(fills, "__key", "left")

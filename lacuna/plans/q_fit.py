@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from lacuna.functions.hashing import salt
@@ -11,12 +12,15 @@ from lacuna.operators.discretize import mdl_bins as fit_mdl
 from lacuna.operators.impute_simple import deck_stream, hot_deck
 from lacuna.operators.knn import knn_impute
 from lacuna.operators.mice import ChainedImputer, pool_copies
+from lacuna.operators.ml import KnnImpute, MinMaxScale, MixedImpute, SimpleImpute
 from lacuna.operators.transforms import MinMaxScaler
+from lacuna.operators.tuning import GRIDS, candidates, tune_imputer
 from lacuna.plans import sql as S
 from lacuna.plans import tables as T
-from lacuna.plans.q_transform import BOUNDS, CTN, _scale, train
+from lacuna.plans.q_transform import BOUNDS, CTN, _scale, imputed_sql, train
 from lacuna.plans.registry import query
 from lacuna.schema import FeatureSchema
+from lacuna.session import materialize, new_table_path
 
 
 @query()
@@ -55,8 +59,8 @@ def _knn_sql(f: str, k: int, weighted: bool = False) -> str:
     return f"n_{f} AS ({found})"
 
 
-def _filled_sql(weighted: bool = False) -> str:
-    near = ", ".join(_knn_sql(c, 5, weighted) for c in CTN)
+def _filled_sql(weighted: bool = False, k: int = 5) -> str:
+    near = ", ".join(_knn_sql(c, k, weighted) for c in CTN)
     means = f"m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in CTN)} FROM sc WHERE split = 'train')"
     out = ", ".join(f"round(coalesce({c}, n_{c}.fill, m_{c}), 6) AS {c}" for c in CTN)
     joins = " ".join(f"LEFT JOIN n_{c} ON sc.id = n_{c}.id" for c in CTN)
@@ -140,6 +144,70 @@ def impute_mice_forest(spark, d):
     return model.transform(scaled)
 
 
+_GRID = candidates(GRIDS["knn"])
+
+
+def _tuned_sql() -> str:
+    """Scores on the val rows: MAAPE of each filled column, and the share of wrong codes."""
+    base = _filled_sql(False, 5)
+    head = base[: base.index(", n_")]  # the tables up to the scaled rows
+    truth = f"struth AS (SELECT id, split, {', '.join(_scale(c) for c in CTN)}, recent, CAST(priority AS INTEGER) - 1 AS priority, segment FROM mixed_truth, bounds)"
+    codes = (
+        "seg AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)), "
+        "cd AS (SELECT id, split, recent, CAST(priority AS INTEGER) - 1 AS priority, code AS segment FROM mixed LEFT JOIN seg ON segment = s), "
+        + ", ".join(map(_nearest_code_sql, _CATS))
+        + ", modes AS (SELECT " + ", ".join(f"(SELECT {c} FROM cd WHERE split = 'train' AND {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1) AS o_{c}" for c in _CATS) + ")"
+    )
+    wrong = [
+        f"(SELECT avg(CASE WHEN coalesce(n_{c}.fill, o_{c}) = t.{'code' if c == 'segment' else c} THEN 0.0 ELSE 1.0 END) FROM cd CROSS JOIN modes "
+        f"LEFT JOIN n_{c} ON {_same(c)} JOIN (SELECT * FROM struth LEFT JOIN seg ON segment = s) t ON t.id = cd.id WHERE cd.split = 'val' AND cd.{c} IS NULL)"
+        for c in _CATS
+    ]
+    rows, tables = [], []
+    for g, params in enumerate(_GRID):
+        for c in CTN:
+            tables.append(_knn_sql(c, params["k"], params["weights"] == "distance").replace(f"n_{c} AS", f"n{g}_{c} AS", 1))
+        off = [
+            f"(SELECT avg(atan(abs((t.{c} - coalesce(f.fill, m_{c})) / (t.{c} + 1e-10))) * 2 / pi()) FROM sc CROSS JOIN m LEFT JOIN n{g}_{c} f ON f.id = sc.id "
+            f"JOIN struth t ON t.id = sc.id WHERE sc.split = 'val' AND sc.{c} IS NULL)"
+            for c in CTN
+        ]
+        rows.append(f"SELECT {params['k']} AS k, '{params['weights']}' AS weights, round(-(({' + '.join(off)}) / 3 + ({' + '.join(wrong)}) / 3), 6) AS score")
+    means = f"m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in CTN)} FROM sc WHERE split = 'train')"
+    scores = f"scores AS ({' UNION ALL '.join(rows)})"
+    return (
+        f"{head}, {truth}, {codes}, {', '.join(tables)}, {means}, {scores} "
+        "SELECT *, row_number() OVER (ORDER BY score DESC, k, weights DESC) = 1 AS best FROM scores"
+    )
+
+
+@query(_tuned_sql())
+def impute_tuned(spark, d):
+    """Nearest neighbours for numbers (six candidates) and codes, tuned on the hidden cells of the val rows."""
+    pair = materialize(T.mixed_onehot(spark, d).join(T.truth_onehot(spark, d).select("id", F.struct(*T.MIXED_SCHEMA.features).alias("truth")), "id"), "tuning")
+    data = pair.drop("truth")
+    scaler = MinMaxScaler.fit(train(data), CTN)
+    data, truth = scaler.transform(data), scaler.transform(pair.select("id", "truth.*"))
+
+    def make(params):
+        return MixedImpute(KnnImpute(**params), KnnImpute(codes=True), CTN, ["recent"], T.MIXED_SCHEMA.onehot)
+
+    tuned = tune_imputer(make, _GRID, data, truth, T.MIXED_SCHEMA)
+    rows = [(p["k"], p["weights"], round(s, 6), p == tuned.best) for p, s in tuned.scores]
+    return spark.createDataFrame(rows, "k int, weights string, score double, best boolean")
+
+
+@query(f"WITH {S.BOTH_OH}, {BOUNDS}, {imputed_sql('oh', "AND split = 'train'")} SELECT id, split, {', '.join(f'round({_scale(c).rsplit(" AS ", 1)[0]}, 9) AS {c}' for c in CTN)}, {', '.join(c for c in S.FEATS if c not in CTN)} FROM imp, bounds")
+def ml_pipeline(spark, d):
+    """Simple fills and scaling as a Spark ML pipeline, fitted, saved, loaded and applied."""
+    df = T.mixed_onehot(spark, d)
+    stages = [SimpleImpute(inputCols=CTN, modeCols=["recent"], onehotGroups={g: list(c) for g, c in T.MIXED_SCHEMA.onehot.items()}), MinMaxScale(inputCols=CTN)]
+    path = new_table_path(spark, "ml-pipeline")
+    Pipeline(stages=stages).fit(train(df)).write().save(path)
+    out = PipelineModel.load(path).transform(df)
+    return out.select("id", "split", *[F.round(c, 9).alias(c) if c in CTN else c for c in S.FEATS])
+
+
 COPIES = 5
 
 
