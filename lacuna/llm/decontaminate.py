@@ -5,15 +5,17 @@ document inside the scan; a document that shares a seed with a test item is tile
 longest run of words that both have and no tile covers yet is marked in both, found by Karp-Rabin
 hashes and halving of the length, again and again until no run of five words is left. Tiles may lie
 in any order, so a test whose sentences were moved about is found as well. A document is
-contaminated when tiles cover at least ``coverage`` of the words of some item.
+contaminated when tiles cover at least ``coverage`` of the words of some item. An item of fewer than
+five words is one tile and one seed: it is found where a document holds all of it in a row.
 
-The benchmark is taken in blocks of at most ``block_bytes`` of text (an item that is longer is a
-block of its own); only one block is broadcast at a time and every block meets every document, in
-one pass over the documents. No document leaves its task.
+The benchmark is taken in blocks of about ``block_bytes`` of text (an item that is longer makes its
+block longer). Every block is one pass over the documents, whose findings are written before the next
+block is broadcast, so one block is alive at a time. No document leaves its task.
 
-NULL texts are empty. Items of fewer than five words have no seed and never match. Equal items are
-reported by their least id; ties of coverage likewise. Rows and ids may repeat or be NULL; other
-columns are ignored. Without documents or without items there are no rows or no findings.
+NULL texts are empty; an item without words matches nothing. Items with a NULL id count like others
+and are reported with a NULL item and their coverage. Equal items are reported by their least id, NULL
+last; ties of coverage likewise. Rows and ids may repeat or be NULL; other columns are ignored. Without
+documents or without items there are no rows or no findings.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.base import documents, small_batches, table
+from lacuna.llm.base import documents, keep, small_batches, table
 from lacuna.llm.words import MULTIPLIER, SHINGLE, runs, shingles, word_hashes
 
 COVERAGE = 0.8
 BLOCK_BYTES = 16 << 20
+BUCKETS = 1 << 14  # what blocks are put together from; one row each reaches the driver
 SIEVE_BITS = 22
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
@@ -91,45 +94,72 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SHINGLE) -> list[tuple
     return found
 
 
-class Block:
-    """Test items with their seeds, and a sieve that most other seeds do not pass."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        hashed, offsets = word_hashes(pa.array(texts, pa.string()))
-        keep = [i for i in range(len(ids)) if offsets[i + 1] - offsets[i] >= SHINGLE]
-        self.ids = [ids[i] for i in keep]
-        self.items = [hashed[offsets[i] : offsets[i + 1]] for i in keep]
-        seeds = [shingles(w, np.array([0, len(w)]))[0] for w in self.items]
-        values = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        order = np.argsort(values, kind="stable")
-        self.seeds, self.item = values[order], item[order]
+class Seeds:
+    """Hashes of runs of ``length`` words of the items, and a sieve that most other runs do not pass."""
+
+    def __init__(self, length: int, items: list[np.ndarray], numbers: list[int]):
+        self.length = length
+        values = [shingles(w, np.array([0, len(w)]), length)[0] for w in items]
+        flat = np.concatenate([np.zeros(0, np.uint64), *values])
+        item = np.repeat(np.array(numbers, np.int64), [len(v) for v in values])
+        order = np.argsort(flat, kind="stable")
+        self.values, self.item = flat[order], item[order]
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self.seeds >> np.uint64(64 - SIEVE_BITS)] = True
+        self.sieve[self.values >> np.uint64(64 - SIEVE_BITS)] = True
 
-    def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in values, item) of every seed both have."""
+    def hits(self, hashed: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word in the row, item) of every seed that a text and an item have."""
+        values, ends = shingles(hashed, offsets, self.length)
         at = np.flatnonzero(self.sieve[values >> np.uint64(64 - SIEVE_BITS)])
-        lo, hi = (np.searchsorted(self.seeds, values[at], side) for side in ("left", "right"))
+        lo, hi = (np.searchsorted(self.values, values[at], side) for side in ("left", "right"))
         n = hi - lo
         where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(at, n), self.item[where]
+        at = np.repeat(at, n)
+        row = np.searchsorted(ends, at, "right") - 1
+        whole = np.diff(offsets)[row] >= self.length  # a text that is shorter has no run of that length
+        return row[whole], (at - ends[row])[whole], self.item[where][whole]
+
+
+class Block:
+    """Test items in the order of their ids, NULL last, with their seeds by length."""
+
+    def __init__(self, ids: list[int | None], texts: list[str]):
+        order = sorted(range(len(ids)), key=lambda i: _place(ids[i]))
+        self.ids = [ids[i] for i in order]
+        hashed, offsets = word_hashes(pa.array([texts[i] for i in order], pa.string()))
+        self.items = [hashed[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
+        lengths: dict[int, list[int]] = {}
+        for i, words in enumerate(self.items):
+            if len(words):
+                lengths.setdefault(min(SHINGLE, len(words)), []).append(i)
+        self.seeds = [Seeds(n, [self.items[i] for i in some], some) for n, some in sorted(lengths.items())]
+
+    def hits(self, hashed: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        parts = [s.hits(hashed, offsets) for s in self.seeds]
+        none = (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(p) for p in zip(none, *parts))
+
+
+def _place(item_id: int | None) -> tuple:
+    return item_id is None, item_id or 0
 
 
 def _best(words: np.ndarray, starts: np.ndarray, items: np.ndarray, block: Block) -> tuple[int, float, list]:
     """The item of which the most is covered: (index, coverage, tiles)."""
     best = (-1, 0.0, [])
     for i in np.unique(items):
+        item = block.items[i]
+        least = min(SHINGLE, len(item))
         # only words within a shared seed can lie in a tile: tile those stretches, kept apart
         own = np.unique(starts[items == i])
-        inside = np.unique((own[:, None] + np.arange(SHINGLE)).ravel())
+        inside = np.unique((own[:, None] + np.arange(least)).ravel())
         inside = inside[inside < len(words)]
         gap = np.flatnonzero(np.diff(inside) > 1) + 1
         apart = np.arange(1, len(gap) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         text = np.insert(words[inside], gap, apart)
         place = np.insert(inside, gap, -1)
-        got = [(int(place[d]), t, n) for d, t, n in tiles(text, block.items[i])]
-        covered = sum(n for _, _, n in got) / len(block.items[i])
+        got = [(int(place[d]), t, n) for d, t, n in tiles(text, item, least)]
+        covered = sum(n for _, _, n in got) / len(item)
         if covered > best[1]:
             best = (int(i), covered, got)
     return best
@@ -143,17 +173,15 @@ def _pass(docs: DataFrame, block) -> DataFrame:
             item, cover, spans = (batch.column(c).to_pylist() for c in ("item_id", "coverage", "tiles"))
             for lo, hi in runs(texts):
                 hashed, offsets = word_hashes(texts.slice(lo, hi - lo))
-                values, ends = shingles(hashed, offsets)
-                at, items = b.hits(values)
-                row = np.searchsorted(ends, at, "right") - 1
-                for r in np.unique(row):
-                    words = hashed[offsets[r] : offsets[r + 1]]
-                    if len(words) < SHINGLE:
-                        continue
-                    mine = row == r
-                    i, covered, got = _best(words, at[mine] - ends[r], items[mine], b)
-                    j = lo + int(r)
-                    if i >= 0 and (covered, -b.ids[i]) > (cover[j], -(item[j] if item[j] is not None else b.ids[i] + 1)):
+                row, starts, items = b.hits(hashed, offsets)
+                order = np.argsort(row, kind="stable")
+                row, starts, items = row[order], starts[order], items[order]
+                heads = np.flatnonzero(np.diff(row, prepend=-1))
+                for h, t in zip(heads, np.append(heads[1:], len(row))):
+                    r = int(row[h])
+                    i, covered, got = _best(hashed[offsets[r] : offsets[r + 1]], starts[h:t], items[h:t], b)
+                    j = lo + r
+                    if i >= 0 and (covered > cover[j] or covered == cover[j] and _place(b.ids[i]) < _place(item[j])):
                         item[j], cover[j], spans[j] = b.ids[i], covered, [dict(zip(("doc_word", "item_word", "words"), t)) for t in got]
             kind = pa.list_(pa.struct([("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())]))
             fixed = {"item_id": pa.array(item, pa.int64()), "coverage": pa.array(cover, pa.float64()), "tiles": pa.array(spans, kind)}
@@ -162,19 +190,37 @@ def _pass(docs: DataFrame, block) -> DataFrame:
     return docs.mapInArrow(scan, docs.schema)
 
 
+def _blocks(tests: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
+    """Ranges [lo, hi) of buckets that hold about ``block_bytes`` of text each."""
+    sizes = tests.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("bucket").collect()  # at most BUCKETS rows
+    out, held = [], block_bytes
+    for bucket, n in sizes:
+        if held + n > block_bytes:
+            out.append((bucket, bucket + 1))
+            held = n
+        else:
+            out[-1] = (out[-1][0], bucket + 1)
+            held += n
+    return out
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, the item most covered, its coverage, the tiles (in words),
     and whether it is contaminated. ``carry`` names columns of ``df`` to pass along, in a struct."""
     spark = df.sparkSession
     small_batches(spark)
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    tests = tests.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    sized = tests.selectExpr("item_id", "text", f"(sum(octet_length(text)) OVER (ORDER BY item_id) - octet_length(text)) DIV {block_bytes} AS block")
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    tests = tests.groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("bucket", F.pmod(F.xxhash64("text"), F.lit(BUCKETS)))
     out = documents(df, id_col, text_col) if carry is None else df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.struct(*carry).alias("carried"))
     out = out.selectExpr("*", "CAST(NULL AS LONG) item_id", "0D coverage", "CAST(NULL AS ARRAY<STRUCT<doc_word: BIGINT, item_word: BIGINT, words: BIGINT>>) tiles")
-    for (number,) in sized.select("block").distinct().orderBy("block").collect():
-        rows = sized.filter(F.col("block") == number).orderBy("item_id").collect()  # about block_bytes
-        out = _pass(out, spark.sparkContext.broadcast(Block([r.item_id for r in rows], [r.text for r in rows])))
+    blocks = _blocks(tests, block_bytes)
+    for k, (lo, hi) in enumerate(blocks):
+        rows = tests.filter(F.col("bucket").between(lo, hi - 1)).select("item_id", "text").collect()  # about block_bytes
+        shared = spark.sparkContext.broadcast(Block([r.item_id for r in rows], [r.text for r in rows]))
+        out = _pass(out, shared)
+        if k < len(blocks) - 1:
+            out = keep(out, "contamination")
+            shared.unpersist()
     return out.withColumn("contaminated", F.col("coverage") >= coverage).drop("text")
 
 

@@ -60,11 +60,18 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(i, t, 0.5) for i, t in docs], "doc_id long, text string, coverage double")
     for size in (1 << 20, 10):  # one block; a block per item
         got = decontaminate.contamination(df, tests, block_bytes=size).collect()
-        assert collections.Counter((r.doc_id, r.item_id) for r in got if r.contaminated) == collections.Counter([(1, 1), (4, 1), (5, 2), (None, 3)])
+        assert collections.Counter((r.doc_id, r.item_id) for r in got if r.contaminated) == collections.Counter([(1, 1), (4, 1), (5, 2), (None, 3), (8, 5)])
         part = [r for r in got if r.doc_id == 7]
         assert len(part) == 2 and all(r.item_id == 2 and abs(r.coverage - 15 / 40) < 1e-9 and not r.contaminated for r in part)
         assert sum(t.words for r in got if r.doc_id == 5 for t in r.tiles) == 40
     assert decontaminate.contamination(df.limit(0), tests).count() == 0
+    odd = [(None, prose(rng, 12)), (None, "four words in here"), (6, "Alone"), (7, " ?! "), (None, ""), (9, "a a a")]
+    items = spark.createDataFrame(odd, "item_id long, text string")
+    texts = [(1, "so " + odd[0][1] + " it"), (2, "there are four WORDS, in here!"), (3, "four words and more in here"), (4, "alone"), (5, "lone four words"), (6, "a a"), (7, "a a b a a a a b")]
+    for size in (1 << 20, 10):
+        found = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), items, block_bytes=size).collect()
+        assert {r.doc_id: (r.item_id, r.coverage) for r in found if r.contaminated} == {1: (None, 1.0), 2: (None, 1.0), 4: (6, 1.0), 7: (9, 1.0)}
+        assert {r.doc_id: r.tiles[0].doc_word for r in found if r.contaminated} == {1: 1, 2: 2, 4: 0, 7: 3}
     assert not any(r.contaminated for r in decontaminate.contamination(df, tests.limit(0)).collect())
 
 
