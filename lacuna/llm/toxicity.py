@@ -3,8 +3,9 @@
 The kernel of two words is that of their common subsequences of three characters, gaps allowed, every
 character a subsequence spans costing a factor of ``DECAY``; it is normalised. Inserted, dropped or
 separated letters and new endings change it little, so an insult is known by its letters in order.
-Letters and digits of a blank-separated chunk are its word ("i-d.iot" is "idiot"); words longer than
-``SPAN`` characters are seen through overlapping spans.
+Letters and digits of a blank-separated chunk are its word ("i-d.iot" is "idiot"), and so are three or
+more chunks of one character in a row ("i d i o t"); words longer than ``SPAN`` characters are seen
+through overlapping spans.
 
 Training. Sentences are labelled as a whole, so what is learnt is which of their words give them away.
 At most ``docs_per_class`` labelled documents of each class (the first by a hash of the id) train:
@@ -13,18 +14,21 @@ shingle hash, copies of each other as a rule, count once; words that toxic ones
 often (likelihood ratio, limit raised with the number of words) are positives;
 frequent, random and - after each fit - wrongly accepted words of clean documents are negatives.
 Landmarks are taken from both. The machine is fitted on landmark kernels (squared hinge, Newton
-steps); a logistic curve over a document's three highest word margins gives the score.
+steps); a logistic curve over a document's three highest word margins gives the score. Its factors are
+``LEAST_FACTOR`` at least, so a word with a higher margin never lowers a score.
 
 Scoring. The landmark expansion is linear in the subsequence weights, so it is folded into one weight
 per subsequence and a word costs one pass over its subsequences; no document leaves its task.
 
 Labels are joined by id; NULL labels and ids do not train; an id with several labels counts as toxic
-if one says so. Without both classes every score is 0. Empty and NULL texts, and texts without words
+if one says so. Without both classes, or where no word is held by toxic documents significantly more
+often, every score is 0. Empty and NULL texts, and texts without words
 of three characters, have the margins of a clean text. Rows may repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +48,9 @@ SPAN = 24
 CODES = 48
 FLOOR = -1.5
 TOP = 3
+LEAST_FACTOR = 0.25
+SPACED = r"(^|[ \n])[\pL\pN] [\pL\pN] [\pL\pN]([ \n]|$)"
+SPACED_RUN = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
 
 
 @dataclass(frozen=True)
@@ -68,7 +75,12 @@ class Model:
 
 def chunks(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of every chunk, word of each code, offsets of the texts)."""
-    spaced = pc.replace_substring(pc.utf8_lower(pc.fill_null(texts, "")), "\n", " ")
+    texts = pc.fill_null(texts, "")
+    apart = pc.match_substring_regex(texts, SPACED)
+    if pc.any(apart).as_py():
+        closed = [SPACED_RUN.sub(lambda m: m[0].replace(" ", ""), t) for t in texts.filter(apart).to_pylist()]
+        texts = pc.replace_with_mask(texts, apart, pa.array(closed, texts.type))
+    spaced = pc.replace_substring(pc.utf8_lower(texts), "\n", " ")
     lists = pc.split_pattern(spaced, " ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
@@ -187,16 +199,21 @@ def margins(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def fit_curve(x: np.ndarray, toxic: np.ndarray, costs: np.ndarray) -> np.ndarray:
-    """Logistic curve over top margins."""
+    """Logistic curve over top margins, none of its factors below ``LEAST_FACTOR``."""
     z = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(z.shape[1])
-    for _ in range(50):
+    least = np.array([-np.inf] + [LEAST_FACTOR] * x.shape[1])
+    beta = np.maximum(np.zeros(z.shape[1]), least)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         gradient = z.T @ (costs * (toxic - p)) - 1e-2 * beta
         hessian = (z * (costs * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(z.shape[1])
-        step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        free = (beta > least) | (gradient > 0)  # the others stay at their bound
+        new = beta.copy()
+        new[free] += np.clip(np.linalg.solve(hessian[np.ix_(free, free)], gradient[free]), -5, 5)
+        new = np.maximum(new, least)
+        done = np.abs(new - beta).max() < 1e-6
+        beta = new
+        if done:
             break
     return beta
 

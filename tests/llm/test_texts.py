@@ -215,6 +215,36 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df.limit(0), marks).count() == 0
 
 
+def test_curve_never_falls():
+    rng = np.random.default_rng(2)
+    toxic = (rng.random(800) < 0.3).astype(float)
+    x = np.sort(rng.normal(size=(800, 3)), axis=1)[:, ::-1].copy()
+    x[toxic > 0, 1:] += 1.5  # the second and third tell, the first misleads
+    x[toxic > 0, 0] -= 1
+    free = toxicity.fit_curve(x, toxic, np.ones(800))
+    assert (free[1:] >= toxicity.LEAST_FACTOR).all() and free[2:].max() > 0.5
+
+
+def test_toxicity_of_single_and_disguised_insults(spark):
+    rng = random.Random(11)
+    bad = ["wretch", "blockhead", "scoundrel"]
+    rows = []
+    for i in range(400):
+        text = prose(rng, 60).split()
+        for word in rng.sample(bad, 2) if i % 3 == 0 else []:
+            text.insert(rng.randrange(len(text)), word)
+        rows.append((i, " ".join(text)))
+    clean = prose(rng, 60)
+    forms = ["blockhead", "b-l-o-c-k-h-e-a-d", "bl.ock.head", "blxockhead", "b l o c k h e a d", "scoundrel", "s c o u n d r e l"]
+    rows += [(1000, clean), *[(1001 + k, f"{clean[:90]} {w} {clean[90:]}") for k, w in enumerate(forms)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(df, marks).collect()}
+    assert all(score[1001 + k] > score[1000] for k in range(len(forms)))
+    held = [(score[i], i % 3 == 0) for i in range(400)]
+    assert min(s for s, t in held if t) > max(s for s, t in held if not t)
+
+
 def test_archives(spark):
     rows = [(3, "http://a.b/c d\r\n", "<p>ü</p>"), (1, None, "<p>ü</p>"), (2, "http://x", None), (5, "http://y", ""), (4, "http://z", "big " * 20_000), (4, "http://z", "big " * 20_000), (9, "u", "<p>ü</p>"), (None, "n", "alone")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, file string")
