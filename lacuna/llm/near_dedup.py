@@ -86,7 +86,7 @@ def _unpack(packed: pa.Scalar) -> np.ndarray:
 
 
 def _numbers(packed: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(packed.as_buffer(), "<i4").astype(np.int64)
+    return np.frombuffer(packed.as_buffer(), "<u4").astype(np.int64)
 
 
 def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
@@ -109,7 +109,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                         pa.array(np.full(hi - lo, block)),
                         pa.array(np.diff(ends).astype(np.int64)),
                         pa.array([_pack(values[x:y]) for x, y in spans], pa.binary()),
-                        pa.array([count[x:y].astype("<i4").tobytes() for x, y in spans], pa.binary()),
+                        pa.array([count[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
                     ],
                     names=["doc_id", "node", "block", "n", "shingles", "counts"],
                 )
@@ -140,7 +140,7 @@ def frequencies(cut: DataFrame, total: int) -> DataFrame:
                         pa.array(found.astype(np.int64)),
                         pa.array(np.full(len(found), block)),
                         pa.array([_pack(values[x:y]) for x, y in spans], pa.binary()),
-                        pa.array([n[x:y].astype("<i4").tobytes() for x, y in spans], pa.binary()),
+                        pa.array([n[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
                     ],
                     names=["bucket", "block", "shingles", "df"],
                 )
@@ -149,7 +149,7 @@ def frequencies(cut: DataFrame, total: int) -> DataFrame:
         parts = [_unpack(x) for x in rows.column("shingles")]
         n = np.concatenate([_numbers(x) for x in rows.column("df")])
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
-        df = np.bincount(which, weights=n).astype("<i4")[which]
+        df = np.bincount(which, weights=n).astype("<u4")[which]
         shared = []
         for part, own in zip(parts, np.split(df, np.cumsum([len(x) for x in parts])[:-1])):
             shared.append((_pack(part[own > 1]), own[own > 1].tobytes()))
@@ -162,7 +162,7 @@ def frequencies(cut: DataFrame, total: int) -> DataFrame:
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
     """Weight of one occurrence of a shingle, by the number of documents that have it."""
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(2 + n)).astype(np.float32)
+    return (1 + np.log((1 + n) / (1 + np.minimum(np.asarray(df, np.float64), n))) / np.log(2 + n)).astype(np.float32)
 
 
 class Sampler:
@@ -226,10 +226,10 @@ def signatures(cut: DataFrame, found: DataFrame, n: int, s: Settings) -> DataFra
         sizes = rows.column("n").to_numpy()
         values = np.concatenate([_unpack(x) for x in rows.column("shingles")])
         count = np.concatenate([_numbers(x) for x in rows.column("counts")])
-        df = np.ones(len(values), "<i4")
+        df = np.ones(len(values), "<u4")
         if len(known):
             place = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            df = np.where(known[place] == values, often[place], 1).astype("<i4")
+            df = np.where(known[place] == values, often[place], 1).astype("<u4")
         if len(values):
             has = np.nonzero(sizes)[0]
             starts = (np.cumsum(sizes) - sizes)[has]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -165,3 +166,10 @@ def test_document_frequencies_are_those_of_shingles(spark):
         values = near_dedup._unpack(pa.scalar(bytes(r.shingles))).tolist()
         assert near_dedup._numbers(pa.scalar(bytes(r.df))).tolist() == [want[v] for v in values]
     assert near_dedup.weighted_jaccard(*[np.array(x) for x in ([1, 2], [1.0, 2.0], [2, 3], [2.0, 1.0])]) == 0.5
+
+
+def test_weights_beyond_32_bits():
+    many = 5_000_000_000
+    got = near_dedup.inverse_frequencies(np.array([1, 2**31 + 5, 2**32 - 1], np.uint32), many)
+    want = [1 + math.log((1 + many) / (1 + d)) / math.log(2 + many) for d in (1, 2**31 + 5, 2**32 - 1)]
+    assert np.allclose(got, want, rtol=1e-6)
