@@ -30,7 +30,7 @@ from lacuna.llm.words import ragged, runs
 VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 250_000
-JOINED = 512  # words in a row; longer rows cost the library more a character
+JOINED = 256  # words in a row; longer rows cost the library more a character
 SEPARATOR = "\ue000"  # a private character, of its own between blanks
 KEEP_CASE = "[\u0300-\u036f]|<[|]"  # marks that compose, and what special tokens begin with
 BLANK = "\u0120"  # how byte-level vocabularies write a blank
