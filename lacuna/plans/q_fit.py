@@ -294,7 +294,7 @@ def chained_fill_report(spark, d):
 def _autoencoder(spark, d, preset, **changes):
     df = T.mixed_onehot(spark, d)
     scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
-    model = AutoencoderImputer.preset(preset, T.MIXED_SCHEMA, **{"max_epochs": 3, **changes})
+    model = AutoencoderImputer.preset(preset, T.MIXED_SCHEMA, **changes)
     return scaled, model.fit(scaled)
 
 
@@ -314,7 +314,7 @@ def impute_ae_discretized(spark, d):
     schema = T.MIXED_SCHEMA.after_discretize(bins.names())
     mapped = bins.transform(df)
     groups = {**schema.onehot, **schema.bins}
-    model = AutoencoderImputer.preset("ap_new", schema, max_epochs=2)
+    model = AutoencoderImputer.preset("ap_new", schema)
     soft = uniform_probability(mapped.select("id", "split", *[F.col(f"`{c}`") for c in schema.features]), groups, ["recent"])
     model.fit(soft, mapped)
     return bins.inverse(model.transform(mapped), df.columns)
@@ -325,14 +325,14 @@ def impute_vae(spark, d):
     df = T.mixed(spark, d).select("id", "split", "label", *CTN)
     scaled = MinMaxScaler.fit(train(df), CTN).transform(df)
     schema = FeatureSchema(ids=("id",), continuous=tuple(CTN), label="label", split="split", order=tuple(CTN))
-    model = AutoencoderImputer.preset("vae", schema, hidden_layers=[2], max_epochs=2)
+    model = AutoencoderImputer.preset("vae", schema, hidden_layers=[2])
     return model.fit(scaled).transform(scaled)
 
 
 @query(f"WITH {S.BOTH_OH} SELECT count(*) AS n, 0::BIGINT AS changed, 0::BIGINT AS missing FROM oh")
 def ae_transform_keeps_observed(spark, d):
     """Observed cells changed and cells still missing: none."""
-    scaled, model = _autoencoder(spark, d, "batchswap", max_epochs=1)
+    scaled, model = _autoencoder(spark, d, "batchswap")
     filled = model.transform(scaled).select("id", F.struct(*T.MIXED_SCHEMA.features).alias("out"))
     both = scaled.join(filled, "id")
     changed, missing = F.lit(0), F.lit(0)
