@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 
 from lacuna.llm import chat, decontaminate, licenses, pii, toxicity, warc
 
@@ -108,10 +109,98 @@ def test_personal_data(spark):
 
 def test_contexts_find_what_patterns_miss(spark):
     rows = [(i, f"some words here then contact: user{i}@mail.example.org and more") for i in range(30)]
-    rows += [(100, "reach us, contact: user77.at.example"), (101, "then here user78.at.example and more"), (102, "plain words")]
-    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [(s.kind, s.value) for s in got[100]] == [(4, "user77.at.example")]
-    assert got[101] == [] and got[102] == [] and all(len(got[i]) == 1 for i in range(30))
+    rows += [(30 + i, f"some day, please write me at w{i}@mail.example.org or call") for i in range(30)]
+    rows += [(60 + i, f"there, i{i}x@mail.example.org, is what I answer to") for i in range(30)]
+    rows += [(90 + i, f'key = "{i:02d}ab{"7c" * 18}" there') for i in range(6)]
+    after = {
+        200: ("reach us, contact: user77.at.example", ["user77.at.example"]),
+        201: ("it was user78.at.example that went", []),
+        202: ("plain words, please contact the office or write me at home", []),
+        203: ("contact: jane.at.example", ["jane.at.example"]),
+        204: ("contact: jane [at] example.org, please", ["jane [at] example.org"]),
+        205: ("Contact: 555 123 4567.", ["555 123 4567"]),
+        206: ("now please write me at p9.mail.example7", ["p9.mail.example7"]),
+        207: ("well Jane_at_example is what I answer to", ["jane_at_example"]),
+        208: ('a key = "not-a-hex-key-1" too', ["not-a-hex-key-1"]),
+        209: (None, []),
+        210: ("", []),
+    }
+    rows += [(i, t) for i, (t, _) in after.items()]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, words string")
+    got = {r.doc_id: [s.value for s in r.spans if s.kind == 4] for r in pii.personal_data(df).collect()}
+    assert {i: got[i] for i in after} == {i: v for i, (_, v) in after.items()}
+    assert all(got[i] == [] for i in range(90)) and all(len(got[i]) == 1 for i in range(90, 96))
+
+
+def contextual(texts, support, confidence):
+    """Spans found by context, in plain loops over all patterns and places."""
+
+    def shaped(t):
+        return re.sub("[ \t\n\x0b\f\r]+", " ", re.sub(f"([{pii.OPENING}]+)", r"\1 ", re.sub("[0-9]", "0", t.lower()))).strip(" ")
+
+    def contexts(t, a, z):
+        before = t[max(0, a - 96) : a]
+        before = re.sub(r"^\S+", "", before) if a > 96 else before
+        left = shaped(re.sub(rf"[^\s{pii.OPENING}]+\Z", "", before)).split(" ")
+        behind = t[z : z + 97]
+        behind = re.sub(r"\S+\Z", "", behind) if len(behind) > 96 else behind
+        right = shaped(re.sub(r"^\S+", "", behind)).split(" ")
+        found = [("left", " ".join(left[-n:])) for n in (1, 2, 3) if len(left) >= n]
+        found += [("right", " ".join(right[:n])) for n in (1, 2, 3) if len(right) >= n]
+        return [c for c in found if c[1]]
+
+    candidate = regex.compile(pii.CANDIDATE)
+    graph, seeds, places, total = collections.Counter(), set(), [], collections.Counter()
+    for k, t in enumerate(texts):
+        words = shaped(t).split(" ")
+        total.update(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+        base = [(int(a), int(z)) for _, a, z in (x.split(":") for x in spans(t))]
+        found = [m.span() for m in candidate.finditer(t) if len(m.group()) >= 5 and not any(a < m.end() and m.start() < z for a, z in base)]
+        for a, z in base + found:
+            value = t[a:z].lower()
+            graph.update((c, value) for c in contexts(t, a, z))
+            if (a, z) in base or (re.fullmatch("[0-9a-f]{32,}", value) and re.search("[a-f]", value) and re.search("[0-9]", value)):
+                if contexts(t, a, z):
+                    seeds.add(value)
+        places += [(k, a, z, contexts(t, a, z)) for a, z in found]
+    accepted, good = set(seeds), {}
+    while True:
+        good = {}
+        for c in {c for c, _ in graph}:
+            held = [n for (d, v), n in graph.items() if d == c and v in accepted]
+            if len(held) >= support and sum(held) / (total[c[1]] + 1) >= confidence - 1e-9:
+                good[c] = sum(held) / (total[c[1]] + 1)
+        miss = collections.defaultdict(lambda: 1.0)
+        for c, v in graph:
+            if c in good:
+                miss[v] *= 1 - min(good[c], 0.999999)
+        more = accepted | {v for v, m in miss.items() if 1 - m >= confidence - 1e-9}
+        if more == accepted:
+            return sorted((k, a, z) for k, a, z, cs in places if any(c in good for c in cs))
+        accepted = more
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contexts_brute(spark, seed):
+    """Chains of contexts: some are only reached through entities that earlier ones found."""
+    rng = random.Random(seed)
+    leads = ["mail me:", "reach of", "call now", "see", "id=", "nothing but the", "x,", "at \n"]
+    tails = ["over and out", "thanks", ", then", "bye now", "\tyes", "."]
+    values = [f"v{i}.x" for i in range(9)] + [f"a{i}@b.co" for i in range(9)] + ["12 34 56", "1.2.3.4", "one", "two", "k [at] m.n", "u_v", "4111 1111 1111 1111"] + [f"{i}f" * 17 for i in range(3)]
+    lead_of = {v: [leads[k % 4], leads[4 + k // 4 % 4]] for k, v in enumerate(rng.sample(values, len(values)))}
+    texts = []
+    for _ in range(160):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            v = rng.choice(values)
+            lead = rng.choice(lead_of[v] if rng.random() < 0.95 else leads)
+            parts += [rng.choice(["well", "so the", "", "w" * 90, "y" * 120]), lead + rng.choice([" ", "\n", "  ", '"', " <"]) + v, rng.choice(tails)]
+        texts.append(" ".join(parts))
+    texts += ["", texts[0], texts[1]]
+    want = contextual(texts, 3, 0.5)
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings=pii.Settings(support=3, confidence=0.5)).collect()
+    assert sorted((r.doc_id, s.start, s.end) for r in got for s in r.spans if s.kind == 4) == want
+    assert want
 
 
 def test_licenses(spark):
