@@ -196,3 +196,23 @@ def shuffle_rows(df: DataFrame, id_col: str, epoch: int, seed: int = 0, train_on
     key = mix32(stream_key(F.col(id_col), seed + epoch))
     keyed = df.withColumn("__h", key)
     return keyed.repartition("__h").sortWithinPartitions("__h", id_col).drop("__h")
+
+
+def epoch_batches(
+    df: DataFrame, id_col: str, epochs: int, batch_size: int, seed: int = 0, train_only: str | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Every row once an epoch with its ``epoch``, ``position`` (from 0) and ``batch``.
+
+    The order of an epoch is that of a seeded hash of the id, then the id: it does not depend on how
+    the rows lie in partitions, and positions come from ranges of the hash, so no task sorts an epoch.
+    The last batch of an epoch may be smaller. Rows with a NULL id come first and tie among themselves.
+    """
+    if train_only:
+        df = df.filter(F.col(train_only) == "train")
+    keys = [F.struct(F.lit(e).alias("epoch"), mix32(stream_key(F.col(id_col), seed + e)).alias("__h")) for e in range(epochs)]
+    every = df.select("*", F.inline(F.array(*keys)))
+    every = every.withColumn("__h", F.coalesce("__h", F.lit(-1)))
+    ranked = grouped_rank(every, ["epoch"], "__h", "position", tie=id_col, ranges=ranges).drop("__h")
+    ranked = ranked.withColumn("position", F.col("position") - 1)
+    return ranked.withColumn("batch", F.floor(F.col("position") / batch_size).cast("bigint"))

@@ -394,3 +394,15 @@ def invariant_log_counts(spark, d):
 )
 def invariant_metric_set(spark, d):
     return V.same_metric_set(T.metric_log(spark, d), ["run_id", "step", "split"])
+
+
+@query(
+    f"""WITH {S.MIXED}, keyed AS (
+    {' UNION ALL '.join(f"SELECT id, {e} AS epoch, {S.h(S.key('id', 70 + e))} AS h FROM mixed WHERE split = 'train'" for e in range(3))}),
+    placed AS (SELECT epoch, id, row_number() OVER (PARTITION BY epoch ORDER BY h, id) - 1 AS position FROM keyed)
+    SELECT epoch, id, position, position // 128 AS batch FROM placed"""
+)
+def epoch_batches(spark, d):
+    """The train rows in the order of three epochs, in batches of 128."""
+    out = SP.epoch_batches(T.mixed(spark, d).select("id", "split"), "id", 3, 128, 70, "split")
+    return out.select("epoch", "id", "position", "batch")

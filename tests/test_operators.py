@@ -199,6 +199,28 @@ def test_bootstraps(spark):
     assert np.var([r.n for r in sums]) == pytest.approx(500, rel=0.6) and all(r.n == r.one for r in sums)
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_epoch_batches(spark, ranges):
+    df = spark.range(1000).selectExpr("id", "if(id % 4 = 0, 'test', 'train') as split")
+    out = SP.epoch_batches(df, "id", 2, 64, 5, "split", ranges).collect()
+    orders = [[r.id for r in sorted((r for r in out if r.epoch == e), key=lambda r: r.position)] for e in range(2)]
+    assert all(sorted(o) == [i for i in range(1000) if i % 4] for o in orders) and orders[0] != orders[1]
+    assert all(r.batch == r.position // 64 for r in out) and max(r.batch for r in out) == 749 // 64
+    again = SP.epoch_batches(df.repartition(3), "id", 2, 64, 5, "split", 8 - ranges).collect()
+    assert {(r.epoch, r.id, r.position) for r in again} == {(r.epoch, r.id, r.position) for r in out}
+    assert abs(np.corrcoef(orders[0], range(750))[0, 1]) < 0.15
+    odd = spark.createDataFrame([(None, "train"), (3, "train"), (3, "train"), (None, "train")], "id long, split string")
+    got = sorted((r.position, r.id or -1) for r in SP.epoch_batches(odd, "id", 1, 2, ranges=ranges).collect())
+    assert got == [(0, -1), (1, -1), (2, 3), (3, 3)]
+    assert SP.epoch_batches(odd.limit(0), "id", 2, 2, ranges=ranges).count() == 0
+
+
+def test_epoch_shuffle_keeps_every_train_row(spark):
+    df = spark.range(200).selectExpr("id", "if(id < 150, 'train', 'val') as split")
+    first, second = ([r.id for r in SP.shuffle_rows(df, "id", e, train_only="split").collect()] for e in (0, 1))
+    assert sorted(first) == sorted(second) == list(range(150)) and first != second
+
+
 def test_intervals(spark):
     values = [45, 55, 67, 45, 68, 79, 98, 87, 84, 82]
     df = spark.createDataFrame([("a", float(v)) for v in values], "k string, val double")
