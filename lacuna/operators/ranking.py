@@ -162,6 +162,10 @@ def _bucket_match(group: str, prefix: Column, targets: set) -> Column:
     return cond
 
 
+class TooManyGroups(ValueError):
+    """More groups than the driver should hold histograms of."""
+
+
 def hash_cuts(
     df: DataFrame, group: str, key: str, tie: str, ranks_of: Callable[[dict], dict], bits: int = 32, step: int = 12
 ) -> tuple[dict, dict]:
@@ -192,7 +196,7 @@ def hash_cuts(
             by_group.setdefault(row.g, []).append((row.b, row["count"]))
         if not sizes:
             if len(hist) > MAX_GROUPS << step or len(by_group) > MAX_GROUPS:
-                raise ValueError("group by a column with fewer values")
+                raise TooManyGroups("group by a column with fewer values")
             sizes = {g: sum(n for _, n in rows) for g, rows in by_group.items()}
             wanted = {(g, r): (0, 0) for g, rs in ranks_of(sizes).items() for r in rs}
         located = {}

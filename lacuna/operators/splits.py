@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.hashing import K, M, mix32, salt, stream_key, with_uniform53
-from lacuna.operators.ranking import MAX_GROUPS, at_or_before, grouped_rank, hash_cuts
+from lacuna.operators.ranking import MAX_GROUPS, TooManyGroups, at_or_before, grouped_rank, hash_cuts, join_totals
 from lacuna.session import materialize
 
 DRAWS_PER_TASK = 50_000_000
@@ -54,7 +54,9 @@ def stratified_split(
     30/30/40. With ``external_test`` only train and val are drawn: what would be test becomes val.
 
     Rows are ordered by a seeded hash of the id. The split points are found from hash histograms,
-    so the split is a projection of literals: no sort, window or shuffle of the table.
+    so the split is a projection of literals: no sort, window or shuffle of the table. Beyond
+    ``MAX_GROUPS`` labels rows are ranked within their label by ranges of the hash; the result is the
+    same. Ids have to be unique and not NULL; a NULL label is a label of its own.
     """
     keyed = df.withColumn("__h", mix32(stream_key(F.col(id_col), seed)))
 
@@ -65,9 +67,12 @@ def stratified_split(
             return [("val", n_test)]
         return [("test", n_test), ("val", n_test + math.ceil(val_size * (n - n_test)))]
 
-    sizes, cuts = hash_cuts(
-        keyed, label, "__h", id_col, lambda s: {g: [r for _, r in upto(n) if r > 0] for g, n in s.items()}
-    )
+    try:
+        sizes, cuts = hash_cuts(
+            keyed, label, "__h", id_col, lambda s: {g: [r for _, r in upto(n) if r > 0] for g, n in s.items()}
+        )
+    except TooManyGroups:
+        return _ranked_split(keyed, id_col, label, test_size, val_size, external_test, name).drop("__h")
     split = F.lit("train")
     for g, n in sizes.items():
         for part, rank in reversed(upto(n)):
@@ -77,6 +82,19 @@ def stratified_split(
     return keyed.withColumn(name, split).drop("__h")
 
 
+def _ranked_split(
+    keyed: DataFrame, id_col: str, label: str, test_size: float, val_size: float, external_test: bool, name: str
+) -> DataFrame:
+    """The split of any number of labels: ranks in hash order against the size of the label."""
+    sizes = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = join_totals(grouped_rank(keyed, [label], "__h", "__rank", tie=id_col), sizes, [label])
+    n_test = F.ceil(F.lit(test_size) * F.col("__n"))
+    n_val = F.lit(0) if external_test else F.ceil(F.lit(val_size) * (F.col("__n") - n_test))
+    first = "val" if external_test else "test"
+    part = F.when(F.col("__rank") <= n_test, first).when(F.col("__rank") <= n_test + n_val, "val").otherwise("train")
+    return ranked.withColumn(name, part).drop("__rank", "__n")
+
+
 def semi_observed_split(
     df: DataFrame, features: list[str], id_col: str, label: str, test_size: float = 0.4, seed: int = 0
 ) -> DataFrame:

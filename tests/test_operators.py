@@ -173,6 +173,20 @@ def test_stratified_split_shares(spark):
     }
 
 
+@pytest.mark.parametrize("external", [False, True])
+def test_stratified_split_of_many_labels(spark, monkeypatch, external):
+    few = spark.range(600).selectExpr("id", "nullif(id % 7, 3) as label")
+    plain = {r.id: r.split for r in SP.stratified_split(few, "id", "label", seed=4, external_test=external).collect()}
+    monkeypatch.setattr("lacuna.operators.ranking.MAX_GROUPS", 3)
+    ranked = SP.stratified_split(few, "id", "label", seed=4, external_test=external)
+    assert ranked.columns == ["id", "label", "split"] and {r.id: r.split for r in ranked.collect()} == plain
+    monkeypatch.undo()
+    many = spark.range(12000).selectExpr("id", "id % 3000 as label")
+    shares = {(r.label, r.split): r["count"] for r in SP.stratified_split(many, "id", "label", external_test=external).groupBy("label", "split").count().collect()}
+    want = {"val": 2, "train": 2} if external else {"test": 2, "val": 1, "train": 1}
+    assert shares == {(g, p): n for g in range(3000) for p, n in want.items()}
+
+
 def test_hash_cuts_refine(spark):
     df = spark.range(5000).selectExpr("id", "0 as g", "id % 7 as k")
     _, cuts = R.hash_cuts(df, "g", "k", "id", lambda s: {0: [1, 2500, 5000]}, bits=32, step=4)
