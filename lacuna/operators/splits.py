@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,9 @@ from lacuna.operators.ranking import MAX_GROUPS, TooManyGroups, at_or_before, gr
 from lacuna.session import materialize
 
 DRAWS_PER_TASK = 50_000_000
+#: Rows of a block, whose draws are counted in one task, and draw numbers of a stretch, made in one go.
+BLOCK_ROWS = 1 << 16
+STRETCH = 1 << 18
 # Replicates of different labels draw from salts this far apart.
 LABEL_STRIDE = 1_000_000
 # Spark keeps only the first n rows of a group before the shuffle up to this n.
@@ -136,13 +139,16 @@ def bootstrap_draws(spark: SparkSession, n: int, replicates: int, seed: int = 0)
 def bootstrap(df: DataFrame, id_col: str, replicates: int, seed: int = 0) -> DataFrame:
     """Exact bootstrap: rows with ``replicate`` and ``times``; rows not drawn do not appear.
 
-    The row count fixes the draws, so the input is materialised once and read twice.
+    The row count fixes the draws, so the input is materialised once and read twice. Sums and counts
+    over replicates need no copies of rows: see ``bootstrap_sums`` and ``bootstrap_groups``.
     """
     rows = materialize(df, "bootstrap-input")
     n = rows.count()
     numbered = grouped_rank(rows.withColumn("__all", F.lit(0)), ["__all"], id_col, "__rn")
     numbered = numbered.withColumn("row_no", F.col("__rn") - 1).drop("__all", "__rn")
-    return numbered.join(bootstrap_draws(df.sparkSession, n, replicates, seed), "row_no").drop("row_no")
+    # the planner takes the draws for as small as the numbers they come from
+    draws = bootstrap_draws(df.sparkSession, n, replicates, seed).hint("merge")
+    return numbered.join(draws, "row_no").drop("row_no")
 
 
 def stratified_bootstrap(
@@ -158,7 +164,160 @@ def stratified_bootstrap(
         part = part.withColumn("__g", F.lit(g).cast(df.schema[label].dataType))
         draws = part if draws is None else draws.unionByName(part)
     cond = [numbered["row_no"] == draws["row_no"], numbered[label].eqNullSafe(draws["__g"])]
-    return numbered.join(draws, cond).drop("row_no", "__g", "__rn")
+    return numbered.join(draws.hint("merge"), cond).drop("row_no", "__g", "__rn")
+
+
+def _drawn_rows(numbers: np.ndarray, salt_: int, n: int) -> np.ndarray:
+    """Row numbers in [0, n) of draw numbers that share their high 32 bits: ``with_uniform53`` in Numpy."""
+    high = salt(salt_ ^ (int(numbers[0]) >> 32))
+    a = _mix32_words((numbers & np.int64(M - 1)).astype(np.uint32) ^ np.uint32(high))
+    b = _mix32_words(a ^ np.uint32(salt(53)))
+    bits = (a >> np.uint32(5)) * 67108864.0 + (b >> np.uint32(6))
+    return np.minimum((bits / 9007199254740992.0 * float(n)).astype(np.int64), n - 1)
+
+
+def _mix32_words(m: np.ndarray) -> np.ndarray:
+    """``mix32`` of 32-bit words, whose products wrap by themselves."""
+    for _ in range(2):
+        m = (m ^ (m >> np.uint32(16))) * np.uint32(K)
+    return m ^ (m >> np.uint32(16))
+
+
+def _draw_blocks(spark: SparkSession, sizes: list[int], replicates: int, seed: int) -> DataFrame:
+    """(stratum, block, counts, places): the draws of one stretch of draw numbers that fall in a block.
+
+    ``counts`` holds 32-bit numbers of draws per replicate, ``places`` the 16-bit places in the block,
+    replicate after replicate: two bytes a draw are shuffled.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    stretch = min(STRETCH, max(1 << 12, sum(sizes) // (2 * tasks)))
+    ends = np.cumsum([-(-n // stretch) for n in sizes])
+    tasks = max(tasks, sum(sizes) * replicates // DRAWS_PER_TASK)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (x for batch in batches for x in batch.column(0).to_pylist()):
+            g = int(np.searchsorted(ends, number, side="right"))
+            n, first = sizes[g], (number - (int(ends[g - 1]) if g else 0)) * stretch
+            drawn = np.arange(first, min(first + stretch, n), dtype=np.int64)
+            halves = [x for x in np.split(drawn, np.flatnonzero(np.diff(drawn >> 32)) + 1) if len(x)]
+            blocks = -(-n // BLOCK_ROWS)
+            bounds, places = [], []
+            for r in range(replicates):
+                s = salt(seed + g * LABEL_STRIDE + r)
+                rows = np.sort(np.concatenate([_drawn_rows(x, s, n) for x in halves]))
+                bounds.append(np.searchsorted(rows, np.arange(blocks + 1, dtype=np.int64) * BLOCK_ROWS))
+                places.append((rows % BLOCK_ROWS).astype(np.uint16))
+            counts = np.diff(np.array(bounds), axis=1).astype(np.int32)
+            for lo in range(0, blocks, 64):
+                some = [b for b in range(lo, min(lo + 64, blocks)) if counts[:, b].any()]
+                packed = [np.concatenate([p[at[b] : at[b + 1]] for p, at in zip(places, bounds)]).tobytes() for b in some]
+                arrays = [pa.array([g] * len(some), pa.int32()), pa.array(some, pa.int64())]
+                arrays += [pa.array([counts[:, b].tobytes() for b in some], pa.binary()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["__stratum", "__block", "counts", "places"])
+
+    stretches = int(ends[-1]) if len(ends) else 0
+    numbers = spark.range(0, stretches, 1, int(max(1, min(tasks, stretches))))
+    return numbers.mapInArrow(draw, "__stratum int, __block bigint, counts binary, places binary")
+
+
+def _by_block(
+    df: DataFrame, id_col: str, columns: list[str], replicates: int, seed: int, label: str | None,
+    reduce: Callable[[pa.Table, np.ndarray], pa.Table], schema: str
+) -> DataFrame:
+    """``reduce`` of every block of rows and the times (replicates x rows) each of them is drawn.
+
+    The draws are those of ``bootstrap`` or, with ``label``, of ``stratified_bootstrap``. Rows are numbered
+    in the order of their id and meet their draws block by block, so no row is copied.
+    """
+    spark = df.sparkSession
+    rows = materialize(df.select(*dict.fromkeys([id_col, *columns, *([label] if label else [])])), "bootstrap-input")
+    if label:
+        kind = df.schema[label].dataType
+        counts = sorted(_label_counts(rows, label).items(), key=lambda kv: repr(kv[0]))
+        labels = F.array(*[F.lit(g).cast(kind) for g, _ in counts]).cast(f"array<{kind.simpleString()}>")
+        sizes = [n for _, n in counts]
+        none = next((k for k, (g, _) in enumerate(counts) if g is None), None)
+        stratum = F.coalesce(F.array_position(labels, F.col(label)).cast("int") - 1, F.lit(none).cast("int"))
+    else:
+        sizes, stratum = [rows.count()], F.lit(0)
+    numbered = grouped_rank(rows.withColumn("__stratum", stratum), ["__stratum"], id_col, "__rn")
+    block = F.floor((F.col("__rn") - 1) / BLOCK_ROWS).cast("bigint")
+    numbered = numbered.select(
+        "__stratum", block.alias("__block"), ((F.col("__rn") - 1) % BLOCK_ROWS).cast("int").alias("__at"), *columns
+    )
+    keys = ["__stratum", "__block"]
+
+    def meet(key: tuple, mine: pa.Table, draws: pa.Table) -> pa.Table:
+        times = np.zeros((replicates, mine.num_rows))
+        packed = zip(draws.column("counts").to_pylist(), draws.column("places").to_pylist())
+        for counts, places in packed:
+            ends = np.cumsum(np.frombuffer(counts, np.int32))[:-1]
+            for r, part in enumerate(np.split(np.frombuffer(places, np.uint16), ends)):
+                times[r] += np.bincount(part, minlength=mine.num_rows)
+        at = mine.column("__at").to_numpy()
+        out = reduce(mine.select(columns), times[:, at])
+        return out.append_column("__stratum", pa.array([key[0].as_py()] * len(out), pa.int32()))
+
+    draws = _draw_blocks(spark, sizes, replicates, seed)
+    out = numbered.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInArrow(meet, f"{schema}, __stratum int")
+    return out.withColumn(label, F.element_at(labels, F.col("__stratum") + 1)).drop("__stratum") if label else out.drop("__stratum")
+
+
+def bootstrap_sums(
+    df: DataFrame, id_col: str, terms: list[str], replicates: int, seed: int = 0, label: str | None = None
+) -> DataFrame:
+    """Sums of ``terms`` per replicate (and label) of the exact bootstrap, as matrix products by block.
+
+    The same as drawing rows by ``bootstrap`` or, with ``label``, ``stratified_bootstrap`` and summing them:
+    missing terms do not count, and a sum of nothing is NULL. Adds ``n``, the number of rows drawn.
+    """
+
+    def sums(rows: pa.Table, times: np.ndarray) -> pa.Table:
+        n = times.sum(axis=1)
+        out = {"replicate": pa.array(np.arange(replicates, dtype=np.int32)), "n": pa.array(n)}
+        x = np.column_stack([np.zeros(rows.num_rows), *[rows.column(t).fill_null(0.0).to_numpy() for t in terms]])[:, 1:]
+        odd = ~np.isfinite(x)
+        total = times @ np.where(odd, 0.0, x)
+        for i, j in zip(*np.nonzero(odd)):  # a row not drawn adds nothing, whatever it holds
+            total[:, j] += np.where(times[:, i] > 0, x[i, j], 0.0)
+        for j, t in enumerate(terms):
+            column = rows.column(t)
+            seen = times @ column.is_valid().to_numpy().astype(float) if column.null_count else n
+            out[t] = pa.array(total[:, j], mask=seen == 0)
+        return pa.table(out)
+
+    schema = "replicate int, n double, " + ", ".join(f"`{t}` double" for t in terms)
+    wide = df.withColumns({t: F.col(t).cast("double") for t in terms})
+    parts = _by_block(wide, id_col, terms, replicates, seed, label, sums, schema)
+    return parts.groupBy("replicate", *([label] if label else [])).agg(*[F.sum(c).alias(c) for c in ["n", *terms]])
+
+
+def bootstrap_groups(
+    df: DataFrame, id_col: str, columns: list[str], replicates: int, seed: int = 0, label: str | None = None
+) -> DataFrame:
+    """replicate, ``columns``, label, times: drawn rows of the exact bootstrap, equal ones of a block in one.
+
+    For statistics of few columns, such as scores, that need how often each combination of values is drawn.
+    A combination may come once a block.
+    """
+    kinds = dict(df.dtypes)
+
+    def groups(rows: pa.Table, times: np.ndarray) -> pa.Table:
+        code = np.zeros(rows.num_rows, np.int64)
+        for c in columns:
+            own = rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+        _, first = np.unique(code, return_index=True)
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(first)))
+        total = np.add.reduceat(times[:, order], starts, axis=1).astype(np.int64)
+        replicate, group = np.nonzero(total)
+        out = rows.take(pa.array(first[group]))
+        out = out.add_column(0, "replicate", pa.array(replicate.astype(np.int32)))
+        return out.append_column("times", pa.array(total[replicate, group]))
+
+    schema = "replicate int, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", times bigint"
+    return _by_block(df, id_col, columns, replicates, seed, label, groups, schema)
 
 
 def _mix32_np(m: np.ndarray) -> np.ndarray:

@@ -342,10 +342,11 @@ def _draws_sql(n: str, b: int, seed: int = 0) -> str:
     FROM numbered JOIN draws ON row_no = j GROUP BY replicate"""
 )
 def bootstrap_metric(spark, d):
-    """Error per bootstrap replicate. Rows are reduced to their error terms before they are drawn."""
-    cells = scoring_frame(spark, d).select("id", M.row_cells(CODED).alias("cells"))
-    drawn = SP.bootstrap(cells, "id", B)
-    long = M.metrics_long(M.cell_states(drawn, ["replicate"], "times"), ["replicate"])
+    """Error per bootstrap replicate. Rows are reduced to their error terms, which are summed as drawn."""
+    terms = M.wide_terms(CODED)
+    wide = scoring_frame(spark, d).select("id", *[c.alias(k) for k, c in terms.items()])
+    sums = SP.bootstrap_sums(wide, "id", list(terms), B)
+    long = M.metrics_long(M.states_from_wide(sums, CODED, ["replicate"]), ["replicate"])
     picked = M.pick_metric(long, "missingonly", "CW", "mixed", "RMSE", "mixed_error", ["replicate"])
     return picked.withColumn("mixed_error", F.round("mixed_error", 6))
 

@@ -213,6 +213,33 @@ def test_bootstraps(spark):
     assert np.var([r.n for r in sums]) == pytest.approx(500, rel=0.6) and all(r.n == r.one for r in sums)
 
 
+def test_bootstrap_draws_are_not_broadcast(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(id % 5 = 0 as int) as label")
+    for drawn in (SP.bootstrap(df, "id", 40), SP.stratified_bootstrap(df, "id", "label", 40)):
+        assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_by_block(spark, monkeypatch):
+    """Sums and groups by block are those of the drawn rows; many blocks, missing and infinite terms, a missing label."""
+    monkeypatch.setattr(SP, "BLOCK_ROWS", 256)
+    df = spark.range(3000).selectExpr(
+        "id * 3 as id", "if(id % 7 = 0, null, cast(id % 5 = 0 as int)) as label", "if(id % 3 = 0, null, id / 7) as x",
+        "if(id = 11, double('infinity'), 1) as y", "if(id < 2000, null, 'c' || id % 4) as c", "if(id = 5, 1.0, null) as few",
+    )
+    for label, drawn in ((None, SP.bootstrap(df, "id", 9, 4)), ("label", SP.stratified_bootstrap(df, "id", "label", 9, 4))):
+        by = ["replicate", *([label] if label else [])]
+        aggs = [F.sum("times").cast("double").alias("n"), *[F.sum(F.col(t) * F.col("times")).alias(t) for t in ("x", "y", "few")]]
+        want = {tuple(r[k] for k in by): r for r in drawn.groupBy(*by).agg(*aggs).collect()}
+        got = {tuple(r[k] for k in by): r for r in SP.bootstrap_sums(df, "id", ["x", "y", "few"], 9, 4, label).collect()}
+        assert want.keys() == got.keys()
+        for k, r in want.items():
+            assert got[k].n == r.n and got[k].x == pytest.approx(r.x) and got[k].y == r.y and got[k].few == r.few
+        cells = [*by, "c"]
+        want = {tuple(r[k] for k in cells): r.t for r in drawn.groupBy(*cells).agg(F.sum("times").alias("t")).collect()}
+        found = SP.bootstrap_groups(df, "id", ["c"], 9, 4, label).groupBy(*cells).agg(F.sum("times").alias("t"))
+        assert {tuple(r[k] for k in cells): r.t for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_epoch_batches(spark, ranges):
     df = spark.range(1000).selectExpr("id", "if(id % 4 = 0, 'test', 'train') as split")
