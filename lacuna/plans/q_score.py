@@ -388,9 +388,8 @@ def poisson_bootstrap(spark, d):
 )
 def stratified_bootstrap(spark, d):
     df = T.mixed(spark, d).select("id", "label", "totalprice")
-    drawn = SP.stratified_bootstrap(df, "id", "label", B)
-    seen = F.when(F.col("totalprice").isNotNull(), F.col("times"))
-    return drawn.groupBy("replicate", "label").agg(
-        F.sum("times").alias("n"),
-        F.round(F.sum(F.col("totalprice") * F.col("times")) / F.sum(seen), 4).alias("mean"),
+    df = df.withColumn("seen", F.when(F.col("totalprice").isNotNull(), 1.0))
+    sums = SP.bootstrap_sums(df, "id", ["totalprice", "seen"], B, label="label")
+    return sums.select(
+        "replicate", "label", F.col("n").cast("bigint").alias("n"), F.round(F.col("totalprice") / F.col("seen"), 4).alias("mean")
     )
