@@ -291,7 +291,7 @@ def average_precision(spark, d):
 )
 def bootstrap_predict(spark, d):
     """All ten scores of 99 replicates, drawn within each label."""
-    drawn = SP.stratified_bootstrap(scored(spark, d), "id", "label", 99)
+    drawn = SP.bootstrap_groups(scored(spark, d).select("id", "label", "prob", "pred"), "id", ["prob", "pred"], 99, label="label")
     out = ST.classification_report(drawn, by=["replicate"], weight="times")
     return out.withColumn("val", F.round("val", 6))
 
