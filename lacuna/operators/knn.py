@@ -11,9 +11,10 @@ and by value, and bounding boxes of the cells bound all distances between two ce
    is compared with the donors of its most promising cell, which tightens its bound, and then with
    those cells only that reach into it.
 
-Where the donors take ``DIRECT_BYTES`` at most and all comparisons are ``DIRECT_CELLS`` at most, these
-steps cost more than they save: each task gets the distinct donors as one array and compares its
-queries with all of them in blocks. Both ways give the same neighbours; ``direct`` chooses one.
+Where the donors take ``DIRECT_PARTS`` times ``DIRECT_BYTES`` at most (and, over more than ``FEW_COLUMNS``
+columns, all comparisons are ``DIRECT_CELLS`` at most), these steps cost more than they save: each task
+gets the distinct donors as arrays, ``DIRECT_BYTES`` at a time, and compares tiles of its queries with the
+tiles of donors near them. Both ways give the same neighbours; ``direct`` chooses one.
 
 Only what cannot matter is left out, so the result is exact. Boxes prune well while the columns that
 vary most decide the distance; over many equally important columns, most cells reach into the
@@ -51,12 +52,18 @@ CUTS = 256
 FIRST_CELLS = 512
 MAX_DEPTH = 20
 SLACK = 1 + 1e-9
-#: Bounds of the direct way: bytes of the distinct donors, and donors x queries x columns.
+#: Bounds of the direct way: bytes of the distinct donors of one broadcast, broadcasts, and, beyond FEW_COLUMNS,
+#: donors x queries x columns.
 DIRECT_BYTES = 64 << 20
-DIRECT_CELLS = 100_000_000_000
-#: Queries of a block (its donors are a chunk), and comparisons of a task, of the direct way.
+DIRECT_PARTS = 8
+DIRECT_CELLS = 20_000_000_000_000
+#: Up to so many columns tiles of donors prune; beyond, a matrix product bounds the distances.
+FEW_COLUMNS = 8
+#: Rows of a tile of donors, queries of a tile, and queries or comparisons of a task, of the direct way.
+TILE_ROWS = 256
 BLOCK_QUERIES = 128
-TASK_CELLS = 1_000_000_000
+TASK_QUERIES = 20_000
+TASK_CELLS = 100_000_000_000
 
 
 def _level(cell_bins: str, level: int) -> Column:
@@ -346,8 +353,28 @@ def compared_pairs(df: DataFrame, columns: list[str], donors: DataFrame, k: int
     return done.crossJoin(every).withColumn("share", F.col("compared") / F.col("donors") / F.col("queries"))
 
 
+def _tiles(x: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Positions of ``x`` in tiles of at most ``rows``, halved along the widest column."""
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        wide = int(np.argmax(np.ptp(x[at], axis=0)))
+        half = len(at) // 2
+        at = at[np.argpartition(x[at, wide], half)]
+        open_ += [at[half:], at[:half]]
+    return out
+
+
 def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -> Callable:
-    """The k best donors of each missing value of a batch of queries, by comparison with all donors."""
+    """The k best donors of each missing value of a task's queries.
+
+    Queries of one pattern and the donors of each pattern are halved into tiles by the columns they share.
+    Tiles of donors are compared from the nearest on, as far as one reaches into the distance of the k-th
+    neighbour of some query of the tile.
+    """
     n = len(columns)
 
     def merged(best: tuple, new: tuple) -> tuple:
@@ -358,54 +385,97 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
         order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
         return tuple(np.concatenate(p)[order] for p in zip(best, new))
 
-    def block(q: np.ndarray, known: np.ndarray) -> dict[int, tuple]:
+    def sides(known: np.ndarray) -> list[tuple]:
+        """Per pattern of donors that can help: shared and wanted columns, values, copies, tiles, their boxes."""
+        out = []
+        for have, x, mult in donors.value:
+            shared, wanted = np.flatnonzero(known & have), np.flatnonzero(~known & have).tolist()
+            if not len(shared) or not wanted:
+                continue
+            y = np.ascontiguousarray(x[:, shared])
+            at = _tiles(y, chunk if len(shared) > FEW_COLUMNS else min(chunk, TILE_ROWS))
+            order, ends = np.concatenate(at), np.cumsum([len(t) for t in at])
+            y, starts = y[order], ends - [len(t) for t in at]
+            lo, hi = np.minimum.reduceat(y, starts, axis=0), np.maximum.reduceat(y, starts, axis=0)
+            out.append((shared, wanted, y, x[order], mult[order], starts, ends, lo, hi))
+        return out
+
+    def distances(q: np.ndarray, y: np.ndarray, bound: np.ndarray) -> tuple:
+        """(row, position, distance) of the pairs not farther than the bound of the query, or than its k-th here."""
+        scale = n / y.shape[1]
+        if y.shape[1] <= FEW_COLUMNS:
+            near = np.zeros((len(q), len(y)))
+            for j in range(y.shape[1]):
+                gap = q[:, j : j + 1] - y[None, :, j]
+                gap *= gap
+                near += gap
+            slack = 0.0
+        else:  # a matrix product bounds the distances, and only close pairs are computed
+            qq, yy = (q * q).sum(axis=1), (y * y).sum(axis=1)
+            near = qq[:, None] + yy[None, :] - 2 * (q @ y.T)
+            slack = 1e-13 * y.shape[1] * (qq.max() + yy.max())
+        reach = bound / scale
+        if len(y) > k and np.isinf(reach).any():  # the k-th of this tile bounds the k-th of all
+            reach = np.minimum(reach, np.partition(near, k - 1, axis=1)[:, k - 1] + slack)
+        row, col = np.nonzero(near <= (reach * SLACK + slack + 1e-300)[:, None])
+        dist = np.zeros(len(row))
+        for j in range(y.shape[1]):
+            gap = q[row, j] - y[col, j]
+            dist += gap * gap
+        dist *= n
+        dist /= y.shape[1]
+        return row, col, dist
+
+    def block(q: np.ndarray, known: np.ndarray, found: list[tuple]) -> dict[int, tuple]:
         """Per missing column: (row, squared distance, value, copies) of the best donors of queries with one pattern."""
         none = (np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64))
         best = {f: none for f in np.flatnonzero(~known).tolist()}
         bound = {f: np.full(len(q), np.inf) for f in best}
-        for have, x, mult in donors.value:
-            shared = np.flatnonzero(known & have).tolist()
-            wanted = [f for f in best if have[f]]
-            if not shared or not wanted:
+        reached = {f for _, wanted, *_ in found for f in wanted}
+        lows = []
+        for shared, _, _, _, _, _, _, lo, hi in found:
+            mine = q[:, shared]
+            gap = np.maximum(0.0, np.maximum(lo - mine.max(axis=0), mine.min(axis=0) - hi))
+            lows.append((gap * gap).sum(axis=1) * n / len(shared))
+        low, side = np.concatenate(lows), np.repeat(np.arange(len(lows)), [len(x) for x in lows])
+        tile = np.concatenate([np.arange(len(x)) for x in lows])
+        for t in np.argsort(low, kind="stable").tolist():
+            if low[t] > max(bound[f].max() for f in reached) * SLACK + 1e-300:
+                break
+            shared, wanted, y, x, mult, starts, ends, _, _ = found[side[t]]
+            most = np.max([bound[f] for f in wanted], axis=0)
+            if low[t] > most.max() * SLACK + 1e-300:
                 continue
-            for lo in range(0, len(x), chunk):
-                part = x[lo : lo + chunk]
-                total = np.zeros((len(q), len(part)))
-                for j in shared:
-                    gap = q[:, j : j + 1] - part[None, :, j]
-                    gap *= gap
-                    total += gap
-                total *= n
-                total /= len(shared)
-                reach = np.max([bound[f] for f in wanted], axis=0)
-                if len(part) > k and np.isinf(reach).any():  # the k-th of this block bounds the k-th of all
-                    reach = np.minimum(reach, np.partition(total, k - 1, axis=1)[:, k - 1])
-                row, col = np.nonzero(total <= reach[:, None])
-                dist = total[row, col]
-                for f in wanted:
-                    near = dist <= bound[f][row]
-                    r, c = row[near], col[near]
-                    if not len(r):
-                        continue
-                    best[f] = merged(best[f], (r, dist[near], part[c, f], mult[lo + c]))
-                    rows, counts = np.unique(best[f][0], return_counts=True)
-                    last = np.cumsum(counts) - 1
-                    bound[f][rows[counts == k]] = best[f][1][last[counts == k]]
+            at, end = starts[tile[t]], ends[tile[t]]
+            row, col, dist = distances(q[:, shared], y[at:end], most)
+            for f in wanted:
+                near = dist <= bound[f][row]
+                r, c = row[near], col[near] + at
+                if not len(r):
+                    continue
+                best[f] = merged(best[f], (r, dist[near], x[c, f], mult[c]))
+                rows, counts = np.unique(best[f][0], return_counts=True)
+                last = np.cumsum(counts) - 1
+                bound[f][rows[counts == k]] = best[f][1][last[counts == k]]
         return best
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            qid = batch.column("qid").to_numpy()
-            q = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(n)]).astype(float)
-            known = ~np.isnan(q)
-            patterns, group = np.unique(known, axis=0, return_inverse=True)
-            for g, pattern in enumerate(patterns):
-                rows = np.flatnonzero(group.ravel() == g)
-                for lo in range(0, len(rows), BLOCK_QUERIES):
-                    some = rows[lo : lo + BLOCK_QUERIES]
-                    for f, (row, dist, value, mult) in block(q[some], pattern).items():
-                        columns_out = [pa.array(qid[some[row]]), pa.array(np.full(len(row), f, np.int32)), pa.array(dist), pa.array(value), pa.array(mult)]
-                        yield pa.RecordBatch.from_arrays(columns_out, names=["qid", "f", "d2", "v", "mult"])
+        mine = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if mine is None or not mine.num_rows:
+            return
+        qid = mine.column("qid").to_numpy()
+        q = np.column_stack([mine.column(i + 1).to_numpy() for i in range(n)]).astype(float)
+        known = ~np.isnan(q)
+        patterns, group = np.unique(known, axis=0, return_inverse=True)
+        for g, pattern in enumerate(patterns):
+            rows, found = np.flatnonzero(group.ravel() == g), sides(pattern)
+            if not found:
+                continue
+            for at in _tiles(q[rows][:, pattern], BLOCK_QUERIES):
+                some = rows[at]
+                for f, (row, dist, value, mult) in block(q[some], pattern, found).items():
+                    columns_out = [pa.array(qid[some[row]]), pa.array(np.full(len(row), f, np.int32)), pa.array(dist), pa.array(value), pa.array(mult)]
+                    yield pa.RecordBatch.from_arrays(columns_out, names=["qid", "f", "d2", "v", "mult"])
 
     return compare
 
@@ -424,19 +494,32 @@ def _found(q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int, d
     """(qid, f, d2, v, mult): candidates that hold the k nearest donors of every missing value."""
     n = len(columns)
     queries, rows = q.count(), x.count()
-    fits = rows * (n + 1) * 8 <= DIRECT_BYTES
-    if direct and not fits:
-        raise ValueError(f"the direct way takes donors of at most {DIRECT_BYTES} bytes")
+    parts = -(-rows * (n + 1) * 8 // DIRECT_BYTES)
+    if direct and parts > DIRECT_PARTS:
+        raise ValueError(f"the direct way takes donors of at most {DIRECT_PARTS * DIRECT_BYTES} bytes")
     if direct is None:
-        direct = fits and queries * rows * n <= DIRECT_CELLS
+        direct = parts <= DIRECT_PARTS and (n <= FEW_COLUMNS or queries * rows * n <= DIRECT_CELLS)
     if not direct or not rows:
         q, x, d_leaves, routed = _prepared(q, x, columns, k, chunk)
         return _compared(routed, x, d_leaves, columns, k, chunk)
     spark = q.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, queries * rows * n // TASK_CELLS)
-    donors = spark.sparkContext.broadcast(_by_pattern(x, columns))
-    spread = q.repartition(int(min(tasks, max(queries, 1))), "qid").select("qid", *columns)
-    return spread.mapInArrow(_nearest_of_all(columns, k, donors, chunk), "qid bigint, f int, d2 double, v double, mult bigint")
+    work = queries // TASK_QUERIES + (0 if n <= FEW_COLUMNS else queries * rows * n // TASK_CELLS)
+    tasks = int(min(max(spark.sparkContext.defaultParallelism, work), max(queries, 1)))
+    if n <= FEW_COLUMNS:  # neighbouring queries of one pattern in a task
+        spread = q.repartitionByRange(tasks, *[F.col(c).isNull() for c in columns], *columns, "qid")
+    else:
+        spread = q.repartition(tasks, "qid")
+    if parts > 1:
+        x = materialize(x.withColumn("__part", F.pmod(F.xxhash64(*columns), F.lit(parts))), "knn-parts", ["__part"])
+    found = []
+    for p in range(parts):  # the donors of one broadcast at a time
+        some = x.filter(F.col("__part") == p).drop("__part") if parts > 1 else x
+        donors = spark.sparkContext.broadcast(_by_pattern(some, columns))
+        near = spread.select("qid", *columns).mapInArrow(_nearest_of_all(columns, k, donors, chunk), "qid bigint, f int, d2 double, v double, mult bigint")
+        found.append(materialize(near, "knn-found") if parts > 1 else near)
+        if parts > 1:
+            donors.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def nearest_fills(df: DataFrame, columns: list[str], donors: DataFrame, k: int, weights: str, chunk: int, direct: bool | None = None) -> DataFrame:

@@ -595,6 +595,30 @@ def test_knn_refuses_donors_that_no_task_should_hold(spark, monkeypatch):
     assert KN.knn_impute(df, ["a", "b"], "id", df).filter("a IS NULL").isEmpty()
 
 
+@pytest.mark.parametrize("n", [3, 10])
+def test_knn_compares_in_parts(spark, monkeypatch, n):
+    """Donors beyond one broadcast are compared part by part, with the neighbours of a brute force; ties included."""
+    monkeypatch.setattr(KN, "DIRECT_BYTES", 20_000)
+    monkeypatch.setattr(KN, "TILE_ROWS", 32)
+    rng = np.random.default_rng(n)
+    v = rng.integers(0, 12, (900, n)).astype(float)
+    v[rng.random(v.shape) < 0.15] = np.nan
+    names = [f"c{i}" for i in range(n)]
+    rows = [(i, *[None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in names))
+    found = KN._found(*KN._vectors(df, names, df), names, 3, KN.CHUNK, None)
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r for r in KN.knn_impute(df, names, "id", df, 3).collect()}
+    for i, q in enumerate(v):
+        common = (~np.isnan(q) & ~np.isnan(v)).sum(axis=1)
+        dist = np.where(common > 0, np.nansum((q - v) ** 2, axis=1) * n / np.maximum(common, 1), np.inf)
+        for f in np.flatnonzero(np.isnan(q)):
+            have = np.flatnonzero(~np.isnan(v[:, f]) & (common > 0))
+            near = have[np.lexsort((v[have, f], dist[have]))][:3]
+            if len(near):
+                assert got[i][f"c{f}"] == pytest.approx(v[near, f].mean())
+
+
 def test_prepare_keeps_the_truth_and_fits_on_train_only(spark):
     from lacuna.operators.prepare import Step, prepare
 
