@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 
 from lacuna.operators.quantiles import exact_percentiles
 from lacuna.operators.stats import average_precision
+from lacuna.session import broadcast_if_small
+
+
+#: Training rows of a task at most. Files of few distinct values hold many more rows than their size tells.
+TRAIN_ROWS = 250_000
+
+
+def _spread(train: DataFrame) -> DataFrame:
+    """Training rows over as many partitions as ``TRAIN_ROWS`` asks for; a table below that stays as it is."""
+    parts = -(-train.count() // TRAIN_ROWS)
+    return train.repartition(parts) if parts > 1 else train
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -23,7 +34,8 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     counts = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n").alias("__total"), F.count("*").alias("__classes"))
     shares = counts.crossJoin(total).select("__label", (F.col("__total") / (F.col("__classes") * F.col("__n"))).alias(name))
-    return df.join(shares, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
+    # one row a class: a shuffle by label would put a class into one task
+    return df.join(broadcast_if_small(shares), F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
 
 
 def make_classifier(kind: str, label: str = "label", seed: int = 0, n_features: int = 0, **params):
@@ -45,7 +57,8 @@ def fit_predict(
     train_on: list[str] = ("train", "val"), seed: int = 0, **params
 ) -> DataFrame:
     """Fit on the given splits, score all rows: adds ``pred`` and ``prob``."""
-    train = balanced_weights(df.filter(F.col(split).isin(*train_on)), label)
+    train = balanced_weights(df.filter(F.col(split).isin(*train_on)), label).select(*features, label, "weight")
+    train = _spread(train)
     clf = make_classifier(kind, label, seed, len(features), **params)
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), clf]).fit(train)
     scored = model.transform(df)

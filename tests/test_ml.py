@@ -94,3 +94,25 @@ def test_tuning_picks_the_best_candidate_and_refits(spark):
 
 def test_grids():
     assert candidates({}) == [{}] and len(candidates(GRIDS["knn"])) == 6 and len(candidates(GRIDS["mice"])) == 6
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    from lacuna.operators import predict as P
+
+    monkeypatch.setattr(P, "TRAIN_ROWS", 100)
+    df = spark.range(0, 1000, 1, 1).selectExpr("id", "cast(id % 2 as int) as label", "id % 2 + id % 3 as x", "'train' as split")
+    weighted = P.balanced_weights(df, "label")  # not shuffled by label
+    assert "BroadcastHashJoin" in weighted._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    make = P.make_classifier
+
+    def spied(*args, **params):
+        clf = make(*args, **params)
+        fit = clf._fit
+        clf._fit = lambda rows: (seen.append(rows.rdd.getNumPartitions()), fit(rows))[1]
+        clf.copy = lambda extra=None: clf
+        return clf
+
+    monkeypatch.setattr(P, "make_classifier", spied)
+    out = P.fit_predict(df, ["x"], "lr")
+    assert seen == [10] and out.count() == 1000
