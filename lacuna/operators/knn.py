@@ -14,7 +14,8 @@ and by value, and bounding boxes of the cells bound all distances between two ce
 Where the donors take ``DIRECT_PARTS`` times ``DIRECT_BYTES`` at most (and, over more than ``FEW_COLUMNS``
 columns, all comparisons are ``DIRECT_CELLS`` at most), these steps cost more than they save: each task
 gets the distinct donors as arrays, ``DIRECT_BYTES`` at a time, and compares tiles of its queries with the
-tiles of donors near them. Both ways give the same neighbours; ``direct`` chooses one.
+tiles of donors near them. Donors that share one column only with a query are sorted by it and found by
+bisection first; they bound the rest. Both ways give the same neighbours; ``direct`` chooses one.
 
 Only what cannot matter is left out, so the result is exact. Boxes prune well while the columns that
 vary most decide the distance; over many equally important columns, most cells reach into the
@@ -64,6 +65,8 @@ TILE_ROWS = 256
 BLOCK_QUERIES = 128
 TASK_QUERIES = 20_000
 TASK_CELLS = 100_000_000_000
+#: Pairs of one tile of queries that sorted donors of a single shared column give at once; tiles of donors beyond.
+WINDOW_PAIRS = 1 << 20
 
 
 def _level(cell_bins: str, level: int) -> Column:
@@ -368,6 +371,38 @@ def _tiles(x: np.ndarray, rows: int) -> list[np.ndarray]:
     return out
 
 
+def _sides(donors: list[tuple], known: np.ndarray, chunk: int) -> list[tuple]:
+    """Per pattern of donors that can help: shared and wanted columns, values, copies, tiles, their boxes."""
+    out = []
+    for have, x, mult in donors:
+        shared, wanted = np.flatnonzero(known & have), np.flatnonzero(~known & have).tolist()
+        if not len(shared) or not wanted:
+            continue
+        y = np.ascontiguousarray(x[:, shared])
+        if len(shared) == 1:
+            order, rows = np.argsort(y[:, 0], kind="stable"), min(chunk, TILE_ROWS)
+            starts = np.arange(0, len(y), rows)
+            y, ends = y[order], np.minimum(starts + rows, len(y))
+        else:
+            at = _tiles(y, chunk if len(shared) > FEW_COLUMNS else min(chunk, TILE_ROWS))
+            order, ends = np.concatenate(at), np.cumsum([len(t) for t in at])
+            y, starts = y[order], ends - [len(t) for t in at]
+        lo, hi = np.minimum.reduceat(y, starts, axis=0), np.maximum.reduceat(y, starts, axis=0)
+        out.append((shared, wanted, y, x[order], mult[order], starts, ends, lo, hi))
+    return out
+
+
+#: Donors, pattern and sides of the last task of this worker: tasks of one pattern follow each other.
+_LAST: list = []
+
+
+def _sides_once(donors: list[tuple], known: np.ndarray, chunk: int) -> list[tuple]:
+    if not _LAST or _LAST[0] is not donors or _LAST[1] != (known.tobytes(), chunk):
+        _LAST.clear()
+        _LAST.extend([donors, (known.tobytes(), chunk), _sides(donors, known, chunk)])
+    return _LAST[2]
+
+
 def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -> Callable:
     """The k best donors of each missing value of a task's queries.
 
@@ -385,21 +420,6 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
         order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
         return tuple(np.concatenate(p)[order] for p in zip(best, new))
 
-    def sides(known: np.ndarray) -> list[tuple]:
-        """Per pattern of donors that can help: shared and wanted columns, values, copies, tiles, their boxes."""
-        out = []
-        for have, x, mult in donors.value:
-            shared, wanted = np.flatnonzero(known & have), np.flatnonzero(~known & have).tolist()
-            if not len(shared) or not wanted:
-                continue
-            y = np.ascontiguousarray(x[:, shared])
-            at = _tiles(y, chunk if len(shared) > FEW_COLUMNS else min(chunk, TILE_ROWS))
-            order, ends = np.concatenate(at), np.cumsum([len(t) for t in at])
-            y, starts = y[order], ends - [len(t) for t in at]
-            lo, hi = np.minimum.reduceat(y, starts, axis=0), np.maximum.reduceat(y, starts, axis=0)
-            out.append((shared, wanted, y, x[order], mult[order], starts, ends, lo, hi))
-        return out
-
     def distances(q: np.ndarray, y: np.ndarray, bound: np.ndarray) -> tuple:
         """(row, position, distance) of the pairs not farther than the bound of the query, or than its k-th here."""
         scale = n / y.shape[1]
@@ -426,21 +446,58 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
         dist /= y.shape[1]
         return row, col, dist
 
+    def window(q: np.ndarray, y: np.ndarray, bound: np.ndarray) -> tuple | None:
+        """As ``distances``, of queries of one column to sorted donors; None where equal values make too many pairs."""
+        first = np.clip(np.searchsorted(y, q) - k, 0, max(len(y) - 2 * k, 0))
+        around = np.abs(y[first[:, None] + np.arange(min(2 * k, len(y)))] - q[:, None])
+        reach = np.sqrt(bound / n) * SLACK
+        if around.shape[1] > k:  # the k-th of the nearest on both sides
+            reach = np.minimum(reach, np.partition(around, k - 1, axis=1)[:, k - 1])
+        reach = reach * SLACK + 1e-15 * np.abs(q) + 1e-150
+        lo, hi = np.searchsorted(y, q - reach), np.searchsorted(y, q + reach, "right")
+        sizes = hi - lo
+        if sizes.sum() > WINDOW_PAIRS:
+            return None
+        row = np.repeat(np.arange(len(q)), sizes)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)
+        dist = q[row] - y[col]
+        dist *= dist
+        dist *= n
+        return row, col, dist
+
     def block(q: np.ndarray, known: np.ndarray, found: list[tuple]) -> dict[int, tuple]:
         """Per missing column: (row, squared distance, value, copies) of the best donors of queries with one pattern."""
         none = (np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64))
         best = {f: none for f in np.flatnonzero(~known).tolist()}
         bound = {f: np.full(len(q), np.inf) for f in best}
         reached = {f for _, wanted, *_ in found for f in wanted}
+
+        def take(wanted: list[int], x: np.ndarray, mult: np.ndarray, row: np.ndarray, col: np.ndarray, dist: np.ndarray) -> None:
+            for f in wanted:
+                near = dist <= bound[f][row]
+                r, c = row[near], col[near]
+                if not len(r):
+                    continue
+                best[f] = merged(best[f], (r, dist[near], x[c, f], mult[c]))
+                rows, counts = np.unique(best[f][0], return_counts=True)
+                last = np.cumsum(counts) - 1
+                bound[f][rows[counts == k]] = best[f][1][last[counts == k]]
+
         lows = []
-        for shared, _, _, _, _, _, _, lo, hi in found:
+        for shared, wanted, y, x, mult, starts, _, lo, hi in found:
             mine = q[:, shared]
+            if len(shared) == 1 and np.isfinite(mine).all():
+                pairs = window(mine[:, 0], y[:, 0], np.max([bound[f] for f in wanted], axis=0))
+                if pairs is not None:
+                    take(wanted, x, mult, *pairs)
+                    lows.append(np.full(len(starts), np.inf))
+                    continue
             gap = np.maximum(0.0, np.maximum(lo - mine.max(axis=0), mine.min(axis=0) - hi))
             lows.append((gap * gap).sum(axis=1) * n / len(shared))
         low, side = np.concatenate(lows), np.repeat(np.arange(len(lows)), [len(x) for x in lows])
         tile = np.concatenate([np.arange(len(x)) for x in lows])
         for t in np.argsort(low, kind="stable").tolist():
-            if low[t] > max(bound[f].max() for f in reached) * SLACK + 1e-300:
+            if low[t] == np.inf or low[t] > max(bound[f].max() for f in reached) * SLACK + 1e-300:
                 break
             shared, wanted, y, x, mult, starts, ends, _, _ = found[side[t]]
             most = np.max([bound[f] for f in wanted], axis=0)
@@ -448,15 +505,7 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
                 continue
             at, end = starts[tile[t]], ends[tile[t]]
             row, col, dist = distances(q[:, shared], y[at:end], most)
-            for f in wanted:
-                near = dist <= bound[f][row]
-                r, c = row[near], col[near] + at
-                if not len(r):
-                    continue
-                best[f] = merged(best[f], (r, dist[near], x[c, f], mult[c]))
-                rows, counts = np.unique(best[f][0], return_counts=True)
-                last = np.cumsum(counts) - 1
-                bound[f][rows[counts == k]] = best[f][1][last[counts == k]]
+            take(wanted, x, mult, row, col + at, dist)
         return best
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +517,7 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
         known = ~np.isnan(q)
         patterns, group = np.unique(known, axis=0, return_inverse=True)
         for g, pattern in enumerate(patterns):
-            rows, found = np.flatnonzero(group.ravel() == g), sides(pattern)
+            rows, found = np.flatnonzero(group.ravel() == g), _sides_once(donors.value, pattern, chunk)
             if not found:
                 continue
             for at in _tiles(q[rows][:, pattern], BLOCK_QUERIES):

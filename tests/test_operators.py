@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -619,6 +620,33 @@ def test_knn_compares_in_parts(spark, monkeypatch, n):
                 assert got[i][f"c{f}"] == pytest.approx(v[near, f].mean())
 
 
+@pytest.mark.parametrize("window", [0, 1 << 20])
+def test_knn_finds_single_shared_columns_by_bisection(spark, monkeypatch, window):
+    """Few pairs are compared where one column is shared, ties go to the smaller value, and tiles give the same."""
+    monkeypatch.setattr(KN, "WINDOW_PAIRS", window)
+    rng = np.random.default_rng(8)
+    y = np.round(rng.random(20_000), 3)
+    value = rng.permutation(20_000).astype(float)
+    q = np.round(rng.random(100), 3)
+    q[:2] = -5.0, 7.0
+
+    class Held:
+        value = None
+
+    Held.value = [(np.array([True, True]), np.column_stack([y, value]), np.ones(len(y), np.int64))]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(100)), pa.array(q), pa.array(np.full(100, np.nan))], names=["qid", "a", "b"])
+    compared = []
+    unique = np.unique
+    monkeypatch.setattr(KN.np, "unique", lambda *a, **k: compared.append(1) or unique(*a, **k))
+    rows = pa.Table.from_batches(KN._nearest_of_all(["a", "b"], 3, Held, KN.CHUNK)(iter([batch]))).to_pandas()
+    assert (len(compared) <= 3) == (window > 0)
+    for i, x in enumerate(q):
+        dist = (y - x) ** 2 * 2
+        best = np.lexsort((value, dist))[:3]
+        mine = rows[rows.qid == i]
+        assert mine.v.tolist() == value[best].tolist() and np.allclose(mine.d2, dist[best])
+
+
 def test_prepare_keeps_the_truth_and_fits_on_train_only(spark):
     from lacuna.operators.prepare import Step, prepare
 
