@@ -571,26 +571,35 @@ def _found(q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int, d
     return reduce(DataFrame.unionByName, found)
 
 
-def nearest_fills(df: DataFrame, columns: list[str], donors: DataFrame, k: int, weights: str, chunk: int, direct: bool | None = None) -> DataFrame:
-    """Distinct incomplete vectors with one ``fill_{i}`` per column."""
+def nearest_fills(
+    df: DataFrame, columns: list[str], donors: DataFrame, choices: list[tuple[int, str]], chunk: int, direct: bool | None = None
+) -> DataFrame:
+    """Distinct incomplete vectors with one ``fill_{i}`` per column: an array with the fill of each (k, weights)
+    of ``choices``. Neighbours are found once, for the greatest k."""
     q, x = _vectors(df, columns, donors)
-    found = _found(q, x, columns, k, chunk, direct)
+    found = _found(q, x, columns, max(k for k, _ in choices), chunk, direct)
     merged = found.groupBy("qid", "f").agg(F.sort_array(F.collect_list(F.struct("d2", "v", "mult"))).alias("near"))
-    weight = "1D" if weights == "uniform" else "CASE WHEN x.d2 = 0 THEN 1D ELSE 1 / sqrt(x.d2) END"
-    if weights == "distance":  # an exact match outweighs all others
-        merged = merged.withColumn("near", F.expr("CASE WHEN near[0].d2 = 0 THEN filter(near, x -> x.d2 = 0) ELSE near END"))
-    fold = (
-        f"aggregate(near, named_struct('left', {k}L, 's', 0D, 'w', 0D), (a, x) -> named_struct("
-        f"'left', a.left - least(a.left, x.mult), 's', a.s + least(a.left, x.mult) * x.v * {weight}, "
-        f"'w', a.w + least(a.left, x.mult) * {weight}), a -> a.s / a.w)"
-    )
-    merged = merged.select("qid", "f", F.expr(fold).alias("fill"))
+    merged = merged.select("qid", "f", F.array(*[F.expr(_fold(k, weights)) for k, weights in choices]).alias("fill"))
     fills = merged.groupBy("qid").agg(
         *[F.max(F.when(F.col("f") == i, F.col("fill"))).alias(f"fill_{i}") for i in range(len(columns))]
     )
     return q.select("qid", _vector_key(columns).alias("__key")).join(fills, "qid").drop("qid")
 
 
+def _fold(k: int, weights: str) -> str:
+    """The mean of the k first of ``near``, sorted by distance."""
+    near, weight = "near", "1D"
+    if weights != "uniform":
+        weight = "CASE WHEN x.d2 = 0 THEN 1D ELSE 1 / sqrt(x.d2) END"
+    if weights == "distance":  # an exact match outweighs all others
+        near = "CASE WHEN near[0].d2 = 0 THEN filter(near, x -> x.d2 = 0) ELSE near END"
+    return (
+        f"aggregate({near}, named_struct('left', {k}L, 's', 0D, 'w', 0D), (a, x) -> named_struct("
+        f"'left', a.left - least(a.left, x.mult), 's', a.s + least(a.left, x.mult) * x.v * {weight}, "
+        f"'w', a.w + least(a.left, x.mult) * {weight}), a -> a.s / a.w)"
+    )
+
+
 def _vector_key(columns: list[str]) -> Column:
     """The whole vector as one exact join key."""
     # grouping takes -0.0 for 0.0, so the key has to
@@ -615,17 +624,32 @@ def knn_impute(
     Use k = 1 on category codes. ``direct`` compares all vectors (True), searches cells (False), or
     does what the bounds of the module say (None).
     """
-    fills = nearest_fills(df, columns, donors, k, weights, chunk, direct)
+    return knn_impute_all(df, columns, donors, [(k, weights)], None, chunk, direct, rest)
+
+
+def knn_impute_all(
+    df: DataFrame,
+    columns: list[str],
+    donors: DataFrame,
+    choices: list[tuple[int, str]],
+    name: str | None,
+    chunk: int = CHUNK,
+    direct: bool | None = None,
+    rest: dict[str, float | None] | None = None,
+) -> DataFrame:
+    """``knn_impute`` by each (k, weights) of ``choices``, from one search: the rows once per choice, its number as
+    ``name``. Without a name the first choice alone."""
+    fills = nearest_fills(df, columns, donors, choices, chunk, direct)
     row = rest if rest is not None else donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     # rows without gaps have no key: they are not shuffled to a partner
     joined = df.withColumn("__key", F.when(gaps, _vector_key(columns))).join(fills, "__key", "left")
+    if name is not None:
+        joined = joined.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))))
+    at = F.lit(0) if name is None else F.col(name)
+    # Where no vector has a neighbour to offer, the value in rest is left.
     out = {
-        c: F.coalesce(F.col(c).cast("double"), F.col(f"fill_{i}"), F.lit(row[c]).cast("double"))
+        c: F.coalesce(F.col(c).cast("double"), F.get(F.col(f"fill_{i}"), at), F.lit(row[c]).cast("double"))
         for i, c in enumerate(columns)
-        if f"fill_{i}" in fills.columns
     }
-    # Where no vector has a neighbour to offer, the mean is left.
-    rest = {c: F.coalesce(F.col(c).cast("double"), F.lit(row[c]).cast("double")) for c in columns if c not in out}
-    out.update(rest)
-    return joined.withColumns(out).select(*df.columns)
+    return joined.withColumns(out).select(*df.columns, *([name] if name is not None else []))

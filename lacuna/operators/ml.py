@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators.encode import categories_of, combine_onehots, onehot, uncombine_onehots
 from lacuna.operators.impute_simple import SimpleImputer
-from lacuna.operators.knn import knn_impute
+from lacuna.operators.knn import knn_impute, knn_impute_all
 from lacuna.operators.transforms import MinMaxScaler
 from lacuna.schema import FeatureSchema
 
@@ -165,9 +165,22 @@ class KnnImpute(_Fit):
 class KnnImputeModel(StateModel):
     k, weights, codes, idCol = KnnImpute.k, KnnImpute.weights, KnnImpute.codes, KnnImpute.idCol
 
+    def choice(self) -> tuple[int, str]:
+        return (1, "uniform") if self.getOrDefault("codes") else (self.getOrDefault("k"), self.getOrDefault("weights"))
+
+    def columns(self) -> tuple:
+        """What models have in common that can be applied together."""
+        return self.getInputCols(), self.getOrDefault("codes"), self.state["rest"]
+
+    def transform_all(self, models: list["KnnImputeModel"], dataset: DataFrame, name: str) -> DataFrame:
+        """The rows once per model, its number as ``name``, from one search. This one and the ``models`` are
+        fitted on the same rows, to fill numbers in the same columns."""
+        choices = [m.choice() for m in models]
+        return knn_impute_all(dataset, self.getInputCols(), self.tables["donors"], choices, name, rest=self.state["rest"])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         codes = self.getOrDefault("codes")
-        k, weights = (1, "uniform") if codes else (self.getOrDefault("k"), self.getOrDefault("weights"))
+        k, weights = self.choice()
         out = knn_impute(dataset, self.getInputCols(), self.getOrDefault("idCol"), self.tables["donors"], k, weights, rest=self.state["rest"])
         return out.withColumns({c: F.col(c).cast(dataset.schema[c].dataType) for c in self.getInputCols()}) if codes else out
 
@@ -218,3 +231,20 @@ class MixedImputeModel(StateModel):
             if name in self.stages:
                 out = self.stages[name].transform(out)
         return uncombine_onehots(out, groups, dataset.columns)
+
+    def shares_with(self, models: list[Model]) -> bool:
+        """Whether models fitted on the same rows can be applied together: they differ in k and weights of the
+        numeric neighbours only."""
+        if not all(isinstance(m, MixedImputeModel) and set(m.stages) == {"numeric", "categorical"} for m in models):
+            return False
+        if not all(isinstance(s, KnnImputeModel) for m in models for s in m.stages.values()):
+            return False
+        alike = lambda m: (m.getOrDefault("binaryCols"), m.getOrDefault("onehotGroups"), *(m.stages[s].columns() for s in ("numeric", "categorical")), m.stages["categorical"].choice())
+        return not self.stages["numeric"].getOrDefault("codes") and all(alike(m) == alike(self) for m in models)
+
+    def transform_all(self, models: list["MixedImputeModel"], dataset: DataFrame, name: str) -> DataFrame:
+        """The rows once per model, its number as ``name``; codes are filled once."""
+        groups = self.getOrDefault("onehotGroups")
+        out = self.stages["categorical"].transform(combine_onehots(dataset, groups))
+        out = self.stages["numeric"].transform_all([m.stages["numeric"] for m in models], out, name)
+        return uncombine_onehots(out, groups, [*dataset.columns, name])

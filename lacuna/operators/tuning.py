@@ -45,6 +45,17 @@ def masked_score(filled: DataFrame, data: DataFrame, truth: DataFrame, schema: F
     return tune_metric(frame, schema).first()["score"]
 
 
+def masked_scores(models: list[Model], data: DataFrame, truth: DataFrame, schema: FeatureSchema) -> list[float | None]:
+    """``masked_score`` of models that are applied together, from one frame."""
+    ids = list(schema.ids)
+    side = truth.select(*ids, F.struct(*schema.features).alias("__truth"))
+    gone = data.select(*ids, F.struct(*[F.col(f"`{c}`").isNull().alias(c) for c in schema.features]).alias("__missing"))
+    frame = models[0].transform_all(models, data.join(side, ids).join(gone, ids), "__candidate")
+    frame = frame.select("__candidate", F.col("__truth").alias("truth"), F.struct(*schema.features).alias("pred"), F.col("__missing").alias("missing"))
+    found = {r["__candidate"]: r["score"] for r in tune_metric(frame, schema, ["__candidate"]).collect()}
+    return [found.get(i) for i in range(len(models))]
+
+
 def tune_imputer(
     make: Callable[[dict], Estimator],
     grid: list[dict],
@@ -57,20 +68,23 @@ def tune_imputer(
     """Fit every candidate on the train rows, score it on the hidden cells of the val rows, and refit the
     best on both.
 
-    Candidates run as parallel jobs of one session. Without a truth nothing can be scored and the first
+    Candidates that can be applied together are scored from one frame; others run as parallel jobs of one
+    session. Without a truth nothing can be scored and the first
     candidate is taken, as on ties; a candidate without a score counts as the worst.
     """
     if not grid:
         raise ValueError("tuning needs a candidate")
     train, val = (data.filter(F.col(schema.split) == s) for s in ("train", "val"))
 
-    def scored(params: dict) -> float | None:
-        return score(make(params).fit(train).transform(val), val, truth, schema)
-
     values: list[float | None] = [None] * len(grid)
     if truth is not None:
         with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            values = list(pool.map(scored, grid))
+            models = list(pool.map(lambda params: make(params).fit(train), grid))
+            together = score is masked_score and hasattr(models[0], "shares_with") and models[0].shares_with(models)
+            if together:
+                values = masked_scores(models, val, truth, schema)
+            else:
+                values = list(pool.map(lambda model: score(model.transform(val), val, truth, schema), models))
     best = max(range(len(grid)), key=lambda i: (values[i] is not None, values[i] or 0.0, -i))
     both = data.filter(F.col(schema.split).isin("train", "val"))
     return Tuned(grid[best], list(zip(grid, values)), make(grid[best]).fit(both))

@@ -5,8 +5,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from lacuna.operators import ml
-from lacuna.operators.tuning import GRIDS, candidates, tune_imputer
+from lacuna.operators import knn, ml
+from lacuna.operators.tuning import GRIDS, candidates, masked_score, tune_imputer
 from lacuna.schema import FeatureSchema
 
 SCHEMA = FeatureSchema(ids=("id",), continuous=("a", "b"), binary=("yes",), onehot={"c": ("c_x", "c_y", "c_z")}, split="split", order=("a", "b", "yes", "c_x", "c_y", "c_z"))
@@ -92,6 +92,19 @@ def test_tuning_picks_the_best_candidate_and_refits(spark):
         tune_imputer(make, [], data, truth, SCHEMA)
 
 
+def test_candidates_share_one_search(spark, monkeypatch):
+    data, truth = table(spark)
+    make = lambda p: ml.MixedImpute(ml.KnnImpute(**p), ml.KnnImpute(codes=True), ["a", "b"], ["yes"], SCHEMA.onehot)
+    grid = candidates({"k": [1, 3, 9], "weights": ["uniform", "distance"]})
+    searches, found = [], knn._found
+    monkeypatch.setattr(knn, "_found", lambda *a: searches.append(1) or found(*a))
+    together = tune_imputer(make, grid, data, truth, SCHEMA)
+    assert len(searches) == 2  # numbers and codes
+    alone = tune_imputer(make, grid, data, truth, SCHEMA, score=lambda *a: masked_score(*a))
+    assert len(searches) == 2 + 2 * len(grid) and together.best == alone.best
+    assert [s for _, s in together.scores] == pytest.approx([s for _, s in alone.scores])
+
+
 def test_grids():
     assert candidates({}) == [{}] and len(candidates(GRIDS["knn"])) == 6 and len(candidates(GRIDS["mice"])) == 6
 
