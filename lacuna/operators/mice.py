@@ -5,7 +5,8 @@ per column and round, a small solve on the driver, and a linear expression as th
 Categorical columns use decision trees on their codes. ``learner`` puts random forests or boosted
 trees in the place of both; their numeric predictions are matched to observed values (predictive mean
 matching), so a missing cell takes the value of a drawn donor with a similar prediction. The table is
-written once per round, with trees once per step.
+written once per round; with trees a step shuffles and writes only the rows that lack its column, and the
+table is put together from the last such rows of each column.
 
 With ``copies`` the table is completed several times. The copies are rows of one frame, told apart by
 a column: a model is fitted on all of them, and every copy draws its own donors, by row, column, round
@@ -113,7 +114,7 @@ class Step:
             return df.withColumn(name, reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))
         out = self.model.transform(df).withColumn(name, F.col("prediction"))
         out = out.drop("features", "prediction", "rawPrediction", "probability")
-        return out if self.matching is None else match_means(out, self.matching, id_col, name, F.col(self.column).isNull(), self.stream)
+        return out if self.matching is None else match_means(out, self.matching, id_col, name, stream=self.stream)
 
 
 #: Ranges of predictions: at least, at most, and rows of one in between; parts of a range that are numbered apart.
@@ -126,8 +127,8 @@ RANGE_PARTS = 16
 def fit_matching(observed: DataFrame, target: str, pred: str, id_col: str) -> tuple:
     """Predictive-mean matching: all observed values, numbered within each range of predictions.
 
-    (bounds of the ranges, written table of range, rows up to the end of each part of it, written table
-    of range, part, number and value). Equal predictions share a range, so a range may hold any share
+    (bounds of the ranges, written table of range, rows up to the end of each part of it, key of range, part
+    and number with the value). Equal predictions share a range, so a range may hold any share
     of the rows; it is numbered in parts by a hash of the id.
     """
     n = observed.count()
@@ -140,7 +141,13 @@ def fit_matching(observed: DataFrame, target: str, pred: str, id_col: str) -> tu
     donors = materialize(bucketed.select("__range", "__part", number.alias("__j"), F.col(target).cast("double").alias("__donor")), "mice-donors")
     parts = [F.count(F.when(F.col("__part") <= i, 1)).alias(str(i)) for i in range(RANGE_PARTS)]
     sizes = donors.groupBy("__range").agg(F.array(*parts).alias("__upto"))  # one row a range
-    return splits, materialize(sizes, "mice-ranges"), donors
+    return splits, materialize(sizes, "mice-ranges"), donors.select(_donor_key(F.col("__j")).alias("__key"), "__donor")
+
+
+def _donor_key(number):
+    """Range (at most 12 bits), part (4 bits) and number of a donor in one integer, to shuffle; files hold them apart."""
+    place = F.col("__range").cast("long") * RANGE_PARTS + F.col("__part")
+    return F.shiftleft(place, 40) + number
 
 
 def match_means(df: DataFrame, matching: tuple, id_col: str, name: str, wanted=None, stream: int = 0) -> DataFrame:
@@ -161,10 +168,10 @@ def match_means(df: DataFrame, matching: tuple, id_col: str, name: str, wanted=N
     drawn = drawn.withColumn("__k", F.when(wanted & (n > 0), k))
     drawn = drawn.withColumn("__part", F.expr("size(filter(__upto, c -> c <= __k))"))
     before = F.when(F.col("__part") > 0, F.element_at("__upto", F.greatest("__part", F.lit(1)))).otherwise(0)
-    # rows without a draw take a number that no donor has and stay spread
-    drawn = drawn.withColumn("__j", F.coalesce(F.col("__k") - before + 1, -1 - F.pmod(F.col("__id"), F.lit(1 << 30))))
-    drawn = drawn.withColumn("__part", F.when(F.col("__k").isNull(), -1).otherwise(F.col("__part")))
-    found = drawn.join(donors, ["__range", "__part", "__j"], "left")
+    # rows without a draw take a key that no donor has and stay spread
+    nowhere = -1 - F.pmod(F.coalesce("__id", F.lit(0)), F.lit(1 << 30))
+    drawn = drawn.withColumn("__key", F.when(F.col("__k").isNotNull(), _donor_key(F.col("__k") - before + 1)).otherwise(nowhere))
+    found = drawn.select(*df.columns, "__key").join(donors, "__key", "left")
     return found.withColumn(name, F.coalesce("__donor", name)).select(*df.columns)
 
 
@@ -214,7 +221,9 @@ class ChainedImputer:
             *[F.stddev_pop(c).alias(f"sd_{c}") for c in numeric],
         ).first()
         imputer = ChainedImputer(id_col, numeric, categorical, {c: float(row[c] or 0) for c in cols}, [], copies)
-        state = before_round = materialize(imputer._start(df), "mice-start")
+        needed = [id_col, *[c for c in cols if c != id_col]]
+        state = before_round = imputer._start(materialize(df.select(*needed), "mice-start"))
+        filled: dict[str, DataFrame] | None = {"": state}
         todo = [c for c in sorted(numeric, key=lambda c: row[f"gaps_{c}"]) if row[f"gaps_{c}"]]
         todo += [c for c in sorted(categorical, key=lambda c: row[f"gaps_{c}"]) if row[f"gaps_{c}"]]
         last: dict[str, np.ndarray] = {}
@@ -244,16 +253,16 @@ class ChainedImputer:
                         moved = np.inf
                     trees.append(c)
                 steps.append(step)
-                state = imputer._apply(state, step)
-                if step.model is not None:
-                    state = materialize(state, "mice-step")
+                state, filled = imputer._advance(state, filled, step)
             imputer.rounds.append(steps)
             if not steps:
                 break
             if trees:
-                moved = max(moved, imputer._changed(before_round, state, trees))
+                if moved < tol:  # else nothing settles, whatever else changed
+                    moved = max(moved, imputer._changed(before_round, state, trees))
             elif moved >= tol:
                 state = materialize(state, "mice-round")
+                filled = {"": state}
             before_round = state
             if moved < tol:
                 break
@@ -273,6 +282,26 @@ class ChainedImputer:
             {f"v_{c}": F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in self.initial.items()}
         )
 
+    def _advance(self, state: DataFrame, filled: dict[str, DataFrame] | None, step: Step) -> tuple[DataFrame, dict[str, DataFrame] | None]:
+        """The table after a step, and its pieces: the other rows ("") and those a column's last step has filled.
+
+        A step of trees writes the rows that lack its column; they replace older ones of theirs. Pieces are None
+        where the table is not made of written rows.
+        """
+        c = step.column
+        if step.model is None:
+            return self._apply(state, step), None
+        if filled is None:
+            filled = {"": materialize(state, "mice-step")}
+        state = reduce(DataFrame.unionByName, filled.values())
+        rows = state.filter(F.col(c).isNull()).drop(c, f"v_{c}")
+        done = step.predict(rows, self.id_col, f"v_{c}").withColumn(c, F.lit(None).cast(state.schema[c].dataType))
+        done = materialize(done.select(*state.columns), "mice-step")
+        # rows that lack the column leave the other pieces, the first one once
+        left = {k: p if k == "" and c in filled else p.filter(F.col(c).isNotNull()) for k, p in filled.items() if k != c}
+        filled = {**left, c: done}
+        return reduce(DataFrame.unionByName, filled.values()), filled
+
     def _apply(self, df: DataFrame, step: Step) -> DataFrame:
         out = step.predict(df, self.id_col, "__pred")
         value = F.when(F.col(step.column).isNull(), F.col("__pred")).otherwise(F.col(f"v_{step.column}"))
@@ -299,14 +328,16 @@ class ChainedImputer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Apply the chain; observed values stay as they are. Several copies add the column ``copy``."""
-        state = self._start(df)
+        state, filled = self._start(df), None
+        if any(step.model is not None for steps in self.rounds for step in steps):
+            state = self._start(materialize(df, "mice-input"))
+            filled = {"": state}
         for steps in self.rounds:
             for step in steps:
-                state = self._apply(state, step)
-                if step.model is not None:
-                    state = materialize(state, "mice-step")
+                state, filled = self._advance(state, filled, step)
             if all(step.model is None for step in steps):
                 state = materialize(state, "mice-transform")
+                filled = {"": state}
         out = {c: F.col(f"v_{c}").cast(df.schema[c].dataType) for c in self.initial}
         extra = [F.col(COPY).alias("copy")] if self.copies > 1 else []
         return state.withColumns(out).select(*df.columns, *extra)

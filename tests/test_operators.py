@@ -375,6 +375,29 @@ def test_boosted_chain_completes_copies(spark):
         MI.ChainedImputer.fit(df, "id", ["a"], learner="other")
 
 
+def test_tree_steps_write_only_rows_that_lack_their_column(spark, monkeypatch):
+    """Each step writes the rows with a gap in its column, and the table keeps every row once."""
+    u = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 1000.0
+    full = spark.range(600).select("id", (F.col("id") % 7).alias("extra"), u(1).alias("a"), u(2).alias("b"), (u(1) + u(2)).alias("c"))
+    df = full.select("id", "extra", *[F.when(u(s) >= 0.2, F.col(c)).alias(c) for s, c in enumerate("abc", 5)])
+    gaps = {c: df.filter(F.col(c).isNull()).count() for c in "abc"}
+    sizes, write = [], MI.materialize
+
+    def counted(frame, name):
+        out = write(frame, name)
+        if name == "mice-step":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(MI, "materialize", counted)
+    model = MI.ChainedImputer.fit(df, "id", ["a", "b", "c"], learner="boosted", max_iter=2, copies=2)
+    out = model.transform(df)
+    assert len(sizes) == 12 and set(sizes) <= {2 * n for n in gaps.values()}
+    assert out.count() == 1200 and out.select("id", "copy").distinct().count() == 1200 and out.columns == [*df.columns, "copy"]
+    both = out.withColumnsRenamed({c: f"f_{c}" for c in "abc"}).join(df, ["id", "extra"])
+    assert both.count() == 1200 and both.filter(" OR ".join(f"f_{c} IS NULL OR {c} <> f_{c}" for c in "abc")).isEmpty()
+
+
 def test_mice_recovers_linear_structure(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 3))
