@@ -2,7 +2,8 @@
 
 Every task takes small gradient steps over its own rows from the current weights; Spark averages the
 resulting weights by row count (local SGD). One job per epoch also measures the validation loss of
-the weights it started from. Only weights pass through the driver.
+the weights it started from. Only weights pass through the driver. The rows are packed into blocks of
+columns once, so that an epoch does not turn every cell from Parquet into Arrow and into a matrix.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ PRESETS: dict[str, dict] = {
 }
 SWAP_STREAM = 4_000
 KL_WEIGHT = 0.1
+BLOCK_BYTES = 1 << 20  # of a block's cells as doubles
+GROUP_BYTES = 16 << 20  # of a row group of blocks
 EPSILON = 1e-10
 
 
@@ -185,6 +190,62 @@ def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
 
 
+def _pack(m: np.ndarray) -> bytes:
+    """Column by column: up to 256 distinct values, counted, and a byte a row; else a count of 0 and the values."""
+    parts = [len(m).to_bytes(4, "little")]
+    for c in m.T:
+        values, codes = np.unique(c, return_inverse=True)
+        if len(values) <= 256:
+            parts += [len(values).to_bytes(2, "little"), values.astype("<f8").tobytes(), codes.astype(np.uint8).tobytes()]
+        else:
+            parts += [bytes(2), c.astype("<f8").tobytes()]
+    return b"".join(parts)
+
+
+def _unpack(data: bytes, matrices: int) -> np.ndarray:
+    """The columns of a block, dealt in order to matrices of equal width."""
+    rows, at, columns = int.from_bytes(data[:4], "little"), 4, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 2], "little")
+        values = np.frombuffer(data, "<f8", n or rows, at + 2)
+        at += 2 + values.nbytes
+        if n:
+            values = values[np.frombuffer(data, np.uint8, rows, at)]
+            at += rows
+        columns.append(values)
+    width = len(columns) // matrices
+    out = np.empty((matrices, rows, width))
+    for j, c in enumerate(columns):
+        out[j // width, :, j % width] = c
+    return out
+
+
+def _blocks(table: DataFrame, n: int, split: str) -> DataFrame:
+    """The train and validation rows, packed: task and batch they come from, kind, cells.
+
+    A batch keeps its rows in order; one of many bytes is several blocks.
+    """
+    names = [f"{k}{i}" for k in "xts" for i in range(n)]
+    most = max(1, BLOCK_BYTES // (8 * len(names)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            part = np.asarray(batch.column(split).to_pylist())
+            cells = None
+            for kind in ("val", "train"):
+                of_kind = np.flatnonzero(part == kind)
+                for at in range(0, len(of_kind), most):
+                    cells = _matrix(batch, names) if cells is None else cells
+                    row = [task, number, kind == "val", _pack(cells[of_kind[at : at + most]])]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=columns)
+            number += cells is not None
+
+    columns, types = ["task", "batch", "val", "cells"], [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    packed = table.mapInArrow(pack, "task int, batch int, val boolean, cells binary")
+    return materialize(packed, "autoencoder-blocks", row_group_bytes=GROUP_BYTES)
+
+
 @dataclass
 class AutoencoderImputer:
     """Configuration, and after ``fit`` the weights."""
@@ -231,7 +292,7 @@ class AutoencoderImputer:
         return warm_start(doubles, self.schema, self.replace_nan_with)
 
     def _training_table(self, data: DataFrame, truth: DataFrame | None) -> DataFrame:
-        """Input, target and observed flag per feature; without truth, observed data is the target."""
+        """Input, target and observed flag per feature, in blocks; without truth, observed data is the target."""
         ids, split = list(self.schema.ids), self.schema.split
         feats = self.schema.features
         filled = self._inputs(data)
@@ -242,7 +303,7 @@ class AutoencoderImputer:
             *[F.col(f"`{c}`").isNotNull().cast("double").alias(f"s{i}") for i, c in enumerate(feats)],
         )
         cells = filled.select(*ids, split, *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(feats)])
-        return materialize(cells.join(goal, ids).drop(*ids), "autoencoder-train")
+        return _blocks(materialize(cells.join(goal, ids).drop(*ids), "autoencoder-train"), len(feats), split)
 
     def fit(self, data: DataFrame, truth: DataFrame | None = None) -> "AutoencoderImputer":
         table = self._training_table(data, truth)
@@ -262,26 +323,32 @@ class AutoencoderImputer:
 
     def _epoch(self, table: DataFrame, flat: np.ndarray, epoch: int) -> tuple[np.ndarray | None, float]:
         """Averaged weights after one pass over the train rows; validation loss of the given weights."""
-        n, net, lay, cfg = len(self.schema.features), self._net, self._layout, self
+        net, lay, cfg = self._net, self._layout, self
         lr, l2, size, adam = cfg.learning_rate, cfg.l2_penalty, cfg.batch_size, cfg.optimizer == "adam"
-        drop, swap, seed, split = cfg.dropout_corruption, cfg.batchswap_corruption, cfg.seed, self.schema.split
+        drop, swap, seed = cfg.dropout_corruption, cfg.batchswap_corruption, cfg.seed
         shared = table.sparkSession.sparkContext.broadcast(flat)
 
-        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start = shared.value
+        def replica(batches) -> np.ndarray:
+            """Weights times rows, rows, validation loss and its rows, from one task's batches."""
+            start, rng = shared.value, None
             w, rows, val_sum, val_rows = start.copy(), 0, 0.0, 0
             m1, m2, step = np.zeros_like(w), np.zeros_like(w), 0
-            rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-            for batch in batches:
-                part = np.asarray(batch.column(split).to_pylist())
-                x, t, s = (_matrix(batch, [f"{k}{i}" for i in range(n)]) for k in "xts")
-                v = part == "val"
-                if v.any():
-                    out, _, kl = net.run(start, x[v])
-                    loss, _ = loss_and_gradient(out, t[v], s[v], lay)
-                    val_sum += (loss + KL_WEIGHT * kl) * v.sum()
-                    val_rows += int(v.sum())
-                order = rng.permutation(np.flatnonzero(part == "train"))
+            for (task, number), blocks in batches:
+                kinds = {True: [], False: []}
+                for _, _, v, cells in blocks:
+                    kinds[v].append(_unpack(cells, 3))
+                # where a file is read by several tasks, each has draws of its own
+                rng = rng or np.random.default_rng([seed, epoch, task, number][: 4 if number else 3])
+                if kinds[True]:
+                    x, t, s = np.concatenate(kinds[True], axis=1)
+                    out, _, kl = net.run(start, x)
+                    loss, _ = loss_and_gradient(out, t, s, lay)
+                    val_sum += (loss + KL_WEIGHT * kl) * len(x)
+                    val_rows += len(x)
+                if not kinds[False]:
+                    continue
+                x, t, s = np.concatenate(kinds[False], axis=1)
+                order = rng.permutation(np.arange(len(x)))
                 for at in range(0, len(order), size):
                     idx = order[at : at + size]
                     h = swap_rows(x[idx], swap, rng) if swap else x[idx]
@@ -296,10 +363,17 @@ class AutoencoderImputer:
                     else:
                         w -= lr * g
                     rows += len(idx)
-            values = np.concatenate([w * rows, [rows, val_sum, val_rows]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["pos", "v"]
+            return np.concatenate([w * rows, [rows, val_sum, val_rows]])
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = (
+                tuple(v.as_py() for v in row) for batch in batches for row in zip(*(batch.column(c) for c in ("task", "batch", "val", "cells")))
             )
+            for _, mine in groupby(blocks, itemgetter(0)):
+                values = replica(groupby(mine, itemgetter(0, 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["pos", "v"]
+                )
 
         sums = table.mapInArrow(train, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
         total = np.zeros(len(flat) + 3)

@@ -46,7 +46,9 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, partition_by: list[str] | None = None, row_group_bytes: int | None = None
+) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read and not a recomputation of every round
@@ -57,6 +59,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if row_group_bytes:  # readers hold a row group of large cells at once
+        writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -516,6 +516,33 @@ def test_autoencoder_gradient():
     assert AE.layer_sizes(6, [0.6, 0.1, 0.05])[1:4] == [4, 1, 1]
 
 
+def test_autoencoder_epochs_read_packed_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    odd = np.column_stack([rng.random(700), rng.integers(0, 2, 700), np.where(rng.random(700) < 0.5, np.nan, 0.2)])
+    assert np.array_equal(AE._unpack(AE._pack(odd), 1)[0], odd, equal_nan=True)
+    cells = rng.random((300, 2))
+    splits = ["train", "val", "test", None]
+    rows = [(i, splits[i % 4], float(a), None if i % 8 == 0 else float(b)) for i, (a, b) in enumerate(cells)]
+    df = spark.createDataFrame(rows, "id long, split string, a double, b double").coalesce(1)
+    schema = FeatureSchema(ids=("id",), continuous=("a", "b"), split="split", order=("a", "b"))
+    monkeypatch.setattr(AE, "BLOCK_BYTES", 8 * 6 * 20)
+    model = AE.AutoencoderImputer(schema, hidden_layers=[2], batch_size=16, max_epochs=2)
+    table = model._training_table(df, None)
+    blocks = table.collect()
+    assert len(blocks) > 2  # a batch of many bytes is several blocks
+    for val, split in ((True, "val"), (False, "train")):
+        x, t, s = np.concatenate([AE._unpack(r.cells, 3) for r in blocks if r.val is val], axis=1)
+        want = {(a, b or 0.0, 1.0, float(b is not None)) for _, w, a, b in rows if w == split}
+        assert {(*r, *f) for r, f in zip(x.tolist(), s.tolist())} == want and np.array_equal(x, t)
+    flat = model._net.initial(0)
+    out, _, _ = model._net.run(flat, np.concatenate([AE._unpack(r.cells, 3) for r in blocks if r.val], axis=1)[0])
+    t, s = np.concatenate([AE._unpack(r.cells, 3)[1:] for r in blocks if r.val], axis=1)
+    new, loss = model._epoch(table, flat, 0)
+    assert loss == pytest.approx(AE.loss_and_gradient(out, t, s, model._layout)[0]) and not np.array_equal(new, flat)
+    none = model._training_table(df.filter("split = 'test'"), None)
+    assert none.count() == 0 and model._epoch(none, flat, 0) == (None, math.inf)
+
+
 def test_autoencoder_learns_and_reloads(spark, tmp_path):
     rng = np.random.default_rng(3)
     base = rng.random(600)
