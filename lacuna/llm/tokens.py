@@ -19,6 +19,7 @@ whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ class Encoder:
             lists = self.chunks(pc.fill_null(texts.slice(lo, hi - lo), ""))
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
             coded = lists.flatten().dictionary_encode()
-            known = self.known(coded.dictionary.to_pylist())
+            known = self.known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
             flat = np.frombuffer(b"".join(known), "<u4")
             sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
             first = np.cumsum(sizes) - sizes
@@ -84,14 +85,12 @@ class Encoder:
         """The chunks whose ids are not in ``recent``."""
         if len(self.recent) > REMEMBERED:
             self.recent, self.older = {}, self.recent
-        new = []
-        for c in chunks:
-            if c not in self.recent:
-                if c in self.older:
-                    self.recent[c] = self.older[c]
-                else:
-                    new.append(c)
-        return new
+        recent, older = self.recent, self.older
+        missing = [c for c in chunks if c not in recent]
+        if not older:
+            return missing
+        recent.update((c, older[c]) for c in missing if c in older)
+        return [c for c in missing if c not in older]
 
     def row(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -113,6 +112,7 @@ class WordEncoder(Encoder):
         letters = [chr(c) for c in range(LETTERS) if chr(c).isalpha()]
         alone, pointed = self.one_by_one(letters), self.one_by_one([c + "." for c in letters])
         self.letters = {c for c, a, b in zip(letters, alone, pointed) if b == a + self.points["."] and self.last[np.frombuffer(a, "<u4")].sum() == 1}
+        self.plain = self.letters.issuperset(ascii_letters)  # then a glance tells most words
 
     @staticmethod
     def suits(tokenizer: Tokenizer) -> bool:
@@ -129,8 +129,9 @@ class WordEncoder(Encoder):
     def known(self, chunks: list[str]) -> list[bytes]:
         recent, is_word = self.recent, self.letters.issuperset
         words, ended, others = set(), [], []
+        plain = self.plain
         for c in self.remembered(chunks):
-            if c and is_word(c):
+            if plain and c.isascii() and c.isalpha() or c and is_word(c):
                 words.add(c)
             elif c[-1:] in self.points and c[:-1] and is_word(c[:-1]):
                 ended.append(c)

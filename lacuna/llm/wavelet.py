@@ -34,6 +34,7 @@ from lacuna.session import new_table_path
 
 MAGIC = b"WVM1"
 BLOCK_BITS = 1 << 16
+STRETCH = 1 << 15
 SHARD_TOKENS = 1 << 21
 PART_CHARS = 16 << 20
 END = 2
@@ -53,15 +54,36 @@ def pack_shard(ids: np.ndarray, ends: np.ndarray, doc_ids: pa.Array) -> list[byt
         before = (np.cumsum(ones) - ones).astype("<i8")
         blocks = [squeeze.compress(b.tobytes()) for b in blocks]
         bodies += [before.tobytes(), np.array([len(b) for b in blocks], "<i8").tobytes(), *blocks]
-        low = order[~bits]
-        zeros.append(len(low))
-        order = np.concatenate([low, order[bits]])
+        zeros.append(len(order) - int(ones.sum()))
+        order = _split(order, bits, zeros[-1])
     null = np.asarray(doc_ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
     named = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
     header = json.dumps({"tokens": len(ids), "docs": len(ends), "planes": planes, "block_bits": BLOCK_BITS, "zeros": zeros}).encode()
     return [MAGIC, len(header).to_bytes(4, "little"), header, named.tobytes(), null.tobytes(), np.asarray(ends, "<i8").tobytes(), *bodies]
 
 
+def _spans(bits: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice, np.ndarray, slice]]:
+    """Per stretch of a plane: itself, its clear bits and their place in the next plane, its set bits and theirs.
+
+    Stretches are short, so that their positions stay in the processor's cache.
+    """
+    low, high = 0, zeros
+    for at in range(0, len(bits), STRETCH):
+        some = bits[at : at + STRETCH]
+        clear, up = np.flatnonzero(~some), np.flatnonzero(some)
+        yield slice(at, at + STRETCH), clear, slice(low, low + len(clear)), up, slice(high, high + len(up))
+        low, high = low + len(clear), high + len(up)
+
+
+def _split(order: np.ndarray, bits: np.ndarray, zeros: int) -> np.ndarray:
+    """Those with a clear bit, then those with a set one, either in their order."""
+    out = np.empty_like(order)
+    for here, clear, low, up, high in _spans(bits, zeros):
+        some = order[here]
+        out[low], out[high] = some.take(clear), some.take(up)
+    return out
+
+
 class Shard:
     """A shard file's content: token access, counting and occurrence lookup; blocks unpack on use."""
 
@@ -163,9 +185,11 @@ class Shard:
             raw = b"".join(self.unpack.decompress(self.data[a : a + s], max_output_size=BLOCK_BITS // 8) for a, s in zip(starts, sizes))
             bits = np.unpackbits(np.frombuffer(raw, np.uint8))[: self.tokens].astype(bool)
             zeros = self.header["zeros"][p]
+            out[zeros:] |= out.dtype.type(1 << (n - 1 - p))
             up = np.empty_like(out)
-            up[~bits] = out[:zeros]
-            up[bits] = out[zeros:] | out.dtype.type(1 << (n - 1 - p))
+            for here, clear, low, set_, high in _spans(bits, zeros):
+                some = up[here]
+                some[clear], some[set_] = out[low], out[high]
             out = up
         return out
 

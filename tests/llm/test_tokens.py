@@ -173,3 +173,21 @@ def test_pack(spark):
         assert [o for o, _ in items] == [sum(n for _, n in items[:k]) for k in range(len(items))]
         assert sum(n for _, n in items) <= 64
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_planes_are_split_by_stretches():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, wavelet.STRETCH, 2 * wavelet.STRETCH + 7):
+        ids, bits = rng.integers(0, 70_000, n).astype("<u4"), rng.random(n) < 0.4
+        got = wavelet._split(ids, bits, n - int(bits.sum()))
+        assert np.array_equal(got, np.concatenate([ids[~bits], ids[bits]]))
+        for some in (ids, ids % 49_000):
+            shard = wavelet.Shard(b"".join(wavelet.pack_shard(some, np.array([n]), pa.array([1]))))
+            assert np.array_equal(shard.ids(), some)
+            assert all(shard.token(i) == some[i] for i in range(0, n, 9_999))
+
+
+def test_older_chunks_are_remembered():
+    found = Encoder.__new__(Encoder)
+    found.recent, found.older = {"a": b"1"}, {"b": b"2"}
+    assert found.remembered(["b", "a", "c"]) == ["c"] and found.recent == {"a": b"1", "b": b"2"}
