@@ -17,6 +17,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,8 +187,8 @@ def swap_rows(x: np.ndarray, p: float, rng) -> np.ndarray:
     return np.where(rng.random(x.shape) < p, np.take_along_axis(x, other, axis=0), x)
 
 
-def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
 
 
 def _pack(m: np.ndarray) -> bytes:
@@ -225,18 +226,19 @@ def _blocks(table: DataFrame, n: int, split: str) -> DataFrame:
 
     A batch keeps its rows in order; one of many bytes is several blocks.
     """
-    names = [f"{k}{i}" for k in "xts" for i in range(n)]
-    most = max(1, BLOCK_BYTES // (8 * len(names)))
+    most = max(1, BLOCK_BYTES // (8 * 3 * n))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             part = np.asarray(batch.column(split).to_pylist())
+            inputs, targets = ([batch.column(f"{k}{i}") for i in range(n)] for k in "xt")
+            seen = [pc.cast(c.is_valid(), pa.float64()) for c in targets]
             cells = None
             for kind in ("val", "train"):
                 of_kind = np.flatnonzero(part == kind)
                 for at in range(0, len(of_kind), most):
-                    cells = _matrix(batch, names) if cells is None else cells
+                    cells = _matrix([*inputs, *[c.fill_null(0.0) for c in targets], *seen]) if cells is None else cells
                     row = [task, number, kind == "val", _pack(cells[of_kind[at : at + most]])]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=columns)
             number += cells is not None
@@ -299,10 +301,11 @@ class AutoencoderImputer:
         target = truth if truth is not None else data
         goal = target.select(
             *ids,
-            *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"t{i}") for i, c in enumerate(feats)],
-            *[F.col(f"`{c}`").isNotNull().cast("double").alias(f"s{i}") for i, c in enumerate(feats)],
+            *[F.col(f"`{c}`").cast("double").alias(f"t{i}") for i, c in enumerate(feats)],
+        )
+        cells = filled.filter(F.col(split).isin("train", "val")).select(
+            *ids, split, *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(feats)]
         )
-        cells = filled.select(*ids, split, *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(feats)])
         return _blocks(materialize(cells.join(goal, ids).drop(*ids), "autoencoder-train"), len(feats), split)
 
     def fit(self, data: DataFrame, truth: DataFrame | None = None) -> "AutoencoderImputer":
@@ -396,7 +399,7 @@ class AutoencoderImputer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out, _, _ = net.run(shared.value, _matrix(b, plain))
+                out, _, _ = net.run(shared.value, _matrix([b.column(c) for c in plain]))
                 arrays = [b.column(c) for c in passed] + [pa.array(out[:, i]) for i in range(len(feats))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*passed, *plain])
 

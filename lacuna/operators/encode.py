@@ -99,8 +99,7 @@ def binary_threshold(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def onehot_threshold(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """The largest logit of each group becomes 1, the first one on ties."""
-    out = {}
-    for cols in groups.values():
-        best = argmax([F.col(f"`{c}`") for c in cols])
-        out.update({c: (best == k).cast("int") for k, c in enumerate(cols)})
-    return df.withColumns(out)
+    best = {f"__best{i}": argmax([F.col(f"`{c}`") for c in cols]) for i, cols in enumerate(groups.values())}
+    out = {c: (F.col(f"__best{i}") == k).cast("int") for i, cols in enumerate(groups.values()) for k, c in enumerate(cols)}
+    # The positions are columns of their own: one search a row and group, however many members it has.
+    return df.withColumns(best).withColumns(out).drop(*best)

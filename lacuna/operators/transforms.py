@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,19 @@ def bin_label(lo: float, hi: float) -> str:
     return f"{lo} - {hi}"
 
 
+def first_bin(value: Column, uppers: list[float]) -> Column:
+    """Position of the first bound that is not below the value, else the number of bounds, by bisection."""
+    highest = np.maximum.accumulate(uppers).tolist() if uppers else []
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(value <= F.lit(highest[middle]), search(lo, middle)).otherwise(search(middle + 1, hi))
+
+    return search(0, len(highest))
+
+
 @dataclass
 class FixedBins:
     """Continuous columns to one-hot bins, right-closed, outer bins unbounded.
@@ -73,15 +87,13 @@ class FixedBins:
         return {c: [f"{c}_{bin_label(lo, hi)}" for lo, hi in bs] for c, bs in self.bins.items()}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cells: list[Column] = []
-        for c, names in self.names().items():
-            uppers = [hi for _, hi in self.bins[c]][:-1]
-            code = F.lit(len(names) - 1)
-            for k in reversed(range(len(uppers))):
-                code = F.when(F.col(c) <= F.lit(float(uppers[k])), k).otherwise(code)
-            code = F.when(F.col(c).isNotNull(), code)
-            cells += [(code == k).cast("int").alias(n) for k, n in enumerate(names)]
-        return df.select(*[x for x in df.columns if x not in self.bins], *cells)
+        codes, cells = {}, []
+        for i, (c, names) in enumerate(self.names().items()):
+            uppers = [float(hi) for _, hi in self.bins[c]][:-1]
+            codes[f"__code{i}"] = F.when(F.col(c).isNotNull(), first_bin(F.col(c), uppers))
+            cells += [(F.col(f"__code{i}") == k).cast("int").alias(n) for k, n in enumerate(names)]
+        # The codes are columns of their own: one look-up a row, however many bins there are.
+        return df.withColumns(codes).select(*[x for x in df.columns if x not in self.bins], *cells)
 
     def inverse(self, df: DataFrame, order: list[str] | None = None) -> DataFrame:
         """Largest bin, first on ties, to the middle of its range; original order if given."""

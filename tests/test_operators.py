@@ -310,6 +310,24 @@ def test_knn_equals_brute_force(spark, weights, chunk, direct):
     assert np.allclose(got, want)
 
 
+def test_many_bins_are_looked_up_once(spark):
+    nan = float("nan")
+    for uppers in ([], [1.0], [float(k) for k in range(60)], [3.0, 1.0, 5.0, 5.0, 2.0]):
+        bins = X.FixedBins({"a": [(hi - 1, hi) for hi in uppers] + [(9.0, 99.0)]})
+        bins.names = lambda n=len(uppers) + 1: {"a": [f"b{k}" for k in range(n)]}
+        values = [None, nan, -1.0, 0.5, 1.0, 2.0, 2.5, 4.0, 5.0, 58.5, 1e9]
+        df = spark.createDataFrame(list(enumerate(values)), "id int, a double")
+        out = bins.transform(df)
+        for r in out.collect():
+            v = values[r.id]
+            code = None if v is None else next((k for k, u in enumerate(uppers) if v <= u), len(uppers))
+            assert [*r[1:]] == [None if v is None else int(k == code) for k in range(len(uppers) + 1)]
+        shown = E.onehot_threshold(out, bins.names())
+        for frame, word, most in ((out, "CASE WHEN", 70), (shown, "array_max", 2)):
+            assert frame._jdf.queryExecution().optimizedPlan().toString().count(word) <= most
+        assert shown.filter("id > 0").collect() == out.filter("id > 0").collect()
+
+
 def test_mdl_cuts(spark):
     table = [(float(i), float((i * 7) % 40), int(i >= 25)) for i in range(40)]
     df = spark.createDataFrame(table, "a double, noise double, y int")
