@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.session import materialize
 
 BATCH_ROWS = 1000
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +35,21 @@ def scratch_name(name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: later steps restart from here."""
-    return materialize(df, scratch_name(name))
+    """Write to the shared folder and read back: later steps restart from here.
+
+    The shuffle files of that write are not needed any more. Spark deletes them at once, so that disk
+    holds those of one step, whenever the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return materialize(df, scratch_name(name))
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
 
 
 def quoted(names: list[str]) -> list[str]:

@@ -42,6 +42,7 @@ BUCKET_SHINGLES = 1 << 20
 LEAST_BUCKETS = 64
 DRAW_BITS = 16
 BLOCK_ELEMENTS = 1 << 16
+PLACES = (1 << np.arange(8)).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -75,18 +76,53 @@ def cells(values: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending integers as the byte planes of their steps; the upper planes are zeros, which compress."""
-    steps = np.diff(values.astype("<u8"), prepend=np.zeros(1, "<u8"))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending integers in Rice's code: their number, the first one and the number of low bits; of every
+    step the whole low bytes, then its other low bits, then the running sum of what is above, in unary."""
+    if not len(values):
+        return b""
+    values = values.astype("<u8", copy=False)
+    steps = values[1:] - values[:-1]
+    bits = max(0, ((int(values[-1]) - int(values[0])) // max(1, len(steps))).bit_length() - 1)
+    whole, rest = divmod(bits, 8)
+    raw = steps.view(np.uint8).reshape(-1, 8)
+    parts = [np.array([len(values), values[0], bits], "<u8").tobytes(), raw[:, :whole].tobytes()]
+    if rest:
+        parts.append(np.packbits(np.unpackbits(raw[:, whole : whole + 1], axis=1, count=rest, bitorder="little"), bitorder="little").tobytes())
+    ends = np.cumsum((steps >> np.uint64(bits)).view(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.uint8)
+    unary[ends] = 1
+    return b"".join(parts) + np.packbits(unary).tobytes()
 
 
 def _unpack(packed: pa.Scalar) -> np.ndarray:
-    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    raw = np.frombuffer(packed.as_buffer(), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    n, first, bits = raw[:24].view("<u8").tolist()
+    whole, rest = divmod(bits, 8)
+    at = 24 + (n - 1) * whole
+    low = np.zeros((n, 8), np.uint8)
+    low[1:, :whole] = raw[24:at].reshape(n - 1, whole)
+    if rest:
+        stop = at + -(-(n - 1) * rest // 8)
+        low[1:, whole] = np.unpackbits(raw[at:stop], count=(n - 1) * rest, bitorder="little").reshape(n - 1, rest) @ PLACES[:rest]
+        at = stop
+    values = low.view("<u8").ravel()
+    values[0] = first
+    values = np.cumsum(values, dtype=np.uint64)
+    above = np.flatnonzero(np.unpackbits(raw[at:]).view(bool)).astype(np.uint64) - np.arange(1, n, dtype=np.uint64)
+    values[1:] += above << np.uint64(bits)
+    return values
+
+
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Integers below 2**32 as byte planes; the upper planes are mostly zeros, which compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _numbers(packed: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(packed.as_buffer(), "<u4").astype(np.int64)
+    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
@@ -109,7 +145,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                         pa.array(np.full(hi - lo, block)),
                         pa.array(np.diff(ends).astype(np.int64)),
                         pa.array([_pack(values[x:y]) for x, y in spans], pa.binary()),
-                        pa.array([count[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
+                        pa.array([_pack_numbers(count[x:y]) for x, y in spans], pa.binary()),
                     ],
                     names=["doc_id", "node", "block", "n", "shingles", "counts"],
                 )
@@ -140,7 +176,7 @@ def frequencies(cut: DataFrame, total: int) -> DataFrame:
                         pa.array(found.astype(np.int64)),
                         pa.array(np.full(len(found), block)),
                         pa.array([_pack(values[x:y]) for x, y in spans], pa.binary()),
-                        pa.array([n[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
+                        pa.array([_pack_numbers(n[x:y]) for x, y in spans], pa.binary()),
                     ],
                     names=["bucket", "block", "shingles", "df"],
                 )
@@ -152,7 +188,7 @@ def frequencies(cut: DataFrame, total: int) -> DataFrame:
         df = np.bincount(which, weights=n).astype("<u4")[which]
         shared = []
         for part, own in zip(parts, np.split(df, np.cumsum([len(x) for x in parts])[:-1])):
-            shared.append((_pack(part[own > 1]), own[own > 1].tobytes()))
+            shared.append((_pack(part[own > 1]), _pack_numbers(own[own > 1])))
         return pa.table({"block": rows.column("block"), "shingles": pa.array([x for x, _ in shared], pa.binary()), "df": pa.array([x for _, x in shared], pa.binary())})
 
     dealt = cut.filter("n > 0").select("block", "shingles").mapInArrow(deal, "bucket long, block long, shingles binary, df binary")
@@ -243,7 +279,7 @@ def signatures(cut: DataFrame, found: DataFrame, n: int, s: Settings) -> DataFra
                     band = mix(band ^ got[:, :, j])
                 for i, keyed in zip(has[x:y], band.view(np.int64)):
                     keys[i] = keyed
-        own = [x.tobytes() for x in np.split(df, np.cumsum(sizes)[:-1])]
+        own = [_pack_numbers(x) for x in np.split(df, np.cumsum(sizes)[:-1])]
         return pa.table({"doc_id": rows.column("doc_id"), "node": rows.column("node"), "rank": pa.array(rank), "bands": pa.array(keys, pa.list_(pa.int64())), "df": pa.array(own, pa.binary())})
 
     schema = "doc_id long, node binary, rank double, bands array<long>, df binary"

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +174,42 @@ def test_weights_beyond_32_bits():
     got = near_dedup.inverse_frequencies(np.array([1, 2**31 + 5, 2**32 - 1], np.uint32), many)
     want = [1 + math.log((1 + many) / (1 + d)) / math.log(2 + many) for d in (1, 2**31 + 5, 2**32 - 1)]
     assert np.allclose(got, want, rtol=1e-6)
+
+
+def test_packed_shingles():
+    rng = np.random.default_rng(2)
+
+    def packed(values):
+        out = near_dedup._pack(values)
+        assert near_dedup._unpack(pa.scalar(out, pa.binary())).tolist() == values.tolist()
+        return out
+
+    assert packed(np.zeros(0, np.uint64)) == b""
+    packed(np.array([0, 1 << near_dedup.HASH_BITS], np.uint64))
+    packed(np.array([2**64 - 1], np.uint64))
+    packed(np.concatenate([[0], (1 << 43) + np.arange(500)]).astype(np.uint64))
+    for n, low, high in ((1, 0, 9), (9, 0, 9), (200, 0, 256), (3, 5, 2**64 - 1), (4000, 7 << 37, 8 << 37)):
+        for _ in range(20):
+            packed(np.unique(rng.integers(low, high, n, dtype=np.uint64)))
+    cells = [np.unique(rng.integers(0, 1 << near_dedup.HASH_BITS, 460, dtype=np.uint64)) for _ in range(50)]
+    assert len(pa.compress(b"".join(map(packed, cells)), "lz4")) < 4.8 * sum(map(len, cells))  # 36.6 bits at best
+    df = rng.integers(2, 200, 5000).astype(np.uint32)
+    out = near_dedup._pack_numbers(df)
+    assert near_dedup._numbers(pa.scalar(out, pa.binary())).tolist() == df.tolist()
+    assert len(pa.compress(out, "lz4")) < 1.2 * len(df)
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "shuffle_" in f}
+
+    setting = spark.conf.get(base.DROP_SHUFFLES, None)
+    before = files()
+    kept = base.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"), "test")
+    for _ in range(50):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7
+    assert spark.conf.get(base.DROP_SHUFFLES, None) == setting
