@@ -35,6 +35,8 @@ JOINED = 256  # words in a row; longer rows cost the library more a character
 SEPARATOR = "\ue000"  # a private character, of its own between blanks
 KEEP_CASE = "[\u0300-\u036f]|<[|]"  # marks that compose, and what special tokens begin with
 BLANK = "\u0120"  # how byte-level vocabularies write a blank
+MARKS = {" ": BLANK, "\n": "\u010a"}  # what a chunk may begin with, and how they write it
+BLANK_TO_KEEP = r" (?:[^\pL\pN\pP\pS\pM]|$)"
 LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 BYTE_CUTS = [
     (r" ([\pL\pN\pP\pS\pM])", SEPARATOR + r" \1"),
@@ -92,6 +94,19 @@ class Encoder:
         recent.update((c, older[c]) for c in missing if c in older)
         return [c for c in missing if c not in older]
 
+    def recalled(self, chunks: list[str]) -> list[bytes]:
+        """``known`` for distinct chunks, each looked up once; what is not remembered is learnt."""
+        found = list(map(self.recent.get, chunks))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        self.learn(self.remembered([chunks[i] for i in places]))
+        for i in places:
+            found[i] = self.recent[chunks[i]]
+        return found
+
+    def learn(self, chunks: list[str]) -> None:
+        """Put the ids of chunks that are not remembered into ``recent``."""
+        self.recent.update(zip(chunks, self.one_by_one(chunks)))
+
     def row(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -127,10 +142,13 @@ class WordEncoder(Encoder):
         return pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
 
     def known(self, chunks: list[str]) -> list[bytes]:
+        return self.recalled(chunks)
+
+    def learn(self, chunks: list[str]) -> None:
         recent, is_word = self.recent, self.letters.issuperset
         words, ended, others = set(), [], []
         plain = self.plain
-        for c in self.remembered(chunks):
+        for c in chunks:
             if plain and c.isascii() and c.isalpha() or c and is_word(c):
                 words.add(c)
             elif c[-1:] in self.points and c[:-1] and is_word(c[:-1]):
@@ -145,7 +163,6 @@ class WordEncoder(Encoder):
             recent[c] = recent[c[:-1]] + self.points[c[-1]]
         for some in _cut(others):
             recent.update(zip(some, self.encode_chunks(some)))
-        return [recent[c] for c in chunks]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Runs of letters are one token with a word end each: encode them in a row, cut after word ends."""
@@ -169,40 +186,50 @@ class ByteEncoder(Encoder):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__(tokenizer)
         vocabulary = tokenizer.get_vocab()
-        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.first[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
+        self.first = {mark: np.zeros(max(vocabulary.values()) + 1, bool) for mark in MARKS}
+        for mark, written in MARKS.items():
+            self.first[mark][[i for token, i in vocabulary.items() if token.startswith(written)]] = True
 
     @staticmethod
     def suits(tokenizer: Tokenizer) -> bool:
         def ids(text: str) -> list[int]:
             return tokenizer.encode(text, add_special_tokens=False).ids
 
-        parts = [" ab", ", 3", " cd \n ", " ef", ".", "\nGh", "\n\nij", ",", " gh"]
+        parts = [" ab", ", 3", " cd \n ", " ef", ".", "\nGh", "\n\nij", ",", " gh", "\nIj*", "\nkl"]
         return BLANK in tokenizer.get_vocab() and ids("".join(parts)) == [i for p in parts for i in ids(p)]
 
     def chunks(self, texts: pa.Array) -> pa.ListArray:
         if pc.any(pc.match_substring(texts, SEPARATOR)).as_py():
             return super().chunks(texts)
-        for pattern, cut in BYTE_CUTS:
+        # where every blank is one to cut at, no pattern is needed
+        (pattern, cut), *others = BYTE_CUTS
+        odd = pc.match_substring_regex(texts, BLANK_TO_KEEP)
+        plain = pc.replace_substring(texts, " ", SEPARATOR + " ")
+        texts = pc.replace_with_mask(plain, odd, pc.replace_substring_regex(texts.filter(odd), pattern, cut))
+        for pattern, cut in others:
             texts = pc.replace_substring_regex(texts, pattern, cut)
         return pc.split_pattern(texts, SEPARATOR)
 
     def known(self, chunks: list[str]) -> list[bytes]:
+        return self.recalled(chunks)
+
+    def learn(self, chunks: list[str]) -> None:
         recent = self.recent
-        marked, others = [], []
-        for c in self.remembered(chunks):
-            blank = c[:1] == " " and len(c) > 1 and not c[1].isspace() and " " not in c[1:]
-            (marked if blank else others).append(c)
-        for some in _cut(marked):
-            recent.update(zip(some, self.encode_marked(some)))
+        marked: dict[str, list[str]] = {mark: [] for mark in MARKS}
+        others = []
+        for c in chunks:
+            whole = c[:1] in marked and len(c) > 1 and not c[1].isspace() and " " not in c[1:] and (c[0] == " " or "\n" not in c[1:])
+            (marked[c[0]] if whole else others).append(c)
+        for mark, own in marked.items():
+            for some in _cut(own):
+                recent.update(zip(some, self.encode_marked(some, mark)))
         for some in _cut(others):
             recent.update(zip(some, self.one_by_one(some)))
-        return [recent[c] for c in chunks]
 
-    def encode_marked(self, chunks: list[str]) -> list[bytes]:
-        """Chunks that hold one blank, at their start: encode them in a row, cut where tokens begin with it."""
+    def encode_marked(self, chunks: list[str], mark: str) -> list[bytes]:
+        """Chunks that hold one blank, or one line end, at their start: encode them in a row, cut where tokens begin with it."""
         ids = self.row("".join(chunks))
-        starts = np.flatnonzero(self.first[ids])
+        starts = np.flatnonzero(self.first[mark][ids])
         if len(starts) != len(chunks):
             return self.one_by_one(chunks)
         return _pieces(ids, starts, np.append(starts[1:], len(ids)))

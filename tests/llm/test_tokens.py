@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import itertools
 import random
 import zlib
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lacuna.llm import packing, wavelet
-from lacuna.llm.tokens import Encoder, WordEncoder, encoder, vocabulary_path
+from lacuna.llm.tokens import ByteEncoder, Encoder, WordEncoder, encoder, vocabulary_path
 
 ROWS = [(5, "The cat, sat."), (None, "no id"), (2, None), (3, ""), (2, "two"), (2, "two"), (9, "long words " * 4000), (7, " odd ́ \t it's 12 <|endoftext|>")]
 
@@ -191,3 +192,21 @@ def test_older_chunks_are_remembered():
     found = Encoder.__new__(Encoder)
     found.recent, found.older = {"a": b"1"}, {"b": b"2"}
     assert found.remembered(["b", "a", "c"]) == ["c"] and found.recent == {"a": b"1", "b": b"2"}
+
+
+def test_line_starts_are_encoded_in_a_row():
+    path = vocabulary_path("byte_bpe_50k.json")
+
+    class Counting:
+        rows = 0
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.rows += len(texts)
+            return tokenizer(path).encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    own = ByteEncoder(tokenizer(path))
+    own.tokenizer = Counting()
+    words = ["".join(p) for p in itertools.product("ABC", "aeiou", "lmnr", "stu")]
+    texts = ["\n".join(words), "a  b\n\nC \n D\tE.", " ".join(words), "", "x " + "\n".join(reversed(words)), None]
+    assert encoded(own, texts) == plain(texts, tokenizer(path))
+    assert own.tokenizer.rows < 20  # of 180 words, each after a line end and after a blank
