@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.session import materialize
+
 
 def outer_join_panels(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Full outer join on (entity, time): every key present in any frame is kept.
@@ -29,6 +31,20 @@ def concat_columns(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(right, keys, "inner")
 
 
+def self_joined(df: DataFrame, keys: list[str], sides: list[list[str]]) -> DataFrame:
+    """The join by ``keys`` of the column lists ``sides`` of one table, together all its other columns.
+
+    A row whose key comes once is its own partner; only keys that repeat are joined.
+    """
+    df = df.dropna(subset=keys)
+    many = materialize(df.groupBy(*keys).count().filter("count > 1").select(*keys), "many-keys")
+    if many.isEmpty():
+        return df
+    repeated = df.join(many, keys, "left_semi")
+    parts = [repeated.select(*keys, *side) for side in sides]
+    return df.join(many, keys, "left_anti").unionByName(reduce(lambda a, b: a.join(b, keys), parts).select(*df.columns))
+
+
 def rows_of_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
     return df.filter(F.col(split_col) == split)
 

@@ -642,8 +642,10 @@ def knn_impute_all(
     fills = nearest_fills(df, columns, donors, choices, chunk, direct)
     row = rest if rest is not None else donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
-    # rows without gaps have no key: they are not shuffled to a partner
-    joined = df.withColumn("__key", F.when(gaps, _vector_key(columns))).join(fills, "__key", "left")
+    # rows without gaps have no partner: their keys, which no vector has, only spread them over tasks
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    apart = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))
+    joined = df.withColumn("__key", F.when(gaps, _vector_key(columns)).otherwise(apart)).join(fills, "__key", "left")
     if name is not None:
         joined = joined.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))))
     at = F.lit(0) if name is None else F.col(name)

@@ -159,7 +159,10 @@ class KnnImpute(_Fit):
         cols = self.getInputCols()
         fill = F.mode if self.getOrDefault("codes") else (lambda c, _: F.avg(c))
         rest = dataset.agg(*[fill(c, True).cast("double").alias(c) for c in cols]).first().asDict()
-        return self._made(KnnImputeModel({"rest": rest}, {"donors": dataset.select(*cols)}))
+        return self.fitted(rest, dataset)
+
+    def fitted(self, rest: dict[str, float | None], dataset: DataFrame) -> "KnnImputeModel":
+        return self._made(KnnImputeModel({"rest": dict(rest)}, {"donors": dataset.select(*self.getInputCols())}))
 
 
 class KnnImputeModel(StateModel):
@@ -208,6 +211,23 @@ class MixedImpute(_Fit):
         new.numeric, new.categorical = (e and e.copy(extra) for e in (self.numeric, self.categorical))
         return new
 
+    def fits_with(self, others: list[Estimator]) -> bool:
+        """Whether the fits differ in k and weights of nearest neighbours only, which no fit depends on."""
+        if not all(isinstance(e, MixedImpute) and isinstance(e.numeric, KnnImpute) and isinstance(e.categorical, KnnImpute) for e in others):
+            return False
+        alike = lambda e: (e.getInputCols(), e.getOrDefault("binaryCols"), e.getOrDefault("onehotGroups"), e.numeric.getOrDefault("codes"), e.categorical.getOrDefault("codes"))
+        return all(alike(e) == alike(self) for e in others)
+
+    def fit_all(self, others: list["MixedImpute"], dataset: DataFrame) -> list["MixedImputeModel"]:
+        """The fits of ``others``, of which ``fits_with`` holds, from the aggregates of this one."""
+        mine, coded = self.fit(dataset), combine_onehots(dataset, self.getOrDefault("onehotGroups"))
+
+        def fitted(name: str, estimator: KnnImpute) -> KnnImputeModel:
+            stage = mine.stages[name]
+            return estimator.copy({estimator.inputCols: stage.getInputCols()}).fitted(stage.state["rest"], coded)
+
+        return [e._made(MixedImputeModel({}, {}, {n: fitted(n, x) for n, x in (("numeric", e.numeric), ("categorical", e.categorical))})) for e in others]
+
     def _fit(self, dataset: DataFrame) -> "MixedImputeModel":
         groups = self.getOrDefault("onehotGroups")
         coded = combine_onehots(dataset, groups)
@@ -244,7 +264,9 @@ class MixedImputeModel(StateModel):
 
     def transform_all(self, models: list["MixedImputeModel"], dataset: DataFrame, name: str) -> DataFrame:
         """The rows once per model, its number as ``name``; codes are filled once."""
-        groups = self.getOrDefault("onehotGroups")
-        out = self.stages["categorical"].transform(combine_onehots(dataset, groups))
-        out = self.stages["numeric"].transform_all([m.stages["numeric"] for m in models], out, name)
-        return uncombine_onehots(out, groups, [*dataset.columns, name])
+        return uncombine_onehots(self.codes_all(models, dataset, name), self.getOrDefault("onehotGroups"), [*dataset.columns, name])
+
+    def codes_all(self, models: list["MixedImputeModel"], dataset: DataFrame, name: str) -> DataFrame:
+        """``transform_all`` with the codes of the one-hot groups in place of their indicators."""
+        out = self.stages["categorical"].transform(combine_onehots(dataset, self.getOrDefault("onehotGroups")))
+        return self.stages["numeric"].transform_all([m.stages["numeric"] for m in models], out, name)

@@ -10,6 +10,7 @@ from lacuna.operators.autoencoder import AutoencoderImputer
 from lacuna.operators.autoencoder import swap_noise as swap
 from lacuna.operators.discretize import mdl_bins as fit_mdl
 from lacuna.operators.impute_simple import deck_stream, hot_deck
+from lacuna.operators.joins import self_joined
 from lacuna.operators.knn import knn_impute
 from lacuna.operators.mice import ChainedImputer, pool_copies
 from lacuna.operators.ml import KnnImpute, MinMaxScale, MixedImpute, SimpleImpute
@@ -184,15 +185,17 @@ def _tuned_sql() -> str:
 @query(_tuned_sql())
 def impute_tuned(spark, d):
     """Nearest neighbours for numbers (six candidates) and codes, tuned on the hidden cells of the val rows."""
-    pair = materialize(T.mixed_onehot(spark, d).join(T.truth_onehot(spark, d).select("id", F.struct(*T.MIXED_SCHEMA.features).alias("truth")), "id"), "tuning")
-    data = pair.drop("truth")
-    scaler = MinMaxScaler.fit(train(data), CTN)
-    data, truth = scaler.transform(data), scaler.transform(pair.select("id", "truth.*"))
+    rows = materialize(T.onehot_pair(spark, d), "tuning")
+    pair = self_joined(rows, ["id"], [[c for c in rows.columns if c not in ("id", "truth")], ["truth"]])
+    scaler = MinMaxScaler.fit(train(pair), CTN)
+    true = {c: F.col(f"truth.{c}") for c in T.MIXED_SCHEMA.features}
+    scaled = F.struct(*[(scaler.scale(c, v) if c in CTN else v).alias(c) for c, v in true.items()])
+    data = scaler.transform(pair).withColumn("truth", scaled)
 
     def make(params):
         return MixedImpute(KnnImpute(**params), KnnImpute(codes=True), CTN, ["recent"], T.MIXED_SCHEMA.onehot)
 
-    tuned = tune_imputer(make, _GRID, data, truth, T.MIXED_SCHEMA)
+    tuned = tune_imputer(make, _GRID, data, "truth", T.MIXED_SCHEMA)
     rows = [(p["k"], p["weights"], round(s, 6), p == tuned.best) for p, s in tuned.scores]
     return spark.createDataFrame(rows, "k int, weights string, score double, best boolean")
 

@@ -95,6 +95,15 @@ def truth_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_onehot(mixed_truth(spark, sf_dir)).select(*MIXED_SCHEMA.keys, *MIXED_SCHEMA.features)
 
 
+def onehot_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mixed_onehot`` with the features of ``truth_onehot`` as a struct ``truth``, from a single pass over the sources."""
+    truth = mixed_truth(spark, sf_dir)
+    groups = {"priority": PRIORITIES, "segment": SEGMENTS}
+    hits = [(F.col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}") for c, values in groups.items() for v in values]
+    whole = truth.withColumn("truth", F.struct(*CONTINUOUS, "recent", *hits))
+    return to_onehot(with_nulls(whole)).select(*MIXED_SCHEMA.keys, *MIXED_SCHEMA.features, "truth")
+
+
 CODED_SCHEMA = MIXED_SCHEMA.after_combine()
 
 

@@ -105,6 +105,47 @@ def test_candidates_share_one_search(spark, monkeypatch):
     assert [s for _, s in together.scores] == pytest.approx([s for _, s in alone.scores])
 
 
+def test_candidates_share_fits_and_compare_codes(spark, monkeypatch):
+    from lacuna.operators import tuning
+
+    data, truth = table(spark)
+    make = lambda p: ml.MixedImpute(ml.KnnImpute(**p), ml.KnnImpute(codes=True), ["a", "b"], ["yes"], SCHEMA.onehot)
+    grid = candidates({"k": [1, 3], "weights": ["uniform", "distance"]})
+    fits, schemas, fit, metric = [], [], ml.KnnImpute._fit, tuning.tune_metric
+    monkeypatch.setattr(ml.KnnImpute, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    monkeypatch.setattr(tuning, "tune_metric", lambda frame, schema, by: schemas.append(schema) or metric(frame, schema, by))
+    tune_imputer(make, grid, data, truth, SCHEMA)
+    assert len(fits) == 4  # numbers and codes, of the candidates and of the best one
+    assert [s.onehot for s in schemas] == [{}]  # no arg-max over members in every term of every candidate
+
+
+def test_truth_beside_the_data_scores_as_a_table(spark):
+    """Ids that repeat pair each row of the one side with each of the other; rows without id have no partner."""
+    data, truth = table(spark)
+    odd = lambda df, b: df.unionByName(df.filter("id % 16 = 0").withColumn("b", F.lit(b))).withColumn("id", F.when(F.col("id") % 20 != 8, F.col("id")))
+    both = odd(data, 0.25).withColumn("n", F.monotonically_increasing_id()).join(odd(truth, 1.5).select("id", F.struct(*SCHEMA.features).alias("truth")), "id")
+    both = both.drop("n").localCheckpoint()
+    make = lambda p: ml.MixedImpute(ml.KnnImpute(**p), ml.KnnImpute(codes=True), ["a", "b"], ["yes"], SCHEMA.onehot)
+    grid = candidates({"k": [1, 4], "weights": ["uniform", "distance"]})
+    beside = tune_imputer(make, grid, both, "truth", SCHEMA)
+    apart = tune_imputer(make, grid, both.drop("truth"), both.select("id", "truth.*"), SCHEMA)
+    assert [s for _, s in beside.scores] == pytest.approx([s for _, s in apart.scores])
+    assert tune_imputer(make, grid, both, "truth", SCHEMA, score=lambda *a: masked_score(*a)).best == apart.best
+
+
+def test_rows_without_gaps_are_spread(spark):
+    df = spark.range(1000).selectExpr("id", "id * 1.0D AS a", "IF(id % 10 = 0, NULL, id * 2.0D) AS b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = knn.knn_impute(df, ["a", "b"], "id", df, 1)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 1000 and max(sizes) < 600
+
+
 def test_grids():
     assert candidates({}) == [{}] and len(candidates(GRIDS["knn"])) == 6 and len(candidates(GRIDS["mice"])) == 6
 
