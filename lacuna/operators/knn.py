@@ -15,7 +15,8 @@ Where the donors take ``DIRECT_PARTS`` times ``DIRECT_BYTES`` at most (and, over
 columns, all comparisons are ``DIRECT_CELLS`` at most), these steps cost more than they save: each task
 gets the distinct donors as arrays, ``DIRECT_BYTES`` at a time, and compares tiles of its queries with the
 tiles of donors near them. Donors that share one column only with a query are sorted by it and found by
-bisection first; they bound the rest. Both ways give the same neighbours; ``direct`` chooses one.
+bisection first; they bound the rest. Donors of up to ``SLAB_COLUMNS`` columns that exceed one broadcast are
+dealt over slabs instead (``_by_slabs``), where a task holds a slab of donors and its queries. All ways give the same neighbours; ``direct`` chooses between the cells and the rest.
 
 Only what cannot matter is left out, so the result is exact. Boxes prune well while the columns that
 vary most decide the distance; over many equally important columns, most cells reach into the
@@ -65,6 +66,13 @@ TILE_ROWS = 256
 BLOCK_QUERIES = 128
 TASK_QUERIES = 20_000
 TASK_CELLS = 100_000_000_000
+#: Beyond one broadcast, up to so many columns: donors of a slab, those that decide on the cuts, rows of a task, and slabs
+#: besides its own that a query is sent to at most, on average.
+SLAB_COLUMNS = 3
+SLAB_ROWS = 50_000
+SLAB_SAMPLE = 400_000
+SLAB_TASK_ROWS = 500_000
+SLAB_VISITS = 4
 #: Pairs of one tile of queries that sorted donors of a single shared column give at once; tiles of donors beyond.
 WINDOW_PAIRS = 1 << 20
 
@@ -371,8 +379,19 @@ def _tiles(x: np.ndarray, rows: int) -> list[np.ndarray]:
     return out
 
 
-def _sides(donors: list[tuple], known: np.ndarray, chunk: int) -> list[tuple]:
-    """Per pattern of donors that can help: shared and wanted columns, values, copies, tiles, their boxes."""
+def _first_of_runs(y: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k first of each run of equal values of ``y``."""
+    at = np.arange(len(y))
+    starts = np.ones(len(y), bool)
+    starts[1:] = y[1:] != y[:-1]
+    return at[at - np.maximum.accumulate(np.where(starts, at, 0)) < k]
+
+
+def _sides(donors: list[tuple], known: np.ndarray, chunk: int, k: int) -> list[tuple]:
+    """Per pattern of donors that can help: shared and wanted columns, values, copies, tiles, their boxes.
+
+    Of donors at one place of a single shared column, the k of the smallest values go before all others, whatever
+    the query: only they are kept, for each wanted column."""
     out = []
     for have, x, mult in donors:
         shared, wanted = np.flatnonzero(known & have), np.flatnonzero(~known & have).tolist()
@@ -380,37 +399,41 @@ def _sides(donors: list[tuple], known: np.ndarray, chunk: int) -> list[tuple]:
             continue
         y = np.ascontiguousarray(x[:, shared])
         if len(shared) == 1:
-            order, rows = np.argsort(y[:, 0], kind="stable"), min(chunk, TILE_ROWS)
-            starts = np.arange(0, len(y), rows)
-            y, ends = y[order], np.minimum(starts + rows, len(y))
+            rows = min(chunk, TILE_ROWS)
+            for f in wanted:
+                order = np.lexsort((x[:, f], y[:, 0]))
+                order = order[_first_of_runs(y[order, 0], k)]
+                starts = np.arange(0, len(order), rows)
+                out.append(_side(shared, [f], y[order], x[order], mult[order], starts, np.minimum(starts + rows, len(order))))
         else:
             at = _tiles(y, chunk if len(shared) > FEW_COLUMNS else min(chunk, TILE_ROWS))
             order, ends = np.concatenate(at), np.cumsum([len(t) for t in at])
-            y, starts = y[order], ends - [len(t) for t in at]
-        lo, hi = np.minimum.reduceat(y, starts, axis=0), np.maximum.reduceat(y, starts, axis=0)
-        out.append((shared, wanted, y, x[order], mult[order], starts, ends, lo, hi))
+            out.append(_side(shared, wanted, y[order], x[order], mult[order], ends - [len(t) for t in at], ends))
     return out
 
 
+def _side(shared, wanted, y, x, mult, starts, ends) -> tuple:
+    lo, hi = np.minimum.reduceat(y, starts, axis=0), np.maximum.reduceat(y, starts, axis=0)
+    return shared, wanted, y, x, mult, starts, ends, lo, hi
+
+
 #: Donors, pattern and sides of the last task of this worker: tasks of one pattern follow each other.
 _LAST: list = []
 
 
-def _sides_once(donors: list[tuple], known: np.ndarray, chunk: int) -> list[tuple]:
-    if not _LAST or _LAST[0] is not donors or _LAST[1] != (known.tobytes(), chunk):
+def _sides_once(donors: list[tuple], known: np.ndarray, chunk: int, k: int) -> list[tuple]:
+    if not _LAST or _LAST[0] is not donors or _LAST[1] != (known.tobytes(), chunk, k):
         _LAST.clear()
-        _LAST.extend([donors, (known.tobytes(), chunk), _sides(donors, known, chunk)])
+        _LAST.extend([donors, (known.tobytes(), chunk, k), _sides(donors, known, chunk, k)])
     return _LAST[2]
 
 
-def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -> Callable:
-    """The k best donors of each missing value of a task's queries.
+def _block_search(n: int, k: int) -> Callable:
+    """The search for the k best donors of a tile of queries of one pattern.
 
-    Queries of one pattern and the donors of each pattern are halved into tiles by the columns they share.
     Tiles of donors are compared from the nearest on, as far as one reaches into the distance of the k-th
     neighbour of some query of the tile.
     """
-    n = len(columns)
 
     def merged(best: tuple, new: tuple) -> tuple:
         """The k best of each row, the smaller value first on ties; rows in order."""
@@ -465,11 +488,22 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
         dist *= n
         return row, col, dist
 
-    def block(q: np.ndarray, known: np.ndarray, found: list[tuple]) -> dict[int, tuple]:
-        """Per missing column: (row, squared distance, value, copies) of the best donors of queries with one pattern."""
+    def tighten(best: tuple, bound: np.ndarray) -> None:
+        rows, counts = np.unique(best[0], return_counts=True)
+        last = np.cumsum(counts) - 1
+        bound[rows[counts == k]] = best[1][last[counts == k]]
+
+    def block(q: np.ndarray, known: np.ndarray, found: list[tuple], held: tuple | None = None, limits: np.ndarray | None = None) -> dict[int, tuple]:
+        """Per missing column: (row, squared distance, value, copies) of the best donors of queries with one pattern.
+
+        ``held`` is what was found elsewhere, (row, column, ...) in order; ``limits`` bounds what is looked for."""
         none = (np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64))
         best = {f: none for f in np.flatnonzero(~known).tolist()}
-        bound = {f: np.full(len(q), np.inf) for f in best}
+        bound = {f: np.full(len(q), np.inf) if limits is None else limits[:, f].copy() for f in best}
+        for f in best if held is not None else ():
+            mine = held[1] == f
+            best[f] = (held[0][mine], *(h[mine] for h in held[2:]))
+            tighten(best[f], bound[f])
         reached = {f for _, wanted, *_ in found for f in wanted}
 
         def take(wanted: list[int], x: np.ndarray, mult: np.ndarray, row: np.ndarray, col: np.ndarray, dist: np.ndarray) -> None:
@@ -479,9 +513,7 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
                 if not len(r):
                     continue
                 best[f] = merged(best[f], (r, dist[near], x[c, f], mult[c]))
-                rows, counts = np.unique(best[f][0], return_counts=True)
-                last = np.cumsum(counts) - 1
-                bound[f][rows[counts == k]] = best[f][1][last[counts == k]]
+                tighten(best[f], bound[f])
 
         lows = []
         for shared, wanted, y, x, mult, starts, _, lo, hi in found:
@@ -508,6 +540,16 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
             take(wanted, x, mult, row, col + at, dist)
         return best
 
+    return block
+
+
+def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int, choices: list[tuple[int, str]] | None = None) -> Callable:
+    """The k best donors of each missing value of a task's queries, or with ``choices`` the fills by them.
+
+    Queries of one pattern and the donors of each pattern are halved into tiles by the columns they share.
+    """
+    n, block = len(columns), _block_search(len(columns), k)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if mine is None or not mine.num_rows:
@@ -517,18 +559,66 @@ def _nearest_of_all(columns: list[str], k: int, donors: Broadcast, chunk: int) -
         known = ~np.isnan(q)
         patterns, group = np.unique(known, axis=0, return_inverse=True)
         for g, pattern in enumerate(patterns):
-            rows, found = np.flatnonzero(group.ravel() == g), _sides_once(donors.value, pattern, chunk)
+            rows, found = np.flatnonzero(group.ravel() == g), _sides_once(donors.value, pattern, chunk, k)
             if not found:
                 continue
             for at in _tiles(q[rows][:, pattern], BLOCK_QUERIES):
                 some = rows[at]
-                for f, (row, dist, value, mult) in block(q[some], pattern, found).items():
+                best = block(q[some], pattern, found)
+                if choices is not None:
+                    yield pa.RecordBatch.from_arrays(_fill_arrays(q[some], best, choices), names=_fill_names(columns))
+                    continue
+                for f, (row, dist, value, mult) in best.items():
                     columns_out = [pa.array(qid[some[row]]), pa.array(np.full(len(row), f, np.int32)), pa.array(dist), pa.array(value), pa.array(mult)]
                     yield pa.RecordBatch.from_arrays(columns_out, names=["qid", "f", "d2", "v", "mult"])
 
     return compare
 
 
+def _fill_names(columns: list[str]) -> list[str]:
+    return [*columns, *(f"fill_{i}" for i in range(len(columns)))]
+
+
+def _fill_schema(columns: list[str]) -> str:
+    return ", ".join([*(f"`{c}` double" for c in columns), *(f"fill_{i} array<double>" for i in range(len(columns)))])
+
+
+def _fill_arrays(q: np.ndarray, best: dict[int, tuple], choices: list[tuple[int, str]]) -> list[pa.Array]:
+    """The vectors and, per column, a list of the fills by each of ``choices``; null where nothing was found."""
+    out = [pa.array(c, from_pandas=True) for c in q.T]
+    for f in range(q.shape[1]):
+        fills, some = _folds(*best[f], len(q), choices) if f in best else (np.empty((0, len(choices))), np.zeros(len(q), bool))
+        offsets = np.concatenate([[0], np.cumsum(some) * len(choices)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(fills.ravel()), mask=pa.array(~some))
+        out.append(lists)
+    return out
+
+
+def _folds(row: np.ndarray, dist: np.ndarray, value: np.ndarray, mult: np.ndarray, n: int, choices: list[tuple[int, str]]) -> tuple:
+    """``_fold`` of each of ``choices`` for the queries that have neighbours, and which those are."""
+    some = np.zeros(n, bool)
+    some[row] = True
+    at, place = (np.cumsum(some) - 1)[row], np.arange(len(row)) - np.searchsorted(row, row)
+    shape = (int(some.sum()), int(place.max()) + 1 if len(row) else 0)
+    d2, v, copies = np.full(shape, np.inf), np.zeros(shape), np.zeros(shape, np.int64)
+    d2[at, place], v[at, place], copies[at, place] = dist, value, mult
+    with np.errstate(divide="ignore"):
+        near = np.where(d2 == 0, 1.0, 1 / np.sqrt(d2))
+    out = np.empty((shape[0], len(choices)))
+    for i, (k, weights) in enumerate(choices):
+        left, total, weight = np.full(shape[0], k), np.zeros(shape[0]), np.zeros(shape[0])
+        for j in range(shape[1]):
+            take = np.minimum(left, copies[:, j])
+            if weights == "distance":  # an exact match outweighs all others
+                take = np.where((d2[:, 0] == 0) & (d2[:, j] > 0), 0, take)
+            w = 1.0 if weights == "uniform" else near[:, j]
+            left = left - take
+            total += np.where(take > 0, take * v[:, j] * w, 0.0)
+            weight += np.where(take > 0, take * w, 0.0)
+        out[:, i] = total / weight
+    return out, some
+
+
 def _by_pattern(x: DataFrame, columns: list[str]) -> list[tuple]:
     """The donors as (which columns they have, values, copies), one entry per pattern."""
     table = x.select(*columns, "mult").toArrow()
@@ -539,13 +629,255 @@ def _by_pattern(x: DataFrame, columns: list[str]) -> list[tuple]:
     return [(p, np.asfortranarray(values[r]), mult[r]) for p, r in zip(patterns, rows)]
 
 
-def _found(q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int, direct: bool | None) -> DataFrame:
-    """(qid, f, d2, v, mult): candidates that hold the k nearest donors of every missing value."""
+def _lists(row: np.ndarray, n: int, values: list[np.ndarray]) -> list[pa.Array]:
+    """Values in the order of ``row`` as lists, one for each of ``n`` rows."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+
+def _flat(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    """Offsets and values of list columns of equal lengths."""
+    lists = [table.column(c).combine_chunks() for c in names]
+    sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+    return [np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)]
+
+
+class _Slabs:
+    """Slabs of each column, and which of them hold donors for the queries of a pattern.
+
+    A donor that shares columns with a query is found in the slabs of the shared column with the most slabs.
+    """
+
+    STATE = ["f", "d2", "v", "mult"]
+    STATE_SCHEMA = "f array<int>, d2 array<double>, v array<double>, mult array<bigint>"
+
+    def __init__(self, cuts: list[np.ndarray], asked: list[int], have: list[int]):
+        n = self.n = len(cuts)
+        self.cuts = cuts
+        rank = sorted(range(n), key=lambda c: (-len(cuts[c]), c))
+        #: Of a pattern of queries, a donor pattern's column; the columns of a pattern, and what is looked for in each.
+        self.lead, self.spaces, self.wanted = {}, {}, {}
+        for a in asked:
+            for h in have:
+                if a & h and ~a & h:
+                    c = self.lead[a, h] = next(c for c in rank if a & h & 1 << c)
+                    self.wanted[a, c] = self.wanted.get((a, c), 0) | (~a & h)
+            self.spaces[a] = [c for c in rank if (a, c) in self.wanted]
+        self.of_donors = {h: sorted({c for (_, g), c in self.lead.items() if g == h}) for h in have}
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return (~np.isnan(x)).astype(np.int64) @ (1 << np.arange(self.n))
+
+    def unit(self, c: int, values: np.ndarray) -> np.ndarray:
+        return (c << 24) + np.searchsorted(self.cuts[c], values, "right").astype(np.int64)
+
+    def spread(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Donors, once for each column by which some query finds them."""
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(self.n)]).astype(float)
+            mult, codes = batch.column(self.n).to_numpy(zero_copy_only=False), self.codes(x)
+            for c in range(self.n):
+                at = np.flatnonzero(np.isin(codes, [h for h, cs in self.of_donors.items() if c in cs]))
+                if len(at):
+                    arrays = [pa.array(self.unit(c, x[at, c])), *(pa.array(v, from_pandas=True) for v in x[at].T), pa.array(mult[at])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["unit", *(f"c{i}" for i in range(self.n)), "mult"])
+
+    def vectors(self, table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([table.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(self.n)]).astype(float)
+
+    def step(self, j: int) -> Callable:
+        """The slab of the j-th column of each query; those without one stay as they are."""
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = self.vectors(batch)
+                codes, unit = self.codes(q), -1 - batch.column("qid").to_numpy(zero_copy_only=False) % 997
+                for a, spaces in self.spaces.items():
+                    if j < len(spaces):
+                        at = np.flatnonzero(codes == a)
+                        unit[at] = self.unit(spaces[j], q[at, spaces[j]])
+                names = ["unit", *batch.schema.names]
+                yield pa.RecordBatch.from_arrays([pa.array(unit), *batch.columns], names=names)
+
+        return keyed
+
+    def searched(self, q: np.ndarray, unit: int, donors: pa.Table, k: int, chunk: int, held: list | None, limits: np.ndarray | None) -> list[np.ndarray]:
+        """(row, f, d2, v, mult), in order, of the best donors held or in the slab ``unit``."""
+        x, block = self.vectors(donors), _block_search(self.n, k)
+        mult, codes, mine = donors.column("mult").to_numpy(), self.codes(x), self.codes(q)
+        found = [[np.empty(0, t) for t in (np.int64, np.int32, float, float, np.int64)]]
+        for a in np.unique(mine).tolist():
+            known = (a >> np.arange(self.n) & 1).astype(bool)
+            near = [h for h in np.unique(codes).tolist() if self.lead.get((a, h)) == unit >> 24]
+            sides = _sides([((h >> np.arange(self.n) & 1).astype(bool), x[codes == h], mult[codes == h]) for h in near], known, chunk, k)
+            rows = np.flatnonzero(mine == a)
+            if not sides:
+                if held is not None:
+                    sizes = held[0][rows + 1] - held[0][rows]
+                    at = np.repeat(held[0][rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    found.append([np.repeat(rows, sizes), *(h[at] for h in held[1:])])
+                continue
+            for tile in _tiles(q[rows][:, known], BLOCK_QUERIES):
+                some, before = rows[tile], None
+                if held is not None:
+                    sizes = held[0][some + 1] - held[0][some]
+                    at = np.repeat(held[0][some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    before = (np.repeat(np.arange(len(some)), sizes), *(h[at] for h in held[1:]))
+                best = block(q[some], known, sides, before, None if limits is None else limits[some])
+                found += [[some[row], np.full(len(row), f, np.int32), *rest] for f, (row, *rest) in best.items()]
+        out = [np.concatenate(p) for p in zip(*found)]
+        order = np.lexsort((out[1], out[0]))  # stable: by distance and value within
+        return [p[order] for p in out]
+
+    def home(self, k: int, chunk: int, choices: list[tuple[int, str]] | None) -> Callable:
+        """Queries of a slab with their best donors so far; with ``choices``, as the last step, with their fills
+        and the slabs that reach into the distance of the k-th neighbour (and no donors where there are none)."""
+        def search(queries: pa.Table, donors: pa.Table) -> pa.Table:
+            q, names = self.vectors(queries), ["qid", *(f"c{i}" for i in range(self.n)), *self.STATE]
+            unit = queries.column("unit")[0].as_py() if len(q) else -1
+            held = _flat(queries, self.STATE)
+            if unit < 0:
+                found = [np.repeat(np.arange(len(q)), np.diff(held[0])), *held[1:]]
+            else:
+                found = self.searched(q, unit, donors, k, chunk, held, None)
+            arrays = [queries.column("qid").combine_chunks(), *(pa.array(v, from_pandas=True) for v in q.T)]
+            if choices is None:
+                return pa.Table.from_arrays([*arrays, *_lists(found[0], len(q), found[1:])], names=names)
+            best = {f: tuple(p[found[1] == f] for p in (found[0], *found[2:])) for f in range(self.n)}
+            bound = np.full((len(q), self.n), np.inf)
+            for f, (row, dist, *_) in best.items():
+                counts = np.bincount(row, minlength=len(q))
+                full = counts >= k
+                bound[full, f] = dist[(np.cumsum(counts) - 1)[full]]
+            row, visits = self.reached(q, bound)
+            open_ = np.zeros(len(q), bool)
+            open_[row] = True
+            kept = open_[found[0]]
+            lists = [*_lists(found[0][kept], len(q), [p[kept] for p in found[1:]]), *_lists(row, len(q), [visits])]
+            limits = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * self.n), pa.array(bound.ravel()))
+            fills = _fill_arrays(q, best, choices)[self.n:]
+            return pa.Table.from_arrays([*arrays, *lists, limits, *fills], names=[*names, "visits", "limits", *(f"fill_{i}" for i in range(self.n))])
+
+        return search
+
+    def reached(self, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, slab) of the slabs within the bounds, besides those the query lies in; in the order of rows."""
+        rows, units, codes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], self.codes(q)
+        for a in np.unique(codes).tolist():
+            at = np.flatnonzero(codes == a)
+            for c in self.spaces.get(a, []):
+                some = [f for f in range(self.n) if self.wanted[a, c] >> f & 1]
+                reach = np.sqrt(bound[np.ix_(at, some)].max(axis=1) * bin(a).count("1") / self.n)
+                reach = reach * SLACK * SLACK + 1e-15 * np.abs(q[at, c]) + 1e-150
+                lo, hi = np.searchsorted(self.cuts[c], q[at, c] - reach, "right"), np.searchsorted(self.cuts[c], q[at, c] + reach, "right")
+                sizes = hi - lo + 1
+                slab = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)
+                row = np.repeat(at, sizes)
+                unit = (c << 24) + slab
+                away = unit != np.repeat(self.unit(c, q[at, c]), sizes)
+                rows.append(row[away])
+                units.append(unit[away])
+        row, unit = np.concatenate(rows), np.concatenate(units)
+        order = np.argsort(row, kind="stable")
+        return row[order], unit[order]
+
+    def visit(self, k: int, chunk: int) -> Callable:
+        """The donors of a slab that reach into the limits of the queries sent to it."""
+        def search(queries: pa.Table, donors: pa.Table) -> pa.Table:
+            names = ["qid", *self.STATE]
+            if not len(queries) or not len(donors):
+                empty = _lists(np.empty(0, np.int64), 0, [np.empty(0, t) for t in (np.int32, float, float, np.int64)])
+                return pa.Table.from_arrays([pa.array([], pa.int64()), *empty], names=names)
+            limits = queries.column("limits").combine_chunks().flatten().to_numpy().reshape(-1, self.n)
+            found = self.searched(self.vectors(queries), queries.column("unit")[0].as_py(), donors, k, chunk, None, limits)
+            return pa.Table.from_arrays([queries.column("qid").combine_chunks(), *_lists(found[0], len(queries), found[1:])], names=names)
+
+        return search
+
+    def merge(self, k: int, choices: list[tuple[int, str]], columns: list[str]) -> Callable:
+        """The fills of queries whose donors came from several slabs; a task holds all rows of a query."""
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not (batches := list(batches)):
+                return
+            table = pa.Table.from_batches(batches)
+            own = table.column("own").to_numpy()
+            q, ids = self.vectors(table.filter(table.column("own"))), table.column("qid").to_numpy()
+            number = np.argsort(ids[own], kind="stable")
+            offsets, f, dist, value, mult = _flat(table, self.STATE)
+            row = np.repeat(number[np.searchsorted(ids[own], ids, sorter=number)], np.diff(offsets))
+            order = np.lexsort((value, dist, f, row))
+            order = order[_first_of_runs((row * self.n + f)[order], k)]
+            row, f, dist, value, mult = (p[order] for p in (row, f, dist, value, mult))
+            best = {i: (row[f == i], dist[f == i], value[f == i], mult[f == i]) for i in range(self.n)}
+            yield pa.RecordBatch.from_arrays(_fill_arrays(q, best, choices), names=_fill_names(columns))
+
+        return merged
+
+
+def _by_slabs(q: DataFrame, x: DataFrame, queries: int, rows: int, columns: list[str], k: int, chunk: int, choices: list[tuple[int, str]]) -> DataFrame | None:
+    """Vectors and fills where donors exceed one broadcast: donors and queries meet in slabs of one column each.
+
+    A query is compared in its own slab of each column it needs, and then in those that reach into the distance
+    of its k-th neighbour. None where a slab would be too large, or too many slabs reach into a query.
+    """
+    n, spark = len(columns), q.sparkSession
+    pattern = reduce(Column.__add__, [F.when(F.col(c).isNull(), 0).otherwise(1 << i) for i, c in enumerate(columns)])
+    have, asked = ([r[0] for r in t.select(pattern).distinct().collect()] for t in (x, q))  # at most 2 ** SLAB_COLUMNS
+    share = min(1.0, SLAB_SAMPLE / rows)
+    some = (x.sample(share, 7) if share < 1 else x).select(*columns).toArrow()  # decides on the cuts only
+    cuts = []
+    for c in columns:
+        values = np.sort(some.column(c).drop_null().to_numpy())
+        number = int(len(values) / share / SLAB_ROWS) + 1
+        cut = np.unique(values[np.arange(1, number) * len(values) // number]) if len(values) else values
+        most = np.bincount(np.searchsorted(cut, values, "right")).max() / share if len(values) else 0
+        if most * (n + 1) * 8 > DIRECT_BYTES:
+            return None
+        cuts.append(cut)
+    slabs = _Slabs(cuts, asked, have)
+    steps = max((len(s) for s in slabs.spaces.values()), default=0)
+    if not steps:
+        return None
+    vector = [f"c{i}" for i in range(n)]
+    kinds, state = ", ".join(f"{c} double" for c in vector), slabs.STATE_SCHEMA
+    tasks = max(spark.sparkContext.defaultParallelism, n * rows // SLAB_TASK_ROWS)
+    donors = x.select(*columns, "mult").mapInArrow(slabs.spread, f"unit bigint, {kinds}, mult bigint").repartition(tasks, "unit").groupBy("unit")
+    empty = {"f": "int", "d2": "double", "v": "double", "mult": "bigint"}
+    found = q.select("qid", *[F.col(c).alias(v) for c, v in zip(columns, vector)], *[F.array().cast(f"array<{t}>").alias(c) for c, t in empty.items()])
+    for j in range(steps):
+        keyed = found.mapInArrow(slabs.step(j), f"unit bigint, qid bigint, {kinds}, {state}").repartition(tasks, "unit")
+        last = choices if j == steps - 1 else None
+        out = f"qid bigint, {kinds}, {state}" + (", visits array<bigint>, limits array<double>, " + ", ".join(f"fill_{i} array<double>" for i in range(n)) if last else "")
+        found = keyed.groupBy("unit").cogroup(donors).applyInArrow(slabs.home(k, chunk, last), out)
+    found = materialize(found, "knn-found")
+    named = [F.col(v).alias(c) for c, v in zip(columns, vector)]
+    done = found.filter("size(visits) = 0").select(*named, *[f"fill_{i}" for i in range(n)])
+    visits = found.agg(F.sum(F.size("visits")), F.count(F.when(F.size("visits") > 0, 1))).first()
+    if not visits[0]:
+        return done
+    if visits[0] > SLAB_VISITS * queries:
+        return None
+    away = found.select("qid", *vector, "limits", F.explode("visits").alias("unit")).repartition(tasks, "unit")
+    away = away.groupBy("unit").cogroup(donors).applyInArrow(slabs.visit(k, chunk), f"qid bigint, {state}")
+    own = found.filter("size(visits) > 0").select(F.lit(True).alias("own"), "qid", *vector, *slabs.STATE)
+    away = away.select(F.lit(False).alias("own"), "qid", *[F.lit(None).cast("double").alias(v) for v in vector], *slabs.STATE)
+    together = own.unionByName(away).repartition(max(spark.sparkContext.defaultParallelism, visits[1] // SLAB_TASK_ROWS), "qid")
+    return done.unionByName(together.mapInArrow(slabs.merge(k, choices, columns), _fill_schema(columns)))
+
+
+def _found(
+    q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int, direct: bool | None, choices: list[tuple[int, str]] | None = None
+) -> DataFrame:
+    """(qid, f, d2, v, mult): candidates that hold the k nearest donors of every missing value. With ``choices``,
+    the vectors and their fills instead, where a query's neighbours meet in one task."""
     n = len(columns)
     queries, rows = q.count(), x.count()
     parts = -(-rows * (n + 1) * 8 // DIRECT_BYTES)
     if direct and parts > DIRECT_PARTS:
         raise ValueError(f"the direct way takes donors of at most {DIRECT_PARTS * DIRECT_BYTES} bytes")
+    if direct is None and choices is not None and queries and parts > 1 and n <= SLAB_COLUMNS:
+        folded = _by_slabs(q, x, queries, rows, columns, k, chunk, choices)
+        if folded is not None:
+            return folded
     if direct is None:
         direct = parts <= DIRECT_PARTS and (n <= FEW_COLUMNS or queries * rows * n <= DIRECT_CELLS)
     if not direct or not rows:
@@ -560,6 +892,9 @@ def _found(q: DataFrame, x: DataFrame, columns: list[str], k: int, chunk: int, d
         spread = q.repartition(tasks, "qid")
     if parts > 1:
         x = materialize(x.withColumn("__part", F.pmod(F.xxhash64(*columns), F.lit(parts))), "knn-parts", ["__part"])
+    if parts == 1 and choices is not None:
+        donors = spark.sparkContext.broadcast(_by_pattern(x, columns))
+        return spread.select("qid", *columns).mapInArrow(_nearest_of_all(columns, k, donors, chunk, choices), _fill_schema(columns))
     found = []
     for p in range(parts):  # the donors of one broadcast at a time
         some = x.filter(F.col("__part") == p).drop("__part") if parts > 1 else x
@@ -577,7 +912,9 @@ def nearest_fills(
     """Distinct incomplete vectors with one ``fill_{i}`` per column: an array with the fill of each (k, weights)
     of ``choices``. Neighbours are found once, for the greatest k."""
     q, x = _vectors(df, columns, donors)
-    found = _found(q, x, columns, max(k for k, _ in choices), chunk, direct)
+    found = _found(q, x, columns, max(k for k, _ in choices), chunk, direct, choices)
+    if "fill_0" in found.columns:
+        return found.select(_vector_key(columns).alias("__key"), *[f"fill_{i}" for i in range(len(columns))])
     merged = found.groupBy("qid", "f").agg(F.sort_array(F.collect_list(F.struct("d2", "v", "mult"))).alias("near"))
     merged = merged.select("qid", "f", F.array(*[F.expr(_fold(k, weights)) for k, weights in choices]).alias("fill"))
     fills = merged.groupBy("qid").agg(
@@ -643,8 +980,8 @@ def knn_impute_all(
     row = rest if rest is not None else donors.agg(*[F.avg(c).alias(c) for c in columns]).first()
     gaps = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     # rows without gaps have no partner: their keys, which no vector has, only spread them over tasks
-    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    apart = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+    apart = F.concat(F.lit("-"), F.xxhash64(*dict.fromkeys([*plain[:3], *columns])).cast("string"))
     joined = df.withColumn("__key", F.when(gaps, _vector_key(columns)).otherwise(apart)).join(fills, "__key", "left")
     if name is not None:
         joined = joined.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))))

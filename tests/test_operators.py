@@ -688,6 +688,47 @@ def test_knn_compares_in_parts(spark, monkeypatch, n):
                 assert got[i][f"c{f}"] == pytest.approx(v[near, f].mean())
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "rare"])
+def test_knn_meets_in_slabs(spark, monkeypatch, kind):
+    """Beyond one broadcast a task holds a slab of the donors; fills are those of a brute force, ties and copies included."""
+    monkeypatch.setattr(KN, "DIRECT_BYTES", 12_000)
+    monkeypatch.setattr(KN, "SLAB_ROWS", 60)
+    monkeypatch.setattr(KN, "SLAB_VISITS", 50)
+    monkeypatch.setattr(KN, "TILE_ROWS", 16)
+    monkeypatch.setattr(KN, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(4)
+    v = rng.random((1200, 3))
+    if kind == "ties":
+        v = np.column_stack([rng.integers(0, 12, 1200), rng.integers(-40, 40, 1200), np.round(v[:, 2], 1)]).astype(float)
+    gone = rng.random(v.shape) < 0.25
+    if kind == "rare":  # one column is observed in few donors of one corner
+        gone[:, 2] |= v[:, 0] > 0.04
+    v[gone] = np.nan
+    v[900:930] = v[899]
+    rows = [(i, *[None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    donors, names = df.filter("id < 1000"), ["a", "b", "c"]
+    used, slabs = [], KN._by_slabs
+    monkeypatch.setattr(KN, "_by_slabs", lambda *a: used.append(slabs(*a)) or used[-1])
+    choices = [(4, "uniform"), (2, "uniform"), (4, "distance")]
+    got = {(r.id, r.n): r for r in KN.knn_impute_all(df, names, donors, choices, "n").collect()}
+    assert used[0] is not None and len(got) == 3 * 1200
+    base = v[:1000]
+    for i, q in enumerate(v):
+        common = (~np.isnan(q) & ~np.isnan(base)).sum(axis=1)
+        dist = np.where(common > 0, np.nansum((q - base) ** 2, axis=1) * 3 / np.maximum(common, 1), np.inf)
+        for f in np.flatnonzero(np.isnan(q)):
+            have = np.flatnonzero(~np.isnan(base[:, f]) & (common > 0))
+            near = have[np.lexsort((base[have, f], dist[have]))][:4]
+            value, d = base[near, f], dist[near]
+            if not len(near):
+                want = [np.nanmean(base[:, f])] * 3
+            else:
+                weights = (d == 0).astype(float) if d[0] == 0 else 1 / np.sqrt(d)
+                want = [value.mean(), value[:2].mean(), np.average(value, weights=weights)]
+            assert [got[i, n][names[f]] for n in range(3)] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("window", [0, 1 << 20])
 def test_knn_finds_single_shared_columns_by_bisection(spark, monkeypatch, window):
     """Few pairs are compared where one column is shared, ties go to the smaller value, and tiles give the same."""
